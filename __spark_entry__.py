@@ -16,7 +16,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from runlens import schemas as S  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from runlens.operators import ranking as RK  # noqa: E402
 from runlens.operators import reports as R  # noqa: E402
+from runlens.plans import design as D  # noqa: E402
+from runlens.plans import resume as RS  # noqa: E402
 from runlens.session import configure  # noqa: E402
 from runlens.sources import testdata as TD  # noqa: E402
 import oracle_sql_parts as O  # noqa: E402
@@ -161,6 +166,332 @@ def sql_a8():
             f"FROM runs GROUP BY {keys}) g ORDER BY {keys}")
 
 
+
+# ------------------------------------------------- composite / comparisons
+def _orth_plan(spark):
+    return D.plan(spark, D.orthogonal_designs())
+
+
+def _group_configs(spark, group):
+    p = _orth_plan(spark).where(F.col("design") == group)
+    return p.select(F.col("design").alias("group_id"), "model_key", "scheme_key", "temperature").distinct()
+
+
+def q_a9(spark, sf):
+    return R.with_composite(_runs(spark, sf)).select("run_seq", "scene_id", "model", "scheme", "param_set",
+                                                      "composite")
+
+
+def sql_a9():
+    return O.runs_cte() + f"SELECT run_seq, scene_id, model, scheme, param_set, {O.composite_expr()} AS composite FROM runs"
+
+
+G4_KEYS = ["model", "scheme", "temperature"]
+
+
+def q_a10(spark, sf):
+    return R.factor_effect(_oruns(spark, sf), _group_configs(spark, "group4"), G4_KEYS)
+
+
+def _by_config_sql(keys: list[str], group: str, digits: int = 2) -> str:
+    """composite + dimension statistics per configuration of one design group."""
+    k = ", ".join(keys)
+    cfg = (f"cfg AS (SELECT DISTINCT design AS group_id, model_key, scheme_key, temperature FROM plan "
+           f"WHERE design = '{group}')\n")
+    inner = ["COUNT(*) AS n", f"stddev_samp({O.composite_expr()}) AS csd"]
+    for d in DIMS:
+        inner += [f"{O.mean(d)} AS {d}_m", f"{O.std(d)} AS {d}_s"]
+    outer = [k, "n", f"{O.pyr(O.composite_expr(suffix='_m'), digits)} AS composite_mean",
+             f"{O.pyr('csd', digits)} AS composite_std"]
+    for d in DIMS:
+        outer += [f"{O.pyr(f'{d}_m', digits)} AS {d}_mean", f"{O.pyr(f'{d}_s', digits)} AS {d}_std"]
+    return (O.runs_cte(orthogonal=True) + ", " + O.plan_cte("orthogonal") + ", " + cfg +
+            f", g AS (SELECT {k}, {', '.join(inner)} FROM runs WHERE (group_id, model_key, scheme_key, temperature) "
+            f"IN (SELECT group_id, model_key, scheme_key, temperature FROM cfg) GROUP BY {k})\n"
+            f"SELECT {', '.join(outer)} FROM g")
+
+
+def sql_a10():
+    return _by_config_sql(G4_KEYS, "group4") + " ORDER BY model, scheme, temperature"
+
+
+def q_a11(spark, sf):
+    return R.best_configuration(q_a10(spark, sf), G4_KEYS)
+
+
+def sql_a11():
+    return _by_config_sql(G4_KEYS, "group4") + " ORDER BY composite_mean DESC, model, scheme, temperature LIMIT 1"
+
+
+def _baseline(spark):
+    rows = [[d, float(v)] for d, v in zip(DIMS, S.MANUAL_BASELINE)]
+    manual_comp = 0.0
+    acc = None
+    for d, v in zip(DIMS, S.MANUAL_BASELINE):
+        t = v * S.DIM_WEIGHTS[d]
+        acc = t if acc is None else acc + t
+    rows.append(["composite", acc])
+    return spark.createDataFrame(rows, "dimension string, manual double")
+
+
+def q_j8(spark, sf):
+    return R.best_vs_baseline(q_a11(spark, sf), _baseline(spark))
+
+
+def sql_j8():
+    base_rows = [(d, float(v)) for d, v in zip(DIMS, S.MANUAL_BASELINE)]
+    acc = None
+    for d, v in zip(DIMS, S.MANUAL_BASELINE):
+        t = v * S.DIM_WEIGHTS[d]
+        acc = t if acc is None else acc + t
+    base_rows.append(("composite", acc))
+    unions = " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, {d}_mean AS best_mean, {d}_std AS best_std FROM best" for d in DIMS)
+    unions += " UNION ALL SELECT 'composite', composite_mean, composite_std FROM best"
+    return (_by_config_sql(G4_KEYS, "group4").replace("\nSELECT ", ", best AS (SELECT ", 1) +
+            " ORDER BY composite_mean DESC, model, scheme, temperature LIMIT 1)"
+            f", manual_base AS {O.values(base_rows, ['dimension', 'manual'])}"
+            f" SELECT dimension, manual, best_mean, best_std, {O.pyr('best_mean - manual', 1)} AS diff "
+            f"FROM ({unions}) u JOIN manual_base USING (dimension)")
+
+
+def q_a12_temperature(spark, sf):
+    return R.factor_effect(_oruns(spark, sf), _group_configs(spark, "group1"), ["model", "temperature"])
+
+
+def sql_a12_temperature():
+    return _by_config_sql(["model", "temperature"], "group1") + " ORDER BY model, temperature"
+
+
+def q_a12_scheme(spark, sf):
+    return R.factor_effect(_oruns(spark, sf), _group_configs(spark, "group2"), ["model", "scheme"])
+
+
+def sql_a12_scheme():
+    return _by_config_sql(["model", "scheme"], "group2") + " ORDER BY model, scheme"
+
+
+def q_a12_model(spark, sf):
+    return R.factor_effect(_oruns(spark, sf), _group_configs(spark, "group3"), ["scheme", "model"])
+
+
+def sql_a12_model():
+    return _by_config_sql(["scheme", "model"], "group3") + " ORDER BY scheme, model"
+
+
+def q_a12_interaction(spark, sf):
+    return R.interaction_table(_oruns(spark, sf), _group_configs(spark, "group4"), "scheme", "model_key",
+                               [m for m, _, _, _ in S.MODELS_ORTHOGONAL])
+
+
+def sql_a12_interaction():
+    cfg = ("cfg AS (SELECT DISTINCT design AS group_id, model_key, scheme_key, temperature FROM plan "
+           "WHERE design = 'group4')\n")
+    cols = ", ".join(f"{O.pyr(f'AVG(CASE WHEN model_key = {O.lit(m)} THEN {O.composite_expr()} END)', 2)} "
+                     f"AS {m}_composite" for m, _, _, _ in S.MODELS_ORTHOGONAL)
+    return (O.runs_cte(orthogonal=True) + ", " + O.plan_cte("orthogonal") + ", " + cfg +
+            f"SELECT scheme, {cols} FROM runs WHERE (group_id, model_key, scheme_key, temperature) "
+            f"IN (SELECT group_id, model_key, scheme_key, temperature FROM cfg) GROUP BY scheme ORDER BY scheme")
+
+
+# --------------------------------------------------- ordering / detail
+RUN_KEYS = ["scene_id", "model", "scheme", "param_set"]
+
+
+def q_n2(spark, sf):
+    return R.with_repeat_idx(_runs(spark, sf), RUN_KEYS).select("run_seq", *RUN_KEYS, "repeat_idx")
+
+
+def sql_n2():
+    return (O.runs_cte() + ", " + O.with_repeat("runs_r", "runs", ", ".join(RUN_KEYS)) +
+            f"SELECT run_seq, {', '.join(RUN_KEYS)}, repeat_idx FROM runs_r")
+
+
+def q_f1(spark, sf):
+    return R.detail(R.with_repeat_idx(_runs(spark, sf), RUN_KEYS))
+
+
+def sql_f1():
+    cols = [c for c in R.DETAIL_COLUMNS if not c.endswith("_note")]
+    return (O.runs_cte() + ", " + O.with_repeat("runs_r", "runs", ", ".join(RUN_KEYS)) +
+            f"SELECT {', '.join(cols)} FROM runs_r")
+
+
+def _raw_writes(spark, sf):
+    """Raw-output writes under the exploratory file naming, where the attempt
+    number comes from the user -- many writes share a file name."""
+    r = _runs(spark, sf).withColumn("attempt", (F.col("run_seq") % 5 + 1).cast("string"))
+    return r.withColumn("file_key", RS.normalise_file_part(
+        F.concat_ws("_", "scene_id", "scheme", "param_set", "model", "attempt")))
+
+
+def q_n3(spark, sf):
+    w = _raw_writes(spark, sf).select("file_key", "run_seq", "success", "elapsed_time", *DIMS)
+    return RK.last_by_key(w, ["file_key"], "run_seq")
+
+
+def sql_n3():
+    fk = ("translate(concat_ws('_', scene_id, scheme, param_set, model, CAST(run_seq % 5 + 1 AS STRING)), "
+          "' -/', '___')")
+    cols = ", ".join(["success", "elapsed_time", *DIMS])
+    return (O.runs_cte() + f", w AS (SELECT {fk} AS file_key, run_seq, {cols}, row_number() OVER "
+            f"(PARTITION BY {fk} ORDER BY run_seq DESC) AS rn FROM runs) "
+            f"SELECT file_key, run_seq, {cols} FROM w WHERE rn = 1")
+
+
+def q_f10(spark, sf):
+    return R.first_appearance(_runs(spark, sf), ["scene_name", "model", "scheme", "param_set"])
+
+
+def sql_f10():
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, MIN(run_seq) AS first_run_seq FROM runs "
+        f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in ["scene_name", "model", "scheme", "param_set"])
+    return (O.runs_cte() + f"SELECT column_name, value, first_run_seq, row_number() OVER (PARTITION BY column_name "
+            f"ORDER BY first_run_seq) AS position FROM ({parts}) u")
+
+
+def q_t14(spark, sf):
+    return R.scene_sheets(_runs(spark, sf))
+
+
+def sql_t14():
+    return (O.runs_cte() + "SELECT replace(substring(scene_name, 1, 20), '/', '_') AS sheet_name, scene_name, "
+            "COUNT(*) AS n, MIN(run_seq) AS first_run_seq FROM runs WHERE scene_name IS NOT NULL "
+            "GROUP BY scene_name ORDER BY first_run_seq")
+
+
+# ---------------------------------------------------------------- resume
+def _explo_plan(spark):
+    return D.plan(spark, D.exploratory_designs())
+
+
+def _explo_completed(spark, sf):
+    r = R.with_repeat_idx(_runs(spark, sf), RUN_KEYS)
+    return RS.completed_keys(r, RS.exploratory_key(r))
+
+
+def q_j1(spark, sf):
+    designs = D.exploratory_designs()
+    return RS.pending(_explo_plan(spark), _explo_completed(spark, sf), D.plan_size(designs))
+
+
+_EXPLO_KEY_SQL = ("concat_ws('_', CASE WHEN param_set = 'P1' THEN 'main' ELSE 'sens' END, scene_id, scheme_key, "
+                  "model_key, param_set, CAST(repeat_idx - 1 AS STRING))")
+
+
+def _explo_done_sql():
+    return (O.runs_cte() + ", " + O.with_repeat("runs_r", "runs", ", ".join(RUN_KEYS)) + ", " +
+            O.plan_cte("exploratory") +
+            f", done AS (SELECT DISTINCT {_EXPLO_KEY_SQL} AS run_key FROM runs_r WHERE success)\n")
+
+
+def _plan_select(alias="plan"):
+    return ", ".join(f"{alias}.{c}" if c not in ("position",) else f"CAST({alias}.position AS BIGINT) AS position"
+                     for c in O.PLAN_COLS)
+
+
+def sql_j1():
+    return (_explo_done_sql() + f"SELECT {_plan_select()} FROM plan WHERE run_key NOT IN (SELECT run_key FROM done) "
+            "ORDER BY position")
+
+
+def q_j3(spark, sf):
+    designs = D.exploratory_designs()
+    return RS.skipped(_explo_plan(spark), _explo_completed(spark, sf), D.plan_size(designs))
+
+
+def sql_j3():
+    return (_explo_done_sql() + f"SELECT {_plan_select()} FROM plan WHERE run_key IN (SELECT run_key FROM done) "
+            "ORDER BY position")
+
+
+def q_a13(spark, sf):
+    designs = D.exploratory_designs()
+    return RS.progress(_explo_plan(spark), _explo_completed(spark, sf), D.plan_size(designs))
+
+
+def sql_a13():
+    return (_explo_done_sql() + "SELECT design, COUNT(*) AS planned, COUNT(done.run_key) AS completed, "
+            "COUNT(*) - COUNT(done.run_key) AS pending FROM plan LEFT JOIN done USING (run_key) "
+            "GROUP BY design ORDER BY design")
+
+
+ORTH_KEYS = ["group_id", "scene_id", "scheme_key", "model", "temperature"]
+
+
+def _orth_completed(spark, sf):
+    r = R.with_repeat_idx(_oruns(spark, sf), ORTH_KEYS)
+    return RS.completed_keys(r, RS.orthogonal_key())
+
+
+def q_j2(spark, sf):
+    designs = D.orthogonal_designs()
+    return RS.pending(_orth_plan(spark), _orth_completed(spark, sf), D.plan_size(designs))
+
+
+def _orth_done_sql():
+    key = ("concat_ws('_', group_id, scene_id, scheme_key, concat('T', CAST(temperature AS STRING)), model, "
+           "CAST(repeat_idx AS STRING))")
+    return (O.runs_cte(orthogonal=True) + ", " + O.with_repeat("runs_r", "runs", ", ".join(ORTH_KEYS)) + ", " +
+            O.plan_cte("orthogonal") + f", done AS (SELECT DISTINCT {key} AS run_key FROM runs_r WHERE success)\n")
+
+
+def sql_j2():
+    return (_orth_done_sql() + f"SELECT {_plan_select()} FROM plan WHERE run_key NOT IN (SELECT run_key FROM done) "
+            "ORDER BY position")
+
+
+def q_a13_orthogonal(spark, sf):
+    designs = D.orthogonal_designs()
+    return RS.progress(_orth_plan(spark), _orth_completed(spark, sf), D.plan_size(designs))
+
+
+def sql_a13_orthogonal():
+    return (_orth_done_sql() + "SELECT design, COUNT(*) AS planned, COUNT(done.run_key) AS completed, "
+            "COUNT(*) - COUNT(done.run_key) AS pending FROM plan LEFT JOIN done USING (run_key) "
+            "GROUP BY design ORDER BY design")
+
+
+def q_p9(spark, sf):
+    cfg = D.distinct_configurations(_orth_plan(spark))
+    stats = (_oruns(spark, sf).groupBy("model_key", "scheme_key", "temperature")
+             .agg(F.count(F.lit(1)).alias("runs"), F.count(F.when(F.col("success"), 1)).alias("successful")))
+    return (cfg.join(stats, ["model_key", "scheme_key", "temperature"], "left")
+            .select("model_key", "scheme_key", "temperature",
+                    F.coalesce("runs", F.lit(0)).alias("runs"),
+                    F.coalesce("successful", F.lit(0)).alias("successful")))
+
+
+def sql_p9():
+    return (O.runs_cte(orthogonal=True) + ", " + O.plan_cte("orthogonal") +
+            ", cfg AS (SELECT DISTINCT model_key, scheme_key, temperature FROM plan), "
+            "st AS (SELECT model_key, scheme_key, temperature, COUNT(*) AS runs, "
+            "COUNT(CASE WHEN success THEN 1 END) AS successful FROM runs GROUP BY ALL) "
+            "SELECT model_key, scheme_key, temperature, coalesce(runs, 0) AS runs, "
+            "coalesce(successful, 0) AS successful FROM cfg LEFT JOIN st USING (model_key, scheme_key, temperature)")
+
+
+def q_k3(spark, sf):
+    """K2-K4: completed keys from raw-output file names (successes) united
+    with keys from the results CSV rows (all rows), without duplicates."""
+    r = R.with_repeat_idx(_oruns(spark, sf), ORTH_KEYS)
+    files = r.where("success").select(
+        F.concat(RS.orthogonal_key(model_name=RS.normalise_file_part(F.col("model"))), F.lit(".json"))
+        .alias("file_name"))
+    from_files = files.select(RS.file_name_key(F.col("file_name")).alias("run_key")).where("run_key IS NOT NULL")
+    from_csv = r.select(RS.orthogonal_key().alias("run_key"))
+    return RS.union_keys(from_files, from_csv)
+
+
+def sql_k3():
+    key_csv = ("concat_ws('_', group_id, scene_id, scheme_key, concat('T', CAST(temperature AS STRING)), model, "
+               "CAST(repeat_idx AS STRING))")
+    key_file = key_csv.replace(", model,", ", translate(model, ' -/', '___'),")
+    return (O.runs_cte(orthogonal=True) + ", " + O.with_repeat("runs_r", "runs", ", ".join(ORTH_KEYS)) +
+            f"SELECT {key_file} AS run_key FROM runs_r WHERE success UNION SELECT {key_csv} FROM runs_r")
+
+
 _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "a1_consistency_score": (q_a1, sql_a1),
     "a2_consistency_report": (q_a2, sql_a2),
@@ -170,6 +501,26 @@ _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "a6_param_sensitivity": (q_a6, sql_a6),
     "a7_overall_stats": (q_a7, sql_a7),
     "a8_group_stats": (q_a8, sql_a8),
+    "a9_composite_per_run": (q_a9, sql_a9),
+    "a10_composite_by_config": (q_a10, sql_a10),
+    "a11_best_config": (q_a11, sql_a11),
+    "j8_best_vs_baseline": (q_j8, sql_j8),
+    "a12_temperature_effect": (q_a12_temperature, sql_a12_temperature),
+    "a12_scheme_effect": (q_a12_scheme, sql_a12_scheme),
+    "a12_model_effect": (q_a12_model, sql_a12_model),
+    "a12_interaction": (q_a12_interaction, sql_a12_interaction),
+    "n2_repeat_index": (q_n2, sql_n2),
+    "f1_detail": (q_f1, sql_f1),
+    "n3_last_write_wins": (q_n3, sql_n3),
+    "f10_first_appearance": (q_f10, sql_f10),
+    "t14_scene_sheets": (q_t14, sql_t14),
+    "j1_resume_pending": (q_j1, sql_j1),
+    "j3_resume_skipped": (q_j3, sql_j3),
+    "a13_progress": (q_a13, sql_a13),
+    "j2_orthogonal_pending": (q_j2, sql_j2),
+    "a13_orthogonal_progress": (q_a13_orthogonal, sql_a13_orthogonal),
+    "p9_config_coverage": (q_p9, sql_p9),
+    "k3_completed_keys": (q_k3, sql_k3),
 }
 
 

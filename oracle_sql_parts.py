@@ -82,3 +82,68 @@ def runs_cte(orthogonal: bool = False) -> str:
         "JOIN dim_scheme USING (scheme_key) JOIN dim_model USING (model_key) "
         "JOIN dim_param USING (param_set))\n"
     )
+
+
+def with_repeat(cte_name: str, src: str, keys: str) -> str:
+    return (f"{cte_name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY run_seq) "
+            f"AS INTEGER) AS repeat_idx FROM {src})\n")
+
+
+def composite_expr(prefix: str = "", suffix: str = "") -> str:
+    acc = None
+    for d, _, w in S.DIMENSIONS:
+        t = f"({prefix}{d}{suffix} * {dbl(w)})"
+        acc = t if acc is None else f"({acc} + {t})"
+    return acc
+
+
+def plan_rows_python(kind: str) -> list[tuple]:
+    """The plan by the experiment's own nested loops (independent of Spark)."""
+    rows = []
+    pos = 0
+    if kind == "exploratory":
+        m, s = S.MAIN_DESIGN, S.SENSITIVITY_DESIGN
+        ps = {p: (t, tp) for p, t, tp in S.PARAM_SETS}
+        for model in m["models"]:
+            for scene in m["scenes"]:
+                for scheme in m["schemes"]:
+                    for r in range(S.REPEAT_TIMES):
+                        pos += 1
+                        rows.append(("main", scene, scheme, model, "P1", ps["P1"][0], ps["P1"][1], r + 1, pos,
+                                     f"main_{scene}_{scheme}_{model}_P1_{r}"))
+        for model in s["models"]:
+            for scheme in s["schemes"]:
+                for p in s["param_sets"]:
+                    for r in range(S.REPEAT_TIMES):
+                        pos += 1
+                        rows.append(("sens", s["scene"], scheme, model, p, ps[p][0], ps[p][1], r + 1, pos,
+                                     f"sens_{s['scene']}_{scheme}_{model}_{p}_{r}"))
+        return rows
+    names = {k: n for k, n, _, _ in S.MODELS_ORTHOGONAL}
+    tset = {t: p for p, t, _ in S.PARAM_SETS_ORTHOGONAL}
+    scene, n = S.ORTHOGONAL_SCENE, S.ORTHOGONAL_REPEATS
+
+    def add(g, scheme, model, temp):
+        nonlocal pos
+        for i in range(n):
+            pos += 1
+            rows.append((g, scene, scheme, model, tset[temp], float(temp), 1.0, i + 1, pos,
+                         f"{g}_{scene}_{scheme}_T{float(temp)}_{names[model]}_{i + 1}"))
+    for model in S.GROUP1["models"]:
+        for t in S.GROUP1["temperatures"]:
+            add("group1", S.GROUP1["scheme"], model, t)
+    for g, cfg in (("group2", S.GROUP2), ("group3", S.GROUP3)):
+        for model in cfg["models"]:
+            for scheme in cfg["schemes"]:
+                add(g, scheme, model, cfg["temperature"])
+    for model, scheme, t in S.GROUP4:
+        add("group4", scheme, model, t)
+    return rows
+
+
+PLAN_COLS = ["design", "scene_id", "scheme_key", "model_key", "param_set", "temperature", "top_p",
+             "repeat_idx", "position", "run_key"]
+
+
+def plan_cte(kind: str) -> str:
+    return f"plan AS {values(plan_rows_python(kind), PLAN_COLS)}\n"

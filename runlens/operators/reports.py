@@ -289,10 +289,10 @@ def first_appearance(runs: DataFrame, cols: list[str]) -> DataFrame:
     """distinct values of each column with their first ``run_seq`` and
     1-based first-appearance position (ranked on the small aggregate)."""
     parts = [runs.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value"))
-             .agg(F.min("run_seq").alias("first_run_seq")).withColumn("column", F.lit(c))
+             .agg(F.min("run_seq").alias("first_run_seq")).withColumn("column_name", F.lit(c))
              for c in cols]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    w = Window.partitionBy("column").orderBy("first_run_seq")
-    return u.select("column", "value", "first_run_seq", F.row_number().over(w).alias("position"))
+    w = Window.partitionBy("column_name").orderBy("first_run_seq")
+    return u.select("column_name", "value", "first_run_seq", F.row_number().over(w).alias("position"))
