@@ -20,7 +20,10 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from runlens.operators import ranking as RK  # noqa: E402
 from runlens.operators import reports as R  # noqa: E402
+from runlens.functions import jsoncheck as JC  # noqa: E402
+from runlens.functions import text as TX  # noqa: E402
 from runlens.plans import design as D  # noqa: E402
+from runlens.sources import config as C  # noqa: E402
 from runlens.plans import resume as RS  # noqa: E402
 from runlens.session import configure  # noqa: E402
 from runlens.sources import testdata as TD  # noqa: E402
@@ -492,6 +495,83 @@ def sql_k3():
             f"SELECT {key_file} AS run_key FROM runs_r WHERE success UNION SELECT {key_csv} FROM runs_r")
 
 
+
+# ------------------------------------------------------ model-output checks
+CHECK_COLS = ["json_valid", "structure_valid", "field_names_valid", "data_types_valid", "n_items",
+              "correct_items", "json_valid_detail", "structure_detail", "field_names_detail",
+              "data_types_detail"]
+
+
+def _checked(spark, sf):
+    configure(spark)
+    return JC.check_outputs(TD.outputs(spark, sf), "output_content")
+
+
+def q_t6(spark, sf):
+    return _checked(spark, sf).select("run_seq", "normalized", "json_valid")
+
+
+def sql_t6():
+    return ("WITH " + O.outputs_cte() +
+            "SELECT run_seq, CASE WHEN json_valid THEN span ELSE output_content END AS normalized, json_valid "
+            "FROM parsed")
+
+
+def q_t7(spark, sf):
+    return _checked(spark, sf).select("run_seq", *CHECK_COLS)
+
+
+def sql_t7():
+    return "WITH " + O.outputs_cte() + ", " + O.checks_cte() + f"SELECT run_seq, {', '.join(CHECK_COLS)} FROM checks"
+
+
+def q_t21(spark, sf):
+    c = _checked(spark, sf)
+    return c.select("run_seq", JC.format_points("json_valid", "structure_valid", "field_names_valid",
+                                                "data_types_valid").alias("format_points"))
+
+
+def sql_t21():
+    return ("WITH " + O.outputs_cte() + ", " + O.checks_cte() +
+            "SELECT run_seq, (CASE WHEN json_valid THEN 40 ELSE 0 END + CASE WHEN structure_valid THEN 30 ELSE 0 END"
+            " + CASE WHEN field_names_valid THEN 15 ELSE 0 END + CASE WHEN data_types_valid THEN 15 ELSE 0 END)"
+            " AS format_points FROM checks")
+
+
+def q_t22(spark, sf):
+    c = _checked(spark, sf)
+    return c.select("run_seq", JC.entry_counts_equal("parsed").alias("entry_counts_equal"))
+
+
+def sql_t22():
+    arr = lambda f: f"(CASE WHEN json_type(x, '$.{f}') = 'ARRAY' THEN json_array_length(x, '$.{f}') END)"
+    same = f"coalesce({arr('methods')} = {arr('requirements')} AND {arr('requirements')} = {arr('criteria')}, false)"
+    return ("WITH " + O.outputs_cte() +
+            "SELECT run_seq, CASE WHEN json_type(j, '$.test_items') = 'ARRAY' AND json_array_length(j, '$.test_items') > 0 "
+            f"THEN list_bool_and(list_transform(json_extract(j, '$.test_items[*]'), lambda x: {same})) END "
+            "AS entry_counts_equal FROM parsed")
+
+
+def q_t23(spark, sf):
+    configure(spark)
+    o = TD.outputs(spark, sf).join(F.broadcast(C.scene_addresses(spark)), "scene_id")
+    found = TX.hex_addresses("output_content")
+    unknown = F.array_sort(JC.unknown_addresses(found, F.col("prompt_addresses")))
+    return o.select("run_seq", F.size(found).alias("n_addresses"), F.size(unknown).alias("n_unknown"),
+                    F.array_join(unknown, ",").alias("unknown_addresses"),
+                    (F.size(unknown) == 0).alias("addresses_ok"))
+
+
+def sql_t23():
+    addr_rows = ", ".join(f"('{s}', [{', '.join(O.lit(a) for a in v)}])" for s, v in S.SCENE_ADDRESSES.items())
+    found = "list_distinct(regexp_extract_all(output_content, '(0x[0-9A-Fa-f]+)', 1))"
+    unknown = f"list_sort(list_filter({found}, lambda a: NOT list_contains(pa, a)))"
+    return ("WITH " + O.outputs_cte() + f", addr AS (SELECT * FROM (VALUES {addr_rows}) t(scene_id, pa)) "
+            f"SELECT run_seq, len({found}) AS n_addresses, len({unknown}) AS n_unknown, "
+            f"array_to_string({unknown}, ',') AS unknown_addresses, len({unknown}) = 0 AS addresses_ok "
+            "FROM outs JOIN addr USING (scene_id)")
+
+
 _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "a1_consistency_score": (q_a1, sql_a1),
     "a2_consistency_report": (q_a2, sql_a2),
@@ -521,6 +601,11 @@ _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "a13_orthogonal_progress": (q_a13_orthogonal, sql_a13_orthogonal),
     "p9_config_coverage": (q_p9, sql_p9),
     "k3_completed_keys": (q_k3, sql_k3),
+    "t6_normalize_output": (q_t6, sql_t6),
+    "t7_format_check": (q_t7, sql_t7),
+    "t21_format_points": (q_t21, sql_t21),
+    "t22_entry_counts": (q_t22, sql_t22),
+    "t23_address_fidelity": (q_t23, sql_t23),
 }
 
 

@@ -147,3 +147,74 @@ PLAN_COLS = ["design", "scene_id", "scheme_key", "model_key", "param_set", "temp
 
 def plan_cte(kind: str) -> str:
     return f"plan AS {values(plan_rows_python(kind), PLAN_COLS)}\n"
+
+
+def outputs_cte() -> str:
+    """Model outputs per run, normalised and parsed the reference way."""
+    ws = "'^[\\s　]+|[\\s　]+$'"
+    lines = "string_split(c1, chr(10))"
+    return (
+        f"outs AS (SELECT event_id AS run_seq, {dict(TD.RUN_BASE)['scene_id']} AS scene_id, "
+        f"{TD.output_sql()} AS output_content FROM events),\n"
+        f"n1 AS (SELECT *, regexp_replace(output_content, {ws}, '', 'g') AS c1 FROM outs),\n"
+        f"n2 AS (SELECT *, CASE WHEN starts_with(c1, '```') THEN (CASE WHEN starts_with({lines}[-1], '```') "
+        f"THEN array_to_string(list_slice({lines}, 2, len({lines}) - 1), chr(10)) "
+        f"ELSE array_to_string(list_slice({lines}, 2, len({lines})), chr(10)) END) ELSE c1 END AS c2 FROM n1),\n"
+        f"n3 AS (SELECT *, regexp_replace(c2, {ws}, '', 'g') AS c3 FROM n2),\n"
+        "n4 AS (SELECT *, CASE WHEN starts_with(c3, '[') THEN regexp_extract(c3, '\\[[\\s\\S]*\\]', 0) "
+        "ELSE regexp_extract(c3, '\\{[\\s\\S]*\\}', 0) END AS span FROM n3),\n"
+        "n5 AS (SELECT *, coalesce(span <> '' AND json_valid(span), false) AS json_valid FROM n4),\n"
+        "parsed AS (SELECT *, CASE WHEN json_valid THEN span::JSON END AS j FROM n5)\n"
+    )
+
+
+def checks_cte() -> str:
+    q = '"'
+    miss = ", ".join(
+        f"CASE WHEN NOT json_exists(x, '$.{f}') THEN concat('测试项', i, '缺少字段{q}{f}{q}') END"
+        for f in ["name", "methods", "requirements", "criteria"])
+    types = ", ".join(
+        ["CASE WHEN json_exists(x, '$.name') AND json_type(x, '$.name') <> 'VARCHAR' "
+         "THEN concat('测试项', i, '的name不是字符串') END"] +
+        [f"CASE WHEN json_exists(x, '$.{f}') AND json_type(x, '$.{f}') <> 'ARRAY' "
+         f"THEN concat('测试项', i, '的{f}不是数组') END" for f in ["methods", "requirements", "criteria"]])
+    allf = " AND ".join(f"json_exists(x, '$.{f}')" for f in ["name", "methods", "requirements", "criteria"])
+    return (
+        "c1x AS (SELECT *, coalesce(json_type(j) = 'OBJECT' AND json_exists(j, '$.test_items'), false) AS has_ti, "
+        "json_type(j, '$.test_items') AS ti_type, "
+        "coalesce(json_type(j) = 'ARRAY' AND json_array_length(j) > 0, false) AS root_list FROM parsed),\n"
+        "c2x AS (SELECT *, CASE WHEN has_ti AND ti_type = 'ARRAY' THEN json_extract(j, '$.test_items[*]') "
+        "WHEN NOT has_ti AND root_list THEN json_extract(j, '$[*]') END AS items, "
+        "CASE WHEN has_ti AND ti_type = 'VARCHAR' THEN length(json_extract_string(j, '$.test_items')) "
+        "WHEN has_ti AND ti_type = 'OBJECT' THEN len(json_keys(j, '$.test_items')) END AS n_other FROM c1x),\n"
+        "c3x AS (SELECT *, coalesce(len(items) > 0, false) AS run_arr, "
+        "coalesce(items IS NULL AND n_other > 0, false) AS run_other FROM c2x),\n"
+        "c4x AS (SELECT *, run_arr OR run_other AS checks_run, "
+        "CASE WHEN run_arr THEN len(items) WHEN run_other THEN n_other ELSE 0 END AS n_items, "
+        "CASE WHEN run_arr THEN len(list_filter(items, lambda x: json_type(x) = 'OBJECT' AND " + allf + ")) "
+        "ELSE 0 END AS correct_items, "
+        "CASE WHEN run_arr THEN flatten(list_transform(items, lambda x, i: CASE WHEN json_type(x) <> 'OBJECT' "
+        "THEN [concat('测试项', i, '不是对象类型')] ELSE list_filter([" + miss + "], lambda s: s IS NOT NULL) END)) "
+        "WHEN run_other THEN list_transform(range(1, least(n_other, 3) + 1), lambda i: concat('测试项', i, '不是对象类型')) "
+        "END AS f_issues, "
+        "CASE WHEN run_arr THEN flatten(list_transform(items, lambda x, i: CASE WHEN json_type(x) <> 'OBJECT' "
+        "THEN []::VARCHAR[] ELSE list_filter([" + types + "], lambda s: s IS NOT NULL) END)) "
+        "WHEN run_other THEN []::VARCHAR[] END AS t_issues FROM c3x),\n"
+        "checks AS (SELECT run_seq, scene_id, output_content, span, j, json_valid, "
+        "coalesce(has_ti AND ti_type = 'ARRAY' AND json_array_length(j, '$.test_items') > 0, false) AS structure_valid, "
+        "checks_run AND len(f_issues) = 0 AS field_names_valid, "
+        "checks_run AND len(t_issues) = 0 AS data_types_valid, n_items, correct_items, "
+        "CASE WHEN json_valid THEN 'JSON解析成功' ELSE 'JSON解析失败，无法继续检查' END AS json_valid_detail, "
+        "CASE WHEN NOT json_valid THEN '结构不完整' "
+        "WHEN has_ti AND ti_type = 'ARRAY' AND json_array_length(j, '$.test_items') > 0 "
+        "THEN concat('结构完整，包含test_items数组，共', json_array_length(j, '$.test_items'), '个测试项') "
+        "WHEN has_ti THEN 'test_items不是有效数组或为空' "
+        "WHEN root_list THEN concat('输出为数组而非包含test_items字段的对象，共', json_array_length(j), '个测试项') "
+        "ELSE '未找到test_items数组或有效测试项' END AS structure_detail, "
+        "CASE WHEN checks_run AND len(f_issues) = 0 THEN concat('所有', n_items, '个测试项的字段命名完全符合要求') "
+        "WHEN checks_run THEN concat(correct_items, '/', n_items, '个测试项字段正确，问题：', "
+        "array_to_string(list_slice(f_issues, 1, 3), '; ')) ELSE '字段命名不符合要求' END AS field_names_detail, "
+        "CASE WHEN checks_run AND len(t_issues) = 0 THEN '所有测试项的数据类型正确' "
+        "WHEN checks_run THEN concat('数据类型问题：', array_to_string(list_slice(t_issues, 1, 3), '; ')) "
+        "ELSE '数据类型不正确' END AS data_types_detail FROM c4x)\n"
+    )
