@@ -21,6 +21,8 @@ from pyspark.sql import functions as F  # noqa: E402
 from runlens.operators import ranking as RK  # noqa: E402
 from runlens.operators import reports as R  # noqa: E402
 from runlens.functions import jsoncheck as JC  # noqa: E402
+from runlens.functions import judge as JG  # noqa: E402
+from runlens.operators import assemble as AS  # noqa: E402
 from runlens.functions import text as TX  # noqa: E402
 from runlens.plans import design as D  # noqa: E402
 from runlens.sources import config as C  # noqa: E402
@@ -572,6 +574,85 @@ def sql_t23():
             "FROM outs JOIN addr USING (scene_id)")
 
 
+
+# ---------------------------------------------------------------- judge side
+def q_t18(spark, sf):
+    configure(spark)
+    j = TD.judge_replies(spark, sf).select("run_seq", JG.parse_judge_reply("reply").alias("j"))
+    return j.select("run_seq", "j.judge_ok", *[f"j.{d}" for d in DIMS])
+
+
+def _judge_sql_cols(txt: str = "txt", ok: str = "judge_ok") -> list[str]:
+    return [f"CASE WHEN {ok} THEN coalesce(TRY_CAST(json_extract_string({txt}, '$.\"{k}\"') AS DOUBLE), 0.0) "
+            f"ELSE 0.0 END AS {c}" for c, k, _ in S.DIMENSIONS]
+
+
+def _replies_cte() -> str:
+    a_cols = ", ".join(f"{e} AS {n}" for n, e in TD.RUN_BASE if n.startswith("a"))
+    reply = TD.judge_reply_sql().replace("event_id", "run_seq")
+    return (f"rep0 AS (SELECT event_id AS run_seq, {a_cols} FROM events WHERE event_id % 97 <> 0), "
+            f"rep AS (SELECT run_seq, {reply} AS reply FROM rep0), "
+            "rep1 AS (SELECT run_seq, reply, regexp_extract(reply, '\\{[\\s\\S]*\\}', 0) AS span FROM rep), "
+            "rep2 AS (SELECT run_seq, CASE WHEN span <> '' THEN span ELSE reply END AS txt FROM rep1), "
+            "rep3 AS (SELECT run_seq, txt, coalesce(json_valid(txt), false) AS judge_ok FROM rep2)\n")
+
+
+def sql_t18():
+    return "WITH " + _replies_cte() + f"SELECT run_seq, judge_ok, {', '.join(_judge_sql_cols())} FROM rep3"
+
+
+def q_j7(spark, sf):
+    configure(spark)
+    runs = AS.assemble_runs(TD.outputs(spark, sf), TD.judge_replies(spark, sf))
+    return runs.select("run_seq", "success", "json_valid", "judge_ok", *DIMS)
+
+
+def sql_j7():
+    dims = ", ".join(f"CASE WHEN success THEN coalesce({d}, 0.0) ELSE 0.0 END AS {d}" for d in DIMS)
+    return ("WITH " + O.outputs_cte() + ", " + _replies_cte() +
+            f", sc AS (SELECT run_seq, judge_ok, {', '.join(_judge_sql_cols())} FROM rep3) "
+            "SELECT run_seq, success, CASE WHEN success THEN json_valid END AS json_valid, "
+            f"CASE WHEN success THEN coalesce(judge_ok, false) END AS judge_ok, {dims} "
+            "FROM parsed LEFT JOIN sc USING (run_seq)")
+
+
+def _user_prompt_spark():
+    return F.concat(F.lit("Generate test items for "), F.col("scene_id"), F.lit(". Registers: "),
+                    F.array_join("prompt_addresses", ", "), F.lit("."))
+
+
+def q_t17(spark, sf):
+    c = _checked(spark, sf).join(F.broadcast(C.scene_addresses(spark)), "scene_id")
+    prompt = TX.prompt_text(F.expr(TD.PROMPT_SYSTEM_SQL), _user_prompt_spark())
+    checks = {k: F.col(k) for k in JG.TEMPLATE_FIELDS[2:]}
+    text = JG.judge_prompt(JG.DEFAULT_JUDGE_TEMPLATE, prompt, F.col("normalized"), checks)
+    return c.select("run_seq", F.length(text).alias("prompt_chars"), F.md5(text).alias("prompt_md5"))
+
+
+def sql_t17():
+    import string as _s
+    addr_rows = ", ".join(f"('{s}', [{', '.join(O.lit(a) for a in v)}])" for s, v in S.SCENE_ADDRESSES.items())
+    user = "concat('Generate test items for ', scene_id, '. Registers: ', array_to_string(pa, ', '), '.')"
+    prompt = (f"regexp_replace(concat({TD.PROMPT_SYSTEM_SQL}, chr(10), {user}), "
+              "'^[\\s　]+|[\\s　]+$', '', 'g')")
+    vals = {"input_prompt": prompt,
+            "output_content": "CASE WHEN json_valid THEN span ELSE output_content END"}
+    for k in JG.TEMPLATE_FIELDS[2:]:
+        vals[k] = (f"CASE WHEN {k} THEN 'True' WHEN NOT {k} THEN 'False' ELSE 'None' END"
+                   if k.endswith("_valid") else k)
+    parts = []
+    for literal, field, _, _ in _s.Formatter().parse(JG.DEFAULT_JUDGE_TEMPLATE):
+        if literal:
+            parts.append(O.lit(literal))
+        if field:
+            parts.append(f"CAST({vals[field]} AS VARCHAR)")
+    text = "concat(" + ", ".join(parts) + ")"
+    return ("WITH " + O.outputs_cte() + ", " + O.checks_cte() +
+            f", addr AS (SELECT * FROM (VALUES {addr_rows}) t(scene_id, pa)) "
+            f"SELECT run_seq, length({text}) AS prompt_chars, md5({text}) AS prompt_md5 "
+            "FROM checks JOIN addr USING (scene_id)")
+
+
 _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "a1_consistency_score": (q_a1, sql_a1),
     "a2_consistency_report": (q_a2, sql_a2),
@@ -606,6 +687,9 @@ _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "t21_format_points": (q_t21, sql_t21),
     "t22_entry_counts": (q_t22, sql_t22),
     "t23_address_fidelity": (q_t23, sql_t23),
+    "t18_judge_scores": (q_t18, sql_t18),
+    "j7_assemble_runs": (q_j7, sql_j7),
+    "t17_judge_prompt": (q_t17, sql_t17),
 }
 
 

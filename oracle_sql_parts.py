@@ -155,6 +155,7 @@ def outputs_cte() -> str:
     lines = "string_split(c1, chr(10))"
     return (
         f"outs AS (SELECT event_id AS run_seq, {dict(TD.RUN_BASE)['scene_id']} AS scene_id, "
+        f"{dict(TD.RUN_BASE)['scheme_key']} AS scheme_key, event_id % 97 <> 0 AS success, "
         f"{TD.output_sql()} AS output_content FROM events),\n"
         f"n1 AS (SELECT *, regexp_replace(output_content, {ws}, '', 'g') AS c1 FROM outs),\n"
         f"n2 AS (SELECT *, CASE WHEN starts_with(c1, '```') THEN (CASE WHEN starts_with({lines}[-1], '```') "
@@ -200,7 +201,7 @@ def checks_cte() -> str:
         "CASE WHEN run_arr THEN flatten(list_transform(items, lambda x, i: CASE WHEN json_type(x) <> 'OBJECT' "
         "THEN []::VARCHAR[] ELSE list_filter([" + types + "], lambda s: s IS NOT NULL) END)) "
         "WHEN run_other THEN []::VARCHAR[] END AS t_issues FROM c3x),\n"
-        "checks AS (SELECT run_seq, scene_id, output_content, span, j, json_valid, "
+        "checks AS (SELECT run_seq, scene_id, scheme_key, output_content, span, j, json_valid, "
         "coalesce(has_ti AND ti_type = 'ARRAY' AND json_array_length(j, '$.test_items') > 0, false) AS structure_valid, "
         "checks_run AND len(f_issues) = 0 AS field_names_valid, "
         "checks_run AND len(t_issues) = 0 AS data_types_valid, n_items, correct_items, "

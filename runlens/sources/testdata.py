@@ -168,6 +168,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).selectExpr(
         "event_id AS run_seq",
         dict(RUN_BASE)["scene_id"] + " AS scene_id",
+        dict(RUN_BASE)["scheme_key"] + " AS scheme_key",
         "event_id % 97 <> 0 AS success",
         output_sql() + " AS output_content")
 
@@ -197,3 +198,8 @@ def orthogonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .join(F.broadcast(C.models(spark, orthogonal=True).select("model_key", "model")), "model_key")
                 .join(F.broadcast(C.param_sets(spark, orthogonal=True)), "param_set"))
     return enriched.selectExpr(*[f"{e} AS {n}" for n, e in RUN_FINAL])
+
+
+# Prompt parts per scheme for the judge-prompt query: scheme3 carries a system
+# text, the user text names the scene and its registers.
+PROMPT_SYSTEM_SQL = "CASE WHEN scheme_key = 'scheme3' THEN 'You are a senior test engineer.' ELSE '' END"
