@@ -292,8 +292,16 @@ def q_a12_interaction(spark, sf):
 def sql_a12_interaction():
     cfg = ("cfg AS (SELECT DISTINCT design AS group_id, model_key, scheme_key, temperature FROM plan "
            "WHERE design = 'group4')\n")
-    cols = ", ".join(f"{O.pyr(f'AVG(CASE WHEN model_key = {O.lit(m)} THEN {O.composite_expr()} END)', 2)} "
-                     f"AS {m}_composite" for m, _, _, _ in S.MODELS_ORTHOGONAL)
+    cells = []
+    for m, _, _, _ in S.MODELS_ORTHOGONAL:
+        acc = None
+        for d, _, w in S.DIMENSIONS:
+            mean = (f"(SUM(CASE WHEN model_key = {O.lit(m)} THEN CAST({d} AS DOUBLE) END) / "
+                    f"COUNT(CASE WHEN model_key = {O.lit(m)} THEN {d} END))")
+            t = f"({mean} * {O.dbl(w)})"
+            acc = t if acc is None else f"({acc} + {t})"
+        cells.append(f"{O.pyr(acc, 2)} AS {m}_composite")
+    cols = ", ".join(cells)
     return (O.runs_cte(orthogonal=True) + ", " + O.plan_cte("orthogonal") + ", " + cfg +
             f"SELECT scheme, {cols} FROM runs WHERE (group_id, model_key, scheme_key, temperature) "
             f"IN (SELECT group_id, model_key, scheme_key, temperature FROM cfg) GROUP BY scheme ORDER BY scheme")

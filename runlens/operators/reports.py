@@ -247,10 +247,18 @@ def interaction_table(runs: DataFrame, configs: DataFrame, row_key: str, pivot_k
     """
     on = [c for c in configs.columns if c in runs.columns]
     sel = runs.join(F.broadcast(configs.select(*on).distinct()), on, "left_semi")
-    r = with_composite(sel, "__c")
-    p = (r.groupBy(row_key).pivot(pivot_key, pivot_values)
-         .agg(F.avg("__c")))
-    return p.select(row_key, *[py_round(F.col(v), digits).alias(f"{v}_composite") for v in pivot_values]).orderBy(row_key)
+    # cell value = composite of the cell's dimension means (exact sums, so
+    # the result does not depend on how rows are partitioned)
+    p = (sel.groupBy(row_key).pivot(pivot_key, pivot_values)
+         .agg(*[_mean(d).alias(d) for d in DIMS]))
+    cells = []
+    for v in pivot_values:
+        comp = None
+        for d in DIMS:
+            t = F.col(f"{v}_{d}") * float(S.DIM_WEIGHTS[d])
+            comp = t if comp is None else comp + t
+        cells.append(py_round(comp, digits).alias(f"{v}_composite"))
+    return p.select(row_key, *cells).orderBy(row_key)
 
 
 def with_repeat_idx(runs: DataFrame, keys: list[str] | None = None, chunk: int | None = None) -> DataFrame:
