@@ -251,3 +251,12 @@ def entry_counts_equal(parsed) -> Column:
 def unknown_addresses(output_addrs, prompt_addrs) -> Column:
     """Addresses named in the output that the prompt never names."""
     return F.array_except(_c(output_addrs), _c(prompt_addrs))
+
+
+def canonical_json(parsed) -> Column:
+    """T5: a canonical text of the parsed document (compact, keys sorted).
+
+    Not byte-identical to an indented dump with original key order; the
+    normalised output keeps the span as written for that reason.
+    """
+    return F.to_json(_c(parsed))

@@ -9,8 +9,12 @@ data.  ``seq_rank`` gives the same numbers with bounded tasks:
 2. number rows inside each (key, chunk) -- a window over a bounded group;
 3. count rows per (key, chunk) and turn the counts into offsets with a
    running sum over the small count table;
-4. add the offset (equi-join on key + chunk; both sides are already
-   hash-partitioned on it, so the big side is not shuffled again).
+4. add the offset (equi-join on key + chunk; the big side is already
+   hash-partitioned on it by step 2 and is not shuffled again).
+
+The counts in step 3 come from a second, narrow read (key and ``seq``
+columns only) with map-side partial aggregation, so only
+(#keys x #chunks x #tasks) rows cross that shuffle.
 
 "Last write wins" and "first value" use aggregation (``max_by`` /
 ``min_by``), which Spark combines map-side before the shuffle.
