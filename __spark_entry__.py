@@ -23,6 +23,7 @@ from runlens.operators import reports as R  # noqa: E402
 from runlens.functions import jsoncheck as JC  # noqa: E402
 from runlens.functions import judge as JG  # noqa: E402
 from runlens.operators import assemble as AS  # noqa: E402
+from runlens.operators.balance import spread_for_cpu  # noqa: E402
 from runlens.functions import text as TX  # noqa: E402
 from runlens.plans import design as D  # noqa: E402
 from runlens.sources import config as C  # noqa: E402
@@ -586,7 +587,7 @@ def sql_t23():
 # ---------------------------------------------------------------- judge side
 def q_t18(spark, sf):
     configure(spark)
-    j = TD.judge_replies(spark, sf).select("run_seq", JG.parse_judge_reply("reply").alias("j"))
+    j = spread_for_cpu(TD.judge_replies(spark, sf)).select("run_seq", JG.parse_judge_reply("reply").alias("j"))
     return j.select("run_seq", "j.judge_ok", *[f"j.{d}" for d in DIMS])
 
 

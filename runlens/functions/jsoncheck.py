@@ -68,17 +68,28 @@ def _fmt(template: str, **parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def strict_json_ok(span) -> Column:
-    """T4: ``span`` is exactly one JSON value with nothing after it.
-
-    ``try_parse_json`` alone accepts trailing text; wrapped as an object
-    member and as an array element, trailing text makes one wrapper invalid
-    or the array longer than one.
+def _strict_parse(span) -> tuple[Column, Column]:
+    """(ok, document) for ``span`` under strict parsing.
+
+    ``try_parse_json`` alone accepts trailing text.  The span is parsed
+    wrapped as an object member (``{"v":span}``: rejects anything after a
+    closing bracket) and as an array element (``[span]``: rejects a
+    continuation such as ``,"k":v`` or a second value); only a span that
+    passes both is one JSON value.  The document is taken from the member
+    parse, so each text is parsed twice, not three times.
     """
-    s = _c(span)
+    s = F.col(span) if isinstance(span, str) else span
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
-    as_elem = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), "$", "array<variant>")
-    return F.coalesce((s != "") & as_member.isNotNull() & (F.size(as_elem) == 1), F.lit(False))
+    as_elems = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
+    one_elem = (F.try_variant_get(as_elems, "$[0]", "variant").isNotNull()
+                & F.try_variant_get(as_elems, "$[1]", "variant").isNull())
+    ok = F.coalesce((s != "") & as_member.isNotNull() & one_elem, F.lit(False))
+    return ok, F.when(ok, F.variant_get(as_member, "$.v", "variant"))
+
+
+def strict_json_ok(span) -> Column:
+    """T4: ``span`` is exactly one JSON value with nothing after it."""
+    return _strict_parse(span)[0]
 
 
 def normalize_output(text) -> Column:
@@ -90,9 +101,9 @@ def normalize_output(text) -> Column:
     t = _c(text)
     content = trim_unicode(strip_code_fence(trim_unicode(t)))
     span = json_span(content)
-    ok = strict_json_ok(span)
+    ok, doc = _strict_parse(span)
     return F.struct(F.when(ok, span).otherwise(t).alias("normalized"),
-                    F.when(ok, F.try_parse_json(span)).alias("parsed"),
+                    doc.alias("parsed"),
                     ok.alias("json_valid"))
 
 
@@ -218,12 +229,33 @@ def format_check_columns(df: DataFrame, parsed: str = "parsed", prefix: str = ""
     return out
 
 
+def normalize_columns(df: DataFrame, text: str = "output_content") -> DataFrame:
+    """T1-T6 as staged projections: adds ``normalized``, ``parsed`` (VARIANT)
+    and ``json_valid``.  Each stage reads the previous stage's columns, so
+    the span and each parse are computed once per row (a single nested
+    expression would repeat them in every branch that uses them)."""
+    from runlens.operators.balance import spread_for_cpu
+
+    t = F.col(text)
+    s1 = spread_for_cpu(df).select("*", json_span(trim_unicode(strip_code_fence(trim_unicode(t)))).alias("__span"))
+    span = F.col("__span")
+    s2 = s1.select("*",
+                   F.try_parse_json(F.concat(F.lit('{"v":'), span, F.lit("}"))).alias("__member"),
+                   F.try_parse_json(F.concat(F.lit("["), span, F.lit("]"))).alias("__elems"))
+    one_elem = (F.try_variant_get("__elems", "$[0]", "variant").isNotNull()
+                & F.try_variant_get("__elems", "$[1]", "variant").isNull())
+    ok = F.coalesce((span != "") & F.col("__member").isNotNull() & one_elem, F.lit(False))
+    s3 = s2.select("*", ok.alias("json_valid"))
+    return s3.select(*df.columns,
+                     F.when(F.col("json_valid"), span).otherwise(t).alias("normalized"),
+                     F.when(F.col("json_valid"), F.variant_get("__member", "$.v", "variant")).alias("parsed"),
+                     "json_valid")
+
+
 def check_outputs(df: DataFrame, text: str = "output_content") -> DataFrame:
     """T6 + T7-T12 for a text column: adds ``normalized``, ``parsed``
     (VARIANT) and every check column.  The document is parsed once."""
-    norm = df.select("*", normalize_output(F.col(text)).alias("__norm"))
-    norm = norm.select(*[c for c in df.columns], F.col("__norm.normalized").alias("normalized"),
-                       F.col("__norm.parsed").alias("parsed"))
+    norm = normalize_columns(df, text).drop("json_valid")
     return format_check_columns(norm, "parsed")
 
 

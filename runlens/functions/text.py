@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FENCE = "```"
+# Python's whitespace for str.strip(): every code point with str.isspace()
+# (29 characters, U+3000 among them), derived from the rule, not listed.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
 def _c(c) -> Column:
@@ -13,9 +16,10 @@ def _c(c) -> Column:
 
 
 def trim_unicode(c) -> Column:
-    """Strip leading/trailing Unicode whitespace (U+3000 included);
-    ``trim`` only strips spaces."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """``str.strip()`` -- remove Python-whitespace characters from both
+    ends (U+3000 included; plain ``trim`` only strips spaces).  ``btrim``
+    with the character set: no regex."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def strip_code_fence(c) -> Column:
@@ -33,12 +37,13 @@ def strip_code_fence(c) -> Column:
 def outer_span(c, open_ch: str, close_ch: str) -> Column:
     """From the first ``open_ch`` to the last ``close_ch`` after it (the greedy
     regex ``\\{[\\s\\S]*\\}``), or ``''`` when there is none.  Position
-    arithmetic instead of a regex: one scan each way."""
+    arithmetic instead of a regex (``substring_index`` searches from the end)."""
     x = _c(c)
     i = F.instr(x, open_ch)
-    r = F.instr(F.reverse(x), close_ch)
-    j = F.length(x) - r + 1
-    return F.when((i > 0) & (r > 0) & (j > i), F.substring(x, i, j - i + 1)).otherwise(F.lit(""))
+    after_last = F.length(F.substring_index(x, close_ch, -1))   # chars after the last close
+    j = F.length(x) - after_last                                 # position of the last close
+    found = (i > 0) & (F.instr(x, close_ch) > 0) & (j > i)
+    return F.when(found, F.substring(x, i, j - i + 1)).otherwise(F.lit(""))
 
 
 def json_span(c) -> Column:

@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens import schemas as S
-from runlens.functions.jsoncheck import normalize_output
+from runlens.functions.jsoncheck import normalize_columns
+from runlens.operators.balance import spread_for_cpu
 from runlens.functions.judge import parse_judge_reply
 
 
 def assemble_runs(outputs: DataFrame, judgements: DataFrame, key: str = "run_seq") -> DataFrame:
     """outputs(key, success, output_content, ...) + judgements(key, reply)
     -> run rows with ``json_valid``, ``judge_ok``, the six scores and note."""
-    parsed = judgements.select(key, parse_judge_reply("reply").alias("__j"))
-    # normalise in its own projection: the struct is read twice below
-    normed = outputs.select("*", normalize_output(F.col("output_content")).alias("__n"))
+    # parse each side where it is read (scan tasks; spread when the input is
+    # one small split), then join the parsed rows on the unique key
+    parsed = spread_for_cpu(judgements).select(key, parse_judge_reply("reply").alias("__j"))
+    normed = normalize_columns(outputs, "output_content").select(
+        *[c for c in outputs.columns if c != "output_content"],
+        F.struct("normalized", "json_valid").alias("__n"))
     j = normed.join(parsed, key, "left")
     ok = F.col("success")
     norm = F.col("__n")
