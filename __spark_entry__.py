@@ -179,8 +179,8 @@ def _orth_plan(spark):
 
 
 def _group_configs(spark, group):
-    p = _orth_plan(spark).where(F.col("design") == group)
-    return p.select(F.col("design").alias("group_id"), "model_key", "scheme_key", "temperature").distinct()
+    """The configurations of one orthogonal design group (driver-side list)."""
+    return D.configurations(next(d for d in D.orthogonal_designs() if d.name == group))
 
 
 def q_a9(spark, sf):
@@ -565,7 +565,7 @@ def sql_t22():
 
 def q_t23(spark, sf):
     configure(spark)
-    o = TD.outputs(spark, sf).join(F.broadcast(C.scene_addresses(spark)), "scene_id")
+    o = TD.outputs(spark, sf).withColumn("prompt_addresses", C.lookup("scene_id", S.SCENE_ADDRESSES))
     found = TX.hex_addresses("output_content")
     unknown = F.array_sort(JC.unknown_addresses(found, F.col("prompt_addresses")))
     return o.select("run_seq", F.size(found).alias("n_addresses"), F.size(unknown).alias("n_unknown"),
@@ -631,7 +631,7 @@ def _user_prompt_spark():
 
 
 def q_t17(spark, sf):
-    c = _checked(spark, sf).join(F.broadcast(C.scene_addresses(spark)), "scene_id")
+    c = _checked(spark, sf).withColumn("prompt_addresses", C.lookup("scene_id", S.SCENE_ADDRESSES))
     prompt = TX.prompt_text(F.expr(TD.PROMPT_SYSTEM_SQL), _user_prompt_spark())
     checks = {k: F.col(k) for k in JG.TEMPLATE_FIELDS[2:]}
     text = JG.judge_prompt(JG.DEFAULT_JUDGE_TEMPLATE, prompt, F.col("normalized"), checks)

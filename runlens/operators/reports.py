@@ -230,23 +230,31 @@ def best_vs_baseline(best: DataFrame, baseline: DataFrame) -> DataFrame:
                     py_round(F.col("best_mean") - F.col("manual"), 1).alias("diff"))
 
 
-def factor_effect(runs: DataFrame, configs: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
-    """Restrict runs to a design group's configurations (a left-semi
-    join against the configuration-sized design table, broadcast), then
-    composite and dimension statistics by the varied factor."""
+def _restrict(runs: DataFrame, configs) -> DataFrame:
+    """Rows of a design group's configurations: a filter when the
+    configurations are a driver-side list, else a left-semi join against the
+    (configuration-sized, broadcast) DataFrame of them."""
+    if isinstance(configs, list):
+        from runlens.plans.design import config_filter
+
+        return runs.where(config_filter(configs))
     on = [c for c in configs.columns if c in runs.columns]
-    sel = runs.join(F.broadcast(configs.select(*on).distinct()), on, "left_semi")
-    return composite_by_config(sel, keys, digits).orderBy(*keys)
+    return runs.join(F.broadcast(configs.select(*on).distinct()), on, "left_semi")
 
 
-def interaction_table(runs: DataFrame, configs: DataFrame, row_key: str, pivot_key: str,
+def factor_effect(runs: DataFrame, configs, keys: list[str], digits: int = 2) -> DataFrame:
+    """Restrict runs to a design group's configurations, then composite
+    and dimension statistics by the varied factor."""
+    return composite_by_config(_restrict(runs, configs), keys, digits).orderBy(*keys)
+
+
+def interaction_table(runs: DataFrame, configs, row_key: str, pivot_key: str,
                       pivot_values: list[str], digits: int = 2) -> DataFrame:
     """A12 (group 4): composite mean in a ``row_key`` x ``pivot_key`` grid.
 
     Pivot values are passed explicitly, so no extra job collects them.
     """
-    on = [c for c in configs.columns if c in runs.columns]
-    sel = runs.join(F.broadcast(configs.select(*on).distinct()), on, "left_semi")
+    sel = _restrict(runs, configs)
     # cell value = composite of the cell's dimension means (exact sums, so
     # the result does not depend on how rows are partitioned)
     p = (sel.groupBy(row_key).pivot(pivot_key, pivot_values)

@@ -192,3 +192,38 @@ def distinct_configurations(plan_df: DataFrame) -> DataFrame:
 
 def plan_size(designs: list[Design]) -> int:
     return sum(d.size for d in designs if d.enabled)
+
+
+def configurations(d: Design) -> list[dict]:
+    """Distinct configurations (model_key, scheme_key, temperature) of one
+    design, enumerated on the driver from its factors (no data involved)."""
+    if any(f.name == "combo" for f in d.factors):
+        rows = [{"model_key": m, "scheme_key": s, "temperature": float(t)} for m, s, t in S.GROUP4]
+    else:
+        rows = [dict(d.fixed)]
+        for f in d.factors:
+            rows = [{**r, f.name: v} for r in rows for v in f.values]
+        rows = [{k: (float(v) if k == "temperature" else v) for k, v in r.items()
+                 if k in ("model_key", "scheme_key", "temperature")} for r in rows]
+    out, seen = [], set()
+    for r in rows:
+        key = tuple(sorted(r.items()))
+        if key not in seen:
+            seen.add(key)
+            out.append({"group_id": d.name, **r})
+    return out
+
+
+def config_filter(configs: list[dict]) -> Column:
+    """A predicate selecting rows of the given configurations (an OR of
+    equalities: evaluated in the scan stage, before any shuffle)."""
+    if len(configs) > MAX_PLAN_ROWS:
+        raise ValueError("too many configurations for a filter")
+    cond = None
+    for c in configs:
+        conj = None
+        for k, v in c.items():
+            e = F.col(k) == F.lit(v)
+            conj = e if conj is None else conj & e
+        cond = conj if cond is None else cond | conj
+    return cond if cond is not None else F.lit(False)

@@ -120,3 +120,42 @@ def scenes_from_files(spark: SparkSession, paths: list[str], key_by_file: bool =
 def dims_broadcast(df: DataFrame) -> DataFrame:
     """Mark a configuration-sized table for broadcast."""
     return F.broadcast(df)
+
+
+# ---------------------------------------------------------------------------
+# J4-J6 lookups.  A dimension held as driver-side configuration (a few rows)
+# becomes a literal map inside the expression: no exchange, no extra job.
+# A dimension that is a DataFrame (e.g. read from files) is joined with a
+# broadcast after its row count is checked against MAX_DIMENSION_ROWS.
+
+def lookup(key, pairs) -> "F.Column":
+    """Value for ``key`` in a configuration mapping (NULL when absent)."""
+    items = list(pairs.items()) if isinstance(pairs, dict) else list(pairs)
+    if len(items) > MAX_DIMENSION_ROWS:
+        raise ValueError("mapping too large for a literal lookup")
+    m = F.create_map(*[F.lit(x) for kv in items for x in kv])
+    k = F.col(key) if isinstance(key, str) else key
+    return m[k]
+
+
+def join_dimension(df: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """Join a dimension table after proving it small enough to broadcast."""
+    n = dim.count()
+    if n > MAX_DIMENSION_ROWS:
+        return df.join(dim, on, how)
+    return df.join(F.broadcast(dim), on, how)
+
+
+def enrich_from_config(base: DataFrame, orthogonal: bool = False) -> DataFrame:
+    """J4-J6 for run rows keyed by scene_id / scheme_key / model_key /
+    param_set: scene name, scheme name, model name, temperature, top_p."""
+    models_ = S.MODELS_ORTHOGONAL if orthogonal else S.MODELS
+    psets = S.PARAM_SETS_ORTHOGONAL if orthogonal else S.PARAM_SETS
+    return base.select(
+        "*",
+        lookup("scene_id", S.SCENES).alias("scene_name"),
+        lookup("scheme_key", S.SCHEMES).alias("scheme"),
+        lookup("model_key", [(k, n) for k, n, _, _ in models_]).alias("model"),
+        lookup("param_set", [(p, float(t)) for p, t, _ in psets]).alias("temperature"),
+        lookup("param_set", [(p, float(tp)) for p, _, tp in psets]).alias("top_p"),
+    )

@@ -150,17 +150,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run table (without ``repeat_idx``; add it with ``with_repeat_idx``).
 
-    Dimension lookups (J4-J6) are broadcast joins against configuration-sized
-    tables; Catalyst prunes every column a report does not read down to the
-    parquet scan.
+    Dimension lookups (J4-J6) are literal-map lookups of the configuration;
+    Catalyst prunes every column a report does not read down to the parquet
+    scan.
     """
     base = events(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in RUN_BASE])
-    enriched = (base
-                .join(F.broadcast(C.scenes(spark)), "scene_id")
-                .join(F.broadcast(C.schemes(spark).drop("scheme_order")), "scheme_key")
-                .join(F.broadcast(C.models(spark).select("model_key", "model")), "model_key")
-                .join(F.broadcast(C.param_sets(spark)), "param_set"))
-    return enriched.selectExpr(*[f"{e} AS {n}" for n, e in RUN_FINAL])
+    return C.enrich_from_config(base).selectExpr(*[f"{e} AS {n}" for n, e in RUN_FINAL])
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,12 +187,7 @@ def orthogonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     (temperature 0.0-1.2), orthogonal model names, group from the event id."""
     base_exprs = [(n, ORTHOGONAL_PARAM_SET if n == "param_set" else e) for n, e in RUN_BASE]
     base = events(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in base_exprs])
-    enriched = (base
-                .join(F.broadcast(C.scenes(spark)), "scene_id")
-                .join(F.broadcast(C.schemes(spark).drop("scheme_order")), "scheme_key")
-                .join(F.broadcast(C.models(spark, orthogonal=True).select("model_key", "model")), "model_key")
-                .join(F.broadcast(C.param_sets(spark, orthogonal=True)), "param_set"))
-    return enriched.selectExpr(*[f"{e} AS {n}" for n, e in RUN_FINAL])
+    return C.enrich_from_config(base, orthogonal=True).selectExpr(*[f"{e} AS {n}" for n, e in RUN_FINAL])
 
 
 # Prompt parts per scheme for the judge-prompt query: scheme3 carries a system

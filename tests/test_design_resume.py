@@ -68,3 +68,25 @@ def test_sheet_name(spark):
 
     df = spark.createDataFrame([("abcdefghij/klmnopqrstuvwxy",)], "s string")
     assert df.select(sheet_name("s")).first()[0] == "abcdefghij_klmnopqrs"
+
+
+def test_configurations_from_designs():
+    got = {d.name: len(D.configurations(d)) for d in D.orthogonal_designs()}
+    assert got == {"group1": 10, "group2": 6, "group3": 6, "group4": 6}
+    allc = {(c["model_key"], c["scheme_key"], c["temperature"])
+            for d in D.orthogonal_designs() for c in D.configurations(d)}
+    assert len(allc) == 18
+    assert sum(got.values()) == 28  # the configuration comment counts overlaps
+
+
+def test_config_filter_equals_semi_join(spark):
+    from runlens.operators.reports import _restrict
+    from runlens.sources import testdata as TD
+    from conftest import SF_SMALL
+
+    runs = TD.orthogonal_runs(spark, SF_SMALL)
+    g2 = next(d for d in D.orthogonal_designs() if d.name == "group2")
+    cfg_df = spark.createDataFrame(D.configurations(g2))
+    a = _restrict(runs, D.configurations(g2)).select("run_seq")
+    b = _restrict(runs, cfg_df).select("run_seq")
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
