@@ -662,6 +662,54 @@ def sql_t17():
             "FROM checks JOIN addr USING (scene_id)")
 
 
+
+# ------------------------------------------------- whole-document outputs
+def q_t7_documents(spark, sf):
+    configure(spark)
+    c = JC.check_outputs(TD.document_outputs(spark, sf), "output_content")
+    return c.select("run_seq", *CHECK_COLS, JC.entry_counts_equal("parsed").alias("entry_counts_equal"))
+
+
+def sql_t7_documents():
+    src = ("SELECT doc_id AS run_seq, NULL AS scene_id, NULL AS scheme_key, true AS success, "
+           f"{TD.document_output_sql('duckdb')} AS output_content FROM documents")
+    arr = lambda f: f"(CASE WHEN json_type(x, '$.{f}') = 'ARRAY' THEN json_array_length(x, '$.{f}') END)"
+    same = f"coalesce({arr('methods')} = {arr('requirements')} AND {arr('requirements')} = {arr('criteria')}, false)"
+    return ("WITH " + O.outputs_cte(src) + ", " + O.checks_cte() +
+            f"SELECT run_seq, {', '.join(CHECK_COLS)}, "
+            "CASE WHEN json_type(j, '$.test_items') = 'ARRAY' AND json_array_length(j, '$.test_items') > 0 "
+            f"THEN list_bool_and(list_transform(json_extract(j, '$.test_items[*]'), lambda x: {same})) END "
+            "AS entry_counts_equal FROM checks")
+
+
+# ------------------------------------------------ prompts and message lists
+def q_t16(spark, sf):
+    """T15 + T16 over conversations: the system turn (if any) and the first
+    user turn of each conversation form the prompt and the message list."""
+    conv = spark.read.parquet(f"{sf}/conversations.parquet")
+    g = conv.groupBy("conv_id").agg(
+        F.min_by(F.when(F.col("role") == "system", F.col("text")),
+                 F.when(F.col("role") == "system", F.col("turn"))).alias("system"),
+        F.min_by(F.when(F.col("role") == "user", F.col("text")),
+                 F.when(F.col("role") == "user", F.col("turn"))).alias("user"))
+    msgs = TX.chat_messages("system", "user")
+    return g.select("conv_id", F.size(msgs).alias("n_messages"),
+                    F.array_join(F.transform(msgs, lambda m: m["role"]), ",").alias("roles"),
+                    F.length(TX.prompt_text("system", "user")).alias("prompt_chars"))
+
+
+def sql_t16():
+    from runlens.functions.text import PY_WHITESPACE
+
+    ws = O.lit(PY_WHITESPACE)
+    return ("WITH g AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS system, "
+            "arg_min(text, turn) FILTER (WHERE role = 'user') AS \"user\" FROM conversations GROUP BY conv_id) "
+            "SELECT conv_id, CASE WHEN length(coalesce(system, '')) > 0 THEN 2 ELSE 1 END AS n_messages, "
+            "CASE WHEN length(coalesce(system, '')) > 0 THEN 'system,user' ELSE 'user' END AS roles, "
+            f"length(trim(concat(coalesce(system, ''), chr(10), coalesce(\"user\", '')), {ws})) AS prompt_chars "
+            "FROM g")
+
+
 _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "a1_consistency_score": (q_a1, sql_a1),
     "a2_consistency_report": (q_a2, sql_a2),
@@ -699,6 +747,8 @@ _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "t18_judge_scores": (q_t18, sql_t18),
     "j7_assemble_runs": (q_j7, sql_j7),
     "t17_judge_prompt": (q_t17, sql_t17),
+    "t7_format_check_documents": (q_t7_documents, sql_t7_documents),
+    "t16_chat_messages": (q_t16, sql_t16),
 }
 
 

@@ -149,19 +149,27 @@ def plan_cte(kind: str) -> str:
     return f"plan AS {values(plan_rows_python(kind), PLAN_COLS)}\n"
 
 
-def outputs_cte() -> str:
-    """Model outputs per run, normalised and parsed the reference way."""
-    ws = "'^[\\s　]+|[\\s　]+$'"
+def outputs_cte(source: str | None = None) -> str:
+    """Model outputs per run, normalised and parsed the reference way.
+
+    ``source`` is a SELECT giving run_seq, scene_id, scheme_key, success,
+    output_content; by default the outputs derived from ``events``.
+    """
+    from runlens.functions.text import PY_WHITESPACE
+
+    ws = lit(PY_WHITESPACE)
     lines = "string_split(c1, chr(10))"
-    return (
-        f"outs AS (SELECT event_id AS run_seq, {dict(TD.RUN_BASE)['scene_id']} AS scene_id, "
+    src = source or (
+        f"SELECT event_id AS run_seq, {dict(TD.RUN_BASE)['scene_id']} AS scene_id, "
         f"{dict(TD.RUN_BASE)['scheme_key']} AS scheme_key, event_id % 97 <> 0 AS success, "
-        f"{TD.output_sql()} AS output_content FROM events),\n"
-        f"n1 AS (SELECT *, regexp_replace(output_content, {ws}, '', 'g') AS c1 FROM outs),\n"
+        f"{TD.output_sql()} AS output_content FROM events")
+    return (
+        f"outs AS ({src}),\n"
+        f"n1 AS (SELECT *, trim(output_content, {ws}) AS c1 FROM outs),\n"
         f"n2 AS (SELECT *, CASE WHEN starts_with(c1, '```') THEN (CASE WHEN starts_with({lines}[-1], '```') "
         f"THEN array_to_string(list_slice({lines}, 2, len({lines}) - 1), chr(10)) "
         f"ELSE array_to_string(list_slice({lines}, 2, len({lines})), chr(10)) END) ELSE c1 END AS c2 FROM n1),\n"
-        f"n3 AS (SELECT *, regexp_replace(c2, {ws}, '', 'g') AS c3 FROM n2),\n"
+        f"n3 AS (SELECT *, trim(c2, {ws}) AS c3 FROM n2),\n"
         "n4 AS (SELECT *, CASE WHEN starts_with(c3, '[') THEN regexp_extract(c3, '\\[[\\s\\S]*\\]', 0) "
         "ELSE regexp_extract(c3, '\\{[\\s\\S]*\\}', 0) END AS span FROM n3),\n"
         "n5 AS (SELECT *, coalesce(span <> '' AND json_valid(span), false) AS json_valid FROM n4),\n"

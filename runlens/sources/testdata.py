@@ -193,3 +193,34 @@ def orthogonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Prompt parts per scheme for the judge-prompt query: scheme3 carries a system
 # text, the user text names the scene and its registers.
 PROMPT_SYSTEM_SQL = "CASE WHEN scheme_key = 'scheme3' THEN 'You are a senior test engineer.' ELSE '' END"
+
+
+# Model outputs built from whole ``documents`` texts: every line of a document
+# becomes a list entry (quotes, tabs and CRs blanked so lines are JSON-safe),
+# in shapes chosen by the document id -- fenced, plain, truncated, wrapped.
+def document_output_sql(dialect: str = "spark") -> str:
+    """Portable SQL for one output text per document; ``dialect`` only picks
+    the names of the two list functions."""
+    clean = """translate(text, '"' || chr(9) || chr(13), '   ')"""
+    if dialect == "duckdb":
+        lines = f"string_split({clean}, chr(10))"
+        join, short = "array_to_string", f"list_slice({lines}, 1, greatest(len({lines}) - 1, 1))"
+    else:
+        lines = f"split({clean}, chr(10))"
+        join, short = "array_join", f"slice({lines}, 1, greatest(size({lines}) - 1, 1))"
+    q = "'\"'"
+    full = f"concat('[', {q}, {join}({lines}, '\",\"'), {q}, ']')"
+    part = f"concat('[', {q}, {join}({short}, '\",\"'), {q}, ']')"
+    crit = f"CASE WHEN doc_id % 3 = 0 THEN {part} ELSE {full} END"
+    obj = ("concat('{\"test_items\":[{\"name\":\"document ', CAST(doc_id AS STRING), "
+           f"'\",\"methods\":', {full}, ',\"requirements\":', {full}, ',\"criteria\":', {crit}, '}}]}}')")
+    return (f"CASE WHEN doc_id % 4 = 0 THEN concat('```json', chr(10), {obj}, chr(10), '```') "
+            f"WHEN doc_id % 4 = 1 THEN {obj} "
+            f"WHEN doc_id % 4 = 2 THEN substring({obj}, 1, length({obj}) - 1) "
+            f"ELSE concat('Here are the items:', chr(10), {obj}, chr(10), 'End.') END")
+
+
+def document_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_seq = doc_id, output_content) built from whole document texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.selectExpr("doc_id AS run_seq", document_output_sql() + " AS output_content")
