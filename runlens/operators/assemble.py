@@ -40,3 +40,21 @@ def assemble_runs(outputs: DataFrame, judgements: DataFrame, key: str = "run_seq
         F.when(ok, F.col("__j.score_note")).alias("score_note"),
     )
     return out
+
+
+def with_prompts(runs: DataFrame, scheme_prompts: DataFrame) -> DataFrame:
+    """J6 + T15 + T16: attach each run's prompt (system + user text of its
+    scene and scheme), the prompt text as sent and the message list.
+
+    ``scheme_prompts(scene_id, scheme_key, system, user, ...)`` is a
+    configuration table (one row per scene and scheme); it is broadcast after
+    its size is checked.
+    """
+    from runlens.functions.text import chat_messages, prompt_text
+    from runlens.sources.config import join_dimension
+
+    p = scheme_prompts.select("scene_id", "scheme_key", "system", "user")
+    j = join_dimension(runs, p, ["scene_id", "scheme_key"], "left")
+    return (j.withColumn("input_prompt", prompt_text("system", "user"))
+            .withColumn("messages", chat_messages("system", "user"))
+            .drop("system", "user"))

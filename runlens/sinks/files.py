@@ -85,12 +85,16 @@ def write_reports(runs: DataFrame, out_dir: str, fmt: str = "csv") -> dict[str,
         "param_sensitivity": R.sensitivity(base),
         "overall_statistics": R.overall_statistics(base),
     }
+    # aggregate reports have one row per configuration: one file each; the
+    # detail table has one row per run and keeps the full parallelism
+    per_run = {"detail"}
     written = {}
     for name, df in tables.items():
         if name == "consistency_report" and df.isEmpty():
             continue
         p = f"{out_dir.rstrip('/')}/{name}"
-        (export_csv(df.coalesce(1), p) if fmt == "csv" else df.write.mode("overwrite").parquet(p))
+        out = df if name in per_run else df.coalesce(1)
+        (export_csv(out, p) if fmt == "csv" else out.write.mode("overwrite").parquet(p))
         written[name] = p
     sheets = R.detail(base).withColumn("scene_sheet", R.sheet_name("scene_name"))
     p = f"{out_dir.rstrip('/')}/scene_sheets"
