@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 
 
 def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    if df.isStreaming:          # micro-batches: the source decides the split
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
