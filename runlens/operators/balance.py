@@ -17,7 +17,11 @@ from pyspark.sql import DataFrame
 def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.isStreaming:          # micro-batches: the source decides the split
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- e.g. Spark Connect: no RDD view, keep the plan
+        return df
+    if current >= target:
         return df
     return df.repartition(target)
