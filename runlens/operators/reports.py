@@ -58,104 +58,206 @@ def _std(c: str) -> Column:
     return F.stddev_samp(F.col(c).cast("double"))
 
 
-def consistency_report(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """A1 + A2: consistency of repeated runs per configuration (groups of n > 1).
-
-    Columns: keys, n, consistency, and per dimension ``<d>_mean``,
-    ``<d>_std`` (sample), ``<d>_cv`` (sample std / mean * 100, 0 when the
-    dimension sums to 0), all rounded to 1 decimal.
-    """
-    keys = keys or GROUP4_KEYS
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for d in DIMS:
-        aggs += [F.sum(d).alias(f"__s_{d}"), _mean(d).alias(f"__m_{d}"),
-                 F.stddev_samp(d).alias(f"__sd_{d}"), F.stddev_pop(d).alias(f"__sp_{d}")]
-    g = (_nonnull(runs, keys).groupBy(*keys).agg(*aggs).where(F.col("n") > 1))
-    cons = consistency_from_moments(F.col("n"), [F.col(f"__m_{d}") for d in DIMS],
+# ---------------------------------------------------------------------------
+# Raw aggregates shared by the exploratory reports.  Each report names the raw
+# aggregates it needs and finishes them with a projection; ``report_tables``
+# computes the union once over grouping sets.
+
+def _raw(name: str) -> Column:
+    """One raw aggregate by its internal name (``__<kind>_<column>``)."""
+    if name == "__n":
+        return F.count(F.lit(1))
+    if name == "__first_temperature":
+        return first_by("temperature", "run_seq")
+    if name == "__first_top_p":
+        return first_by("top_p", "run_seq")
+    kind, c = name[2:].split("_", 1)
+    if kind == "s":
+        return F.sum(c)
+    if kind == "m":
+        return _mean(c)
+    if kind == "sd":
+        return _std(c)
+    if kind == "sp":
+        return F.stddev_pop(F.col(c).cast("double"))
+    if kind == "max":
+        return F.max(c)
+    if kind == "min":
+        return F.min(c)
+    if kind == "tot":
+        return (F.sum(F.col(c).cast(TIME_DECIMAL)) if c == TIME_COL else F.sum(c))
+    raise KeyError(name)
+
+
+def _aggregate(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    return _nonnull(df, keys).groupBy(*keys).agg(*[_raw(n).alias(n) for n in names])
+
+
+_CONSISTENCY_RAW = ["__n", *[f"__{k}_{d}" for d in DIMS for k in ("s", "m", "sd", "sp")]]
+
+
+def _consistency_finish(g: DataFrame, keys: list[str]) -> DataFrame:
+    g = g.where(F.col("__n") > 1)
+    cons = consistency_from_moments(F.col("__n"), [F.col(f"__m_{d}") for d in DIMS],
                                     [F.col(f"__sp_{d}") for d in DIMS])
-    raw = [*keys, "n", cons.alias("__cons")]
+    raw = [*keys, "__n", cons.alias("__cons")]
     for d in DIMS:
         m, sd, s = F.col(f"__m_{d}"), F.col(f"__sd_{d}"), F.col(f"__s_{d}")
         raw += [m, sd, F.when(s > 0, sd / m * 100.0).alias(f"__cv_{d}")]
     # rounding reads plain columns of a separate projection (small generated code)
-    cols = [*keys, "n", py_round("__cons", 1).alias("consistency")]
+    cols = [*keys, F.col("__n").alias("n"), py_round("__cons", 1).alias("consistency")]
     for d in DIMS:
         cols += [py_round(f"__m_{d}", 1).alias(f"{d}_mean"), py_round(f"__sd_{d}", 1).alias(f"{d}_std"),
                  F.coalesce(py_round(f"__cv_{d}", 1), F.lit(0.0)).alias(f"{d}_cv")]
     return g.select(*raw).select(*cols).orderBy(*keys)
 
 
+def consistency_report(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A1 + A2: consistency of repeated runs per configuration (groups of n > 1).
+
+    Columns: keys, n, consistency, and per dimension ``<d>_mean``,
+    ``<d>_std`` (sample), ``<d>_cv`` (sample std / mean * 100, 0 when the
+    dimension sums to 0), all rounded to 1 decimal.
+    """
+    keys = keys or GROUP4_KEYS
+    return _consistency_finish(_aggregate(runs, keys, _CONSISTENCY_RAW), keys)
+
+
 def consistency_scores(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A1 alone, for every group (100 for groups of one run), 1 decimal."""
     keys = keys or GROUP4_KEYS
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for d in DIMS:
-        aggs += [_mean(d).alias(f"__m_{d}"), F.stddev_pop(d).alias(f"__sp_{d}")]
-    g = _nonnull(runs, keys).groupBy(*keys).agg(*aggs)
-    cons = consistency_from_moments(F.col("n"), [F.col(f"__m_{d}") for d in DIMS],
+    g = _aggregate(runs, keys, ["__n", *[f"__{k}_{d}" for d in DIMS for k in ("m", "sp")]])
+    cons = consistency_from_moments(F.col("__n"), [F.col(f"__m_{d}") for d in DIMS],
                                     [F.col(f"__sp_{d}") for d in DIMS])
-    return g.select(*keys, "n", cons.alias("__cons")).select(
+    return g.select(*keys, F.col("__n").alias("n"), cons.alias("__cons")).select(
         *keys, "n", py_round("__cons", 1).alias("consistency")).orderBy(*keys)
 
 
+_SUMMARY_COLS = DIMS + TOKENS + [TIME_COL]
+_SUMMARY_RAW = [f"__{k}_{c}" for c in _SUMMARY_COLS for k in ("m", "sd")]
+
+
+def _summary_finish(g: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
+    cols = []
+    for c in _SUMMARY_COLS:
+        cols += [np_round(f"__m_{c}", digits).alias(f"{c}_mean"), np_round(f"__sd_{c}", digits).alias(f"{c}_std")]
+    return g.select(*keys, *cols).orderBy(*keys)
+
+
 def summary_statistics(runs: DataFrame, keys: list[str] | None = None, digits: int = 2) -> DataFrame:
     """A3: mean and sample std of the dimensions, tokens and time per configuration."""
     keys = keys or GROUP4_KEYS
-    cols = DIMS + TOKENS + [TIME_COL]
-    aggs = []
-    for c in cols:
-        aggs += [np_round(_mean(c), digits).alias(f"{c}_mean"),
-                 np_round(_std(c), digits).alias(f"{c}_std")]
-    return _nonnull(runs, keys).groupBy(*keys).agg(*aggs).orderBy(*keys)
+    return _summary_finish(_aggregate(runs, keys, _SUMMARY_RAW), keys, digits)
+
+
+_MAIN_RAW = [f"__{k}_{d}" for d in DIMS for k in ("m", "sd")] + [f"__m_{c}" for c in TOKENS + [TIME_COL]]
+
+
+def _main_finish(g: DataFrame, digits: int = 2) -> DataFrame:
+    cols = []
+    for d in DIMS:
+        cols += [np_round(f"__m_{d}", digits).alias(f"{d}_mean"), np_round(f"__sd_{d}", digits).alias(f"{d}_std")]
+    cols += [np_round(f"__m_{c}", digits).alias(f"{c}_mean") for c in TOKENS + [TIME_COL]]
+    return g.select(*MAIN_KEYS, *cols).orderBy(*MAIN_KEYS)
 
 
 def main_results(runs: DataFrame, param_set: str = "P1", digits: int = 2) -> DataFrame:
     """A4: main-experiment rows (one parameter set) by scene, model, scheme."""
-    aggs = []
-    for d in DIMS:
-        aggs += [np_round(_mean(d), digits).alias(f"{d}_mean"),
-                 np_round(_std(d), digits).alias(f"{d}_std")]
-    aggs += [np_round(_mean(c), digits).alias(f"{c}_mean") for c in TOKENS + [TIME_COL]]
-    return (_nonnull(runs.where(F.col("param_set") == param_set), MAIN_KEYS)
-            .groupBy(*MAIN_KEYS).agg(*aggs).orderBy(*MAIN_KEYS))
+    return _main_finish(_aggregate(runs.where(F.col("param_set") == param_set), MAIN_KEYS, _MAIN_RAW), digits)
+
 
+_SHEET_RAW = (["__first_temperature", "__first_top_p", "__n"]
+              + [f"__{k}_{d}" for d in DIMS for k in ("m", "sd")]
+              + [f"__m_{c}" for c in TOKENS + [TIME_COL]])
 
-def _sheet_aggs() -> list[Column]:
-    aggs = [first_by("temperature", "run_seq").alias("temperature"),
-            first_by("top_p", "run_seq").alias("top_p"),
-            F.count(F.lit(1)).alias("n")]
+
+def _sheet_finish(g: DataFrame, keys: list[str]) -> DataFrame:
+    cols = [F.col("__first_temperature").alias("temperature"), F.col("__first_top_p").alias("top_p"),
+            F.col("__n").alias("n")]
     for d in DIMS:
-        aggs += [py_round(_mean(d), 1).alias(f"{d}_mean"), py_round(_std(d), 1).alias(f"{d}_std")]
-    aggs += [py_round(_mean(c), 0).cast("bigint").alias(f"{c}_mean") for c in TOKENS]
-    aggs.append(py_round(_mean(TIME_COL), 1).alias(f"{TIME_COL}_mean"))
-    return aggs
+        cols += [py_round(f"__m_{d}", 1).alias(f"{d}_mean"), py_round(f"__sd_{d}", 1).alias(f"{d}_std")]
+    cols += [py_round(f"__m_{c}", 0).cast("bigint").alias(f"{c}_mean") for c in TOKENS]
+    cols.append(py_round(f"__m_{TIME_COL}", 1).alias(f"{TIME_COL}_mean"))
+    return g.select(*keys, *cols).orderBy(*keys)
 
 
 def main_summary(runs: DataFrame, param_set: str = "P1") -> DataFrame:
     """A5: main-experiment sheet -- first temperature/top_p, n, dims 1 dp,
     tokens 0 dp, time 1 dp -- by scene, model, scheme."""
-    p1 = _nonnull(runs.where(F.col("param_set") == param_set), MAIN_KEYS)
-    return p1.groupBy(*MAIN_KEYS).agg(*_sheet_aggs()).orderBy(*MAIN_KEYS)
+    return _sheet_finish(_aggregate(runs.where(F.col("param_set") == param_set), MAIN_KEYS, _SHEET_RAW),
+                         MAIN_KEYS)
+
+
+SENSITIVITY_KEYS = ["model", "param_set"]
 
 
 def sensitivity(runs: DataFrame) -> DataFrame:
     """Parameter sensitivity by model and parameter set (all rows)."""
-    keys = ["model", "param_set"]
-    return _nonnull(runs, keys).groupBy(*keys).agg(*_sheet_aggs()).orderBy(*keys)
+    return _sheet_finish(_aggregate(runs, SENSITIVITY_KEYS, _SHEET_RAW), SENSITIVITY_KEYS)
+
+
+OVERALL_KEYS = ["model", "scene_name", "scheme"]
+_OVERALL_RAW = (["__n", *[f"__tot_{c}" for c in TOKENS + [TIME_COL]]]
+                + [f"__{k}_{d}" for d in DIMS for k in ("m", "max", "min")])
+
+
+def _overall_finish(g: DataFrame) -> DataFrame:
+    cols = [F.col("__n").alias("n"), *[F.col(f"__tot_{c}").alias(f"{c}_sum") for c in TOKENS],
+            F.bround(f"__tot_{TIME_COL}", 1).cast("double").alias(f"{TIME_COL}_sum")]
+    for d in DIMS:
+        cols += [py_round(f"__m_{d}", 1).alias(f"{d}_mean"), py_round(f"__max_{d}", 1).alias(f"{d}_max"),
+                 py_round(f"__min_{d}", 1).alias(f"{d}_min")]
+    return g.select(*OVERALL_KEYS, *cols).orderBy(*OVERALL_KEYS)
 
 
 def overall_statistics(runs: DataFrame) -> DataFrame:
     """Totals and per-dimension mean / max / min by model, scene, scheme."""
-    keys = ["model", "scene_name", "scheme"]
-    aggs = [F.count(F.lit(1)).alias("n"),
-            F.sum("input_tokens").alias("input_tokens_sum"),
-            F.sum("output_tokens").alias("output_tokens_sum"),
-            F.bround(F.sum(F.col(TIME_COL).cast(TIME_DECIMAL)), 1).cast("double").alias(f"{TIME_COL}_sum")]
-    for d in DIMS:
-        aggs += [py_round(_mean(d), 1).alias(f"{d}_mean"),
-                 py_round(F.max(d), 1).alias(f"{d}_max"),
-                 py_round(F.min(d), 1).alias(f"{d}_min")]
-    return _nonnull(runs, keys).groupBy(*keys).agg(*aggs).orderBy(*keys)
+    return _overall_finish(_aggregate(runs, OVERALL_KEYS, _OVERALL_RAW))
+
+
+def report_tables(runs: DataFrame, param_set: str = "P1", materialise=None) -> dict[str, DataFrame]:
+    """A2-A7 from ONE aggregation over grouping sets.
+
+    One scan of the run table; Spark expands each row once per grouping set
+    map-side, aggregates partially and shuffles only partial aggregates.  The
+    result has one row per (grouping set, group) -- a few hundred rows for
+    any number of runs -- and every report is a projection of it.
+    ``materialise`` (e.g. a reliable checkpoint) is applied to that grouped
+    result once, so writing all six tables does not re-run the aggregation.
+    """
+    base = runs.withColumn("__p1", F.col("param_set") == param_set)
+    sets = {
+        "config": ["scene_name", "model", "scheme", "param_set"],
+        "main": ["scene_name", "model", "scheme", "__p1"],
+        "overall": ["scene_name", "model", "scheme"],
+        "sensitivity": ["model", "param_set"],
+    }
+    all_keys = ["scene_name", "model", "scheme", "param_set", "__p1"]
+    raw = list(dict.fromkeys(_CONSISTENCY_RAW + _SUMMARY_RAW + _MAIN_RAW + _SHEET_RAW + _OVERALL_RAW))
+    g = (base.groupingSets([[F.col(k) for k in ks] for ks in sets.values()], *all_keys)
+         .agg(F.grouping_id(*all_keys).alias("__gid"), *[_raw(n).alias(n) for n in raw]))
+    if materialise is not None:
+        g = materialise(g)
+
+    def gid(ks):
+        return sum(1 << (len(all_keys) - 1 - i) for i, k in enumerate(all_keys) if k not in ks)
+
+    def part(name, extra=None):
+        ks = sets[name]
+        t = g.where(F.col("__gid") == gid(ks))
+        t = _nonnull(t, [k for k in ks if k != "__p1"])
+        return t.where(extra) if extra is not None else t
+
+    cfg = part("config")
+    main = part("main", F.col("__p1"))
+    return {
+        "consistency_report": _consistency_finish(cfg, GROUP4_KEYS),
+        "summary_statistics": _summary_finish(cfg, GROUP4_KEYS),
+        "main_results": _main_finish(main),
+        "main_summary": _sheet_finish(main, MAIN_KEYS),
+        "param_sensitivity": _sheet_finish(part("sensitivity"), SENSITIVITY_KEYS),
+        "overall_statistics": _overall_finish(part("overall")),
+    }
 
 
 def group_statistics(runs: DataFrame) -> DataFrame:

@@ -88,3 +88,33 @@ def test_group_statistics_std_across_dimension_means(spark):
     r = R.group_statistics(df).first()
     assert r.n == 2 and r.mean_score == 65.0
     assert math.isclose(r.std_score, 18.708286933869708)
+
+
+def test_report_tables_equal_single_reports(spark):
+    from runlens.sources import testdata as TD
+    from conftest import SF_ORACLE
+
+    runs = TD.runs(spark, SF_ORACLE)
+    tables = R.report_tables(runs)
+    single = {
+        "consistency_report": R.consistency_report(runs),
+        "summary_statistics": R.summary_statistics(runs),
+        "main_results": R.main_results(runs),
+        "main_summary": R.main_summary(runs),
+        "param_sensitivity": R.sensitivity(runs),
+        "overall_statistics": R.overall_statistics(runs),
+    }
+    for name, df in single.items():
+        a = [tuple(r) for r in tables[name].collect()]
+        b = [tuple(r) for r in df.collect()]
+        assert tables[name].columns == df.columns, name
+        assert a == b, name
+
+
+def test_report_tables_single_scan(spark):
+    from runlens.sources import testdata as TD
+    from conftest import SF_SMALL
+
+    t = R.report_tables(TD.runs(spark, SF_SMALL))["summary_statistics"]
+    p = t._jdf.queryExecution().executedPlan().toString()
+    assert p.count("FileScan") == 1 and "Expand" in p
