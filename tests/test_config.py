@@ -36,7 +36,7 @@ evaluation_prompt: "Score {output_content} for {input_prompt} {{json}}"
 
 def test_config_to_dimensions(spark):
     d = tempfile.mkdtemp(prefix="runlens-cfg-")
-    p = os.path.join(d, "config.yaml")
+    p = os.path.join(d, "settings.yaml")
     with open(p, "w", encoding="utf-8") as f:
         f.write(CONFIG)
     cfg = C.load_yaml(p)
