@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import schemas as S
+from runlens.operators.balance import spread_for_cpu
 from runlens.sources import config as C
 
 NL = "\n"
@@ -160,7 +161,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_seq, scene_id, success, output_content) -- the generator's text."""
-    return events(spark, sf_dir).selectExpr(
+    return spread_for_cpu(events(spark, sf_dir).select("event_id", "user_id", "event_type", "props")).selectExpr(
         "event_id AS run_seq",
         dict(RUN_BASE)["scene_id"] + " AS scene_id",
         dict(RUN_BASE)["scheme_key"] + " AS scheme_key",
@@ -170,7 +171,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_seq, reply) for every successful run -- the judge model's text."""
-    return (events(spark, sf_dir)
+    return (spread_for_cpu(events(spark, sf_dir).select("event_id"))
             .where("event_id % 97 <> 0")
             .selectExpr("event_id AS run_seq",
                         *[f"{e} AS {n}" for n, e in RUN_BASE if n.startswith("a")],
@@ -222,5 +223,5 @@ def document_output_sql(dialect: str = "spark") -> str:
 
 def document_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_seq = doc_id, output_content) built from whole document texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread_for_cpu(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.selectExpr("doc_id AS run_seq", document_output_sql() + " AS output_content")
