@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.plans.design import MAX_PLAN_ROWS
-from runlens.schemas import MODELS, MODELS_ORTHOGONAL
 
 
 def exploratory_key(runs: DataFrame) -> Column:
@@ -29,9 +28,14 @@ def exploratory_key(runs: DataFrame) -> Column:
                        (F.col("repeat_idx") - 1).cast("string"))
 
 
-def orthogonal_key(group: str = "group_id", model_name: str = "model") -> Column:
-    """K1/K2: ``<group>_<scene>_<scheme key>_T<temperature>_<model name>_<repeat>``."""
-    return F.concat_ws("_", group, "scene_id", "scheme_key",
+def orthogonal_key(group: str = "group_id", model_name="model", scheme: str = "scheme_key") -> Column:
+    """K1/K2: ``<group>_<scene>_<scheme>_T<temperature>_<model name>_<repeat>``.
+
+    The canonical key uses the scheme *key*.  ``scheme="scheme"`` builds the
+    key the way a stored results row spells it (K2: the scheme column holds
+    the scheme name for successful runs), e.g. to compare with old files.
+    """
+    return F.concat_ws("_", group, "scene_id", scheme,
                        F.concat(F.lit("T"), F.col("temperature").cast("string")),
                        model_name, F.col("repeat_idx").cast("string"))
 
@@ -94,5 +98,3 @@ def progress(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame
                  (F.count(F.lit(1)) - F.count("__done")).alias("pending"))
             .orderBy("design"))
 
-
-MODEL_KEY_BY_NAME = {n: k for k, n, _, _ in MODELS + MODELS_ORTHOGONAL}

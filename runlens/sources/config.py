@@ -117,11 +117,6 @@ def scenes_from_files(spark: SparkSession, paths: list[str], key_by_file: bool =
     return sc, sp
 
 
-def dims_broadcast(df: DataFrame) -> DataFrame:
-    """Mark a configuration-sized table for broadcast."""
-    return F.broadcast(df)
-
-
 # ---------------------------------------------------------------------------
 # J4-J6 lookups.  A dimension held as driver-side configuration (a few rows)
 # becomes a literal map inside the expression: no exchange, no extra job.
