@@ -141,7 +141,8 @@ def q_a7(spark, sf):
 
 def sql_a7():
     keys = "model, scene_name, scheme"
-    cols = ["COUNT(*) AS n", "SUM(input_tokens) AS input_tokens_sum", "SUM(output_tokens) AS output_tokens_sum",
+    cols = ["COUNT(*) AS n", "CAST(SUM(input_tokens) AS BIGINT) AS input_tokens_sum",
+            "CAST(SUM(output_tokens) AS BIGINT) AS output_tokens_sum",
             "CAST(round_even(SUM(CAST(elapsed_time AS DECIMAL(20,2))), 1) AS DOUBLE) AS elapsed_time_sum"]
     for d in DIMS:
         cols += [f"{O.pyr(O.mean(d), 1)} AS {d}_mean", f"{O.pyr(f'MAX({d})', 1)} AS {d}_max",
@@ -569,7 +570,8 @@ def q_t23(spark, sf):
     o = TD.outputs(spark, sf).withColumn("prompt_addresses", C.lookup("scene_id", S.SCENE_ADDRESSES))
     found = TX.hex_addresses("output_content")
     unknown = F.array_sort(JC.unknown_addresses(found, F.col("prompt_addresses")))
-    return o.select("run_seq", F.size(found).alias("n_addresses"), F.size(unknown).alias("n_unknown"),
+    return o.select("run_seq", F.size(found).cast("bigint").alias("n_addresses"),
+                    F.size(unknown).cast("bigint").alias("n_unknown"),
                     F.array_join(unknown, ",").alias("unknown_addresses"),
                     (F.size(unknown) == 0).alias("addresses_ok"))
 
@@ -636,7 +638,7 @@ def q_t17(spark, sf):
     prompt = TX.prompt_text(F.expr(TD.PROMPT_SYSTEM_SQL), _user_prompt_spark())
     checks = {k: F.col(k) for k in JG.TEMPLATE_FIELDS[2:]}
     text = JG.judge_prompt(JG.DEFAULT_JUDGE_TEMPLATE, prompt, F.col("normalized"), checks)
-    return c.select("run_seq", F.length(text).alias("prompt_chars"), F.md5(text).alias("prompt_md5"))
+    return c.select("run_seq", F.length(text).cast("bigint").alias("prompt_chars"), F.md5(text).alias("prompt_md5"))
 
 
 def sql_t17():
@@ -696,7 +698,7 @@ def q_t16(spark, sf):
     msgs = TX.chat_messages("system", "user")
     return g.select("conv_id", F.size(msgs).alias("n_messages"),
                     F.array_join(F.transform(msgs, lambda m: m["role"]), ",").alias("roles"),
-                    F.length(TX.prompt_text("system", "user")).alias("prompt_chars"))
+                    F.length(TX.prompt_text("system", "user")).cast("bigint").alias("prompt_chars"))
 
 
 def sql_t16():

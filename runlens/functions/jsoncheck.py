@@ -195,8 +195,8 @@ def format_check_columns(df: DataFrame, parsed: str = "parsed", prefix: str = ""
         .alias("__f_issues"),
         F.when(run_arr, F.flatten(F.transform(it, type_issues)))
         .when(run_other, F.array().cast("array<string>")).alias("__t_issues"),
-        F.when(run_arr, F.size(F.filter(it, all_fields))).otherwise(F.lit(0)).alias("correct_items"),
-        n_items.alias("n_items"),
+        F.when(run_arr, F.size(F.filter(it, all_fields))).otherwise(F.lit(0)).cast("bigint").alias("correct_items"),
+        n_items.cast("bigint").alias("n_items"),
         checks_run.alias("__checks_run"),
     )
     valid = F.col(parsed).isNotNull()

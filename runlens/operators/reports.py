@@ -413,4 +413,4 @@ def first_appearance(runs: DataFrame, cols: list[str]) -> DataFrame:
     for p in parts[1:]:
         u = u.unionByName(p)
     w = Window.partitionBy("column_name").orderBy("first_run_seq")
-    return u.select("column_name", "value", "first_run_seq", F.row_number().over(w).alias("position"))
+    return u.select("column_name", "value", "first_run_seq", F.row_number().over(w).cast("bigint").alias("position"))
