@@ -63,17 +63,21 @@ def test_progress_file(spark):
     assert sorted(r.run_key for r in SRC.read_progress(spark, p).collect())[1].endswith("_1")
 
 
-def test_streaming_ingest_exactly_once(spark):
-    d = _tmp()
-    raw = os.path.join(d, "raw")
-    os.makedirs(raw)
-    for i in range(5):
+def _write_docs(raw, ids):
+    for i in ids:
         doc = {"group": "group1", "scene_id": "sceneA", "scheme": "方案2-结构化上下文", "model": "Qwen/Qwen3-14B",
                "temperature": 0.3, "top_p": 1.0, "repeat_idx": i + 1, "output_content":
                '{"test_items":[{"name":"a","methods":[],"requirements":[],"criteria":[]}]}',
                "success": True, "error": None, **{k: 90 + i for _, k, _ in S.DIMENSIONS}}
         with open(os.path.join(raw, f"group1_sceneA_x_T0.3_Qwen_Qwen3_14B_{i + 1}.json"), "w") as f:
             json.dump(doc, f, ensure_ascii=False, indent=2)
+
+
+def test_streaming_ingest_exactly_once(spark):
+    d = _tmp()
+    raw = os.path.join(d, "raw")
+    os.makedirs(raw)
+    _write_docs(raw, range(5))
     table, ckpt = os.path.join(d, "runs"), os.path.join(d, "ckpt")
     start_ingest(spark, raw, table, ckpt).awaitTermination()
     start_ingest(spark, raw, table, ckpt).awaitTermination()  # nothing new: no duplicates
@@ -81,6 +85,9 @@ def test_streaming_ingest_exactly_once(spark):
     assert t.count() == 5
     assert t.where("structure_valid AND field_names_valid").count() == 5
     assert sorted(r.format_compliance for r in t.collect()) == [90.0, 91.0, 92.0, 93.0, 94.0]
+    _write_docs(raw, range(5, 8))                               # three runs finish later
+    start_ingest(spark, raw, table, ckpt).awaitTermination()     # only the new files are read
+    assert spark.read.parquet(table).count() == 8
 
 
 def test_write_reports(spark):
