@@ -181,19 +181,30 @@ def _sheet_finish(g: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, *cols).orderBy(*keys)
 
 
-def main_summary(runs: DataFrame, param_set: str = "P1") -> DataFrame:
+def main_summary(runs: DataFrame, param_set: str = "P1", by: list[str] | None = None) -> DataFrame:
     """A5: main-experiment sheet -- first temperature/top_p, n, dims 1 dp,
-    tokens 0 dp, time 1 dp -- by scene, model, scheme."""
-    return _sheet_finish(_aggregate(runs.where(F.col("param_set") == param_set), MAIN_KEYS, _SHEET_RAW),
-                         MAIN_KEYS)
+    tokens 0 dp, time 1 dp -- by scene, model, scheme.
+
+    ``by=["design"]`` separates designs that share the parameter set (the
+    main and sensitivity designs both run P1); the default pools them, as the
+    experiment's sheet does.
+    """
+    keys = [*(by or []), *MAIN_KEYS]
+    return _sheet_finish(_aggregate(runs.where(F.col("param_set") == param_set), keys, _SHEET_RAW), keys)
 
 
 SENSITIVITY_KEYS = ["model", "param_set"]
 
 
-def sensitivity(runs: DataFrame) -> DataFrame:
-    """Parameter sensitivity by model and parameter set (all rows)."""
-    return _sheet_finish(_aggregate(runs, SENSITIVITY_KEYS, _SHEET_RAW), SENSITIVITY_KEYS)
+def sensitivity(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Parameter sensitivity by model and parameter set (all rows).
+
+    By default the P1 row pools every P1 run (main and sensitivity designs,
+    all scenes and schemes) as the experiment's sheet does; ``by=["design"]``
+    keeps designs apart when the run table carries a ``design`` column.
+    """
+    keys = [*(by or []), *SENSITIVITY_KEYS]
+    return _sheet_finish(_aggregate(runs, keys, _SHEET_RAW), keys)
 
 
 OVERALL_KEYS = ["model", "scene_name", "scheme"]

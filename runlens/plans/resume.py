@@ -98,3 +98,19 @@ def progress(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame
                  (F.count(F.lit(1)) - F.count("__done")).alias("pending"))
             .orderBy("design"))
 
+
+
+def with_keys_from_names(runs: DataFrame) -> DataFrame:
+    """Add ``scheme_key`` / ``model_key`` from stored scheme and model names
+    (score files keep names, keys are what plans use)."""
+    from runlens.schemas import MODELS, MODELS_ORTHOGONAL, SCHEMES
+    from runlens.sources.config import lookup
+
+    out = runs
+    if "scheme_key" not in runs.columns:
+        names = {n: k for k, n in SCHEMES}
+        out = out.withColumn("scheme_key", F.coalesce(lookup("scheme", names), F.col("scheme")))
+    if "model_key" not in runs.columns:
+        names = {n: k for k, n, _, _ in MODELS + MODELS_ORTHOGONAL}
+        out = out.withColumn("model_key", F.coalesce(lookup("model", names), F.col("model")))
+    return out

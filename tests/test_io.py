@@ -98,3 +98,28 @@ def test_write_reports(spark):
     back = spark.read.option("header", True).csv(written["summary_statistics"])
     assert back.count() == TD.runs(spark, SF_SMALL).select("scene_name", "model", "scheme", "param_set") \
         .distinct().count()
+
+
+def test_read_pretty_printed_raw_documents(spark):
+    d = _tmp()
+    raw = os.path.join(d, "raw")
+    os.makedirs(raw)
+    _write_docs(raw, range(4))
+    back = SRC.read_raw_outputs(spark, raw)               # one indented object per file
+    assert back.count() == 4
+    assert back.where("group_id = 'group1' AND format_compliance >= 90").count() == 4
+    assert set(r.file_name for r in back.collect()) == {f"group1_sceneA_x_T0.3_Qwen_Qwen3_14B_{i}.json"
+                                                        for i in range(1, 5)}
+
+
+def test_cli_reports_and_pending(spark):
+    from runlens.__main__ import main
+
+    d = _tmp()
+    runs_path = os.path.join(d, "runs")
+    W.write_runs(TD.runs(spark, SF_SMALL), runs_path, mode="overwrite")
+    main(["reports", "--runs", runs_path, "--out", os.path.join(d, "rep")])
+    assert os.path.isdir(os.path.join(d, "rep", "summary_statistics"))
+    main(["pending", "--runs", runs_path, "--out", os.path.join(d, "pending")])
+    pend = spark.read.option("header", True).csv(os.path.join(d, "pending"))
+    assert 0 < pend.count() < 210

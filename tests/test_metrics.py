@@ -118,3 +118,19 @@ def test_report_tables_single_scan(spark):
     t = R.report_tables(TD.runs(spark, SF_SMALL))["summary_statistics"]
     p = t._jdf.queryExecution().executedPlan().toString()
     assert p.count("FileScan") == 1 and "Expand" in p
+
+
+def test_sensitivity_pooled_or_by_design(spark):
+    rows = [(1, "main", "m", "P1", 0.0, 1.0, 80.0), (2, "main", "m", "P1", 0.0, 1.0, 60.0),
+            (3, "sens", "m", "P1", 0.0, 1.0, 100.0), (4, "sens", "m", "P2", 0.1, 1.0, 50.0)]
+    df = spark.createDataFrame(rows, "run_seq long, design string, model string, param_set string, "
+                                     "temperature double, top_p double, format_compliance double")
+    for c in S.DIM_COLS[1:]:
+        df = df.withColumn(c, df.format_compliance)
+    for c in ("input_tokens", "output_tokens"):
+        df = df.withColumn(c, df.run_seq)
+    df = df.withColumn("elapsed_time", df.format_compliance / 10)
+    pooled = {(r.param_set): (r.n, r.format_compliance_mean) for r in R.sensitivity(df).collect()}
+    assert pooled == {"P1": (3, 80.0), "P2": (1, 50.0)}
+    split = {(r.design, r.param_set): r.n for r in R.sensitivity(df, by=["design"]).collect()}
+    assert split == {("main", "P1"): 2, ("sens", "P1"): 1, ("sens", "P2"): 1}
