@@ -160,7 +160,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_seq, scene_id, success, output_content) -- the generator's text."""
+    """(run_seq, scene_id, scheme_key, success, output_content) -- the
+    generator's text.  The scan is spread over the cores first when the input
+    is a single small split (see ``operators.balance``)."""
     return spread_for_cpu(events(spark, sf_dir).select("event_id", "user_id", "event_type", "props")).selectExpr(
         "event_id AS run_seq",
         dict(RUN_BASE)["scene_id"] + " AS scene_id",
