@@ -71,6 +71,8 @@ def _raw(name: str) -> Column:
         return first_by("temperature", "run_seq")
     if name == "__first_top_p":
         return first_by("top_p", "run_seq")
+    if name == "__first_seq":
+        return F.min("run_seq")
     kind, c = name[2:].split("_", 1)
     if kind == "s":
         return F.sum(c)
@@ -166,7 +168,14 @@ def main_results(runs: DataFrame, param_set: str = "P1", digits: int = 2) -> Dat
     return _main_finish(_aggregate(runs.where(F.col("param_set") == param_set), MAIN_KEYS, _MAIN_RAW), digits)
 
 
-_SHEET_RAW = (["__first_temperature", "__first_top_p", "__n"]
+def _appearance_order(g: DataFrame, keys: list[str]) -> list[Column]:
+    """F10 order for nested loops over ``unique()`` values: each key value
+    ranks by the earliest run carrying it.  Window minima over the small
+    aggregated table (one row per group), not over the runs."""
+    return [F.min("__first_seq").over(Window.partitionBy(k)) for k in keys] + [F.col(k) for k in keys]
+
+
+_SHEET_RAW = (["__first_temperature", "__first_top_p", "__n", "__first_seq"]
               + [f"__{k}_{d}" for d in DIMS for k in ("m", "sd")]
               + [f"__m_{c}" for c in TOKENS + [TIME_COL]])
 
@@ -178,12 +187,15 @@ def _sheet_finish(g: DataFrame, keys: list[str]) -> DataFrame:
         cols += [py_round(f"__m_{d}", 1).alias(f"{d}_mean"), py_round(f"__sd_{d}", 1).alias(f"{d}_std")]
     cols += [py_round(f"__m_{c}", 0).cast("bigint").alias(f"{c}_mean") for c in TOKENS]
     cols.append(py_round(f"__m_{TIME_COL}", 1).alias(f"{TIME_COL}_mean"))
-    return g.select(*keys, *cols).orderBy(*keys)
+    order = [c.alias(f"__o{i}") for i, c in enumerate(_appearance_order(g, keys))]
+    out = g.select(*keys, *cols, *order)
+    return out.orderBy(*[f"__o{i}" for i in range(len(order))]).drop(*[f"__o{i}" for i in range(len(order))])
 
 
 def main_summary(runs: DataFrame, param_set: str = "P1", by: list[str] | None = None) -> DataFrame:
     """A5: main-experiment sheet -- first temperature/top_p, n, dims 1 dp,
-    tokens 0 dp, time 1 dp -- by scene, model, scheme.
+    tokens 0 dp, time 1 dp -- by scene, model, scheme, in first-appearance
+    order of scene, then model, then scheme (the experiment's loop order).
 
     ``by=["design"]`` separates designs that share the parameter set (the
     main and sensitivity designs both run P1); the default pools them, as the
@@ -208,7 +220,7 @@ def sensitivity(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 OVERALL_KEYS = ["model", "scene_name", "scheme"]
-_OVERALL_RAW = (["__n", *[f"__tot_{c}" for c in TOKENS + [TIME_COL]]]
+_OVERALL_RAW = (["__n", "__first_seq", *[f"__tot_{c}" for c in TOKENS + [TIME_COL]]]
                 + [f"__{k}_{d}" for d in DIMS for k in ("m", "max", "min")])
 
 
@@ -218,7 +230,9 @@ def _overall_finish(g: DataFrame) -> DataFrame:
     for d in DIMS:
         cols += [py_round(f"__m_{d}", 1).alias(f"{d}_mean"), py_round(f"__max_{d}", 1).alias(f"{d}_max"),
                  py_round(f"__min_{d}", 1).alias(f"{d}_min")]
-    return g.select(*OVERALL_KEYS, *cols).orderBy(*OVERALL_KEYS)
+    order = [c.alias(f"__o{i}") for i, c in enumerate(_appearance_order(g, OVERALL_KEYS))]
+    out = g.select(*OVERALL_KEYS, *cols, *order)
+    return out.orderBy(*[f"__o{i}" for i in range(len(order))]).drop(*[f"__o{i}" for i in range(len(order))])
 
 
 def overall_statistics(runs: DataFrame) -> DataFrame:
@@ -280,7 +294,8 @@ def group_statistics(runs: DataFrame) -> DataFrame:
     """
     keys = ["group_id", "model"]
     g = _nonnull(runs, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[_mean(d).alias(f"__m_{d}") for d in DIMS])
+        F.count(F.lit(1)).alias("n"), F.min("run_seq").alias("__first_seq"),
+        *[_mean(d).alias(f"__m_{d}") for d in DIMS])
     ms = [F.col(f"__m_{d}") for d in DIMS]
     total = ms[0]
     for m in ms[1:]:
@@ -291,7 +306,11 @@ def group_statistics(runs: DataFrame) -> DataFrame:
         t = (m - mean) * (m - mean)
         sq = t if sq is None else sq + t
     std = F.sqrt(sq / float(len(ms) - 1))
-    return g.select(*keys, "n", mean.alias("mean_score"), std.alias("std_score")).orderBy(*keys)
+    # groups in first-appearance order, models in first appearance within the group
+    o1 = F.min("__first_seq").over(Window.partitionBy("group_id"))
+    out = g.select(*keys, "n", mean.alias("mean_score"), std.alias("std_score"),
+                   o1.alias("__o1"), F.col("__first_seq").alias("__o2"))
+    return out.orderBy("__o1", "__o2").drop("__o1", "__o2")
 
 
 def with_composite(runs: DataFrame, name: str = "composite") -> DataFrame:

@@ -134,3 +134,18 @@ def test_sensitivity_pooled_or_by_design(spark):
     assert pooled == {"P1": (3, 80.0), "P2": (1, 50.0)}
     split = {(r.design, r.param_set): r.n for r in R.sensitivity(df, by=["design"]).collect()}
     assert split == {("main", "P1"): 2, ("sens", "P1"): 1, ("sens", "P2"): 1}
+
+
+def test_sheets_in_first_appearance_order(spark):
+    from runlens.sources import testdata as TD
+    from conftest import SF_SMALL
+
+    runs = TD.runs(spark, SF_SMALL)
+    first = {}
+    for r in runs.select("run_seq", "model", "param_set").orderBy("run_seq").collect():
+        first.setdefault(("model", r.model), r.run_seq)
+        first.setdefault(("param_set", r.param_set), r.run_seq)
+    expected = sorted({(r.model, r.param_set) for r in runs.select("model", "param_set").collect()},
+                      key=lambda k: (first[("model", k[0])], first[("param_set", k[1])]))
+    got = [(r.model, r.param_set) for r in R.sensitivity(runs).collect()]
+    assert got == expected
