@@ -346,8 +346,8 @@ def q_n3(spark, sf):
 
 
 def sql_n3():
-    fk = ("translate(concat_ws('_', scene_id, scheme, param_set, model, CAST(run_seq % 5 + 1 AS STRING)), "
-          "' -/', '___')")
+    fk = ("replace(replace(concat_ws('_', scene_id, scheme, param_set, model, CAST(run_seq % 5 + 1 AS STRING)), "
+          "' ', '_'), '-', '_')")
     cols = ", ".join(["success", "elapsed_time", *DIMS])
     return (O.runs_cte() + f", w AS (SELECT {fk} AS file_key, run_seq, {cols}, row_number() OVER "
             f"(PARTITION BY {fk} ORDER BY run_seq DESC) AS rn FROM runs) "
@@ -492,7 +492,7 @@ def q_k3(spark, sf):
     with keys from the results CSV rows (all rows), without duplicates."""
     r = R.with_repeat_idx(_oruns(spark, sf), ORTH_KEYS)
     files = r.where("success").select(
-        F.concat(RS.orthogonal_key(model_name=RS.normalise_file_part(F.col("model"))), F.lit(".json"))
+        F.concat(RS.orthogonal_key(model_name=RS.orthogonal_model_part(F.col("model"))), F.lit(".json"))
         .alias("file_name"))
     from_files = files.select(RS.file_name_key(F.col("file_name")).alias("run_key")).where("run_key IS NOT NULL")
     from_csv = r.select(RS.orthogonal_key().alias("run_key"))
@@ -502,7 +502,7 @@ def q_k3(spark, sf):
 def sql_k3():
     key_csv = ("concat_ws('_', group_id, scene_id, scheme_key, concat('T', CAST(temperature AS STRING)), model, "
                "CAST(repeat_idx AS STRING))")
-    key_file = key_csv.replace(", model,", ", translate(model, ' -/', '___'),")
+    key_file = key_csv.replace(", model,", ", replace(model, '/', '_'),")
     return (O.runs_cte(orthogonal=True) + ", " + O.with_repeat("runs_r", "runs", ", ".join(ORTH_KEYS)) +
             f"SELECT {key_file} AS run_key FROM runs_r WHERE success UNION SELECT {key_csv} FROM runs_r")
 

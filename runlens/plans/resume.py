@@ -48,8 +48,14 @@ def file_name_key(file_name: Column) -> Column:
 
 
 def normalise_file_part(c: Column) -> Column:
-    """Spaces and ``-`` become ``_`` in file names, and ``/`` too."""
-    return F.translate(c, " -/", "___")
+    """T13 (exploratory file names): spaces and ``-`` become ``_``."""
+    return F.translate(c, " -", "__")
+
+
+def orthogonal_model_part(c: Column) -> Column:
+    """T13 (orthogonal file names): only ``/`` in the model name becomes ``_``;
+    dashes stay (``Qwen/Qwen3-14B`` -> ``Qwen_Qwen3-14B``)."""
+    return F.translate(c, "/", "_")
 
 
 def completed_keys(runs: DataFrame, key: Column, include_failed: bool = False) -> DataFrame:

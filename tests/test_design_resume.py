@@ -90,3 +90,22 @@ def test_config_filter_equals_semi_join(spark):
     a = _restrict(runs, D.configurations(g2)).select("run_seq")
     b = _restrict(runs, cfg_df).select("run_seq")
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_exploratory_file_names_collide_210_to_200(spark):
+    from runlens.schemas import MODELS, SCHEMES
+    from runlens.sinks.files import raw_file_key
+    from runlens.sources.config import lookup
+
+    p = D.plan(spark, D.exploratory_designs())
+    runs = p.select("scene_id", "param_set", "repeat_idx",
+                    lookup("scheme_key", SCHEMES).alias("scheme"),
+                    lookup("model_key", [(k, n) for k, n, _, _ in MODELS]).alias("model"))
+    names = runs.select(raw_file_key(runs).alias("f"))
+    assert names.count() == 210 and names.distinct().count() == 200
+    assert names.where("f LIKE '%-%' OR f LIKE '% %'").count() == 0
+
+
+def test_orthogonal_file_model_part(spark):
+    df = spark.createDataFrame([("Qwen/Qwen3-14B",)], "m string")
+    assert df.select(RS.orthogonal_model_part(F.col("m"))).first()[0] == "Qwen_Qwen3-14B"
