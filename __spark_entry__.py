@@ -491,12 +491,12 @@ def q_k3(spark, sf):
     """K2-K4: completed keys from raw-output file names (successes) united
     with keys from the results CSV rows (all rows), without duplicates."""
     r = R.with_repeat_idx(_oruns(spark, sf), ORTH_KEYS)
-    files = r.where("success").select(
-        F.concat(RS.orthogonal_key(model_name=RS.orthogonal_model_part(F.col("model"))), F.lit(".json"))
-        .alias("file_name"))
-    from_files = files.select(RS.file_name_key(F.col("file_name")).alias("run_key")).where("run_key IS NOT NULL")
-    from_csv = r.select(RS.orthogonal_key().alias("run_key"))
-    return RS.union_keys(from_files, from_csv)
+    # one pass over the runs: a successful run contributes its file-name key,
+    # every stored row its results-table key
+    file_name = F.concat(RS.orthogonal_key(model_name=RS.orthogonal_model_part(F.col("model"))), F.lit(".json"))
+    from_file = F.when(F.col("success"), RS.file_name_key(file_name))
+    keys = r.select(F.explode(F.array_compact(F.array(from_file, RS.orthogonal_key()))).alias("run_key"))
+    return RS.union_keys(keys)
 
 
 def sql_k3():

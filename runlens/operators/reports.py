@@ -435,12 +435,15 @@ def scene_sheets(runs: DataFrame) -> DataFrame:
 
 def first_appearance(runs: DataFrame, cols: list[str]) -> DataFrame:
     """distinct values of each column with their first ``run_seq`` and
-    1-based first-appearance position (ranked on the small aggregate)."""
-    parts = [runs.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value"))
-             .agg(F.min("run_seq").alias("first_run_seq")).withColumn("column_name", F.lit(c))
-             for c in cols]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    1-based first-appearance position.
+
+    One scan: each run is unpivoted into (column, value) pairs map-side and
+    a single aggregation keeps the earliest ``run_seq`` per pair; the ranking
+    runs on that small aggregate.
+    """
+    pairs = ", ".join(f"'{c}', CAST({c} AS STRING)" for c in cols)
+    long = runs.selectExpr("run_seq", f"stack({len(cols)}, {pairs}) AS (column_name, value)")
+    u = (long.where(F.col("value").isNotNull()).groupBy("column_name", "value")
+         .agg(F.min("run_seq").alias("first_run_seq")))
     w = Window.partitionBy("column_name").orderBy("first_run_seq")
     return u.select("column_name", "value", "first_run_seq", F.row_number().over(w).cast("bigint").alias("position"))

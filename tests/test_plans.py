@@ -44,3 +44,8 @@ def test_factor_effect_filters_in_scan_stage(spark):
 def test_last_write_wins_is_an_aggregate(spark):
     p = plan(E.queries()["n3_last_write_wins"](spark, SF_SMALL))
     assert "Window" not in p and "max_by" in p
+
+
+def test_first_appearance_single_scan(spark):
+    p = plan(E.queries()["f10_first_appearance"](spark, SF_SMALL))
+    assert p.count("FileScan") == 1 and "Union" not in p
