@@ -408,7 +408,7 @@ def _plan_select(alias="plan"):
 
 def sql_j1():
     return (_explo_done_sql() + f"SELECT {_plan_select()} FROM plan WHERE run_key NOT IN (SELECT run_key FROM done) "
-            "ORDER BY position")
+            "ORDER BY design, position")
 
 
 def q_j3(spark, sf):
@@ -418,7 +418,7 @@ def q_j3(spark, sf):
 
 def sql_j3():
     return (_explo_done_sql() + f"SELECT {_plan_select()} FROM plan WHERE run_key IN (SELECT run_key FROM done) "
-            "ORDER BY position")
+            "ORDER BY design, position")
 
 
 def q_a13(spark, sf):
@@ -454,7 +454,7 @@ def _orth_done_sql():
 
 def sql_j2():
     return (_orth_done_sql() + f"SELECT {_plan_select()} FROM plan WHERE run_key NOT IN (SELECT run_key FROM done) "
-            "ORDER BY position")
+            "ORDER BY design, position")
 
 
 def q_a13_orthogonal(spark, sf):

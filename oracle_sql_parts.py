@@ -123,10 +123,13 @@ def plan_rows_python(kind: str) -> list[tuple]:
     tset = {t: p for p, t, _ in S.PARAM_SETS_ORTHOGONAL}
     scene, n = S.ORTHOGONAL_SCENE, S.ORTHOGONAL_REPEATS
 
+    counters = {}
+
     def add(g, scheme, model, temp):
-        nonlocal pos
+        # each orthogonal group numbers its runs from 1
         for i in range(n):
-            pos += 1
+            counters[g] = counters.get(g, 0) + 1
+            pos = counters[g]
             rows.append((g, scene, scheme, model, tset[temp], float(temp), 1.0, i + 1, pos,
                          f"{g}_{scene}_{scheme}_T{float(temp)}_{names[model]}_{i + 1}"))
     for model in S.GROUP1["models"]:

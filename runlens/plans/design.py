@@ -41,6 +41,7 @@ class Design:
     repeats: int = S.REPEAT_TIMES
     enabled: bool = True
     key: str = "exploratory"          # or "orthogonal"
+    counter: str = "global"           # "global": one counter across designs; "design": restarts
 
     @property
     def size(self) -> int:
@@ -126,30 +127,35 @@ def orthogonal_designs(enabled: dict | None = None) -> list[Design]:
     return [
         Design("group1", [Factor("model_key", g1["models"]), Factor("temperature", g1["temperatures"])],
                fixed={"scene_id": scene, "scheme_key": g1["scheme"]}, repeats=n,
-               enabled=en["group1"], key="orthogonal"),
+               enabled=en["group1"], key="orthogonal", counter="design"),
         Design("group2", [Factor("model_key", g2["models"]), Factor("scheme_key", g2["schemes"])],
                fixed={"scene_id": scene, "temperature": g2["temperature"]}, repeats=n,
-               enabled=en["group2"], key="orthogonal"),
+               enabled=en["group2"], key="orthogonal", counter="design"),
         Design("group3", [Factor("model_key", g3["models"]), Factor("scheme_key", g3["schemes"])],
                fixed={"scene_id": scene, "temperature": g3["temperature"]}, repeats=n,
-               enabled=en["group3"], key="orthogonal"),
+               enabled=en["group3"], key="orthogonal", counter="design"),
         Design("group4", [Factor("combo", list(range(len(S.GROUP4))))],
-               fixed={"scene_id": scene}, repeats=n, enabled=en["group4"], key="orthogonal"),
+               fixed={"scene_id": scene}, repeats=n, enabled=en["group4"], key="orthogonal",
+               counter="design"),
     ]
 
 
 def plan(spark: SparkSession, designs: list[Design]) -> DataFrame:
-    """Union of the enabled designs, positions numbered across them."""
+    """P7 + P10: union of the enabled designs.  ``position`` is the progress
+    counter: one counter across designs (exploratory) or one per design
+    (orthogonal groups), as each experiment numbers its runs."""
     parts, offset = [], 0
     for d in designs:
         if not d.enabled:
             continue
+        if d.counter != "global":
+            offset = 0
         if any(f.name == "combo" for f in d.factors):
             g = _combo_grid(spark, d, offset)
         else:
             g = grid(spark, d, offset)
         parts.append(g)
-        offset += d.size
+        offset = offset + d.size if d.counter == "global" else 0
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -159,7 +165,7 @@ def plan(spark: SparkSession, designs: list[Design]) -> DataFrame:
 def _combo_grid(spark: SparkSession, d: Design, offset: int) -> DataFrame:
     combos = S.GROUP4
     expanded = Design(d.name, [Factor("__combo", list(range(len(combos))))], fixed=d.fixed,
-                      repeats=d.repeats, enabled=d.enabled, key=d.key)
+                      repeats=d.repeats, enabled=d.enabled, key=d.key, counter=d.counter)
     idx = F.col("id")
     c = F.floor(idx / d.repeats)
     df = spark.range(expanded.size).select(

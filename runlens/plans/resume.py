@@ -85,13 +85,13 @@ def _reduced(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame
 def pending(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame:
     """Planned runs whose key is not completed, in plan order."""
     done = _reduced(plan, completed, plan_rows)   # <= plan_rows keys: bounded
-    return plan.join(F.broadcast(done), "run_key", "left_anti").orderBy("position")
+    return plan.join(F.broadcast(done), "run_key", "left_anti").orderBy("design", "position")
 
 
 def skipped(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame:
     """Planned runs that are already completed."""
     done = _reduced(plan, completed, plan_rows)
-    return plan.join(F.broadcast(done), "run_key", "left_semi").orderBy("position")
+    return plan.join(F.broadcast(done), "run_key", "left_semi").orderBy("design", "position")
 
 
 def progress(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame:
