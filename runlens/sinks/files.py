@@ -98,3 +98,16 @@ def write_reports(runs: DataFrame, out_dir: str, fmt: str = "csv") -> dict[str,
     sheets.write.mode("overwrite").partitionBy("scene_sheet").option("header", True).csv(p)
     written["scene_sheets"] = p
     return written
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "run_seq", buckets: int = 256,
+                   mode: str = "overwrite") -> None:
+    """Write a run-keyed relation as a bucketed, sorted table.
+
+    Two tables bucketed on the same key with the same bucket count join
+    without an exchange on either side (J7 at scale: run outputs and judge
+    replies are both one row per run).  ``path`` should be on the shared
+    filesystem; the catalog entry only records it.
+    """
+    (df.write.mode(mode).bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))

@@ -123,3 +123,22 @@ def test_cli_reports_and_pending(spark):
     main(["pending", "--runs", runs_path, "--out", os.path.join(d, "pending")])
     pend = spark.read.option("header", True).csv(os.path.join(d, "pending"))
     assert 0 < pend.count() < 210
+
+
+def test_bucketed_inputs_join_without_exchange(spark):
+    from runlens.operators.assemble import assemble_runs
+
+    d = _tmp()
+    W.write_bucketed(TD.outputs(spark, SF_SMALL), "rl_outputs", os.path.join(d, "outputs"), buckets=8)
+    W.write_bucketed(TD.judge_replies(spark, SF_SMALL), "rl_replies", os.path.join(d, "replies"), buckets=8)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the sort-merge path
+    try:
+        runs = assemble_runs(spark.table("rl_outputs"), spark.table("rl_replies"))
+        p = runs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert runs.count() == TD.outputs(spark, SF_SMALL).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.sql("DROP TABLE IF EXISTS rl_outputs")
+        spark.sql("DROP TABLE IF EXISTS rl_replies")
