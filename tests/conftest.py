@@ -17,6 +17,7 @@ def spark():
     s = get_spark("local[4]", shuffle_partitions=8, extra={
         # tests only: a scratch checkpoint folder when the session names none
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="runlens-test-ckpt-"),
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="runlens-test-wh-"),
     })
     yield s
     s.stop()
