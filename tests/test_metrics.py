@@ -149,3 +149,18 @@ def test_sheets_in_first_appearance_order(spark):
                       key=lambda k: (first[("model", k[0])], first[("param_set", k[1])]))
     got = [(r.model, r.param_set) for r in R.sensitivity(runs).collect()]
     assert got == expected
+
+
+def test_consistency_in_range_and_groups_cover_table(spark):
+    from runlens.sources import testdata as TD
+    from conftest import SF_ORACLE
+
+    runs = TD.runs(spark, SF_ORACLE)
+    total = runs.count()
+    cons = R.consistency_scores(runs)
+    agg = cons.selectExpr("min(consistency) AS lo", "max(consistency) AS hi", "sum(n) AS n").first()
+    assert 0.0 <= agg.lo and agg.hi <= 100.0 and agg.n == total
+    for name, t in R.report_tables(runs).items():
+        if "n" in t.columns and name in ("main_summary", "param_sensitivity", "overall_statistics"):
+            expect = runs.where("param_set = 'P1'").count() if name == "main_summary" else total
+            assert t.selectExpr("sum(n)").first()[0] == expect, name
