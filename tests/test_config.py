@@ -63,3 +63,29 @@ def test_scene_files_and_prompts(spark):
     assert r[1].input_prompt == "Do the thing." and [m.role for m in r[1].messages] == ["user"]
     assert r[2].input_prompt == "Be careful.\nDo it well." and len(r[2].messages) == 2
     assert r[3].input_prompt == ""
+
+
+def test_render_scene_template_from_yaml(spark):
+    from pyspark.sql import functions as F
+
+    from runlens.functions.judge import judge_prompt
+
+    d = tempfile.mkdtemp(prefix="runlens-scene-")
+    p = os.path.join(d, "sceneX.yaml")
+    template = ("In: {input_prompt} Out: {output_content} J={json_valid}({json_valid_detail}) "
+                "S={structure_valid}({structure_detail}) F={field_names_valid}({field_names_detail}) "
+                "T={data_types_valid}({data_types_detail}) reply {{'score': n}}")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write(SCENE.replace('evaluation_prompt: "Score {output_content} for {input_prompt} {{json}}"',
+                              f'evaluation_prompt: "{template}"'))
+    _, prompts = C.scenes_from_files(spark, [p])
+    row = prompts.where("scheme_key = 'scheme2'").first()
+    checks = {"json_valid": F.lit(True), "json_valid_detail": F.lit("ok"), "structure_valid": F.lit(False),
+              "structure_detail": F.lit("s"), "field_names_valid": F.lit(False), "field_names_detail": F.lit("f"),
+              "data_types_valid": F.lit(True), "data_types_detail": F.lit("t")}
+    out = spark.range(1).select(judge_prompt(row.evaluation_prompt, F.lit("P"), F.lit("{x}"), checks)).first()[0]
+    expected = row.evaluation_prompt.format(
+        input_prompt="P", output_content="{x}", json_valid=True, json_valid_detail="ok", structure_valid=False,
+        structure_detail="s", field_names_valid=False, field_names_detail="f", data_types_valid=True,
+        data_types_detail="t")
+    assert out == expected and "{'score': n}" in out
