@@ -31,6 +31,7 @@ from runlens.plans.design import (  # noqa: F401,E402
 )
 from runlens.plans.resume import (  # noqa: F401,E402
     completed_keys, exploratory_key, orthogonal_key, pending, progress, skipped, union_keys,
+    with_keys_from_names,
 )
 from runlens.sinks.files import (  # noqa: F401,E402
     export_csv, write_bucketed, write_raw_outputs, write_reports, write_runs,

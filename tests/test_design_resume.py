@@ -109,3 +109,17 @@ def test_exploratory_file_names_collide_210_to_200(spark):
 def test_orthogonal_file_model_part(spark):
     df = spark.createDataFrame([("Qwen/Qwen3-14B",)], "m string")
     assert df.select(RS.orthogonal_model_part(F.col("m"))).first()[0] == "Qwen_Qwen3-14B"
+
+
+def test_readme_resume_flow_from_names(spark):
+    import runlens as rl
+    from runlens.sources import testdata as TD
+    from conftest import SF_SMALL
+
+    runs = TD.runs(spark, SF_SMALL).drop("scheme_key", "model_key")   # as a score file stores them
+    r = rl.with_repeat_idx(rl.with_keys_from_names(runs))
+    done = rl.completed_keys(r, rl.exploratory_key(r))
+    designs = rl.exploratory_designs()
+    todo = rl.pending(rl.plan(spark, designs), done, rl.plan_size(designs))
+    import __spark_entry__ as E
+    assert todo.count() == E.queries()["j1_resume_pending"](spark, SF_SMALL).count()
