@@ -117,6 +117,12 @@ def scenes_from_files(spark: SparkSession, paths: list[str], key_by_file: bool =
     return sc, sp
 
 
+def scenes_from_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """S7 (orthogonal rule): every ``.yaml`` file of a folder, keyed by file name."""
+    paths = sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".yaml"))
+    return scenes_from_files(spark, paths, key_by_file=True)
+
+
 # ---------------------------------------------------------------------------
 # J4-J6 lookups.  A dimension held as driver-side configuration (a few rows)
 # becomes a literal map inside the expression: no exchange, no extra job.

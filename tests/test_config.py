@@ -89,3 +89,15 @@ def test_render_scene_template_from_yaml(spark):
         structure_detail="s", field_names_valid=False, field_names_detail="f", data_types_valid=True,
         data_types_detail="t")
     assert out == expected and "{'score': n}" in out
+
+
+def test_scenes_from_folder(spark):
+    d = tempfile.mkdtemp(prefix="runlens-scenes-")
+    for name in ("sA", "sB"):
+        with open(os.path.join(d, f"{name}.yaml"), "w", encoding="utf-8") as f:
+            f.write(SCENE)
+    with open(os.path.join(d, "notes.txt"), "w") as f:
+        f.write("not a scene")
+    scenes, prompts = C.scenes_from_folder(spark, d)
+    assert sorted(r.scene_id for r in scenes.collect()) == ["sA", "sB"]
+    assert prompts.count() == 4
