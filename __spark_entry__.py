@@ -590,7 +590,7 @@ def sql_t23():
 # ---------------------------------------------------------------- judge side
 def q_t18(spark, sf):
     configure(spark)
-    j = spread_for_cpu(TD.judge_replies(spark, sf)).select("run_seq", JG.parse_judge_reply("reply").alias("j"))
+    j = JG.parse_judge_replies(spread_for_cpu(TD.judge_replies(spark, sf)), "reply", "j")
     return j.select("run_seq", "j.judge_ok", *[f"j.{d}" for d in DIMS])
 
 

@@ -13,7 +13,9 @@ from runlens.functions.jsoncheck import (  # noqa: F401,E402
     canonical_json, check_outputs, entry_counts_equal, format_points, normalize_columns,
     normalize_output, strict_json_ok, unknown_addresses,
 )
-from runlens.functions.judge import judge_prompt, parse_judge_reply, render_template  # noqa: F401,E402
+from runlens.functions.judge import (  # noqa: F401,E402
+    judge_prompt, parse_judge_replies, parse_judge_reply, render_template,
+)
 from runlens.functions.metrics import composite_score, np_round, py_round  # noqa: F401,E402
 from runlens.functions.text import (  # noqa: F401,E402
     chat_messages, hex_addresses, json_span, prompt_text, strip_code_fence, trim_unicode,

@@ -18,7 +18,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runlens import schemas as S
-from runlens.functions.jsoncheck import strict_json_ok
 from runlens.functions.text import outer_span
 
 # A compact judge template with the ten placeholders the experiment's
@@ -76,13 +75,35 @@ def _score(v: Column, key: str) -> Column:
 
 def parse_judge_reply(reply) -> Column:
     """struct(judge_ok, six scores, score_note) from the judge's reply."""
+    from runlens.functions.jsoncheck import _strict_parse
+
     r = F.col(reply) if isinstance(reply, str) else reply
     span = outer_span(r, "{", "}")
     text = F.when(span != "", span).otherwise(r)
-    ok = strict_json_ok(text)
-    v = F.when(ok, F.try_parse_json(text))
+    ok, v = _strict_parse(text)
     fields = [ok.alias("judge_ok")]
     for col, key, _ in S.DIMENSIONS:
         fields.append(F.coalesce(_score(v, key), F.lit(0.0)).alias(col))
     fields.append(F.try_variant_get(v, f'$["{S.SCORE_NOTE_KEY}"]', "string").alias("score_note"))
     return F.struct(*fields)
+
+
+def parse_judge_replies(df, reply: str = "reply", out: str = "judge"):
+    """T18 as staged projections over a DataFrame: adds struct column ``out``
+    (judge_ok, six scores, score_note).  The span is found once and the reply
+    is parsed twice (the strict check's member parse is the document), not
+    three times as a single nested expression would."""
+    from runlens.functions.jsoncheck import _strict_parse
+
+    r = F.col(reply)
+    s1 = df.select("*", outer_span(r, "{", "}").alias("__jspan"))
+    text = F.when(F.col("__jspan") != "", F.col("__jspan")).otherwise(r)
+    s2 = s1.select("*", text.alias("__jtext"))
+    ok, doc = _strict_parse(F.col("__jtext"))
+    s3 = s2.select("*", ok.alias("__jok"), doc.alias("__jdoc"))
+    v = F.col("__jdoc")
+    fields = [F.col("__jok").alias("judge_ok")]
+    for col, key, _ in S.DIMENSIONS:
+        fields.append(F.coalesce(_score(v, key), F.lit(0.0)).alias(col))
+    fields.append(F.try_variant_get(v, f'$["{S.SCORE_NOTE_KEY}"]', "string").alias("score_note"))
+    return s3.select(*df.columns, F.struct(*fields).alias(out))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from runlens import schemas as S
 from runlens.functions.jsoncheck import normalize_columns
 from runlens.operators.balance import spread_for_cpu
-from runlens.functions.judge import parse_judge_reply
+from runlens.functions.judge import parse_judge_replies
 
 
 def assemble_runs(outputs: DataFrame, judgements: DataFrame, key: str = "run_seq") -> DataFrame:
@@ -22,7 +22,7 @@ def assemble_runs(outputs: DataFrame, judgements: DataFrame, key: str = "run_seq
     -> run rows with ``json_valid``, ``judge_ok``, the six scores and note."""
     # parse each side where it is read (scan tasks; spread when the input is
     # one small split), then join the parsed rows on the unique key
-    parsed = spread_for_cpu(judgements).select(key, parse_judge_reply("reply").alias("__j"))
+    parsed = parse_judge_replies(spread_for_cpu(judgements).select(key, "reply"), "reply", "__j").drop("reply")
     normed = normalize_columns(outputs, "output_content").select(
         *[c for c in outputs.columns if c != "output_content"],
         F.struct("normalized", "json_valid").alias("__n"))
