@@ -142,3 +142,19 @@ def test_bucketed_inputs_join_without_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
         spark.sql("DROP TABLE IF EXISTS rl_outputs")
         spark.sql("DROP TABLE IF EXISTS rl_replies")
+
+
+def test_raw_outputs_last_write_wins_on_equal_names(spark):
+    d = _tmp()
+    rows = [(1, "sceneA", "场景A", "方案1-纯提示词", "Qwen3-14B", "P1", 1, 10.0),
+            (5, "sceneA", "场景A", "方案1-纯提示词", "Qwen3-14B", "P1", 1, 50.0),   # same file name, later
+            (3, "sceneA", "场景A", "方案1-纯提示词", "Qwen3-14B", "P1", 2, 30.0)]
+    df = spark.createDataFrame(rows, "run_seq long, scene_id string, scene_name string, scheme string, "
+                                     "model string, param_set string, repeat_idx int, format_compliance double")
+    for c in S.RUNS.fieldNames():
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(S.RUNS[c].dataType))
+    W.write_raw_outputs(df, os.path.join(d, "raw"))
+    back = {r.repeat_idx: r.format_compliance
+            for r in SRC.read_raw_outputs(spark, os.path.join(d, "raw"), one_document_per_file=False).collect()}
+    assert back == {1: 50.0, 2: 30.0}

@@ -118,3 +118,13 @@ def test_format_points_and_entry_counts(spark):
         entry_counts_equal("parsed").alias("eq")).collect()
     assert [x.p for x in r] == [100, 100]
     assert [x.eq for x in r] == [True, False]
+
+
+def test_canonical_json_is_compact_and_sorted(spark):
+    import json
+
+    from runlens.functions.jsoncheck import canonical_json
+
+    doc = '{"b": [1, 2, {"y": "é", "x": null}], "a": "text"}'
+    r = check_outputs(spark.createDataFrame([(doc,)], "t string"), "t").select(canonical_json("parsed")).first()[0]
+    assert r == json.dumps(json.loads(doc), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
