@@ -100,3 +100,38 @@ def test_overall_statistics_matches_pandas(runs, pdf):
         for d in DIMS:
             assert g[f"{d}_mean"] == round(sub[d].mean(), 1)
             assert g[f"{d}_max"] == round(sub[d].max(), 1) and g[f"{d}_min"] == round(sub[d].min(), 1)
+
+
+@pytest.fixture(scope="module")
+def oruns(spark):
+    return TD.orthogonal_runs(spark, SF_ORACLE)
+
+
+def test_group_statistics_matches_pandas(oruns):
+    pdf = oruns.toPandas().sort_values("run_seq")
+    got = {(r.group_id, r.model): r for r in R.group_statistics(oruns).collect()}
+    for (g, m), sub in pdf.groupby(["group_id", "model"]):
+        means = sub[DIMS].mean()
+        r = got[(g, m)]
+        assert r.n == len(sub)
+        assert math.isclose(r.mean_score, means.mean(), rel_tol=1e-12)
+        assert math.isclose(r.std_score, means.std(), rel_tol=1e-9)
+
+
+def test_composite_by_config_matches_pandas(oruns):
+    from runlens.plans import design as D
+
+    g4 = next(d for d in D.orthogonal_designs() if d.name == "group4")
+    cfg = {(c["model_key"], c["scheme_key"], c["temperature"]) for c in D.configurations(g4)}
+    pdf = oruns.toPandas()
+    pdf = pdf[(pdf.group_id == "group4") & pdf.apply(lambda r: (r.model_key, r.scheme_key, r.temperature) in cfg,
+                                                      axis=1)].copy()
+    pdf["composite"] = sum(pdf[c] * w for c, _, w in S.DIMENSIONS)
+    keys = ["model", "scheme", "temperature"]
+    got = {tuple(r[k] for k in keys): r for r in R.factor_effect(oruns, D.configurations(g4), keys).collect()}
+    assert len(got) == 6
+    for key, sub in pdf.groupby(keys):
+        r = got[key]
+        assert r.n == len(sub)
+        assert abs(r.composite_mean - round(sub["composite"].mean(), 2)) <= 0.0100001
+        assert abs(r.composite_std - round(sub["composite"].std(), 2)) <= 0.0100001
