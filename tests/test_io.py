@@ -158,3 +158,14 @@ def test_raw_outputs_last_write_wins_on_equal_names(spark):
     back = {r.repeat_idx: r.format_compliance
             for r in SRC.read_raw_outputs(spark, os.path.join(d, "raw"), one_document_per_file=False).collect()}
     assert back == {1: 50.0, 2: 30.0}
+
+
+def test_csv_export_round_trip_gives_same_reports(spark):
+    d = _tmp()
+    runs = TD.runs(spark, SF_SMALL)
+    W.export_csv(runs, os.path.join(d, "scores"))
+    back = SRC.read_runs_csv(spark, os.path.join(d, "scores"))
+    a = [tuple(r) for r in R.summary_statistics(runs).collect()]
+    b = [tuple(r) for r in R.summary_statistics(back).collect()]
+    assert a == b
+    assert back.count() == runs.count()
