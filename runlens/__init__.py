@@ -25,7 +25,8 @@ from runlens.operators.ranking import last_by_key, seq_rank  # noqa: F401,E402
 from runlens.operators.reports import (  # noqa: F401,E402
     best_configuration, best_vs_baseline, composite_by_config, consistency_report, consistency_scores,
     detail, factor_effect, first_appearance, group_statistics, interaction_table, main_results,
-    main_summary, overall_statistics, report_tables, scene_sheets, sensitivity, summary_statistics,
+    main_summary, orthogonal_report_tables, overall_statistics, report_tables, scene_sheets, sensitivity,
+    summary_statistics,
     with_composite, with_repeat_idx,
 )
 from runlens.plans.design import (  # noqa: F401,E402

@@ -318,15 +318,14 @@ def with_composite(runs: DataFrame, name: str = "composite") -> DataFrame:
     return runs.withColumn(name, composite_score())
 
 
-def composite_by_config(runs: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
-    """A10: composite mean +- sample std per configuration, with dimension
-    means and stds.  The mean composite is the composite of the dimension
-    means (equal to the mean of run composites, but from exact sums)."""
-    r = with_composite(runs, "__c")
+def _config_aggs() -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("n"), F.stddev_samp("__c").alias("__csd")]
     for d in DIMS:
         aggs += [_mean(d).alias(f"{d}_mean"), _std(d).alias(f"{d}_std")]
-    g = _nonnull(r, keys).groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def _config_finish(g: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
     comp = None
     for d in DIMS:
         t = F.col(f"{d}_mean") * float(S.DIM_WEIGHTS[d])
@@ -339,6 +338,14 @@ def composite_by_config(runs: DataFrame, keys: list[str], digits: int = 2) -> Da
     return g.select(*cols)
 
 
+def composite_by_config(runs: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
+    """A10: composite mean +- sample std per configuration, with dimension
+    means and stds.  The mean composite is the composite of the dimension
+    means (equal to the mean of run composites, but from exact sums)."""
+    g = _nonnull(with_composite(runs, "__c"), keys).groupBy(*keys).agg(*_config_aggs())
+    return _config_finish(g, keys, digits)
+
+
 def best_configuration(by_config: DataFrame, keys: list[str]) -> DataFrame:
     """A11 + N5: the configuration with the highest mean composite (ties by
     keys).  Top-1 of the small per-configuration table."""
@@ -447,3 +454,66 @@ def first_appearance(runs: DataFrame, cols: list[str]) -> DataFrame:
          .agg(F.min("run_seq").alias("first_run_seq")))
     w = Window.partitionBy("column_name").orderBy("first_run_seq")
     return u.select("column_name", "value", "first_run_seq", F.row_number().over(w).cast("bigint").alias("position"))
+
+
+def orthogonal_report_tables(runs: DataFrame, designs, materialise=None, digits: int = 2) -> dict[str, DataFrame]:
+    """A8, A10 and A12 from ONE grouping-sets aggregation over the runs.
+
+    Each design group fixes every factor but the one it varies, so every
+    factor table is the finest grouping (group, model, scheme, temperature)
+    restricted to that group's configurations; the group statistics (A8)
+    group all rows by (group, model).  One scan, partial aggregates shuffled;
+    ``materialise`` (e.g. a checkpoint) is applied to the small grouped result.
+    """
+    from runlens.plans.design import config_filter, configurations
+
+    cfgs = [c for d in designs if d.enabled for c in configurations(d)]
+    base = with_composite(runs, "__c").withColumn("__in_cfg", F.coalesce(config_filter(cfgs), F.lit(False)))
+    fine = ["group_id", "model_key", "model", "scheme", "temperature", "__in_cfg"]
+    all_keys = fine
+    g = (base.groupingSets([[F.col(k) for k in fine], [F.col("group_id"), F.col("model")]], *all_keys)
+         .agg(F.grouping_id(*all_keys).alias("__gid"), *_config_aggs(),
+              F.min("run_seq").alias("__first_seq")))
+    if materialise is not None:
+        g = materialise(g)
+    fine_rows = g.where((F.col("__gid") == 0) & F.col("__in_cfg"))
+    coarse_gid = sum(1 << (len(all_keys) - 1 - i) for i, k in enumerate(all_keys) if k not in ("group_id", "model"))
+    coarse = _nonnull(g.where(F.col("__gid") == coarse_gid), ["group_id", "model"])
+
+    # A8 from the (group, model) rows: mean of the six means, sample std across them
+    ms = [F.col(f"{d}_mean") for d in DIMS]
+    total = ms[0]
+    for m in ms[1:]:
+        total = total + m
+    mean = total / float(len(ms))
+    sq = None
+    for m in ms:
+        t = (m - mean) * (m - mean)
+        sq = t if sq is None else sq + t
+    o1 = F.min("__first_seq").over(Window.partitionBy("group_id"))
+    a8 = (coarse.select("group_id", "model", "n", mean.alias("mean_score"),
+                        F.sqrt(sq / float(len(ms) - 1)).alias("std_score"), o1.alias("__o1"),
+                        F.col("__first_seq").alias("__o2"))
+          .orderBy("__o1", "__o2").drop("__o1", "__o2"))
+
+    def table(group, keys):
+        t = fine_rows.where(F.col("group_id") == group)
+        return _config_finish(t, keys, digits).orderBy(*keys)
+
+    g4 = fine_rows.where(F.col("group_id") == "group4")
+    model_keys = sorted({c["model_key"] for c in cfgs})
+    comp = None
+    for d in DIMS:
+        t = F.col(f"{d}_mean") * float(S.DIM_WEIGHTS[d])
+        comp = t if comp is None else comp + t
+    inter = (g4.groupBy("scheme").pivot("model_key", model_keys).agg(F.first(comp))
+             .select("scheme", *[py_round(F.col(m), digits).alias(f"{m}_composite") for m in model_keys])
+             .orderBy("scheme"))
+    return {
+        "group_statistics": a8,
+        "composite_by_config": table("group4", ["model", "scheme", "temperature"]),
+        "temperature_effect": table("group1", ["model", "temperature"]),
+        "scheme_effect": table("group2", ["model", "scheme"]),
+        "model_effect": table("group3", ["scheme", "model"]),
+        "interaction": inter,
+    }

@@ -164,3 +164,25 @@ def test_consistency_in_range_and_groups_cover_table(spark):
         if "n" in t.columns and name in ("main_summary", "param_sensitivity", "overall_statistics"):
             expect = runs.where("param_set = 'P1'").count() if name == "main_summary" else total
             assert t.selectExpr("sum(n)").first()[0] == expect, name
+
+
+def test_orthogonal_report_tables_equal_single_reports(spark):
+    import __spark_entry__ as E
+    from runlens.plans import design as D
+    from conftest import SF_ORACLE
+
+    from runlens.sources import testdata as TD
+
+    oruns = TD.orthogonal_runs(spark, SF_ORACLE)
+    t = R.orthogonal_report_tables(oruns, D.orthogonal_designs())
+    q = E.queries()
+    pairs = {"group_statistics": "a8_group_stats", "composite_by_config": "a10_composite_by_config",
+             "temperature_effect": "a12_temperature_effect", "scheme_effect": "a12_scheme_effect",
+             "model_effect": "a12_model_effect", "interaction": "a12_interaction"}
+    for name, key in pairs.items():
+        single = q[key](spark, SF_ORACLE)
+        assert t[name].columns == single.columns, name
+        assert [tuple(r) for r in t[name].collect()] == [tuple(r) for r in single.collect()], name
+    fresh = R.orthogonal_report_tables(oruns, D.orthogonal_designs())["scheme_effect"]
+    p = fresh._jdf.queryExecution().executedPlan().toString()
+    assert p.count("FileScan") == 1 and "Expand" in p
