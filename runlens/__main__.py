@@ -1,7 +1,7 @@
 """Command line: ``python -m runlens <command> ...`` (submit with spark-submit
 on a cluster; the session comes from the cluster's configuration).
 
-  reports  --runs PATH [--csv] --out DIR [--format csv|parquet]
+  reports  --runs PATH [--csv] [--orthogonal] --out DIR [--format csv|parquet]
   pending  --runs PATH [--csv] [--orthogonal] [--include-failed] --out DIR
   ingest   --raw DIR --table DIR --checkpoint DIR
 """
@@ -22,9 +22,10 @@ def _runs(spark, args):
 
 
 def cmd_reports(spark, args):
-    from runlens.sinks.files import write_reports
+    from runlens.sinks.files import write_orthogonal_reports, write_reports
 
-    for name, path in write_reports(_runs(spark, args), args.out, fmt=args.format).items():
+    write = write_orthogonal_reports if args.orthogonal else write_reports
+    for name, path in write(_runs(spark, args), args.out, fmt=args.format).items():
         print(f"{name}\t{path}")
 
 
@@ -64,6 +65,7 @@ def main(argv=None):
     r.add_argument("--csv", action="store_true")
     r.add_argument("--out", required=True)
     r.add_argument("--format", default="csv", choices=["csv", "parquet"])
+    r.add_argument("--orthogonal", action="store_true")
     q = sub.add_parser("pending")
     q.add_argument("--runs", required=True)
     q.add_argument("--csv", action="store_true")

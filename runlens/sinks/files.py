@@ -111,3 +111,17 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str = "run_seq", b
     """
     (df.write.mode(mode).bucketBy(buckets, key).sortBy(key)
      .option("path", path).saveAsTable(table))
+
+
+def write_orthogonal_reports(runs: DataFrame, out_dir: str, fmt: str = "csv") -> dict[str, str]:
+    """A8, A10, A12 of the orthogonal experiment into one folder, from one
+    grouping-sets pass whose small result is checkpointed once."""
+    from runlens.plans.design import orthogonal_designs
+
+    tables = R.orthogonal_report_tables(runs, orthogonal_designs(), materialise=materialise)
+    written = {}
+    for name, df in tables.items():
+        p = f"{out_dir.rstrip('/')}/{name}"
+        (export_csv(df.coalesce(1), p) if fmt == "csv" else df.coalesce(1).write.mode("overwrite").parquet(p))
+        written[name] = p
+    return written

@@ -169,3 +169,15 @@ def test_csv_export_round_trip_gives_same_reports(spark):
     b = [tuple(r) for r in R.summary_statistics(back).collect()]
     assert a == b
     assert back.count() == runs.count()
+
+
+def test_cli_orthogonal_reports(spark):
+    from runlens.__main__ import main
+
+    d = _tmp()
+    runs_path = os.path.join(d, "oruns")
+    W.write_runs(TD.orthogonal_runs(spark, SF_SMALL), runs_path, mode="overwrite")
+    main(["reports", "--orthogonal", "--runs", runs_path, "--out", os.path.join(d, "rep")])
+    back = spark.read.option("header", True).csv(os.path.join(d, "rep", "group_statistics"))
+    assert back.count() == 8
+    assert os.path.isdir(os.path.join(d, "rep", "interaction"))
