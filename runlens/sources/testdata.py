@@ -18,7 +18,6 @@ with ``events``; nothing is sampled or capped.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from runlens import schemas as S
 from runlens.operators.balance import spread_for_cpu

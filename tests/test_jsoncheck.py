@@ -1,7 +1,6 @@
 """Model-output checks on literal cases with hand-derived expected flags."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from runlens.functions.jsoncheck import check_outputs, entry_counts_equal, format_points
 from runlens.functions.text import json_span, strip_code_fence, trim_unicode

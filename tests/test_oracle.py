@@ -2,7 +2,6 @@
 
 import json
 import math
-import os
 
 import duckdb
 import pytest

@@ -4,7 +4,6 @@ row by arrival order) -- an oracle independent of the SQL restatements."""
 
 import math
 
-import pandas as pd
 import pytest
 
 from runlens import schemas as S

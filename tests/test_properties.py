@@ -5,7 +5,6 @@ import json
 import random
 
 import numpy as np
-import pytest
 from hypothesis import given, settings, strategies as st
 
 from runlens.functions.jsoncheck import strict_json_ok
