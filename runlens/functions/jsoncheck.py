@@ -119,8 +119,31 @@ def _is_string(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
 
-def _item_fields(m: Column) -> dict:
-    return {f: F.map_contains_key(m, f) for f in REQUIRED_FIELDS}
+def _get(v: Column, path: str) -> Column:
+    """Sub-value at ``path``; NULL when absent (a JSON null is a VOID variant)."""
+    return F.try_variant_get(v, path, "variant")
+
+
+def _is_obj(v: Column) -> Column:
+    """Object test without copying it: a cast to the empty struct."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
+def _is_array_field(x: Column, f: str) -> Column:
+    """``x.f`` is an array, without copying it: a first element exists, or the
+    value prints as ``[]`` (``to_json`` only runs when there is no element)."""
+    return F.when(_get(x, f"$.{f}[0]").isNotNull(), F.lit(True)).otherwise(
+        F.coalesce(F.to_json(_get(x, f"$.{f}")) == "[]", F.lit(False)))
+
+
+def _item_flags(x: Column) -> Column:
+    """Per item: is it an object, which required fields are present, which
+    present fields have the wrong type -- path probes, no per-item copies."""
+    pres = {f: _get(x, f"$.{f}").isNotNull() for f in REQUIRED_FIELDS}
+    parts = [_is_obj(x).alias("obj"), *[pres[f].alias(f"has_{f}") for f in REQUIRED_FIELDS],
+             (pres["name"] & ~_is_string(_get(x, "$.name"))).alias("bad_name")]
+    parts += [(pres[f] & ~_is_array_field(x, f)).alias(f"bad_{f}") for f in ARRAY_FIELDS]
+    return F.struct(*parts)
 
 
 def format_check_columns(df: DataFrame, parsed: str = "parsed", prefix: str = "") -> DataFrame:
@@ -128,74 +151,61 @@ def format_check_columns(df: DataFrame, parsed: str = "parsed", prefix: str = ""
 
     Adds: json_valid, structure_valid, field_names_valid, data_types_valid,
     n_items, correct_items, and the four ``*_detail`` strings.
+
+    Presence and type tests are path probes on the variant; the only copy
+    made is the item list itself (to walk it with ``transform``).
     """
     v = F.col(parsed)
-    root_obj = _obj(v)
-    stage1 = df.select(
-        "*",
-        root_obj.alias("__root_obj"),
-        _arr(v).alias("__root_arr"),
-    )
-    has_ti = F.coalesce(F.map_contains_key(F.col("__root_obj"), ITEMS_KEY), F.lit(False))
-    ti = F.col("__root_obj")[ITEMS_KEY]
-    stage2 = stage1.select(
-        "*",
-        has_ti.alias("__has_ti"),
-        F.when(has_ti, _arr(ti)).alias("__ti_arr"),
-        F.when(has_ti, _obj(ti)).alias("__ti_obj"),
-        F.when(has_ti & _is_string(ti), F.variant_get(ti, "$", "string")).alias("__ti_str"),
-    )
-    root_list = F.coalesce(F.size(F.col("__root_arr")) > 0, F.lit(False))
+    stage1 = df.select("*", _get(v, "$." + ITEMS_KEY).alias("__ti"),
+                       _get(v, "$[0]").isNotNull().alias("__root_list"))
+    ti = F.col("__ti")
+    has_ti = ti.isNotNull()
+    root_list = F.col("__root_list")
+    ti_nonempty_list = _get(ti, "$[0]").isNotNull()
     # The sequence the item checks walk: the test_items array, the root array,
     # or -- as the reference iterates them -- a string's characters / an
     # object's keys (never objects, so only "not an object" issues).
-    items = F.when(F.col("__has_ti"), F.col("__ti_arr")).when(root_list, F.col("__root_arr"))
-    n_other = F.when(F.col("__has_ti") & F.col("__ti_str").isNotNull(), F.length("__ti_str")).when(
-        F.col("__has_ti") & F.col("__ti_obj").isNotNull(), F.size("__ti_obj"))
-    stage3 = stage2.select(
-        "*",
-        F.transform(items, lambda x: _obj(x)).alias("__items"),
-        n_other.alias("__n_other"),
-    )
-    it = F.col("__items")
-    n_arr = F.size(it)
-    run_arr = it.isNotNull() & (n_arr > 0)
-    run_other = it.isNull() & F.coalesce(F.col("__n_other") > 0, F.lit(False))
+    items = F.when(has_ti, F.when(ti_nonempty_list, _arr(ti))).when(root_list, _arr(v))
+    n_other = F.when(has_ti & _is_string(ti), F.length(F.variant_get(ti, "$", "string"))).when(
+        has_ti & _is_obj(ti), F.size(_obj(ti)))
+    stage2 = stage1.select("*", has_ti.alias("__has_ti"), (has_ti & ti_nonempty_list).alias("__structure_ok"),
+                           items.alias("__items"), n_other.alias("__n_other"))
+    stage3 = stage2.select("*", F.transform("__items", _item_flags).alias("__fl"))
+    fl = F.col("__fl")
+    n_arr = F.size(fl)
+    run_arr = fl.isNotNull() & (n_arr > 0)
+    run_other = fl.isNull() & F.coalesce(F.col("__n_other") > 0, F.lit(False))
     checks_run = run_arr | run_other
     n_items = F.when(run_arr, n_arr).when(run_other, F.col("__n_other")).otherwise(F.lit(0))
 
-    def field_issues(m, i):
+    def field_issues(g, i):
         idx = (i + 1).cast("string")
-        miss = [F.when(~F.map_contains_key(m, f), _fmt(ISSUE_MISSING_FIELD, i=idx, f=F.lit(f)))
-                for f in REQUIRED_FIELDS]
-        return F.when(m.isNull(), F.array(_fmt(ISSUE_NOT_OBJECT, i=idx))).otherwise(
+        miss = [F.when(~g[f"has_{f}"], _fmt(ISSUE_MISSING_FIELD, i=idx, f=F.lit(f))) for f in REQUIRED_FIELDS]
+        return F.when(~g["obj"], F.array(_fmt(ISSUE_NOT_OBJECT, i=idx))).otherwise(
             F.filter(F.array(*miss), lambda s: s.isNotNull()))
 
-    def type_issues(m, i):
+    def type_issues(g, i):
         idx = (i + 1).cast("string")
-        name_bad = F.map_contains_key(m, "name") & ~_is_string(m["name"])
-        parts = [F.when(name_bad, _fmt(ISSUE_NAME_NOT_STRING, i=idx))]
-        for f in ARRAY_FIELDS:
-            bad = F.map_contains_key(m, f) & _arr(m[f]).isNull()
-            parts.append(F.when(bad, _fmt(ISSUE_NOT_ARRAY, i=idx, f=F.lit(f))))
-        return F.when(m.isNull(), F.array().cast("array<string>")).otherwise(
+        parts = [F.when(g["bad_name"], _fmt(ISSUE_NAME_NOT_STRING, i=idx))]
+        parts += [F.when(g[f"bad_{f}"], _fmt(ISSUE_NOT_ARRAY, i=idx, f=F.lit(f))) for f in ARRAY_FIELDS]
+        return F.when(~g["obj"], F.array().cast("array<string>")).otherwise(
             F.filter(F.array(*parts), lambda s: s.isNotNull()))
 
-    def all_fields(m):
-        acc = m.isNotNull()
+    def all_fields(g):
+        acc = g["obj"]
         for f in REQUIRED_FIELDS:
-            acc = acc & F.map_contains_key(m, f)
+            acc = acc & g[f"has_{f}"]
         return acc
 
     other_issues = F.transform(F.sequence(F.lit(1), F.least(F.col("__n_other"), F.lit(ISSUES_SHOWN))),
                                lambda i: _fmt(ISSUE_NOT_OBJECT, i=i.cast("string")))
     stage4 = stage3.select(
         "*",
-        F.when(run_arr, F.flatten(F.transform(it, field_issues))).when(run_other, other_issues)
+        F.when(run_arr, F.flatten(F.transform(fl, field_issues))).when(run_other, other_issues)
         .alias("__f_issues"),
-        F.when(run_arr, F.flatten(F.transform(it, type_issues)))
+        F.when(run_arr, F.flatten(F.transform(fl, type_issues)))
         .when(run_other, F.array().cast("array<string>")).alias("__t_issues"),
-        F.when(run_arr, F.size(F.filter(it, all_fields))).otherwise(F.lit(0)).cast("bigint").alias("correct_items"),
+        F.when(run_arr, F.size(F.filter(fl, all_fields))).otherwise(F.lit(0)).cast("bigint").alias("correct_items"),
         n_items.cast("bigint").alias("n_items"),
         checks_run.alias("__checks_run"),
     )
@@ -203,7 +213,7 @@ def format_check_columns(df: DataFrame, parsed: str = "parsed", prefix: str = ""
     fi, tis = F.col("__f_issues"), F.col("__t_issues")
     ok_fields = F.col("__checks_run") & (F.size(fi) == 0)
     ok_types = F.col("__checks_run") & (F.size(tis) == 0)
-    structure_ok = F.col("__has_ti") & F.coalesce(F.size("__ti_arr") > 0, F.lit(False))
+    structure_ok = F.col("__structure_ok")
     n = F.col("n_items").cast("string")
     shown = lambda a: F.array_join(F.slice(a, 1, ISSUES_SHOWN), ISSUE_SEPARATOR)
     out = stage4.select(
@@ -214,9 +224,9 @@ def format_check_columns(df: DataFrame, parsed: str = "parsed", prefix: str = ""
         ok_types.alias(prefix + "data_types_valid"),
         F.when(valid, F.lit(MSG_JSON_OK)).otherwise(F.lit(MSG_JSON_FAILED)).alias(prefix + "json_valid_detail"),
         F.when(~valid, F.lit(MSG_STRUCTURE_DEFAULT))
-        .when(structure_ok, _fmt(MSG_STRUCTURE_OK, n=F.size("__ti_arr").cast("string")))
+        .when(structure_ok, _fmt(MSG_STRUCTURE_OK, n=F.size("__items").cast("string")))
         .when(F.col("__has_ti"), F.lit(MSG_STRUCTURE_NOT_ARRAY))
-        .when(root_list, _fmt(MSG_STRUCTURE_BARE_ARRAY, n=F.size("__root_arr").cast("string")))
+        .when(F.col("__root_list"), _fmt(MSG_STRUCTURE_BARE_ARRAY, n=F.size("__items").cast("string")))
         .otherwise(F.lit(MSG_STRUCTURE_MISSING)).alias(prefix + "structure_detail"),
         F.when(ok_fields, _fmt(MSG_FIELDS_OK, n=n))
         .when(F.col("__checks_run"), _fmt(MSG_FIELDS_BAD, correct=F.col("correct_items").cast("string"),
