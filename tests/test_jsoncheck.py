@@ -127,3 +127,13 @@ def test_canonical_json_is_compact_and_sorted(spark):
     doc = '{"b": [1, 2, {"y": "é", "x": null}], "a": "text"}'
     r = check_outputs(spark.createDataFrame([(doc,)], "t string"), "t").select(canonical_json("parsed")).first()[0]
     assert r == json.dumps(json.loads(doc), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+@pytest.mark.parametrize("methods,types_ok", [
+    ("[]", True), ("[null]", True), ('["a"]', True), ("{}", False), ('"[]"', False), ("null", False),
+    ("0", False), ('{"0": 1}', False), ("[[]]", True),
+])
+def test_array_type_probe(spark, methods, types_ok):
+    text = '{"test_items":[{"name":"n","methods":' + methods + ',"requirements":[],"criteria":[]}]}'
+    r = check_outputs(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert r.field_names_valid is True and r.data_types_valid is types_ok
