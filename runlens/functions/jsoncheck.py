@@ -239,7 +239,7 @@ def format_check_columns(df: DataFrame, parsed: str = "parsed", prefix: str = ""
     return out
 
 
-def normalize_columns(df: DataFrame, text: str = "output_content") -> DataFrame:
+def normalize_columns(df: DataFrame, text: str = "output_content", spread: bool = True) -> DataFrame:
     """T1-T6 as staged projections: adds ``normalized``, ``parsed`` (VARIANT)
     and ``json_valid``.  Each stage reads the previous stage's columns, so
     the span and each parse are computed once per row (a single nested
@@ -247,7 +247,8 @@ def normalize_columns(df: DataFrame, text: str = "output_content") -> DataFrame:
     from runlens.operators.balance import spread_for_cpu
 
     t = F.col(text)
-    s1 = spread_for_cpu(df).select("*", json_span(trim_unicode(strip_code_fence(trim_unicode(t)))).alias("__span"))
+    src = spread_for_cpu(df) if spread else df   # spread=False keeps an existing (bucketed) partitioning
+    s1 = src.select("*", json_span(trim_unicode(strip_code_fence(trim_unicode(t)))).alias("__span"))
     span = F.col("__span")
     s2 = s1.select("*",
                    F.try_parse_json(F.concat(F.lit('{"v":'), span, F.lit("}"))).alias("__member"),
@@ -262,10 +263,10 @@ def normalize_columns(df: DataFrame, text: str = "output_content") -> DataFrame:
                      "json_valid")
 
 
-def check_outputs(df: DataFrame, text: str = "output_content") -> DataFrame:
+def check_outputs(df: DataFrame, text: str = "output_content", spread: bool = True) -> DataFrame:
     """T6 + T7-T12 for a text column: adds ``normalized``, ``parsed``
     (VARIANT) and every check column.  The document is parsed once."""
-    norm = normalize_columns(df, text).drop("json_valid")
+    norm = normalize_columns(df, text, spread=spread).drop("json_valid")
     return format_check_columns(norm, "parsed")
 
 

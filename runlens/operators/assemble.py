@@ -17,13 +17,18 @@ from runlens.operators.balance import spread_for_cpu
 from runlens.functions.judge import parse_judge_replies
 
 
-def assemble_runs(outputs: DataFrame, judgements: DataFrame, key: str = "run_seq") -> DataFrame:
+def assemble_runs(outputs: DataFrame, judgements: DataFrame, key: str = "run_seq",
+                  spread: bool = True) -> DataFrame:
     """outputs(key, success, output_content, ...) + judgements(key, reply)
-    -> run rows with ``json_valid``, ``judge_ok``, the six scores and note."""
+    -> run rows with ``json_valid``, ``judge_ok``, the six scores and note.
+
+    ``spread=False`` keeps the inputs' partitioning (e.g. both bucketed by
+    the key, so the join needs no exchange)."""
     # parse each side where it is read (scan tasks; spread when the input is
     # one small split), then join the parsed rows on the unique key
-    parsed = parse_judge_replies(spread_for_cpu(judgements).select(key, "reply"), "reply", "__j").drop("reply")
-    normed = normalize_columns(outputs, "output_content").select(
+    replies = spread_for_cpu(judgements) if spread else judgements
+    parsed = parse_judge_replies(replies.select(key, "reply"), "reply", "__j").drop("reply")
+    normed = normalize_columns(outputs, "output_content", spread=spread).select(
         *[c for c in outputs.columns if c != "output_content"],
         F.struct("normalized", "json_valid").alias("__n"))
     j = normed.join(parsed, key, "left")

@@ -134,7 +134,7 @@ def test_bucketed_inputs_join_without_exchange(spark):
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the sort-merge path
     try:
-        runs = assemble_runs(spark.table("rl_outputs"), spark.table("rl_replies"))
+        runs = assemble_runs(spark.table("rl_outputs"), spark.table("rl_replies"), spread=False)
         p = runs._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in p and "Exchange" not in p
         assert runs.count() == TD.outputs(spark, SF_SMALL).count()
