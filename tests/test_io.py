@@ -181,3 +181,15 @@ def test_cli_orthogonal_reports(spark):
     back = spark.read.option("header", True).csv(os.path.join(d, "rep", "group_statistics"))
     assert back.count() == 8
     assert os.path.isdir(os.path.join(d, "rep", "interaction"))
+
+
+def test_cli_orthogonal_pending(spark):
+    from runlens.__main__ import main
+
+    d = _tmp()
+    runs_path = os.path.join(d, "oruns")
+    W.write_runs(TD.orthogonal_runs(spark, SF_SMALL), runs_path, mode="overwrite")
+    main(["pending", "--orthogonal", "--runs", runs_path, "--out", os.path.join(d, "pending")])
+    pend = spark.read.option("header", True).csv(os.path.join(d, "pending"))
+    assert 0 < pend.count() < 840
+    assert pend.where("design NOT IN ('group1', 'group2', 'group3', 'group4')").count() == 0
