@@ -186,3 +186,20 @@ def test_orthogonal_report_tables_equal_single_reports(spark):
     fresh = R.orthogonal_report_tables(oruns, D.orthogonal_designs())["scheme_effect"]
     p = fresh._jdf.queryExecution().executedPlan().toString()
     assert p.count("FileScan") == 1 and "Expand" in p
+
+
+def test_best_vs_baseline_reproduces_published_table(spark):
+    import __spark_entry__ as E
+
+    means = [93.50, 100.00, 96.67, 92.07, 92.17, 99.00]        # best configuration, as printed
+    stds = [7.56, 0.00, 3.30, 3.19, 2.32, 2.75]
+    comp = sum(m * S.DIM_WEIGHTS[d] for d, m in zip(S.DIM_COLS, means))
+    cols = {f"{d}_mean": m for d, m in zip(S.DIM_COLS, means)}
+    cols.update({f"{d}_std": v for d, v in zip(S.DIM_COLS, stds)})
+    cols.update({"composite_mean": round(comp, 2), "composite_std": 2.25})
+    best = spark.createDataFrame([tuple(cols.values())], ", ".join(f"{k} double" for k in cols))
+    got = {r.dimension: r.diff for r in R.best_vs_baseline(best, E._baseline(spark, "published")).collect()}
+    assert got == {"format_compliance": -6.5, "entry_correspondence": 0.0, "requirement_coverage": 0.2,
+                   "item_validity": -0.9, "description_quality": -0.3, "no_hallucination": -1.0,
+                   "composite": -2.2}
+    assert round(comp, 2) == 94.83 and abs(comp - 94.827) < 1e-9
