@@ -773,6 +773,15 @@ _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "t16_chat_messages": (q_t16, sql_t16),
 }
 
+# the training-data operators: a subpackage of their own that may be left out
+try:
+    from runlens.llm import entry as LLM  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not str(missing.name or "").startswith(("runlens.llm", "corpus_pipeline")) and "runlens" not in str(missing):
+        raise
+else:
+    _QUERIES |= LLM.QUERIES
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the summary statistics report on sf0.001."""
