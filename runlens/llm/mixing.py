@@ -17,6 +17,8 @@ gives an order in which documents with larger fractions come earlier in
 proportion; documents are taken in that order until the words come as near to
 the target as they can.  The order is cut at one of ``BINS`` steps, so only
 sums per step are needed; a source of few documents has one document per step.
+At last the one document whose adding or leaving out brings the words nearest
+to the target is added or left out.
 
 Defined results: null text has size 0; documents of size 0 take 0 words and one copy;
 null sources are a source of their own; null ids hash like any value; repeated
@@ -133,11 +135,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     upto = Window.partitionBy("source_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     steps = bins.where("bin is not null").select("source_key", "bin", F.sum("words").over(upto).alias("words"))
     steps = steps.unionByName(base.select("source_key", F.lit(-1).alias("bin"), F.lit(0).cast("bigint").alias("words")))
-    off = steps.join(base, "source_key").join(goal.select("source_key", "target"), "source_key").select("source_key", "bin", F.abs(F.col("whole") + F.col("words") - F.col("target")).alias("off"))
-    cut = off.groupBy("source_key").agg(F.min(F.struct("off", "bin"))["bin"].alias("cut"))
-    last = materialise(cut.join(goal.select("source_key", "source_size", "target"), "source_key"), "cuts")
-
-    copies = (F.floor("rate") + F.when(F.col("bin") <= F.col("cut"), 1).otherwise(0)).cast("int")
+    off = steps.join(base, "source_key").join(goal.select("source_key", "target"), "source_key")
+    off = off.select("source_key", "bin", (F.col("whole") + F.col("words") - F.col("target")).alias("off"))
+    cut = off.groupBy("source_key").agg(F.min(F.struct(F.abs("off").alias("far"), "bin", "off")).alias("best"))
+    cut = materialise(cut.select("source_key", F.col("best.bin").alias("cut"), F.col("best.off").alias("off")), "cuts")
+    # one document more or less may come nearer still
+    chosen = rated.where("bin is not null").join(cut, "source_key").withColumn("change", F.when(F.col("bin") <= F.col("cut"), -F.col("size")).otherwise(F.col("size")))
+    swap = chosen.withColumn("far", F.abs(F.col("off") + F.col("change"))).where(F.col("far") < F.abs("off")).groupBy("source_key").agg(F.min(F.struct("far", F.xxhash64("id").alias("h"), "id", "size", F.sign("change").alias("by"))).alias("swap"))
+    last = goal.select("source_key", "source_size", "target").join(cut.select("source_key", "cut"), "source_key").join(swap, "source_key", "left")
+    last = materialise(last, "last")
+
+    picked = F.when(F.col("bin") <= F.col("cut"), 1).otherwise(0)
+    swapped = F.col("bin").isNotNull() & F.col("id").eqNullSafe(F.col("swap.id")) & (F.col("size") == F.col("swap.size"))
+    copies = (F.floor("rate") + picked + F.when(F.coalesce(swapped, F.lit(False)), F.col("swap.by")).otherwise(0)).cast("int")
     done = rated.drop("target", "mean").join(last, "source_key").withColumn("copies", copies)
     return done.select("id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
