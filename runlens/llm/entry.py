@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, simhash, warc
+from . import ann, bpe, chat, iblt, langid, mixing, simhash, warc
 from .common import small_batches
 
 #: Folder of the public vocabulary files; a parameter of the encoding queries.
@@ -38,6 +38,14 @@ def op2_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict_documents(table(spark, sf, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return iblt.compare_editions(table(spark, sf, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
@@ -96,7 +104,9 @@ QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_language": (op2_language, None),
     "op3_warc": (op3_warc, sql_op3),
+    "op4_neighbours": (op4_neighbours, None),
     "op6_mixing": (op6_mixing, None),
     "op8_simhash": (op8_simhash, None),
+    "op9_fingerprints": (op9_fingerprints, None),
     "op10_chat": (op10_chat, sql_op10),
 }
