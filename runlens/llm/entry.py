@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, iblt, langid, mixing, simhash, warc
+from . import ann, bpe, chat, iblt, langid, linededup, mixing, simhash, warc
 from .common import small_batches
 
 #: Folder of the public vocabulary files; a parameter of the encoding queries.
@@ -46,6 +46,12 @@ def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return iblt.compare_editions(table(spark, sf, "documents"))
 
 
+def op5_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = linededup.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), F.col("lines").cast("bigint").alias("n_lines"), F.col("exact").alias("exact_removed"), F.col("nearly").alias("near_removed"),
+                       F.length("kept").cast("bigint").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
@@ -105,6 +111,7 @@ QUERIES = {
     "op2_language": (op2_language, None),
     "op3_warc": (op3_warc, sql_op3),
     "op4_neighbours": (op4_neighbours, None),
+    "op5_lines": (op5_lines, None),
     "op6_mixing": (op6_mixing, None),
     "op8_simhash": (op8_simhash, None),
     "op9_fingerprints": (op9_fingerprints, None),
