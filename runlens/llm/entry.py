@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, iblt, langid, linededup, mixing, simhash, warc
+from . import ann, bpe, chat, iblt, langid, linededup, mixing, secretscan, simhash, warc
 from .common import small_batches
 
 #: Folder of the public vocabulary files; a parameter of the encoding queries.
@@ -57,6 +57,11 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf, "documents"), learn=~langid.held_out(F.col("doc_id")))
+    return found.select("doc_id", "pos", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "label", "score", "secret")
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -113,6 +118,7 @@ QUERIES = {
     "op4_neighbours": (op4_neighbours, None),
     "op5_lines": (op5_lines, None),
     "op6_mixing": (op6_mixing, None),
+    "op7_secrets": (op7_secrets, None),
     "op8_simhash": (op8_simhash, None),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_chat": (op10_chat, sql_op10),
