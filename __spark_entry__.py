@@ -773,14 +773,15 @@ _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "t16_chat_messages": (q_t16, sql_t16),
 }
 
-# the training-data operators: a subpackage of their own that may be left out
+# the training-data operators and their pipeline: parts of their own that may be left out
 try:
+    import corpus_pipeline  # noqa: E402
     from runlens.llm import entry as LLM  # noqa: E402
 except ModuleNotFoundError as missing:
-    if not str(missing.name or "").startswith(("runlens.llm", "corpus_pipeline")) and "runlens" not in str(missing):
+    if missing.name not in ("corpus_pipeline", "runlens.llm"):
         raise
 else:
-    _QUERIES |= LLM.QUERIES
+    _QUERIES |= LLM.QUERIES | {"pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL and (lambda: corpus_pipeline.ORACLE_SQL))}
 
 
 def entry(spark: SparkSession) -> DataFrame:
