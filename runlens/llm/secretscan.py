@@ -9,8 +9,8 @@ the neighbouring words (how often each word stands beside labelled secrets).
 
 The forest is trained on labelled findings.  ``label_findings`` makes labels from
 sure signs only: a provider's key format, or a value assigned to a credential's
-name, is a secret; placeholders, addresses, paths and words without a digit
-outside such places are not; the rest has no label and is not learned from.
+name, is a secret; placeholders, and outside such places addresses, paths,
+numbers and words without a digit, are not; the rest has no label and is not learned from.
 Other labels can be given instead.
 
 Word counts, letter pairs and neighbours are counted over all documents that
@@ -85,7 +85,7 @@ def label_findings(found: DataFrame) -> Column:
     value = F.col("value")
     empty = value.rlike(PLACEHOLDER)
     sure = value.rlike(FORMATS) | (F.col("name").rlike(NAMES) & value.rlike("[0-9]"))
-    clean = value.rlike(r"^[A-Za-z]+([._/-][A-Za-z]+)*$|@|^[A-Za-z]*://") & ~F.coalesce(F.col("name").rlike(NAMES), F.lit(False))
+    clean = value.rlike(r"^[A-Za-z]+([._/-][A-Za-z]+)*$|@|^[A-Za-z]*://|^[0-9.-]+$") & ~F.coalesce(F.col("name").rlike(NAMES), F.lit(False))
     return F.when(empty, 0.0).when(F.coalesce(sure, F.lit(False)), 1.0).when(clean | ~value.rlike("[0-9]"), 0.0)
 
 
