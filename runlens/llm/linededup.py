@@ -34,8 +34,47 @@ THRESHOLD, LEAST = 1, 24
 _LAST = (1 << 63) - 1
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _number(x: int) -> Column:
+    return F.lit(x).cast("bigint")
+
+
+def may_be_near(a: Column, b: Column, threshold: int, pieces: int = 8) -> Column:
+    """False only for strings more than ``threshold`` edits apart: edits touch at most as many
+    of the pieces of ``a``; the others stand in ``b``, at most ``threshold`` places away."""
+    size = F.floor(F.length(a) / pieces).cast("int")
+    places = F.array(*[F.lit(by) for by in range(-threshold, threshold + 1)])
+    piece = lambda i: F.substring(a, i * size + 1, size)
+    stands = F.filter(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.exists(places, lambda by: (i * size + by >= 0) & (F.substring(b, i * size + by + 1, size) == piece(i))))
+    return (F.abs(F.length(a) - F.length(b)) <= threshold) & (F.size(stands) >= pieces - threshold)
+
+
+def _shared_start(a: Column, b: Column) -> Column:
+    """Characters that two strings share at their start, by halving steps."""
+    return F.aggregate(F.array(*[F.lit(1 << e) for e in range(30, -1, -1)]), F.lit(0), lambda at, step: F.when(
+        (at + step <= F.least(F.length(a), F.length(b))) & (F.substring(a, F.lit(1), at + step) == F.substring(b, F.lit(1), at + step)), at + step).otherwise(at))
+
+
 def near(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two strings of at least ``threshold`` characters are at most ``threshold`` edits apart.
+    """Whether two strings are at most ``threshold`` edits apart.
+
+    What both share at the start and at the end is set aside first.
+    """
+    def middle(start):
+        x, y = (F.substring(t, start + 1, F.length(t)) for t in (a, b))
+        return _let(F.struct(x.alias("a"), y.alias("b"), _shared_start(F.reverse(x), F.reverse(y)).alias("end")), lambda v: _let(
+            F.struct(*[F.concat(F.substring(v[c], F.lit(1), F.length(v[c]) - v["end"]), F.lit("\0" * threshold)).alias(c) for c in "ab"]),
+            lambda w: _banded(w["a"], w["b"], threshold)))
+
+    return (F.abs(F.length(a) - F.length(b)) <= threshold) & _let(_shared_start(a, b), middle)
+
+
+def _banded(a: Column, b: Column, threshold: int) -> Column:
+    """The same for strings that end in ``threshold`` equal characters.
 
     Column j of the edit matrix is kept as its vertical differences on the band
     of rows j - threshold ... j + threshold, one bit each.  A step adds a
@@ -43,34 +82,30 @@ def near(a: Column, b: Column, threshold: int) -> Column:
     scored until it meets the last row of the matrix, then the last row is.
     """
     k, width = threshold, 2 * threshold + 1
-    number = lambda x: F.lit(x).cast("bigint")
-    full = number((1 << width) - 1)
-    pattern, text, m, n = F.split(a, ""), F.split(b, ""), F.length(a), F.length(b)
-
-    def step(s, j):
-        letter = F.get(text, j - 1)
-        x = number(0)
-        for bit in range(width):
-            row = j - k + bit
-            x = x + F.when((row >= 1) & (F.get(pattern, row - 1) == letter), number(1 << bit)).otherwise(number(0))
-        vp, vn = s["vp"], s["vn"]
-        diagonal = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(full)
-        more = vn.bitwiseOR(diagonal.bitwiseOR(vp).bitwiseXOR(full))
-        less = diagonal.bitwiseAND(vp)
-        below = F.shiftrightunsigned(diagonal, 1)
-        last = number(0)  # the change along the last row, where it crosses the band
-        for bit in range(width):
-            mark = number(1 << bit)
-            change = F.when(more.bitwiseAND(mark) != 0, number(1)).when(less.bitwiseAND(mark) != 0, number(-1)).otherwise(number(0))
-            last = F.when(m - j + k == bit, change).otherwise(last)
-        lowest = F.when(diagonal.bitwiseAND(number(1 << (width - 1))) != 0, number(0)).otherwise(number(1))
-        return F.struct(
-            less.bitwiseOR(below.bitwiseOR(more).bitwiseXOR(full)).alias("vp"), below.bitwiseAND(more).alias("vn"),
-            (s["score"] + F.when(j + k <= m, lowest).otherwise(last)).alias("score"))
-
-    start = F.struct(number(((1 << width) - 1) ^ ((1 << k) - 1)).alias("vp"), number(0).alias("vn"), number(k).alias("score"))
-    distance = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["score"])
-    return (F.abs(m - n) <= k) & F.when(n > 0, distance <= k).otherwise(m <= k)
+    full, none, one = _number((1 << width) - 1), _number(0), _number(1)
+    powers, bits = F.array(*[_number(1 << bit) for bit in range(width)]), F.array(*[F.lit(bit) for bit in range(width)])
+
+    def step(t, s, j):
+        letter = F.get(t["b"], j - 1)
+        equal = F.aggregate(bits, none, lambda x, bit: F.when((j - k + bit >= 1) & (F.get(t["a"], j - k + bit - 1) == letter), x.bitwiseOR(F.get(powers, bit))).otherwise(x))
+        return _let(equal, lambda x: _let(
+            (x.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(x).bitwiseOR(s["vn"]).bitwiseAND(full), lambda diagonal: moved(t, s, j, diagonal)))
+
+    def moved(t, s, j, diagonal):
+        more = s["vn"].bitwiseOR(diagonal.bitwiseOR(s["vp"]).bitwiseXOR(full))
+        less = diagonal.bitwiseAND(s["vp"])
+        return _let(F.struct(more.alias("more"), less.alias("less"), F.shiftrightunsigned(diagonal, 1).alias("below"), diagonal.alias("d")), lambda v: F.struct(
+            v["less"].bitwiseOR(v["below"].bitwiseOR(v["more"]).bitwiseXOR(full)).alias("vp"), v["below"].bitwiseAND(v["more"]).alias("vn"),
+            (s["score"] + F.when(j + k <= t["m"], F.when(v["d"].bitwiseAND(_number(1 << (width - 1))) != 0, none).otherwise(one)).otherwise(along(v, t["m"] - j + k))).alias("score")))
+
+    def along(v, bit):  # the change along the last row, where it crosses the band
+        mark = F.get(powers, bit)
+        return F.when(v["more"].bitwiseAND(mark) != 0, one).when(v["less"].bitwiseAND(mark) != 0, _number(-1)).otherwise(none)
+
+    start = F.struct(_number(((1 << width) - 1) ^ ((1 << k) - 1)).alias("vp"), none.alias("vn"), _number(k).alias("score"))
+    # strings as arrays of characters; their lengths, measured once
+    taken = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("m"), F.length(b).alias("n"))
+    return _let(taken, lambda t: F.aggregate(F.sequence(F.lit(1), t["n"]), start, lambda s, j: step(t, s, j), lambda s: s["score"]) <= k)
 
 
 def keys(line: Column, threshold: int, least: int) -> tuple[Column, Column]:
@@ -81,31 +116,23 @@ def keys(line: Column, threshold: int, least: int) -> tuple[Column, Column]:
     ``shift`` characters shorter are those that leave enough edits for what lies
     before and for what lies after them.
     """
-    parts = threshold + 1
-    n = F.length(line)
-
-    def segment(length, i):  # start (from 0) and size of segment i (from 0) of a line of ``length``
-        size, extra = F.floor(length / parts), F.pmod(length, F.lit(parts))
-        short = F.lit(parts) - extra  # the first segments are the shorter ones
-        start = F.lit(i) * size + F.greatest(F.lit(i) - short, F.lit(0))
-        return start.cast("int"), (size + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
-
-    def hashed(length, i, start, size):
-        return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
-
-    filed = F.array(*[hashed(n, i, *segment(n, i)) for i in range(parts)])
-    probed = []
-    for shift in range(threshold + 1):
-        length = n - shift
-        for i in range(parts):
-            start, size = segment(length, i)
-            low, high = max(-i, shift - (threshold - i)), min(i, shift + (threshold - i))
-            for by in range(low, high + 1):
-                if (shift, by) != (0, 0):
-                    place = start + by
-                    fits = (length >= least) & (place >= 0) & (place + size <= n)
-                    probed.append(F.when(fits, hashed(length, i, place, size)))
-    return filed, F.array_compact(F.array(*probed)) if probed else F.array().cast("array<bigint>")
+    parts, n = threshold + 1, F.length(line)
+
+    def hashed(place):  # shift, number of the segment (from 0), by
+        length = n - place["shift"]
+        size, short = F.floor(length / parts).cast("int"), F.lit(parts) - F.pmod(length, F.lit(parts))  # the first segments are the shorter ones
+        start = place["i"] * size + F.greatest(place["i"] - short, F.lit(0)) + place["by"]
+        width = size + F.when(place["i"] >= short, 1).otherwise(0)
+        fits = (length >= least) & (start >= 0) & (start + width <= n)
+        return F.when(fits, F.xxhash64(length, place["i"], F.substring(line, start + 1, width)))
+
+    def all_of(places):
+        found = F.transform(F.array(*[F.struct(F.lit(s).alias("shift"), F.lit(i).alias("i"), F.lit(by).alias("by")) for s, i, by in places]), hashed)
+        return F.array_compact(found)
+
+    probed = [(shift, i, by) for shift in range(threshold + 1) for i in range(parts)
+              for by in range(max(-i, shift - (threshold - i)), min(i, shift + (threshold - i)) + 1) if (shift, by) != (0, 0)]
+    return all_of([(0, i, 0) for i in range(parts)]), all_of(probed) if probed else F.array().cast("array<bigint>")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,6 +166,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST
     texts = lines.select(digest(F.col("line")).alias("id"), "line").join(wanted, "id", "left_semi").distinct()
     texts = materialise(texts, "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+    both = both.where(may_be_near(F.col("line_a"), F.col("line_b"), threshold))
     links = materialise(both.where(near(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"), "links")
 
     roots = components(links)
