@@ -19,6 +19,9 @@ character; following these back from the end of the word gives its tokens.
 
 Decoding emits the label of each arc.
 
+The library and this Python may know Unicode of different years; texts with a
+character that this Python does not know are split by the library.
+
 Defined results: null text is empty; an empty text has no tokens and decodes
 to the empty text; very long texts are read whole.  Other columns are ignored.
 """
@@ -56,6 +59,7 @@ class Automaton:
         self.born: dict[int, int] = {}  # the merge that made it
         self.copied: dict[int, int] = {}  # the token whose state its own was copied from, at that time
         self.cuts: dict[int, dict[int, int]] = {}  # arcs cut from a token's state, and when
+        self.dead: set[int] = set()  # tokens that no merge can make
         for time, (u, v) in enumerate(pairs):
             self._gadget(time, vocab[u], vocab[v], vocab[u + v])
         self._trie(vocab, suffix)
@@ -64,8 +68,9 @@ class Automaton:
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         if w in self.born:
             raise ValueError("two merges make one token")
-        if not self.reads(u, v):
-            return  # the merge can never apply
+        if u in self.dead or v in self.dead or not self.reads(u, v):
+            self.dead.add(w)  # the merge can never apply
+            return
         self.left[w], self.born[w], self.copied[w] = u, time, v
         cut = self.cuts.setdefault(u, {})
         cut[v] = time
@@ -157,6 +162,15 @@ class Automaton:
         return tokens[::-1]
 
 
+def has_unknown(text: str) -> bool:
+    """Whether a text has a character that this Python's Unicode tables do not know yet."""
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class Tokenizer:
     """Splits, encodes and decodes whole texts for one vocabulary file (its JSON text).
 
@@ -176,6 +190,7 @@ class Tokenizer:
             raise ValueError("the vocabulary file asks for another way of splitting")
         self.control = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.find_control = regex.compile("(" + "|".join(map(regex.escape, sorted(self.control, key=len, reverse=True))) + ")") if self.control else None
+        self.source = source
         # the file's engine counts Unicode's White_Space as \s
         pattern = split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}")
         self.find_words = regex.compile(pattern).findall
@@ -186,14 +201,27 @@ class Tokenizer:
 
     def _text(self, text: str) -> list[str]:
         """The ids of each word of a text without control tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter: no final sigma
-        words = self.find_words(text.lower())
+        if text.isascii():
+            words = self.find_words(text.lower())
+        elif has_unknown(text):
+            words = self._words_of_library(text)
+        else:  # lower-cased letter by letter: no final sigma
+            words = self.find_words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         ids = list(map(self.words.get, words))
         if None in ids:
             ids = [self._word(w) if i is None else i for w, i in zip(words, ids)]
         return ids
 
+    def _words_of_library(self, text: str) -> list[str]:
+        """The words as the library splits them: which of the newest characters are letters depends on its Unicode tables."""
+        if not hasattr(self, "library"):
+            import tokenizers
+
+            self.library = tokenizers.Tokenizer.from_str(self.source)
+            self.byte = {c: b for b, c in enumerate(byte_labels())}
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.byte[c] for c in w).decode("utf-8") for w, _ in words]
+
     def _word(self, word: str) -> str:
         ids = self.words.get(word) or self.older.get(word) or " ".join(map(str, self.automaton.word(word)))
         if len(word) <= 64:
