@@ -197,7 +197,9 @@ def compare_editions(docs: DataFrame, pieces: int | None = None, id_col: str = "
     small_batches(spark)
     pieces = pieces or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    cuts = sorted({int(c) for c in rows.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / pieces for i in range(1, pieces)], 0.2 / pieces)})
+    shares = [i / pieces for i in range(1, pieces)]
+    found = rows.agg(F.percentile_approx("doc_id", shares, 5 * pieces).alias("cuts")).first() if shares else None
+    cuts = sorted({int(c) for c in found["cuts"] or ()}) if found else []
     bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     below = F.size(F.filter(bounds, lambda c: c > F.col("doc_id")))  # 0 for the largest ids
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(below).cast("int")

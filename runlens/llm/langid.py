@@ -120,7 +120,7 @@ def mixture(counts: np.ndarray, logs: np.ndarray, weight: float = WEIGHT) -> np.
 
 def predictor(model: dict[str, np.ndarray], weight: float = WEIGHT) -> Callable[[str | None], tuple[str, float]]:
     """text -> (language, score)."""
-    names, logs = list(model), np.array(list(model.values())).reshape(len(model), -1)
+    names, logs = list(model), np.array(list(model.values())).reshape(len(model), BUCKETS)
 
     def predict(text):
         found = trigrams(text)
