@@ -32,20 +32,23 @@ def seq_rank(df: DataFrame, keys: list[str], seq: str, out: str = "rank",
              chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """1-based position of each row within its key, in ascending ``seq``.
 
-    ``seq`` must be unique per key and non-negative integral.
+    ``seq`` must be unique per key and non-negative integral.  NULL key parts
+    are values like any other (a key with a NULL part is a key).
     """
-    b = "__chunk"
-    staged = df.withColumn(b, F.floor(F.col(seq) / F.lit(chunk)))
-    local = staged.withColumn(
-        "__local", F.row_number().over(Window.partitionBy(*keys, b).orderBy(seq)))
-    counts = staged.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
+    # key and chunk as one struct: fields compare null-safely inside it, and
+    # the window, the counts and the join all hash on the same column
+    b, k = "__chunk", "__key"
+    staged = df.withColumn(k, F.struct(*keys)).withColumn(b, F.struct(k, F.floor(F.col(seq) / F.lit(chunk)).alias("c")))
+    local = staged.withColumn("__local", F.row_number().over(Window.partitionBy(b).orderBy(seq)))
+    counts = staged.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.withColumn(
         "__off",
         F.coalesce(F.sum("__n").over(
-            Window.partitionBy(*keys).orderBy(b)
+            Window.partitionBy(f"{b}.{k}").orderBy(f"{b}.c")
             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = local.join(offsets.drop("__n"), [*keys, b])
-    return joined.withColumn(out, (F.col("__off") + F.col("__local")).cast("int")).drop(b, "__local", "__off")
+    joined = local.join(offsets.select(b, "__off"), b)
+    return joined.withColumn(out, (F.col("__off") + F.col("__local")).cast("int")).select(
+        *[c for c in df.columns if c != out], out)
 
 
 def last_by_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:

@@ -34,3 +34,15 @@ def test_last_by_key(spark):
                                "k string, seq long, v double")
     got = {r.k: (r.seq, r.v) for r in last_by_key(df, ["k"], "seq").collect()}
     assert got == {"a": (3, 30.0), "b": (2, 20.0)}
+
+
+def test_null_keys_keep_their_rows(spark):
+    from runlens.operators.ranking import seq_rank
+
+    rows = [(i, None if i % 3 == 0 else "a", None if i % 2 else "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "run_seq long, k string, l string")
+    got = {r.run_seq: r["rank"] for r in seq_rank(df, ["k", "l"], "run_seq", "rank", chunk=7).collect()}
+    seen, want = {}, {}
+    for i, k, v in rows:
+        seen[k, v] = want[i] = seen.get((k, v), 0) + 1
+    assert got == want
