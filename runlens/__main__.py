@@ -44,11 +44,11 @@ def cmd_pending(spark, args):
         designs = D.exploratory_designs()
         keys = ["scene_id", "model", "scheme", "param_set"]
         r = with_repeat_idx(runs, keys) if "repeat_idx" not in runs.columns else runs
+        r = RS.with_design(r)
         done = RS.completed_keys(r, RS.exploratory_key(r), include_failed=args.include_failed)
     plan = D.plan(spark, designs)
-    n = D.plan_size(designs)
-    RS.pending(plan, done, n).write.mode("overwrite").option("header", True).csv(args.out)
-    RS.progress(plan, done, n).show(truncate=False)   # one row per design
+    RS.pending(plan, done).write.mode("overwrite").option("header", True).csv(args.out)
+    RS.progress(plan, done).show(truncate=False)   # one row per design
 
 
 def cmd_ingest(spark, args):

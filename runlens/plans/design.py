@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from runlens import schemas as S
 
-# Plans larger than this are not configuration grids; refuse to broadcast.
-MAX_PLAN_ROWS = 5_000_000
+# A predicate of more configurations than this is slow to compile: use a join.
+MAX_FILTER_CONFIGURATIONS = 64
 
 
 @dataclass
@@ -62,8 +62,6 @@ _MODEL_NAME_ORTH = {k: n for k, n, _, _ in S.MODELS_ORTHOGONAL}
 
 def grid(spark: SparkSession, d: Design, offset: int = 0) -> DataFrame:
     """Rows of one design with 1-based ``position`` starting after ``offset``."""
-    if d.size > MAX_PLAN_ROWS:
-        raise ValueError(f"design {d.name} has {d.size} rows; not a configuration grid")
     idx = F.col("id")
     radix = d.repeats
     cols = {"repeat_idx": (idx % d.repeats + 1).cast("int")}
@@ -98,12 +96,17 @@ def run_key(kind: str) -> Column:
     orthogonal: ``<group>_<scene>_<scheme>_T<temperature>_<model name>_<repeat>``.
     """
     if kind == "exploratory":
-        return F.concat_ws("_", "design", "scene_id", "scheme_key", "model_key", "param_set",
-                           (F.col("repeat_idx") - 1).cast("string"))
+        return joined_key("design", "scene_id", "scheme_key", "model_key", "param_set",
+                          (F.col("repeat_idx") - 1).cast("string"))
     names = F.create_map(*[x for k, n in _MODEL_NAME_ORTH.items() for x in (F.lit(k), F.lit(n))])
-    return F.concat_ws("_", "design", "scene_id", "scheme_key",
-                       F.concat(F.lit("T"), F.col("temperature").cast("string")),
-                       names[F.col("model_key")], F.col("repeat_idx").cast("string"))
+    return joined_key("design", "scene_id", "scheme_key", F.concat(F.lit("T"), F.col("temperature").cast("string")),
+                      names[F.col("model_key")], F.col("repeat_idx").cast("string"))
+
+
+def joined_key(*parts) -> Column:
+    """Key parts joined by ``_``; NULL when a part is NULL."""
+    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.concat(*[x for c in cols for x in (F.lit("_"), c)][1:])
 
 
 # ---------------------------------------------------------------- designs
@@ -156,6 +159,8 @@ def plan(spark: SparkSession, designs: list[Design]) -> DataFrame:
             g = grid(spark, d, offset)
         parts.append(g)
         offset = offset + d.size if d.counter == "global" else 0
+    if not parts:
+        return spark.createDataFrame([], S.PLAN)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -222,9 +227,8 @@ def configurations(d: Design) -> list[dict]:
 
 def config_filter(configs: list[dict]) -> Column:
     """A predicate selecting rows of the given configurations (an OR of
-    equalities: evaluated in the scan stage, before any shuffle)."""
-    if len(configs) > MAX_PLAN_ROWS:
-        raise ValueError("too many configurations for a filter")
+    equalities: evaluated in the scan stage, before any shuffle).  Callers
+    use it up to ``MAX_FILTER_CONFIGURATIONS`` and a join beyond."""
     cond = None
     for c in configs:
         conj = None

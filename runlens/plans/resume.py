@@ -1,12 +1,12 @@
 """Resume: which planned runs are still to do.
 
 The completed-key set is *derived from the run table* (so it cannot drift
-from the results), and the plan is a configuration-sized table.  The pending
-runs are ``plan LEFT ANTI JOIN completed``.  A plain anti join would shuffle
-the (large) completed side; instead the completed keys are first reduced by a
-left-semi join against the broadcast plan keys -- the plan's size is known
-from the configuration and checked -- so only keys that occur in the plan
-(at most the plan's size after ``distinct``) take part in the final join.
+from the results).  The pending runs are ``plan LEFT ANTI JOIN completed``,
+after the completed keys are reduced to those that occur in the plan.  The
+joins carry no hints: Spark broadcasts the plan's keys where their size is
+below its threshold and shuffles both sides by key otherwise.
+
+A key is NULL when one of its parts is: such a row completes nothing.
 """
 
 from __future__ import annotations
@@ -14,30 +14,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.plans.design import MAX_PLAN_ROWS
+from runlens.operators.ranking import seq_rank
+from runlens.plans.design import joined_key
 
 
-def exploratory_key(runs: DataFrame) -> Column:
-    """K1 for a run row of the exploratory experiment (repeat is 0-based in keys).
+def with_design(runs: DataFrame) -> DataFrame:
+    """``runs`` with the design each run belongs to (``main`` or ``sens``).
 
-    The run carries no design column; a parameter set other than P1 can only
-    come from the sensitivity design.
+    A recorded ``design`` is kept.  For rows without one, a parameter set
+    other than P1 can only come from the sensitivity design; P1 runs of equal
+    scene, scheme, model and repeat number are main first, then sensitivity,
+    as the experiment runs them.
     """
-    design = F.when(F.col("param_set") == "P1", F.lit("main")).otherwise(F.lit("sens"))
-    return F.concat_ws("_", design, "scene_id", "scheme_key", "model_key", "param_set",
-                       (F.col("repeat_idx") - 1).cast("string"))
+    recorded = F.col("design") if "design" in runs.columns else F.lit(None).cast("string")
+    open_rows = runs.withColumn("__design", recorded)
+    part = ["scene_id", "scheme_key", "model_key", "param_set", "repeat_idx", "__design"]
+    ranked = seq_rank(open_rows, part, "run_seq", "__nth")
+    guess = F.when(F.col("param_set") != "P1", "sens").when(F.col("__nth") == 1, "main").otherwise("sens")
+    return ranked.withColumn("design", F.coalesce("__design", guess)).drop("__design", "__nth")
+
+
+def exploratory_key(runs: DataFrame) -> Column:
+    """K1 for a run row of the exploratory experiment (repeat is 0-based in
+    keys).  ``runs`` has a ``design`` column: see ``with_design``."""
+    return joined_key("design", "scene_id", "scheme_key", "model_key", "param_set",
+                      (F.col("repeat_idx") - 1).cast("string"))
 
 
 def orthogonal_key(group: str = "group_id", model_name="model", scheme: str = "scheme_key") -> Column:
     """K1/K2: ``<group>_<scene>_<scheme>_T<temperature>_<model name>_<repeat>``.
 
-    The canonical key uses the scheme *key*.  ``scheme="scheme"`` builds the
-    key the way a stored results row spells it (K2: the scheme column holds
-    the scheme name for successful runs), e.g. to compare with old files.
+    The canonical key uses the scheme *key*.  ``scheme="scheme"`` spells it
+    as raw-output file names do (scheme name).
     """
-    return F.concat_ws("_", group, "scene_id", scheme,
-                       F.concat(F.lit("T"), F.col("temperature").cast("string")),
-                       model_name, F.col("repeat_idx").cast("string"))
+    return joined_key(group, "scene_id", scheme, F.concat(F.lit("T"), F.col("temperature").cast("string")),
+                      model_name, F.col("repeat_idx").cast("string"))
 
 
 def file_name_key(file_name: Column) -> Column:
@@ -47,6 +58,27 @@ def file_name_key(file_name: Column) -> Column:
     return F.when(file_name.endswith(".json") & (F.size(F.split(k, "_")) >= 6), k)
 
 
+def canonical_key_from_file_name(file_name: Column, schemes=None, models=None) -> Column:
+    """K4 -> K1: the plan's key of a raw-output file name.
+
+    The file spells the scheme by name and the model with ``_`` for ``/``;
+    the key has the scheme key and the model name.  ``schemes``: (key, name)
+    pairs, ``models``: model names; by default the configuration's.  A name
+    that is no run's file gives NULL.
+    """
+    from runlens.schemas import MODELS_ORTHOGONAL, SCHEMES
+    from runlens.sources.config import lookup
+
+    schemes = SCHEMES if schemes is None else schemes
+    models = [m[1] for m in MODELS_ORTHOGONAL] if models is None else models
+    shape = r"^([^_]+)_([^_]+)_(.+)_(T[0-9.]+)_(.+)_([0-9]+)$"
+    key = file_name_key(file_name)
+    part = [F.regexp_extract(key, shape, i) for i in range(1, 7)]
+    scheme = F.coalesce(lookup(part[2], {n: k for k, n in schemes}), part[2])
+    model = F.coalesce(lookup(part[4], {n.replace("/", "_"): n for n in models}), part[4])
+    return F.when(key.rlike(shape), joined_key(part[0], part[1], scheme, part[3], model, part[5]))
+
+
 def normalise_file_part(c: Column) -> Column:
     """T13 (exploratory file names): spaces and ``-`` become ``_``."""
     return F.translate(c, " -", "__")
@@ -64,7 +96,7 @@ def completed_keys(runs: DataFrame, key: Column, include_failed: bool = False) -
     By default a failed run is *not* complete -- it is retried on resume.
     """
     src = runs if include_failed else runs.where(F.col("success"))
-    return src.select(key.alias("run_key"))
+    return src.select(key.alias("run_key")).where(F.col("run_key").isNotNull())
 
 
 def union_keys(*key_sets: DataFrame) -> DataFrame:
@@ -75,29 +107,25 @@ def union_keys(*key_sets: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _reduced(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame:
-    if plan_rows > MAX_PLAN_ROWS:
-        raise ValueError("plan too large to broadcast; it is not a configuration grid")
-    keys = F.broadcast(plan.select("run_key"))
-    return completed.select("run_key").join(keys, "run_key", "left_semi").distinct()
+def _reduced(plan: DataFrame, completed: DataFrame) -> DataFrame:
+    """The completed keys that occur in the plan, once each."""
+    return completed.select("run_key").join(plan.select("run_key"), "run_key", "left_semi").distinct()
 
 
-def pending(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame:
+def pending(plan: DataFrame, completed: DataFrame) -> DataFrame:
     """Planned runs whose key is not completed, in plan order."""
-    done = _reduced(plan, completed, plan_rows)   # <= plan_rows keys: bounded
-    return plan.join(F.broadcast(done), "run_key", "left_anti").orderBy("design", "position")
+    return plan.join(_reduced(plan, completed), "run_key", "left_anti").select(*plan.columns).orderBy("design", "position")
 
 
-def skipped(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame:
+def skipped(plan: DataFrame, completed: DataFrame) -> DataFrame:
     """Planned runs that are already completed."""
-    done = _reduced(plan, completed, plan_rows)
-    return plan.join(F.broadcast(done), "run_key", "left_semi").orderBy("design", "position")
+    return plan.join(_reduced(plan, completed), "run_key", "left_semi").select(*plan.columns).orderBy("design", "position")
 
 
-def progress(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame:
+def progress(plan: DataFrame, completed: DataFrame) -> DataFrame:
     """A13 + P8: per design -- planned, completed (skipped on resume), pending."""
-    done = _reduced(plan, completed, plan_rows).withColumn("__done", F.lit(1))
-    j = plan.join(F.broadcast(done), "run_key", "left")
+    done = _reduced(plan, completed).withColumn("__done", F.lit(1))
+    j = plan.join(done, "run_key", "left")
     return (j.groupBy("design")
             .agg(F.count(F.lit(1)).alias("planned"),
                  F.count("__done").alias("completed"),
@@ -105,7 +133,6 @@ def progress(plan: DataFrame, completed: DataFrame, plan_rows: int) -> DataFrame
             .orderBy("design"))
 
 
-
 def with_keys_from_names(runs: DataFrame) -> DataFrame:
     """Add ``scheme_key`` / ``model_key`` from stored scheme and model names
     (score files keep names, keys are what plans use)."""

@@ -46,13 +46,13 @@ def test_resume_properties(spark):
     # plan 6 rows, 2 completed -> 4 pending, 2 skipped
     six = plan.where(F.col("position") <= 6)
     done = six.where(F.col("position") <= 2).select("run_key")
-    assert RS.pending(six, done, 6).count() == 4
-    assert RS.skipped(six, done, 6).count() == 2
+    assert RS.pending(six, done).count() == 4
+    assert RS.skipped(six, done).count() == 2
     # idempotent: a plan minus its own keys is empty; pending + skipped = plan
-    assert RS.pending(plan, plan.select("run_key"), n).count() == 0
+    assert RS.pending(plan, plan.select("run_key")).count() == 0
     some = plan.where(F.col("position") % 3 == 0).select("run_key")
-    assert RS.pending(plan, some, n).count() + RS.skipped(plan, some, n).count() == n
-    prog = {r.design: (r.planned, r.completed, r.pending) for r in RS.progress(plan, some, n).collect()}
+    assert RS.pending(plan, some).count() + RS.skipped(plan, some).count() == n
+    prog = {r.design: (r.planned, r.completed, r.pending) for r in RS.progress(plan, some).collect()}
     assert sum(v[0] for v in prog.values()) == n
 
 
@@ -80,15 +80,15 @@ def test_configurations_from_designs():
 
 
 def test_config_filter_equals_semi_join(spark):
-    from runlens.operators.reports import _restrict
+    from runlens.operators.reports import restrict
     from runlens.sources import testdata as TD
     from conftest import SF_SMALL
 
     runs = TD.orthogonal_runs(spark, SF_SMALL)
     g2 = next(d for d in D.orthogonal_designs() if d.name == "group2")
     cfg_df = spark.createDataFrame(D.configurations(g2))
-    a = _restrict(runs, D.configurations(g2)).select("run_seq")
-    b = _restrict(runs, cfg_df).select("run_seq")
+    a = restrict(runs, D.configurations(g2)).select("run_seq")
+    b = restrict(runs, cfg_df).select("run_seq")
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
 
 
@@ -117,9 +117,67 @@ def test_readme_resume_flow_from_names(spark):
     from conftest import SF_SMALL
 
     runs = TD.runs(spark, SF_SMALL).drop("scheme_key", "model_key")   # as a score file stores them
-    r = rl.with_repeat_idx(rl.with_keys_from_names(runs))
+    r = rl.with_repeat_idx(rl.with_keys_from_names(runs), ["scene_id", "model", "scheme", "param_set", "design"])
     done = rl.completed_keys(r, rl.exploratory_key(r))
     designs = rl.exploratory_designs()
-    todo = rl.pending(rl.plan(spark, designs), done, rl.plan_size(designs))
+    todo = rl.pending(rl.plan(spark, designs), done)
     import __spark_entry__ as E
     assert todo.count() == E.queries()["j1_resume_pending"](spark, SF_SMALL).count()
+
+
+def _stored(spark, plan_df, with_design=True):
+    """Run rows as a completed experiment stores them, in the order it runs them."""
+    from runlens.schemas import MODELS, SCHEMES
+    from runlens.sources.config import lookup
+
+    keep = ["design"] if with_design else []
+    return plan_df.select((F.col("position") * 3).alias("run_seq"), *keep, "scene_id", "param_set", "repeat_idx", "temperature",
+                          lookup("scheme_key", SCHEMES).alias("scheme"), lookup("model_key", [(k, n) for k, n, _, _ in MODELS]).alias("model"),
+                          F.lit(True).alias("success"))
+
+
+def test_a_complete_experiment_has_nothing_pending(spark):
+    plan = D.plan(spark, D.exploratory_designs())
+    for with_design in (True, False):
+        runs = RS.with_design(RS.with_keys_from_names(_stored(spark, plan, with_design)))
+        done = RS.completed_keys(runs, RS.exploratory_key(runs))
+        assert done.distinct().count() == 210
+        assert RS.pending(plan, done).count() == 0 and RS.skipped(plan, done).count() == 210
+    # one main P1 run of the shared configuration is missing: the other design's runs don't stand in for it
+    part = _stored(spark, plan).where("not (design = 'main' and scene_id = 'sceneA' and scheme like '%1%' and repeat_idx = 2)")
+    runs = RS.with_design(RS.with_keys_from_names(part))
+    todo = RS.pending(plan, RS.completed_keys(runs, RS.exploratory_key(runs))).collect()
+    assert len(todo) == 2 and {r.design for r in todo} == {"main"}
+
+
+def test_a_complete_folder_of_raw_files_has_nothing_pending(spark):
+    from runlens.schemas import MODELS_ORTHOGONAL, SCHEMES
+    from runlens.sources.config import lookup
+
+    plan = D.plan(spark, D.orthogonal_designs())
+    names = plan.select(F.concat_ws("_", "design", "scene_id", lookup("scheme_key", SCHEMES), F.concat(F.lit("T"), F.col("temperature").cast("string")),
+                                    F.replace(lookup("model_key", [(k, n) for k, n, _, _ in MODELS_ORTHOGONAL]), F.lit("/"), F.lit("_")), "repeat_idx").alias("f"))
+    done = names.select(RS.canonical_key_from_file_name(F.concat("f", F.lit(".json"))).alias("run_key"))
+    assert done.distinct().count() == 840
+    assert RS.pending(plan, done).count() == 0
+
+
+def test_a_missing_key_part_completes_nothing(spark):
+    runs = spark.createDataFrame([(1, "main", "sceneA", "scheme1", None, "P1", 1, True), (2, "main", "sceneA", "scheme1", "m", "P1", 1, True)],
+                                 "run_seq long, design string, scene_id string, scheme_key string, model_key string, param_set string, repeat_idx int, success boolean")
+    assert [r.run_key for r in RS.completed_keys(runs, RS.exploratory_key(runs)).collect()] == ["main_sceneA_scheme1_m_P1_0"]
+
+
+def test_no_design_enabled_and_large_grids(spark):
+    assert D.plan(spark, D.exploratory_designs(False, False)).count() == 0
+    big = D.Design("main", [D.Factor("model_key", ["a", "b"]), D.Factor("scene_id", ["s"]), D.Factor("scheme_key", ["x"])],
+                   fixed={"param_set": "P1"}, repeats=4_000_000)
+    assert D.grid(spark, big).count() == 8_000_000
+
+
+def test_more_configurations_than_a_filter_takes(spark):
+    from runlens.operators.reports import restrict
+
+    runs = spark.range(300).select(F.concat(F.lit("m"), "id").alias("model_key"), F.lit(0.5).alias("temperature"))
+    configs = [{"group_id": "g", "model_key": f"m{i}", "temperature": 0.5} for i in range(0, 300, 2)]
+    assert restrict(runs, configs).count() == 150
