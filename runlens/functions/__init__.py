@@ -2,5 +2,4 @@
 
 from runlens.functions.metrics import (  # noqa: F401
     py_round, np_round, composite_score, coefficient_of_variation,
-    diff_to_baseline,
 )

@@ -68,45 +68,6 @@ def _fmt(template: str, **parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def _strict_parse(span) -> tuple[Column, Column]:
-    """(ok, document) for ``span`` under strict parsing.
-
-    ``try_parse_json`` alone accepts trailing text.  The span is parsed
-    wrapped as an object member (``{"v":span}``: rejects anything after a
-    closing bracket) and as an array element (``[span]``: rejects a
-    continuation such as ``,"k":v`` or a second value); only a span that
-    passes both is one JSON value.  The document is taken from the member
-    parse, so each text is parsed twice, not three times.
-    """
-    s = F.col(span) if isinstance(span, str) else span
-    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
-    as_elems = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
-    one_elem = (F.try_variant_get(as_elems, "$[0]", "variant").isNotNull()
-                & F.try_variant_get(as_elems, "$[1]", "variant").isNull())
-    ok = F.coalesce((s != "") & as_member.isNotNull() & one_elem, F.lit(False))
-    return ok, F.when(ok, F.variant_get(as_member, "$.v", "variant"))
-
-
-def strict_json_ok(span) -> Column:
-    """T4: ``span`` is exactly one JSON value with nothing after it."""
-    return _strict_parse(span)[0]
-
-
-def normalize_output(text) -> Column:
-    """struct(normalized string, parsed variant, valid boolean).
-
-    On success ``normalized`` is the JSON span (the document as the model
-    wrote it -- re-serialising would sort keys); otherwise the original text.
-    """
-    t = _c(text)
-    content = trim_unicode(strip_code_fence(trim_unicode(t)))
-    span = json_span(content)
-    ok, doc = _strict_parse(span)
-    return F.struct(F.when(ok, span).otherwise(t).alias("normalized"),
-                    doc.alias("parsed"),
-                    ok.alias("json_valid"))
-
-
 def _obj(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
@@ -239,35 +200,41 @@ def format_check_columns(df: DataFrame, parsed: str = "parsed", prefix: str = ""
     return out
 
 
-def normalize_columns(df: DataFrame, text: str = "output_content", spread: bool = True) -> DataFrame:
+def document_of(df: DataFrame, span: str, doc: str, valid: str) -> DataFrame:
+    """``df`` with ``doc`` (VARIANT, NULL unless valid) and ``valid``: whether the
+    text column ``span`` is one strict JSON document.
+
+    One parse: the text is put into an array before a mark that it does not
+    contain (its own MD5).  If the array's second element is the mark and
+    there is no third, the first is the whole text.
+    """
+    t = F.col(span)
+    s1 = df.select("*", F.md5(t).alias("__mark"))
+    s2 = s1.select("*", F.when((t != "") & ~F.contains(t, F.col("__mark")),
+                               F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), "__mark", F.lit('"]')))).alias("__doc"))
+    marked = F.try_variant_get("__doc", "$[1]", "string") == F.col("__mark")
+    whole = marked & F.try_variant_get("__doc", "$[2]", "variant").isNull()
+    s3 = s2.select("*", F.coalesce(whole, F.lit(False)).alias(valid))
+    return s3.select("*", F.when(F.col(valid), F.variant_get("__doc", "$[0]", "variant")).alias(doc)).drop("__mark", "__doc")
+
+
+def normalize_columns(df: DataFrame, text: str = "output_content") -> DataFrame:
     """T1-T6 as staged projections: adds ``normalized``, ``parsed`` (VARIANT)
     and ``json_valid``.  Each stage reads the previous stage's columns, so
-    the span and each parse are computed once per row (a single nested
-    expression would repeat them in every branch that uses them)."""
-    from runlens.operators.balance import spread_for_cpu
-
+    trimming, fence, span and parse are each written and computed once."""
     t = F.col(text)
-    src = spread_for_cpu(df) if spread else df   # spread=False keeps an existing (bucketed) partitioning
-    s1 = src.select("*", json_span(trim_unicode(strip_code_fence(trim_unicode(t)))).alias("__span"))
-    span = F.col("__span")
-    s2 = s1.select("*",
-                   F.try_parse_json(F.concat(F.lit('{"v":'), span, F.lit("}"))).alias("__member"),
-                   F.try_parse_json(F.concat(F.lit("["), span, F.lit("]"))).alias("__elems"))
-    one_elem = (F.try_variant_get("__elems", "$[0]", "variant").isNotNull()
-                & F.try_variant_get("__elems", "$[1]", "variant").isNull())
-    ok = F.coalesce((span != "") & F.col("__member").isNotNull() & one_elem, F.lit(False))
-    s3 = s2.select("*", ok.alias("json_valid"))
-    return s3.select(*df.columns,
-                     F.when(F.col("json_valid"), span).otherwise(t).alias("normalized"),
-                     F.when(F.col("json_valid"), F.variant_get("__member", "$.v", "variant")).alias("parsed"),
-                     "json_valid")
-
-
-def check_outputs(df: DataFrame, text: str = "output_content", spread: bool = True) -> DataFrame:
+    s1 = df.select("*", trim_unicode(t).alias("__c1"))
+    s2 = s1.select("*", strip_code_fence(F.col("__c1")).alias("__c2"))
+    s3 = s2.select("*", trim_unicode(F.col("__c2")).alias("__c3"))
+    s4 = s3.select("*", json_span(F.col("__c3")).alias("__span"))
+    s5 = document_of(s4, "__span", "parsed", "json_valid")
+    return s5.select(*df.columns, F.when(F.col("json_valid"), F.col("__span")).otherwise(t).alias("normalized"), "parsed", "json_valid")
+
+
+def check_outputs(df: DataFrame, text: str = "output_content") -> DataFrame:
     """T6 + T7-T12 for a text column: adds ``normalized``, ``parsed``
     (VARIANT) and every check column.  The document is parsed once."""
-    norm = normalize_columns(df, text, spread=spread).drop("json_valid")
-    return format_check_columns(norm, "parsed")
+    return format_check_columns(normalize_columns(df, text).drop("json_valid"), "parsed")
 
 
 def format_points(json_ok, structure_ok, fields_ok, types_ok) -> Column:

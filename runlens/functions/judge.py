@@ -4,10 +4,9 @@
   template is configuration) and builds one ``concat`` of literals and
   columns, so a placeholder-looking text inside a column value stays as it
   is -- chained ``replace`` calls would substitute into it.
-* ``parse_judge_reply`` takes the greedy ``{...}`` span of the reply (or the
+* ``parse_judge_replies`` takes the greedy ``{...}`` span of the reply (or the
   whole reply when there is none), parses it strictly and reads the six
-  scores; a number or a numeric string counts, anything else is NULL and a
-  missing or unreadable score is 0.
+  scores.
 """
 
 from __future__ import annotations
@@ -68,42 +67,52 @@ def judge_prompt(template: str, input_prompt: Column, output: Column, checks: di
     return render_template(template, vals)
 
 
-def _score(v: Column, key: str) -> Column:
-    raw = F.try_variant_get(v, f'$["{key}"]', "string")
-    return raw.try_cast("double")
+def judge_prompts(scene: str, templates: dict[str, str], input_prompt: Column, output: Column, checks: dict[str, Column]) -> Column:
+    """T17 over runs of several scenes: each run's prompt from the template of
+    its scene (NULL for a scene without one).  Templates are split once, here."""
+    text = F.lit(None).cast("string")
+    for name, template in templates.items():
+        text = F.when(F.col(scene) == name, judge_prompt(template, input_prompt, output, checks)).otherwise(text)
+    return text
 
 
-def parse_judge_reply(reply) -> Column:
-    """struct(judge_ok, six scores, score_note) from the judge's reply."""
-    from runlens.functions.jsoncheck import _strict_parse
+def _score(doc: Column, key: str) -> Column:
+    """struct(score, readable) of one dimension in a parsed reply.
 
-    r = F.col(reply) if isinstance(reply, str) else reply
-    span = outer_span(r, "{", "}")
-    text = F.when(span != "", span).otherwise(r)
-    ok, v = _strict_parse(text)
-    fields = [ok.alias("judge_ok")]
-    for col, key, _ in S.DIMENSIONS:
-        fields.append(F.coalesce(_score(v, key), F.lit(0.0)).alias(col))
-    fields.append(F.try_variant_get(v, f'$["{S.SCORE_NOTE_KEY}"]', "string").alias("score_note"))
-    return F.struct(*fields)
+    An absent score is 0, a present JSON null is NULL (means skip it), a
+    finite number or numeric string is itself; anything else (text, NaN,
+    Infinity, an array, an object) is 0 and not readable.
+    """
+    value = F.try_variant_get(doc, f'$["{key}"]', "variant")
+    number = F.try_variant_get(doc, f'$["{key}"]', "string").try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    return (F.when(value.isNull(), F.struct(F.lit(0.0).alias("score"), F.lit(True).alias("readable")))
+            .when(F.is_variant_null(value), F.struct(F.lit(None).cast("double").alias("score"), F.lit(True).alias("readable")))
+            .when(finite, F.struct(number.alias("score"), F.lit(True).alias("readable")))
+            .otherwise(F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("readable"))))
 
 
 def parse_judge_replies(df, reply: str = "reply", out: str = "judge"):
-    """T18 as staged projections over a DataFrame: adds struct column ``out``
-    (judge_ok, six scores, score_note).  The span is found once and the reply
-    is parsed twice (the strict check's member parse is the document), not
-    three times as a single nested expression would."""
-    from runlens.functions.jsoncheck import _strict_parse
+    """T18 over a DataFrame: adds struct column ``out`` (judge_ok, six scores,
+    scores_readable, score_note) from the greedy ``{...}`` span of the reply,
+    or the whole reply when there is none.
+
+    A reply whose root is no object is a failed judge call.  Staged: the span
+    is found once and parsed once.
+    """
+    from runlens.functions.jsoncheck import document_of
 
     r = F.col(reply)
     s1 = df.select("*", outer_span(r, "{", "}").alias("__jspan"))
-    text = F.when(F.col("__jspan") != "", F.col("__jspan")).otherwise(r)
-    s2 = s1.select("*", text.alias("__jtext"))
-    ok, doc = _strict_parse(F.col("__jtext"))
-    s3 = s2.select("*", ok.alias("__jok"), doc.alias("__jdoc"))
-    v = F.col("__jdoc")
-    fields = [F.col("__jok").alias("judge_ok")]
-    for col, key, _ in S.DIMENSIONS:
-        fields.append(F.coalesce(_score(v, key), F.lit(0.0)).alias(col))
-    fields.append(F.try_variant_get(v, f'$["{S.SCORE_NOTE_KEY}"]', "string").alias("score_note"))
-    return s3.select(*df.columns, F.struct(*fields).alias(out))
+    s2 = s1.select("*", F.when(F.col("__jspan") != "", F.col("__jspan")).otherwise(r).alias("__jtext"))
+    s3 = document_of(s2, "__jtext", "__jdoc", "__jvalid")
+    is_object = F.col("__jvalid") & F.ltrim(F.translate("__jtext", "\t\r\n", "   ")).startswith("{")
+    s4 = s3.select("*", F.coalesce(is_object, F.lit(False)).alias("__jok"))
+    s5 = s4.select("*", F.when(F.col("__jok"), F.col("__jdoc")).alias("__jobj"))
+    s6 = s5.select("*", *[_score(F.col("__jobj"), key).alias(f"__j_{col}") for col, key, _ in S.DIMENSIONS])
+    readable = F.col("__jok")
+    for col, _, _ in S.DIMENSIONS:
+        readable = readable & F.col(f"__j_{col}.readable")
+    fields = [F.col("__jok").alias("judge_ok"), *[F.col(f"__j_{col}.score").alias(col) for col, _, _ in S.DIMENSIONS],
+              readable.alias("scores_readable"), F.try_variant_get("__jobj", f'$["{S.SCORE_NOTE_KEY}"]', "string").alias("score_note")]
+    return s6.select(*df.columns, F.struct(*fields).alias(out))

@@ -82,8 +82,3 @@ def consistency_from_moments(n: Column, means: list[Column], pop_stds: list[Colu
         term = F.lit(100.0) - F.least(cv, F.lit(100.0))
         acc = term if acc is None else acc + term
     return F.when(n < 2, F.lit(100.0)).otherwise(acc / float(len(means)))
-
-
-def diff_to_baseline(value: Column, baseline: Column, digits: int = 1) -> Column:
-    """Signed difference to a baseline, Python-rounded."""
-    return py_round(value - baseline, digits)

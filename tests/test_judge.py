@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens import schemas as S
-from runlens.functions.judge import DEFAULT_JUDGE_TEMPLATE, judge_prompt, parse_judge_reply, render_template
+from runlens.functions.judge import DEFAULT_JUDGE_TEMPLATE, judge_prompt, parse_judge_replies, render_template
 from runlens.functions.text import chat_messages, prompt_text
 from runlens.operators.assemble import assemble_runs
 
@@ -30,7 +30,7 @@ CASES = [
 @pytest.mark.parametrize("i", range(len(CASES)))
 def test_parse_reply(spark, i):
     text, ok, scores = CASES[i]
-    r = spark.createDataFrame([(text,)], "reply string").select(parse_judge_reply("reply").alias("j")).first().j
+    r = parse_judge_replies(spark.createDataFrame([(text,)], "reply string"), "reply", "j").first().j
     assert r.judge_ok == ok
     assert [r[c] for c in S.DIM_COLS] == scores
 
@@ -65,3 +65,25 @@ def test_assemble_failed_and_unscored(spark):
     assert r[1].format_compliance == 95.0 and r[1].json_valid is True
     assert r[2].success is False and r[2].no_hallucination == 0.0 and r[2].json_valid is None
     assert r[3].success is True and r[3].judge_ok is False and r[3].format_compliance == 0.0
+
+
+def test_scores_that_are_no_finite_number(spark):
+    key = S.DIMENSIONS[0][1]
+    texts = {'{"%s": null}': (True, None, True), '{"%s": "NaN"}': (True, 0.0, False), '{"%s": "Infinity"}': (True, 0.0, False),
+             '{"%s": [1]}': (True, 0.0, False), '{"%s": "95分"}': (True, 0.0, False), '{"other": 1}': (True, 0.0, True), '{"%s": 1e2}': (True, 100.0, True),
+             "95": (False, 0.0, False), "[1, 2]": (False, 0.0, False), '"ok"': (False, 0.0, False), "null": (False, 0.0, False), '{"%s": 1} {': (False, 0.0, False)}
+    df = spark.createDataFrame([(i, t % key if "%s" in t else t) for i, t in enumerate(texts)], "i int, reply string")
+    got = {r.i: (r.j.judge_ok, r.j[S.DIMENSIONS[0][0]], r.j.scores_readable) for r in parse_judge_replies(df, "reply", "j").collect()}
+    want = list(texts.values())
+    assert {i: g for i, g in got.items() if i != len(want) - 1} == {i: w for i, w in enumerate(want) if i != len(want) - 1}
+
+
+def test_failed_rows_get_their_defaults(spark):
+    from runlens.operators.assemble import failed_row_defaults
+
+    df = spark.createDataFrame([(1, False, 0.7, 1.0, None, None, 3.0), (2, True, 0.7, 1.0, 5, 1.5, 3.0)],
+                               "run_seq long, success boolean, temperature double, top_p double, input_tokens long, elapsed_time double, item_validity double")
+    a = failed_row_defaults(df).orderBy("run_seq").collect()
+    assert tuple(a[0])[2:] == (None, None, 0, 0.0, 0.0) and tuple(a[1])[2:] == (0.7, 1.0, 5, 1.5, 3.0)
+    o = failed_row_defaults(df, orthogonal=True).orderBy("run_seq").collect()
+    assert tuple(o[0])[2:] == (0.7, None, None, None, 0.0)

@@ -7,7 +7,7 @@ import random
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from runlens.functions.jsoncheck import strict_json_ok
+from runlens.functions.jsoncheck import document_of
 from runlens.functions.metrics import np_round, py_round
 
 FLOATS = st.floats(min_value=-1e6, max_value=1e6, allow_nan=False, allow_infinity=False)
@@ -67,6 +67,6 @@ def test_strict_json_equals_python_json(spark, values, seed):
     # spans in the checks always start with { or [ -- test those shapes
     texts = [t for t in texts if t[:1] in "{["]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
-    got = {r.i: r.ok for r in df.select("i", strict_json_ok("s").alias("ok")).collect()}
+    got = {r.i: r.ok for r in document_of(df, "s", "doc", "ok").collect()}
     bad = [(t, got[i], _python_ok(t)) for i, t in enumerate(texts) if got[i] != _python_ok(t)]
     assert not bad, bad[:5]
