@@ -23,7 +23,6 @@ from runlens.operators import reports as R  # noqa: E402
 from runlens.functions import jsoncheck as JC  # noqa: E402
 from runlens.functions import judge as JG  # noqa: E402
 from runlens.operators import assemble as AS  # noqa: E402
-from runlens.operators.balance import spread_for_cpu  # noqa: E402
 from runlens.functions import text as TX  # noqa: E402
 from runlens.plans import design as D  # noqa: E402
 from runlens.sources import config as C  # noqa: E402
@@ -110,7 +109,7 @@ def sql_a4():
 
 
 def _sheet_sql(keys: str, where: str = "") -> str:
-    cols = ["arg_min(temperature, run_seq) AS temperature", "arg_min(top_p, run_seq) AS top_p",
+    cols = ["arg_min_null(temperature, run_seq) AS temperature", "arg_min_null(top_p, run_seq) AS top_p",
             "COUNT(*) AS n"]
     for d in DIMS:
         cols += [f"{O.pyr(O.mean(d), 1)} AS {d}_mean", f"{O.pyr(O.std(d), 1)} AS {d}_std"]
@@ -143,7 +142,7 @@ def sql_a7():
     keys = "model, scene_name, scheme"
     cols = ["COUNT(*) AS n", "CAST(SUM(input_tokens) AS BIGINT) AS input_tokens_sum",
             "CAST(SUM(output_tokens) AS BIGINT) AS output_tokens_sum",
-            "CAST(round_even(SUM(CAST(elapsed_time AS DECIMAL(20,2))), 1) AS DOUBLE) AS elapsed_time_sum"]
+            "CAST(round_even(SUM(CAST(elapsed_time AS DECIMAL(38,9))), 1) AS DOUBLE) AS elapsed_time_sum"]
     for d in DIMS:
         cols += [f"{O.pyr(O.mean(d), 1)} AS {d}_mean", f"{O.pyr(f'MAX({d})', 1)} AS {d}_max",
                  f"{O.pyr(f'MIN({d})', 1)} AS {d}_min"]
@@ -223,11 +222,12 @@ def sql_a10():
 
 
 def q_a11(spark, sf):
-    return R.best_configuration(q_a10(spark, sf), G4_KEYS)
+    return R.best_configuration(R.restrict(_oruns(spark, sf), _group_configs(spark, "group4")), G4_KEYS)
 
 
 def sql_a11():
-    return _by_config_sql(G4_KEYS, "group4") + " ORDER BY composite_mean DESC, model, scheme, temperature LIMIT 1"
+    # ranked by the mean as it is, not as it is printed
+    return _by_config_sql(G4_KEYS, "group4") + f" ORDER BY {O.composite_expr(suffix='_m')} DESC, model, scheme, temperature LIMIT 1"
 
 
 def _baseline_rows(composite: str = "weighted") -> list[tuple]:
@@ -332,11 +332,14 @@ RUN_KEYS = ["scene_id", "model", "scheme", "param_set"]
 
 
 def q_n2(spark, sf):
-    return R.with_repeat_idx(_runs(spark, sf), RUN_KEYS).select("run_seq", *RUN_KEYS, "repeat_idx")
+    # every 50th run has lost its model's name: a NULL key part is a key like any other
+    runs = _runs(spark, sf).withColumn("model", F.when(F.col("run_seq") % 50 != 0, F.col("model")))
+    return R.with_repeat_idx(runs, RUN_KEYS).select("run_seq", *RUN_KEYS, "repeat_idx")
 
 
 def sql_n2():
-    return (O.runs_cte() + ", " + O.with_repeat("runs_r", "runs", ", ".join(RUN_KEYS)) +
+    return (O.runs_cte() + ", lost AS (SELECT * REPLACE (CASE WHEN run_seq % 50 <> 0 THEN model END AS model) FROM runs), " +
+            O.with_repeat("runs_r", "lost", ", ".join(RUN_KEYS)) +
             f"SELECT run_seq, {', '.join(RUN_KEYS)}, repeat_idx FROM runs_r")
 
 
@@ -400,21 +403,19 @@ def _explo_plan(spark):
 
 
 def _explo_completed(spark, sf):
-    r = R.with_repeat_idx(_runs(spark, sf), RUN_KEYS)
+    r = R.with_repeat_idx(_runs(spark, sf), [*RUN_KEYS, "design"])
     return RS.completed_keys(r, RS.exploratory_key(r))
 
 
 def q_j1(spark, sf):
-    designs = D.exploratory_designs()
-    return RS.pending(_explo_plan(spark), _explo_completed(spark, sf), D.plan_size(designs))
+    return RS.pending(_explo_plan(spark), _explo_completed(spark, sf))
 
 
-_EXPLO_KEY_SQL = ("concat_ws('_', CASE WHEN param_set = 'P1' THEN 'main' ELSE 'sens' END, scene_id, scheme_key, "
-                  "model_key, param_set, CAST(repeat_idx - 1 AS STRING))")
+_EXPLO_KEY_SQL = "design || '_' || scene_id || '_' || scheme_key || '_' || model_key || '_' || param_set || '_' || (repeat_idx - 1)"
 
 
 def _explo_done_sql():
-    return (O.runs_cte() + ", " + O.with_repeat("runs_r", "runs", ", ".join(RUN_KEYS)) + ", " +
+    return (O.runs_cte() + ", " + O.with_repeat("runs_r", "runs", ", ".join([*RUN_KEYS, "design"])) + ", " +
             O.plan_cte("exploratory") +
             f", done AS (SELECT DISTINCT {_EXPLO_KEY_SQL} AS run_key FROM runs_r WHERE success)\n")
 
@@ -430,8 +431,7 @@ def sql_j1():
 
 
 def q_j3(spark, sf):
-    designs = D.exploratory_designs()
-    return RS.skipped(_explo_plan(spark), _explo_completed(spark, sf), D.plan_size(designs))
+    return RS.skipped(_explo_plan(spark), _explo_completed(spark, sf))
 
 
 def sql_j3():
@@ -440,8 +440,7 @@ def sql_j3():
 
 
 def q_a13(spark, sf):
-    designs = D.exploratory_designs()
-    return RS.progress(_explo_plan(spark), _explo_completed(spark, sf), D.plan_size(designs))
+    return RS.progress(_explo_plan(spark), _explo_completed(spark, sf))
 
 
 def sql_a13():
@@ -459,8 +458,7 @@ def _orth_completed(spark, sf):
 
 
 def q_j2(spark, sf):
-    designs = D.orthogonal_designs()
-    return RS.pending(_orth_plan(spark), _orth_completed(spark, sf), D.plan_size(designs))
+    return RS.pending(_orth_plan(spark), _orth_completed(spark, sf))
 
 
 def _orth_done_sql():
@@ -476,8 +474,7 @@ def sql_j2():
 
 
 def q_a13_orthogonal(spark, sf):
-    designs = D.orthogonal_designs()
-    return RS.progress(_orth_plan(spark), _orth_completed(spark, sf), D.plan_size(designs))
+    return RS.progress(_orth_plan(spark), _orth_completed(spark, sf))
 
 
 def sql_a13_orthogonal():
@@ -505,24 +502,32 @@ def sql_p9():
             "coalesce(successful, 0) AS successful FROM cfg LEFT JOIN st USING (model_key, scheme_key, temperature)")
 
 
+def _file_names(r):
+    """Raw-output file names of successful runs, as the experiment writes them."""
+    part = ["group_id", "scene_id", "scheme", F.concat(F.lit("T"), F.col("temperature").cast("string")),
+            RS.orthogonal_model_part(F.col("model")), F.col("repeat_idx").cast("string")]
+    return r.where("success").select(F.concat(D.joined_key(*part), F.lit(".json")).alias("file_name"))
+
+
 def q_k3(spark, sf):
     """K2-K4: completed keys from raw-output file names (successes) united
-    with keys from the results CSV rows (all rows), without duplicates."""
+    with keys from the results rows (all rows): one key per run."""
     r = R.with_repeat_idx(_oruns(spark, sf), ORTH_KEYS)
-    # one pass over the runs: a successful run contributes its file-name key,
-    # every stored row its results-table key
-    file_name = F.concat(RS.orthogonal_key(model_name=RS.orthogonal_model_part(F.col("model"))), F.lit(".json"))
-    from_file = F.when(F.col("success"), RS.file_name_key(file_name))
-    keys = r.select(F.explode(F.array_compact(F.array(from_file, RS.orthogonal_key()))).alias("run_key"))
-    return RS.union_keys(keys)
+    from_files = _file_names(r).select(RS.canonical_key_from_file_name(F.col("file_name")).alias("run_key"))
+    return RS.union_keys(from_files, r.select(RS.orthogonal_key().alias("run_key")))
 
 
 def sql_k3():
-    key_csv = ("concat_ws('_', group_id, scene_id, scheme_key, concat('T', CAST(temperature AS STRING)), model, "
-               "CAST(repeat_idx AS STRING))")
-    key_file = key_csv.replace(", model,", ", replace(model, '/', '_'),")
     return (O.runs_cte(orthogonal=True) + ", " + O.with_repeat("runs_r", "runs", ", ".join(ORTH_KEYS)) +
-            f"SELECT {key_file} AS run_key FROM runs_r WHERE success UNION SELECT {key_csv} FROM runs_r")
+            "SELECT DISTINCT group_id || '_' || scene_id || '_' || scheme_key || '_T' || temperature || '_' || model || '_' || "
+            "repeat_idx AS run_key FROM runs_r")
+
+
+def q_j2_files(spark, sf):
+    """J2 + S3 + K4: resume from raw-output file names alone."""
+    r = R.with_repeat_idx(_oruns(spark, sf), ORTH_KEYS)
+    done = _file_names(r).select(RS.canonical_key_from_file_name(F.col("file_name")).alias("run_key"))
+    return RS.pending(_orth_plan(spark), done)
 
 
 
@@ -583,11 +588,23 @@ def sql_t22():
             "AS entry_counts_equal FROM parsed")
 
 
+def _with_prompt(df):
+    """The prompt text of each run's scene and scheme, as sent."""
+    user = F.concat(F.lit("Generate test items for "), F.col("scene_id"), F.lit(". Registers: "), F.expr(TD.prompt_registers_sql()), F.lit("."))
+    return df.withColumn("input_prompt", TX.prompt_text(F.expr(TD.PROMPT_SYSTEM_SQL), user))
+
+
+def _prompt_sql():
+    user = f"concat('Generate test items for ', scene_id, '. Registers: ', {TD.prompt_registers_sql()}, '.')"
+    return f"regexp_replace(concat({TD.PROMPT_SYSTEM_SQL}, chr(10), {user}), '^[\\s　]+|[\\s　]+$', '', 'g')"
+
+
 def q_t23(spark, sf):
     configure(spark)
-    o = TD.outputs(spark, sf).withColumn("prompt_addresses", C.lookup("scene_id", S.SCENE_ADDRESSES))
+    o = _with_prompt(TD.outputs(spark, sf))
     found = TX.hex_addresses("output_content")
-    unknown = F.array_sort(JC.unknown_addresses(found, F.col("prompt_addresses")))
+    # what a prompt names is read from the prompt itself
+    unknown = F.array_sort(JC.unknown_addresses(found, TX.hex_addresses("input_prompt")))
     return o.select("run_seq", F.size(found).cast("bigint").alias("n_addresses"),
                     F.size(unknown).cast("bigint").alias("n_unknown"),
                     F.array_join(unknown, ",").alias("unknown_addresses"),
@@ -595,26 +612,29 @@ def q_t23(spark, sf):
 
 
 def sql_t23():
-    addr_rows = ", ".join(f"('{s}', [{', '.join(O.lit(a) for a in v)}])" for s, v in S.SCENE_ADDRESSES.items())
-    found = "list_distinct(regexp_extract_all(output_content, '(0x[0-9A-Fa-f]+)', 1))"
-    unknown = f"list_sort(list_filter({found}, lambda a: NOT list_contains(pa, a)))"
-    return ("WITH " + O.outputs_cte() + f", addr AS (SELECT * FROM (VALUES {addr_rows}) t(scene_id, pa)) "
-            f"SELECT run_seq, len({found}) AS n_addresses, len({unknown}) AS n_unknown, "
-            f"array_to_string({unknown}, ',') AS unknown_addresses, len({unknown}) = 0 AS addresses_ok "
-            "FROM outs JOIN addr USING (scene_id)")
+    addresses = lambda c: f"list_distinct(regexp_extract_all({c}, '(0x[0-9A-Fa-f]+)', 1))"
+    unknown = f"list_sort(list_filter({addresses('output_content')}, lambda a: NOT list_contains(pa, a)))"
+    return ("WITH " + O.outputs_cte() + f", named AS (SELECT *, {addresses(_prompt_sql())} AS pa FROM outs) "
+            f"SELECT run_seq, len({addresses('output_content')}) AS n_addresses, len({unknown}) AS n_unknown, "
+            f"array_to_string({unknown}, ',') AS unknown_addresses, len({unknown}) = 0 AS addresses_ok FROM named")
 
 
 
 # ---------------------------------------------------------------- judge side
 def q_t18(spark, sf):
     configure(spark)
-    j = JG.parse_judge_replies(spread_for_cpu(TD.judge_replies(spark, sf)), "reply", "j")
+    j = JG.parse_judge_replies(TD.judge_replies(spark, sf), "reply", "j")
     return j.select("run_seq", "j.judge_ok", *[f"j.{d}" for d in DIMS])
 
 
 def _judge_sql_cols(txt: str = "txt", ok: str = "judge_ok") -> list[str]:
-    return [f"CASE WHEN {ok} THEN coalesce(TRY_CAST(json_extract_string({txt}, '$.\"{k}\"') AS DOUBLE), 0.0) "
-            f"ELSE 0.0 END AS {c}" for c, k, _ in S.DIMENSIONS]
+    """0 where absent or unreadable, NULL where the reply says null."""
+    cols = []
+    for c, k, _ in S.DIMENSIONS:
+        number = f"TRY_CAST(json_extract_string({txt}, '$.\"{k}\"') AS DOUBLE)"
+        cols.append(f"CASE WHEN NOT {ok} THEN 0.0 WHEN json_type({txt}, '$.\"{k}\"') = 'NULL' THEN NULL "
+                    f"WHEN isfinite({number}) THEN {number} ELSE 0.0 END AS {c}")
+    return cols
 
 
 def _replies_cte() -> str:
@@ -624,7 +644,7 @@ def _replies_cte() -> str:
             f"rep AS (SELECT run_seq, {reply} AS reply FROM rep0), "
             "rep1 AS (SELECT run_seq, reply, regexp_extract(reply, '\\{[\\s\\S]*\\}', 0) AS span FROM rep), "
             "rep2 AS (SELECT run_seq, CASE WHEN span <> '' THEN span ELSE reply END AS txt FROM rep1), "
-            "rep3 AS (SELECT run_seq, txt, coalesce(json_valid(txt), false) AS judge_ok FROM rep2)\n")
+            "rep3 AS (SELECT run_seq, txt, CASE WHEN json_valid(txt) THEN json_type(txt) = 'OBJECT' ELSE false END AS judge_ok FROM rep2)\n")
 
 
 def sql_t18():
@@ -634,53 +654,65 @@ def sql_t18():
 def q_j7(spark, sf):
     configure(spark)
     runs = AS.assemble_runs(TD.outputs(spark, sf), TD.judge_replies(spark, sf))
-    return runs.select("run_seq", "success", "json_valid", "judge_ok", *DIMS)
+    return runs.select("run_seq", "success", "json_valid", "judge_ok", "temperature", "input_tokens", "elapsed_time", *DIMS)
 
 
 def sql_j7():
-    dims = ", ".join(f"CASE WHEN success THEN coalesce({d}, 0.0) ELSE 0.0 END AS {d}" for d in DIMS)
+    dims = ", ".join(f"CASE WHEN success AND judge_ok THEN {d} ELSE 0.0 END AS {d}" for d in DIMS)
     return ("WITH " + O.outputs_cte() + ", " + _replies_cte() +
             f", sc AS (SELECT run_seq, judge_ok, {', '.join(_judge_sql_cols())} FROM rep3) "
             "SELECT run_seq, success, CASE WHEN success THEN json_valid END AS json_valid, "
-            f"CASE WHEN success THEN coalesce(judge_ok, false) END AS judge_ok, {dims} "
+            "CASE WHEN success THEN coalesce(judge_ok, false) END AS judge_ok, "
+            "CASE WHEN success THEN temperature END AS temperature, CASE WHEN success THEN input_tokens ELSE 0 END AS input_tokens, "
+            f"CASE WHEN success THEN elapsed_time ELSE 0.0 END AS elapsed_time, {dims} "
             "FROM parsed LEFT JOIN sc USING (run_seq)")
 
 
-def _user_prompt_spark():
-    return F.concat(F.lit("Generate test items for "), F.col("scene_id"), F.lit(". Registers: "),
-                    F.array_join("prompt_addresses", ", "), F.lit("."))
-
-
 def q_t17(spark, sf):
-    c = _checked(spark, sf).withColumn("prompt_addresses", C.lookup("scene_id", S.SCENE_ADDRESSES))
-    prompt = TX.prompt_text(F.expr(TD.PROMPT_SYSTEM_SQL), _user_prompt_spark())
+    """Judge prompts of runs of all scenes, each from its own scene's template."""
+    c = _with_prompt(_checked(spark, sf))
     checks = {k: F.col(k) for k in JG.TEMPLATE_FIELDS[2:]}
-    text = JG.judge_prompt(JG.DEFAULT_JUDGE_TEMPLATE, prompt, F.col("normalized"), checks)
+    text = JG.judge_prompts("scene_id", TD.JUDGE_TEMPLATES, F.col("input_prompt"), F.col("normalized"), checks)
     return c.select("run_seq", F.length(text).cast("bigint").alias("prompt_chars"), F.md5(text).alias("prompt_md5"))
 
 
 def sql_t17():
     import string as _s
-    addr_rows = ", ".join(f"('{s}', [{', '.join(O.lit(a) for a in v)}])" for s, v in S.SCENE_ADDRESSES.items())
-    user = "concat('Generate test items for ', scene_id, '. Registers: ', array_to_string(pa, ', '), '.')"
-    prompt = (f"regexp_replace(concat({TD.PROMPT_SYSTEM_SQL}, chr(10), {user}), "
-              "'^[\\s　]+|[\\s　]+$', '', 'g')")
-    vals = {"input_prompt": prompt,
+    vals = {"input_prompt": _prompt_sql(),
             "output_content": "CASE WHEN json_valid THEN span ELSE output_content END"}
     for k in JG.TEMPLATE_FIELDS[2:]:
         vals[k] = (f"CASE WHEN {k} THEN 'True' WHEN NOT {k} THEN 'False' ELSE 'None' END"
                    if k.endswith("_valid") else k)
-    parts = []
-    for literal, field, _, _ in _s.Formatter().parse(JG.DEFAULT_JUDGE_TEMPLATE):
-        if literal:
-            parts.append(O.lit(literal))
-        if field:
-            parts.append(f"CAST({vals[field]} AS VARCHAR)")
-    text = "concat(" + ", ".join(parts) + ")"
+    cases = []
+    for scene, template in TD.JUDGE_TEMPLATES.items():
+        parts = []
+        for literal, field, _, _ in _s.Formatter().parse(template):
+            if literal:
+                parts.append(O.lit(literal))
+            if field:
+                parts.append(f"CAST({vals[field]} AS VARCHAR)")
+        cases.append(f"WHEN {O.lit(scene)} THEN concat({', '.join(parts)})")
     return ("WITH " + O.outputs_cte() + ", " + O.checks_cte() +
-            f", addr AS (SELECT * FROM (VALUES {addr_rows}) t(scene_id, pa)) "
-            f"SELECT run_seq, length({text}) AS prompt_chars, md5({text}) AS prompt_md5 "
-            "FROM checks JOIN addr USING (scene_id)")
+            f", texts AS (SELECT run_seq, CASE scene_id {' '.join(cases)} END AS txt FROM checks) "
+            "SELECT run_seq, length(txt) AS prompt_chars, md5(txt) AS prompt_md5 FROM texts")
+
+
+def q_j6(spark, sf):
+    """J6 + T15 + T16: every run with its scheme's prompt and message list."""
+    prompts = spark.createDataFrame(TD.SCHEME_PROMPTS, "scene_id string, scheme_key string, system string, user string")
+    r = AS.with_prompts(_runs(spark, sf).select("run_seq", "scene_id", "scheme_key"), prompts)
+    return r.select("run_seq", F.md5("input_prompt").alias("prompt_md5"), F.size("messages").alias("n_messages"),
+                    F.array_join(F.transform("messages", lambda m: m["content"]), "|").alias("contents"))
+
+
+def sql_j6():
+    from runlens.functions.text import PY_WHITESPACE
+
+    rows = ", ".join("(" + ", ".join("NULL" if v is None else O.lit(v) for v in r) + ")" for r in TD.SCHEME_PROMPTS)
+    return (O.runs_cte() + f", prompts AS (SELECT * FROM (VALUES {rows}) t(scene_id, scheme_key, system, \"user\")), "
+            "j AS (SELECT run_seq, coalesce(system, '') AS s, coalesce(\"user\", '') AS u FROM runs LEFT JOIN prompts USING (scene_id, scheme_key)) "
+            f"SELECT run_seq, md5(trim(concat(s, chr(10), u), {O.lit(PY_WHITESPACE)})) AS prompt_md5, CASE WHEN s <> '' THEN 2 ELSE 1 END AS n_messages, "
+            "CASE WHEN s <> '' THEN concat(s, '|', u) ELSE u END AS contents FROM j")
 
 
 
@@ -705,30 +737,26 @@ def sql_t7_documents():
 
 # ------------------------------------------------ prompts and message lists
 def q_t16(spark, sf):
-    """T15 + T16 over conversations: the system turn (if any) and the first
-    user turn of each conversation form the prompt and the message list."""
+    """T15 + T16 over conversations: every user turn with its conversation's
+    (first) system turn forms a prompt and a message list."""
     conv = spark.read.parquet(f"{sf}/conversations.parquet")
-    g = conv.groupBy("conv_id").agg(
-        F.min_by(F.when(F.col("role") == "system", F.col("text")),
-                 F.when(F.col("role") == "system", F.col("turn"))).alias("system"),
-        F.min_by(F.when(F.col("role") == "user", F.col("text")),
-                 F.when(F.col("role") == "user", F.col("turn"))).alias("user"))
+    system = conv.where("role = 'system'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("system"))
+    turns = conv.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user")).join(system, "conv_id", "left")
     msgs = TX.chat_messages("system", "user")
-    return g.select("conv_id", F.size(msgs).alias("n_messages"),
-                    F.array_join(F.transform(msgs, lambda m: m["role"]), ",").alias("roles"),
-                    F.length(TX.prompt_text("system", "user")).cast("bigint").alias("prompt_chars"))
+    return turns.select("conv_id", "turn", F.size(msgs).alias("n_messages"),
+                        F.array_join(F.transform(msgs, lambda m: m["role"]), ",").alias("roles"),
+                        F.md5(TX.prompt_text("system", "user")).alias("prompt_md5"))
 
 
 def sql_t16():
     from runlens.functions.text import PY_WHITESPACE
 
     ws = O.lit(PY_WHITESPACE)
-    return ("WITH g AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS system, "
-            "arg_min(text, turn) FILTER (WHERE role = 'user') AS \"user\" FROM conversations GROUP BY conv_id) "
-            "SELECT conv_id, CASE WHEN length(coalesce(system, '')) > 0 THEN 2 ELSE 1 END AS n_messages, "
+    return ("WITH s AS (SELECT conv_id, arg_min(text, turn) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id) "
+            "SELECT conv_id, turn, CASE WHEN length(coalesce(system, '')) > 0 THEN 2 ELSE 1 END AS n_messages, "
             "CASE WHEN length(coalesce(system, '')) > 0 THEN 'system,user' ELSE 'user' END AS roles, "
-            f"length(trim(concat(coalesce(system, ''), chr(10), coalesce(\"user\", '')), {ws})) AS prompt_chars "
-            "FROM g")
+            f"md5(trim(concat(coalesce(system, ''), chr(10), coalesce(text, '')), {ws})) AS prompt_md5 "
+            "FROM conversations LEFT JOIN s USING (conv_id) WHERE role = 'user'")
 
 
 _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
@@ -758,6 +786,8 @@ _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "j3_resume_skipped": (q_j3, sql_j3),
     "a13_progress": (q_a13, sql_a13),
     "j2_orthogonal_pending": (q_j2, sql_j2),
+    "j2_resume_from_files": (q_j2_files, sql_j2),
+    "j6_run_prompts": (q_j6, sql_j6),
     "a13_orthogonal_progress": (q_a13_orthogonal, sql_a13_orthogonal),
     "p9_config_coverage": (q_p9, sql_p9),
     "k3_completed_keys": (q_k3, sql_k3),

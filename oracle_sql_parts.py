@@ -50,7 +50,7 @@ def npr(x: str, k: int) -> str:
 
 def mean(c: str) -> str:
     if c == "elapsed_time":
-        return f"(CAST(SUM(CAST({c} AS DECIMAL(20,2))) AS DOUBLE) / COUNT({c}))"
+        return f"(CAST(SUM(CAST({c} AS DECIMAL(38,9))) AS DOUBLE) / COUNT({c}))"
     return f"(SUM(CAST({c} AS DOUBLE)) / COUNT({c}))"
 
 
@@ -69,12 +69,22 @@ def dims_ctes(orthogonal: bool = False) -> str:
     )
 
 
+def failed_rule(name: str, expr: str, orthogonal: bool) -> str:
+    """What a failed run records: scores 0; exploratory: tokens and time 0, no
+    temperature, no top_p; orthogonal: no tokens, time and top_p."""
+    if name in DIMS or (not orthogonal and name in ("input_tokens", "output_tokens", "elapsed_time")):
+        return f"CASE WHEN success THEN {expr} ELSE 0 END"
+    if name == "top_p" or (not orthogonal and name == "temperature"):
+        return f"CASE WHEN success THEN {expr} END"
+    return expr
+
+
 def runs_cte(orthogonal: bool = False) -> str:
     base = [(n, e) for n, e in TD.RUN_BASE]
     if orthogonal:
         base = [(n, TD.ORTHOGONAL_PARAM_SET if n == "param_set" else e) for n, e in base]
     base_sel = ",\n    ".join(f"{e} AS {n}" for n, e in base)
-    final_sel = ",\n    ".join(f"{e} AS {n}" for n, e in TD.RUN_FINAL)
+    final_sel = ",\n    ".join(f"{failed_rule(n, e, orthogonal)} AS {n}" for n, e in TD.RUN_FINAL)
     return (
         f"WITH base AS (SELECT\n    {base_sel}\n  FROM events),\n"
         f"{dims_ctes(orthogonal)},\n"
@@ -165,6 +175,7 @@ def outputs_cte(source: str | None = None) -> str:
     src = source or (
         f"SELECT event_id AS run_seq, {dict(TD.RUN_BASE)['scene_id']} AS scene_id, "
         f"{dict(TD.RUN_BASE)['scheme_key']} AS scheme_key, event_id % 97 <> 0 AS success, "
+        + "".join(f"{e} AS {n}, " for n, e in TD.OUTPUT_NUMBERS) +
         f"{TD.output_sql()} AS output_content FROM events")
     return (
         f"outs AS ({src}),\n"

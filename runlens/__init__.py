@@ -11,16 +11,16 @@ __version__ = "0.1.0"
 
 from runlens.functions.jsoncheck import (  # noqa: F401,E402
     canonical_json, check_outputs, entry_counts_equal, format_points, normalize_columns,
-    normalize_output, strict_json_ok, unknown_addresses,
+    document_of, unknown_addresses,
 )
 from runlens.functions.judge import (  # noqa: F401,E402
-    judge_prompt, parse_judge_replies, parse_judge_reply, render_template,
+    judge_prompt, judge_prompts, parse_judge_replies, render_template,
 )
 from runlens.functions.metrics import composite_score, np_round, py_round  # noqa: F401,E402
 from runlens.functions.text import (  # noqa: F401,E402
     chat_messages, hex_addresses, json_span, prompt_text, strip_code_fence, trim_unicode,
 )
-from runlens.operators.assemble import assemble_runs, with_prompts  # noqa: F401,E402
+from runlens.operators.assemble import assemble_runs, failed_row_defaults, with_prompts  # noqa: F401,E402
 from runlens.operators.ranking import last_by_key, seq_rank  # noqa: F401,E402
 from runlens.operators.reports import (  # noqa: F401,E402
     best_configuration, best_vs_baseline, composite_by_config, consistency_report, consistency_scores,
@@ -33,8 +33,8 @@ from runlens.plans.design import (  # noqa: F401,E402
     configurations, exploratory_designs, orthogonal_designs, plan, plan_size,
 )
 from runlens.plans.resume import (  # noqa: F401,E402
-    completed_keys, exploratory_key, orthogonal_key, pending, progress, skipped, union_keys,
-    with_keys_from_names,
+    canonical_key_from_file_name, completed_keys, exploratory_key, orthogonal_key, pending, progress,
+    skipped, union_keys, with_design, with_keys_from_names,
 )
 from runlens.sinks.files import (  # noqa: F401,E402
     export_csv, write_bucketed, write_raw_outputs, write_reports, write_runs,

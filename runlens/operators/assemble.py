@@ -13,38 +13,56 @@ from pyspark.sql import functions as F
 
 from runlens import schemas as S
 from runlens.functions.jsoncheck import normalize_columns
-from runlens.operators.balance import spread_for_cpu
 from runlens.functions.judge import parse_judge_replies
 
+#: What a failed run records: zeros, and no sampling parameters.
+FAILED_ZERO = ["input_tokens", "output_tokens", "elapsed_time"]
+FAILED_ABSENT = ["temperature", "top_p"]
+FAILED_ABSENT_ORTHOGONAL = ["top_p", *FAILED_ZERO]
 
-def assemble_runs(outputs: DataFrame, judgements: DataFrame, key: str = "run_seq",
-                  spread: bool = True) -> DataFrame:
+
+def failed_row_defaults(runs: DataFrame, orthogonal: bool = False) -> DataFrame:
+    """F8: failed rows as the experiment records them -- zero scores; the
+    exploratory record has zero tokens and time and no sampling parameters,
+    the orthogonal one keeps its temperature and has no tokens and time."""
+    zero = S.DIM_COLS + ([] if orthogonal else FAILED_ZERO)
+    absent = FAILED_ABSENT_ORTHOGONAL if orthogonal else FAILED_ABSENT
+    types = dict(runs.dtypes)
+    cols = {c: F.when(F.col("success"), F.col(c)).otherwise(F.lit(0).cast(types[c])) for c in zero if c in types}
+    cols |= {c: F.when(F.col("success"), F.col(c)) for c in absent if c in types}
+    return runs.select(*[cols.get(c, F.col(c)).alias(c) for c in runs.columns])
+
+
+def assemble_runs(outputs: DataFrame, judgements: DataFrame, key: str = "run_seq", orthogonal: bool = False) -> DataFrame:
     """outputs(key, success, output_content, ...) + judgements(key, reply)
     -> run rows with ``json_valid``, ``judge_ok``, the six scores and note.
 
-    ``spread=False`` keeps the inputs' partitioning (e.g. both bucketed by
-    the key, so the join needs no exchange)."""
-    # parse each side where it is read (scan tasks; spread when the input is
-    # one small split), then join the parsed rows on the unique key
-    replies = spread_for_cpu(judgements) if spread else judgements
-    parsed = parse_judge_replies(replies.select(key, "reply"), "reply", "__j").drop("reply")
-    normed = normalize_columns(outputs, "output_content", spread=spread).select(
-        *[c for c in outputs.columns if c != "output_content"],
-        F.struct("normalized", "json_valid").alias("__n"))
-    j = normed.join(parsed, key, "left")
+    The orthogonal record keeps the raw output text and has no ``json_valid``.
+    Inputs bucketed by the key join without an exchange.
+    """
+    # parse each side where it is read, then join the parsed rows on the unique key
+    parsed = parse_judge_replies(judgements.select(key, "reply"), "reply", "__j").drop("reply")
     ok = F.col("success")
-    norm = F.col("__n")
     cols = [c for c in outputs.columns if c != "output_content"]
+    if orthogonal:
+        sides = outputs.select(*cols, F.when(ok, F.col("output_content")).alias("output_content"))
+        texts = ["output_content"]
+    else:
+        sides = normalize_columns(outputs, "output_content").select(
+            *cols, F.when(ok, F.col("normalized")).otherwise(F.lit("")).alias("output_content"),
+            F.when(ok, F.col("json_valid")).alias("json_valid"))
+        texts = ["output_content", "json_valid"]
+    j = sides.join(parsed, key, "left")
+    # a score is 0 without a judgement; NULL only where the judge wrote null
+    judged = F.coalesce(F.col("__j.judge_ok"), F.lit(False))
     out = j.select(
-        *cols,
-        F.when(ok, norm["normalized"]).otherwise(F.lit("")).alias("output_content"),
-        F.when(ok, norm["json_valid"]).alias("json_valid"),
-        F.when(ok, F.coalesce(F.col("__j.judge_ok"), F.lit(False))).alias("judge_ok"),
-        *[F.when(ok, F.coalesce(F.col(f"__j.{d}"), F.lit(0.0))).otherwise(F.lit(0.0)).alias(d)
-          for d in S.DIM_COLS],
+        *cols, *texts,
+        F.when(ok, judged).alias("judge_ok"),
+        *[F.when(ok & judged, F.col(f"__j.{d}")).otherwise(F.lit(0.0)).alias(d) for d in S.DIM_COLS],
+        F.when(ok & judged, F.col("__j.scores_readable")).alias("scores_readable"),
         F.when(ok, F.col("__j.score_note")).alias("score_note"),
     )
-    return out
+    return failed_row_defaults(out, orthogonal)
 
 
 def with_prompts(runs: DataFrame, scheme_prompts: DataFrame) -> DataFrame:

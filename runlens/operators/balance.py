@@ -1,12 +1,11 @@
-"""Parallelism guard for CPU-heavy row work.
+"""Parallelism guard for CPU-heavy row work over a source of few files.
 
 A scan yields one task per file split.  A small input (one file, one row
 group) is one task, and per-row parsing then runs on one core however many
-the cluster has.  ``spread_for_cpu`` adds a round-robin repartition only in
-that case; on a large input (thousands of splits) it returns the frame
-untouched, so it never adds a shuffle at scale.  Spark sorts rows locally
-before a round-robin repartition, so a retried task sends the same rows to
-the same partitions.
+the cluster has.  ``spread_files`` adds a round-robin repartition only where
+the source has fewer files than the cluster has cores.  It asks for the file
+list alone, which runs no job; library operators never repartition by
+themselves.
 """
 
 from __future__ import annotations
@@ -14,14 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    if df.isStreaming:          # micro-batches: the source decides the split
-        return df
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- e.g. Spark Connect: no RDD view, keep the plan
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target)
+def spread_files(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """``df``, a scan and projections of files, over at least as many tasks as cores."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= target else df.repartition(target)

@@ -14,8 +14,8 @@ Numeric rules follow the reports being re-created:
 * pandas-style tables (summary, main results) round with ``np_round``,
   the hand-built tables (consistency, main summary, sensitivity, overall)
   with Python's ``round`` (``py_round``);
-* fractional seconds are summed exactly (``DECIMAL``, 2 decimals as
-  recorded) so sums and means do not depend on partitioning;
+* fractional seconds are summed exactly (``DECIMAL``, to the nanosecond) so
+  sums and means do not depend on partitioning;
 * groups whose key is NULL are dropped and rows come out sorted by key.
 """
 
@@ -33,7 +33,7 @@ from runlens.operators.ranking import first_by, seq_rank
 DIMS = S.DIM_COLS
 TOKENS = ["input_tokens", "output_tokens"]
 TIME_COL = "elapsed_time"
-TIME_DECIMAL = "decimal(20,2)"  # elapsed time is recorded to 2 decimals
+TIME_DECIMAL = "decimal(38,9)"  # seconds to the nanosecond: sums are exact in any order
 
 GROUP4_KEYS = ["scene_name", "model", "scheme", "param_set"]
 MAIN_KEYS = ["scene_name", "model", "scheme"]
@@ -296,7 +296,13 @@ def group_statistics(runs: DataFrame) -> DataFrame:
     g = _nonnull(runs, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("run_seq").alias("__first_seq"),
         *[_mean(d).alias(f"__m_{d}") for d in DIMS])
-    ms = [F.col(f"__m_{d}") for d in DIMS]
+    return _group_finish(g, "__m_", "")
+
+
+def _group_finish(g: DataFrame, prefix: str, suffix: str) -> DataFrame:
+    """Mean of the six dimension means and their sample std; groups in
+    first-appearance order, models in first appearance within the group."""
+    ms = [F.col(f"{prefix}{d}{suffix}") for d in DIMS]
     total = ms[0]
     for m in ms[1:]:
         total = total + m
@@ -305,17 +311,15 @@ def group_statistics(runs: DataFrame) -> DataFrame:
     for m in ms:
         t = (m - mean) * (m - mean)
         sq = t if sq is None else sq + t
-    std = F.sqrt(sq / float(len(ms) - 1))
-    # groups in first-appearance order, models in first appearance within the group
     o1 = F.min("__first_seq").over(Window.partitionBy("group_id"))
-    out = g.select(*keys, "n", mean.alias("mean_score"), std.alias("std_score"),
+    out = g.select("group_id", "model", "n", mean.alias("mean_score"), F.sqrt(sq / float(len(ms) - 1)).alias("std_score"),
                    o1.alias("__o1"), F.col("__first_seq").alias("__o2"))
     return out.orderBy("__o1", "__o2").drop("__o1", "__o2")
 
 
-def with_composite(runs: DataFrame, name: str = "composite") -> DataFrame:
+def with_composite(runs: DataFrame, name: str = "composite", weights: dict | None = None) -> DataFrame:
     """Weighted composite score per run."""
-    return runs.withColumn(name, composite_score())
+    return runs.withColumn(name, composite_score(weights=weights))
 
 
 def _config_aggs() -> list[Column]:
@@ -325,11 +329,17 @@ def _config_aggs() -> list[Column]:
     return aggs
 
 
-def _config_finish(g: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
+def _composite_of_means(prefix: str = "", suffix: str = "_mean", weights: dict | None = None) -> Column:
+    """The weighted composite of the dimension means, in dimension order."""
     comp = None
     for d in DIMS:
-        t = F.col(f"{d}_mean") * float(S.DIM_WEIGHTS[d])
+        t = F.col(f"{prefix}{d}{suffix}") * float((weights or S.DIM_WEIGHTS)[d])
         comp = t if comp is None else comp + t
+    return comp
+
+
+def _config_finish(g: DataFrame, keys: list[str], digits: int = 2, weights: dict | None = None) -> DataFrame:
+    comp = _composite_of_means(weights=weights)
     cols = [*keys, "n", py_round(comp, digits).alias("composite_mean"),
             py_round(F.col("__csd"), digits).alias("composite_std")]
     for d in DIMS:
@@ -338,18 +348,21 @@ def _config_finish(g: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
     return g.select(*cols)
 
 
-def composite_by_config(runs: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
+def composite_by_config(runs: DataFrame, keys: list[str], digits: int = 2, weights: dict | None = None) -> DataFrame:
     """A10: composite mean +- sample std per configuration, with dimension
     means and stds.  The mean composite is the composite of the dimension
     means (equal to the mean of run composites, but from exact sums)."""
-    g = _nonnull(with_composite(runs, "__c"), keys).groupBy(*keys).agg(*_config_aggs())
-    return _config_finish(g, keys, digits)
+    g = _nonnull(with_composite(runs, "__c", weights), keys).groupBy(*keys).agg(*_config_aggs())
+    return _config_finish(g, keys, digits, weights)
 
 
-def best_configuration(by_config: DataFrame, keys: list[str]) -> DataFrame:
+def best_configuration(runs: DataFrame, keys: list[str], digits: int = 2, weights: dict | None = None) -> DataFrame:
     """A11 + N5: the configuration with the highest mean composite (ties by
-    keys).  Top-1 of the small per-configuration table."""
-    return by_config.orderBy(F.col("composite_mean").desc(), *keys).limit(1)
+    keys), ranked by the mean before it is rounded.  Top-1 of the small
+    per-configuration table."""
+    g = _nonnull(with_composite(runs, "__c", weights), keys).groupBy(*keys).agg(*_config_aggs())
+    best = g.orderBy(_composite_of_means(weights=weights).desc(), *keys).limit(1)
+    return _config_finish(best, keys, digits, weights)
 
 
 def best_vs_baseline(best: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -364,27 +377,37 @@ def best_vs_baseline(best: DataFrame, baseline: DataFrame) -> DataFrame:
     comp = best.select(F.lit("composite").alias("dimension"),
                        F.col("composite_mean").alias("best_mean"),
                        F.col("composite_std").alias("best_std"))
-    j = long.unionByName(comp).join(F.broadcast(baseline), "dimension")
+    j = long.unionByName(comp).join(baseline, "dimension")
     return j.select("dimension", "manual", "best_mean", "best_std",
                     py_round(F.col("best_mean") - F.col("manual"), 1).alias("diff"))
 
 
-def _restrict(runs: DataFrame, configs) -> DataFrame:
+def restrict(runs: DataFrame, configs) -> DataFrame:
     """Rows of a design group's configurations: a filter when the
-    configurations are a driver-side list, else a left-semi join against the
-    (configuration-sized, broadcast) DataFrame of them."""
+    configurations are a short driver-side list, else a left-semi join (Spark
+    broadcasts the configurations where their size allows)."""
     if isinstance(configs, list):
-        from runlens.plans.design import config_filter
+        from runlens.plans.design import MAX_FILTER_CONFIGURATIONS, config_filter
 
-        return runs.where(config_filter(configs))
+        if len(configs) <= MAX_FILTER_CONFIGURATIONS:
+            return runs.where(config_filter(configs))
+        configs = configuration_frame(runs.sparkSession, configs)
     on = [c for c in configs.columns if c in runs.columns]
-    return runs.join(F.broadcast(configs.select(*on).distinct()), on, "left_semi")
+    return runs.join(configs.select(*on).distinct(), on, "left_semi")
+
 
+def configuration_frame(spark, configs: list[dict]) -> DataFrame:
+    """A list of configurations (see ``plans.design.configurations``) as rows."""
+    types = {"temperature": "double"}
+    cols = list(dict.fromkeys(k for c in configs for k in c))
+    return spark.createDataFrame([[c.get(k) for k in cols] for c in configs],
+                                 ", ".join(f"{k} {types.get(k, 'string')}" for k in cols))
 
-def factor_effect(runs: DataFrame, configs, keys: list[str], digits: int = 2) -> DataFrame:
+
+def factor_effect(runs: DataFrame, configs, keys: list[str], digits: int = 2, weights: dict | None = None) -> DataFrame:
     """Restrict runs to a design group's configurations, then composite
     and dimension statistics by the varied factor."""
-    return composite_by_config(_restrict(runs, configs), keys, digits).orderBy(*keys)
+    return composite_by_config(restrict(runs, configs), keys, digits, weights).orderBy(*keys)
 
 
 def interaction_table(runs: DataFrame, configs, row_key: str, pivot_key: str,
@@ -393,17 +416,14 @@ def interaction_table(runs: DataFrame, configs, row_key: str, pivot_key: str,
 
     Pivot values are passed explicitly, so no extra job collects them.
     """
-    sel = _restrict(runs, configs)
+    sel = restrict(runs, configs)
     # cell value = composite of the cell's dimension means (exact sums, so
     # the result does not depend on how rows are partitioned)
     p = (sel.groupBy(row_key).pivot(pivot_key, pivot_values)
          .agg(*[_mean(d).alias(d) for d in DIMS]))
     cells = []
     for v in pivot_values:
-        comp = None
-        for d in DIMS:
-            t = F.col(f"{v}_{d}") * float(S.DIM_WEIGHTS[d])
-            comp = t if comp is None else comp + t
+        comp = _composite_of_means(f"{v}_", "")
         cells.append(py_round(comp, digits).alias(f"{v}_composite"))
     return p.select(row_key, *cells).orderBy(row_key)
 
@@ -465,10 +485,15 @@ def orthogonal_report_tables(runs: DataFrame, designs, materialise=None, digits:
     group all rows by (group, model).  One scan, partial aggregates shuffled;
     ``materialise`` (e.g. a checkpoint) is applied to the small grouped result.
     """
-    from runlens.plans.design import config_filter, configurations
+    from runlens.plans.design import MAX_FILTER_CONFIGURATIONS, config_filter, configurations
 
     cfgs = [c for d in designs if d.enabled for c in configurations(d)]
-    base = with_composite(runs, "__c").withColumn("__in_cfg", F.coalesce(config_filter(cfgs), F.lit(False)))
+    base = with_composite(runs, "__c")
+    if len(cfgs) <= MAX_FILTER_CONFIGURATIONS:
+        base = base.withColumn("__in_cfg", F.coalesce(config_filter(cfgs), F.lit(False)))
+    else:
+        named = configuration_frame(runs.sparkSession, cfgs).distinct().withColumn("__in_cfg", F.lit(True))
+        base = base.join(named, [c for c in named.columns if c != "__in_cfg"], "left").fillna(False, subset=["__in_cfg"])
     fine = ["group_id", "model_key", "model", "scheme", "temperature", "__in_cfg"]
     all_keys = fine
     g = (base.groupingSets([[F.col(k) for k in fine], [F.col("group_id"), F.col("model")]], *all_keys)
@@ -480,21 +505,7 @@ def orthogonal_report_tables(runs: DataFrame, designs, materialise=None, digits:
     coarse_gid = sum(1 << (len(all_keys) - 1 - i) for i, k in enumerate(all_keys) if k not in ("group_id", "model"))
     coarse = _nonnull(g.where(F.col("__gid") == coarse_gid), ["group_id", "model"])
 
-    # A8 from the (group, model) rows: mean of the six means, sample std across them
-    ms = [F.col(f"{d}_mean") for d in DIMS]
-    total = ms[0]
-    for m in ms[1:]:
-        total = total + m
-    mean = total / float(len(ms))
-    sq = None
-    for m in ms:
-        t = (m - mean) * (m - mean)
-        sq = t if sq is None else sq + t
-    o1 = F.min("__first_seq").over(Window.partitionBy("group_id"))
-    a8 = (coarse.select("group_id", "model", "n", mean.alias("mean_score"),
-                        F.sqrt(sq / float(len(ms) - 1)).alias("std_score"), o1.alias("__o1"),
-                        F.col("__first_seq").alias("__o2"))
-          .orderBy("__o1", "__o2").drop("__o1", "__o2"))
+    a8 = _group_finish(coarse, "", "_mean")
 
     def table(group, keys):
         t = fine_rows.where(F.col("group_id") == group)
@@ -502,10 +513,7 @@ def orthogonal_report_tables(runs: DataFrame, designs, materialise=None, digits:
 
     g4 = fine_rows.where(F.col("group_id") == "group4")
     model_keys = sorted({c["model_key"] for c in cfgs})
-    comp = None
-    for d in DIMS:
-        t = F.col(f"{d}_mean") * float(S.DIM_WEIGHTS[d])
-        comp = t if comp is None else comp + t
+    comp = _composite_of_means()
     inter = (g4.groupBy("scheme").pivot("model_key", model_keys).agg(F.first(comp))
              .select("scheme", *[py_round(F.col(m), digits).alias(f"{m}_composite") for m in model_keys])
              .orderBy("scheme"))

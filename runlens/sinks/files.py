@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from runlens import schemas as S
 from runlens.operators import reports as R
 from runlens.operators.ranking import last_by_key
-from runlens.plans.resume import normalise_file_part
+from runlens.plans.resume import normalise_file_part, with_keys_from_names
 
-REPORT_COLUMNS = ["run_seq", "group_id", "scene_id", "scene_name", "scheme", "model", "param_set",
+REPORT_COLUMNS = ["run_seq", "group_id", "design", "repeat_idx", "scene_id", "scene_name", "scheme", "model", "param_set",
                   "temperature", "top_p", "input_tokens", "output_tokens", "elapsed_time", "success",
                   *S.DIM_COLS]
 
@@ -52,7 +52,8 @@ def write_raw_outputs(runs: DataFrame, path: str, key: F.Column | None = None, m
     k = key if key is not None else raw_file_key(runs)
     latest = last_by_key(runs.withColumn("file_key", k), ["file_key"], "run_seq")
     out = latest.select(
-        "file_key", F.col("group_id").alias("group"), "scene_id", "scene_name", "scheme", "model",
+        "file_key", "run_seq", F.col("group_id").alias("group"),
+        (F.col("design") if "design" in latest.columns else F.lit(None).cast("string")).alias("design"), "scene_id", "scene_name", "scheme", "model",
         "param_set", "temperature", "top_p", "repeat_idx", "input_tokens", "output_tokens", "elapsed_time",
         "output_content", "json_valid", "success", "error",
         *[F.col(c).alias(k2) for c, k2, _ in S.DIMENSIONS])
@@ -80,7 +81,9 @@ def write_reports(runs: DataFrame, out_dir: str, fmt: str = "csv") -> dict[str,
     # every aggregate report from one grouping-sets aggregation; its result
     # (one row per group) is what gets checkpointed, not the run table
     tables = R.report_tables(narrow, materialise=materialise)
-    detail_base = R.with_repeat_idx(narrow)
+    # the recorded repeat number is what the sheet shows; only a table that
+    # never recorded one is numbered here
+    detail_base = narrow if "repeat_idx" in narrow.columns else R.with_repeat_idx(narrow)
     tables["detail"] = R.detail(detail_base)
     # aggregate reports have one row per configuration: one file each; the
     # detail table has one row per run and keeps the full parallelism
@@ -118,7 +121,7 @@ def write_orthogonal_reports(runs: DataFrame, out_dir: str, fmt: str = "csv") ->
     grouping-sets pass whose small result is checkpointed once."""
     from runlens.plans.design import orthogonal_designs
 
-    tables = R.orthogonal_report_tables(runs, orthogonal_designs(), materialise=materialise)
+    tables = R.orthogonal_report_tables(with_keys_from_names(runs), orthogonal_designs(), materialise=materialise)
     written = {}
     for name, df in tables.items():
         p = f"{out_dir.rstrip('/')}/{name}"

@@ -1,9 +1,9 @@
 """Configuration -> small dimension DataFrames (models, parameter sets,
 evaluation dimensions, scenes, schemes).
 
-These tables have a size fixed by the configuration (a handful of rows), so
-joining them with ``broadcast`` is safe at any data size: the bound is the
-length of the lists below, known on the driver before any job runs.
+These tables have the size of the configuration.  Short ones are literal maps
+in expressions; longer ones are joined, and Spark broadcasts them where their
+size is below its threshold.  No size is refused.
 """
 
 from __future__ import annotations
@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 
 from runlens import schemas as S
 
-# Hard ceiling for anything this module hands to ``broadcast``.
-MAX_DIMENSION_ROWS = 10_000
+# A literal map of more entries than this is slower per row than a join.
+MAX_LITERAL_ROWS = 64
 
 
 def _frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    if len(rows) > MAX_DIMENSION_ROWS:
-        raise ValueError(f"dimension table of {len(rows)} rows is not a dimension")
     return spark.createDataFrame(rows, schema)
 
 
@@ -49,11 +47,6 @@ def schemes(spark: SparkSession) -> DataFrame:
     return _frame(spark, rows, S.SCHEMES_SCHEMA)
 
 
-def scene_addresses(spark: SparkSession) -> DataFrame:
-    rows = [[s, a] for s, a in S.SCENE_ADDRESSES.items()]
-    return _frame(spark, rows, "scene_id string, prompt_addresses array<string>")
-
-
 # ---------------------------------------------------------------------------
 # YAML configuration files (driver-side; the files are a few KB).
 
@@ -126,25 +119,32 @@ def scenes_from_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
 # ---------------------------------------------------------------------------
 # J4-J6 lookups.  A dimension held as driver-side configuration (a few rows)
 # becomes a literal map inside the expression: no exchange, no extra job.
-# A dimension that is a DataFrame (e.g. read from files) is joined with a
-# broadcast after its row count is checked against MAX_DIMENSION_ROWS.
+# A dimension that is a DataFrame (e.g. read from files) is joined.
 
 def lookup(key, pairs) -> "F.Column":
-    """Value for ``key`` in a configuration mapping (NULL when absent)."""
+    """Value for ``key`` in a configuration mapping (NULL when absent).
+
+    A map in the expression: meant for mappings of up to ``MAX_LITERAL_ROWS``
+    entries (``with_lookup`` joins longer ones)."""
     items = list(pairs.items()) if isinstance(pairs, dict) else list(pairs)
-    if len(items) > MAX_DIMENSION_ROWS:
-        raise ValueError("mapping too large for a literal lookup")
     m = F.create_map(*[F.lit(x) for kv in items for x in kv])
     k = F.col(key) if isinstance(key, str) else key
     return m[k]
 
 
 def join_dimension(df: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
-    """Join a dimension table after proving it small enough to broadcast."""
-    n = dim.count()
-    if n > MAX_DIMENSION_ROWS:
-        return df.join(dim, on, how)
-    return df.join(F.broadcast(dim), on, how)
+    """Join a dimension table; Spark broadcasts it below its size threshold."""
+    return df.join(dim, on, how)
+
+
+def with_lookup(df: DataFrame, key: str, pairs, name: str) -> DataFrame:
+    """``df`` with ``name``: the value for column ``key`` in a mapping of any length."""
+    items = list(pairs.items()) if isinstance(pairs, dict) else list(pairs)
+    if len(items) <= MAX_LITERAL_ROWS:
+        return df.withColumn(name, lookup(key, items))
+    kind = "double" if isinstance(items[0][1], float) else "string"
+    dim = df.sparkSession.createDataFrame([list(kv) for kv in dict(items).items()], f"{key} string, {name} {kind}")
+    return df.join(dim, key, "left")
 
 
 def enrich_from_config(base: DataFrame, orthogonal: bool = False) -> DataFrame:
@@ -152,11 +152,11 @@ def enrich_from_config(base: DataFrame, orthogonal: bool = False) -> DataFrame:
     param_set: scene name, scheme name, model name, temperature, top_p."""
     models_ = S.MODELS_ORTHOGONAL if orthogonal else S.MODELS
     psets = S.PARAM_SETS_ORTHOGONAL if orthogonal else S.PARAM_SETS
-    return base.select(
-        "*",
-        lookup("scene_id", S.SCENES).alias("scene_name"),
-        lookup("scheme_key", S.SCHEMES).alias("scheme"),
-        lookup("model_key", [(k, n) for k, n, _, _ in models_]).alias("model"),
-        lookup("param_set", [(p, float(t)) for p, t, _ in psets]).alias("temperature"),
-        lookup("param_set", [(p, float(tp)) for p, _, tp in psets]).alias("top_p"),
-    )
+    out = base
+    for key, pairs, name in [
+            ("scene_id", S.SCENES, "scene_name"), ("scheme_key", S.SCHEMES, "scheme"),
+            ("model_key", [(k, n) for k, n, _, _ in models_], "model"),
+            ("param_set", [(p, float(t)) for p, t, _ in psets], "temperature"),
+            ("param_set", [(p, float(tp)) for p, _, tp in psets], "top_p")]:
+        out = with_lookup(out, key, pairs, name)
+    return out

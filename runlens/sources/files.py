@@ -9,7 +9,7 @@ columns and *conformed by name* to the run schema: renamed, cast with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,8 @@ def conform(df: DataFrame, schema: T.StructType = S.RUNS) -> DataFrame:
         if f.name in present:
             src = F.col(f"`{present[f.name]}`")
             if isinstance(f.dataType, (T.LongType, T.IntegerType)):
-                c = src.try_cast("double").cast(f.dataType)
+                # "3.0" is how a column with gaps spells 3; large numbers keep every digit
+                c = F.coalesce(src.try_cast(f.dataType), src.try_cast("double").cast(f.dataType))
             elif isinstance(f.dataType, T.DoubleType):
                 c = src.try_cast("double")
                 c = F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
@@ -48,32 +49,59 @@ def conform(df: DataFrame, schema: T.StructType = S.RUNS) -> DataFrame:
 def read_runs_csv(spark: SparkSession, path: str, with_file_order: bool = True) -> DataFrame:
     """A score CSV (``all_scores.csv`` / ``results.csv``) as runs.
 
-    ``multiLine`` keeps quoted line breaks inside one record; ``run_seq`` is
-    the row's position as written when ``with_file_order`` (file name, then
-    byte offset -- deterministic for a given file set).
+    ``multiLine`` keeps quoted line breaks inside one record (a file is then
+    one task: prefer parquet for large tables).  Exports of this library
+    carry ``run_seq``.  For other files, ``with_file_order`` orders rows by
+    (modification time, file name, row in the file) and numbers them.
     """
     raw = (spark.read.option("header", True).option("multiLine", True)
            .option("escape", '"').option("encoding", "UTF-8").csv(path))
     df = conform(raw)
     if with_file_order and "run_seq" not in raw.columns:
-        # rows keep file order within a file; number them by a stable id
-        df = df.withColumn("run_seq", F.monotonically_increasing_id())
+        df = _numbered(spark, raw, df)
     return df
 
 
+def _numbered(spark: SparkSession, raw: DataFrame, df: DataFrame) -> DataFrame:
+    """``df`` (rows of the scan ``raw``) with ``run_seq``: the files' order by
+    (modification time, name) in the upper digits, the row's place in its file
+    in the lower ones.
+
+    A multi-line CSV file is read by one task from its start, so the running
+    id of a task counts the file's rows in order; its least value in the
+    file is taken off.  Only one row per file takes part in the ranking.
+    """
+    at = raw.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("t"), F.monotonically_increasing_id().alias("i"))
+    files = at.groupBy("f").agg(F.max("t").alias("t"), F.min("i").alias("first"))
+    ranked = files.select("f", "first", F.row_number().over(Window.orderBy("t", "f")).alias("nth"))
+    keep = [c for c in df.columns if c != "run_seq"]
+    rows = conform(raw.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i")))
+    joined = rows.join(ranked, F.col("_f") == F.col("f"))
+    seq = (F.col("nth") - 1) * F.lit(1 << 33) + F.col("_i") - F.col("first")
+    return joined.withColumn("run_seq", seq.cast("bigint")).select("run_seq", *keep)
+
+
 def read_raw_outputs(spark: SparkSession, path: str, one_document_per_file: bool = True) -> DataFrame:
     """Raw per-run JSON documents -- one pretty-printed object per file as
     the experiment writes them, or JSON Lines as ``write_raw_outputs`` does.
 
-    ``run_seq`` orders runs by file modification time (microseconds) and the
-    file name breaks ties; ``file_name`` is kept for key derivation.
+    ``run_seq`` is the recorded one where the documents carry it.  Else, for
+    one document per file, it orders files by (modification time, name);
+    JSON Lines must carry it.  ``file_name`` is kept for key derivation.
     """
     raw = (spark.read.schema(S.RAW_RECORD).option("multiLine", one_document_per_file).json(path)
            .select("*", F.col("_metadata.file_name").alias("file_name"),
                    F.col("_metadata.file_modification_time").alias("_mtime")))
     df = conform(raw.withColumnRenamed("file_name", "_file_name"))
-    return (df.withColumn("run_seq", F.unix_micros(F.col("_mtime")))
-            .withColumnRenamed("_file_name", "file_name").drop("_mtime"))
+    if one_document_per_file:
+        # the second of the modification time, then the place within that second
+        second = F.floor(F.unix_micros("_mtime") / 1_000_000).cast("bigint")
+        place = F.row_number().over(Window.partitionBy("_second").orderBy("_mtime", "_file_name")) - 1
+        numbered = df.withColumn("_second", second).withColumn("_nth", F.col("_second") * F.lit(1 << 32) + place)
+        df = numbered.withColumn("run_seq", F.coalesce("run_seq", "_nth")).drop("_second", "_nth")
+    else:
+        df = df.withColumn("run_seq", F.coalesce("run_seq", F.raise_error(F.lit("JSON Lines documents need run_seq"))))
+    return df.withColumnRenamed("_file_name", "file_name").drop("_mtime")
 
 
 def list_raw_output_names(spark: SparkSession, path: str) -> DataFrame:

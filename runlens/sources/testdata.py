@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from runlens import schemas as S
-from runlens.operators.balance import spread_for_cpu
+from runlens.functions import judge as JG
+from runlens.operators.assemble import failed_row_defaults
+from runlens.operators.balance import spread_files
 from runlens.sources import config as C
 
 NL = "\n"
@@ -35,6 +37,9 @@ RUN_BASE = [
     ("scheme_key", "concat('scheme', CAST(1 + user_id % 3 AS STRING))"),
     ("param_set", "concat('P', CAST(1 + event_id % 12 AS STRING))"),
     ("group_id", "concat('group', CAST(1 + event_id % 4 AS STRING))"),
+    # P1 runs of the sensitivity scene and scheme belong to both designs by turns
+    ("design", "CASE WHEN event_id % 12 <> 0 OR (event_type IN ('view', 'click') AND user_id % 3 = 0 "
+               "AND CAST(floor(event_id / 12) AS BIGINT) % 2 = 1) THEN 'sens' ELSE 'main' END"),
     ("success", "event_id % 97 <> 0"),
     ("a1", "(event_id * 37) % 101"),
     ("a2", "(event_id * 53 + 7) % 101"),
@@ -51,6 +56,7 @@ RUN_BASE = [
 RUN_FINAL = [
     ("run_seq", "run_seq"),
     ("group_id", "group_id"),
+    ("design", "design"),
     ("scene_id", "scene_id"),
     ("scene_name", "scene_name"),
     ("scheme_key", "scheme_key"),
@@ -62,11 +68,10 @@ RUN_FINAL = [
     ("top_p", "top_p"),
     ("success", "success"),
     ("error", "CASE WHEN success THEN NULL ELSE 'generation failed' END"),
-    *[(c, f"CAST(CASE WHEN success THEN a{i + 1} ELSE 0 END AS DOUBLE)")
-      for i, c in enumerate(S.DIM_COLS)],
-    ("input_tokens", "CASE WHEN success THEN tok_in ELSE 0 END"),
-    ("output_tokens", "CASE WHEN success THEN tok_out ELSE 0 END"),
-    ("elapsed_time", "CASE WHEN success THEN secs ELSE 0.0 END"),
+    *[(c, f"CAST(CASE WHEN success THEN a{i + 1} END AS DOUBLE)") for i, c in enumerate(S.DIM_COLS)],
+    ("input_tokens", "CASE WHEN success THEN tok_in END"),
+    ("output_tokens", "CASE WHEN success THEN tok_out END"),
+    ("elapsed_time", "CASE WHEN success THEN secs END"),
 ]
 
 
@@ -112,6 +117,10 @@ def output_sql() -> str:
     )
 
 
+# First scores that are no finite number (JSON text).
+ODD_SCORES = {"null": "null", "nan": '"NaN"', "infinite": '"-Infinity"'}
+
+
 def judge_reply_sql() -> str:
     """Portable SQL for the judge model's reply to each successful run."""
     keys = [k for _, k, _ in S.DIMENSIONS]
@@ -120,7 +129,9 @@ def judge_reply_sql() -> str:
         parts = []
         for i, k in enumerate(keys):
             a = f"CAST(a{i + 1} AS STRING)"
-            if style == "string":
+            if style in ODD_SCORES and i == 0:
+                v = f"'{ODD_SCORES[style]}'"
+            elif style == "string":
                 v = f"'\"', {a}, '\"'"
             elif style == "suffix" and i == 0:
                 v = f"'\"', {a}, '分\"'"
@@ -133,8 +144,10 @@ def judge_reply_sql() -> str:
         parts.append("'}'")
         return "concat(" + ", ".join(parts) + ")"
 
+    odd = "".join(f" WHEN event_id % 55 = {11 * i} THEN {e}" for i, e in enumerate(
+        [body("null"), body("nan"), body("infinite"), "'95'", "concat('[', CAST(a1 AS STRING), ', 2]')"]))
     return (
-        "CASE WHEN event_id % 6 = 0 THEN " + body("number") +
+        "CASE" + odd + " WHEN event_id % 6 = 0 THEN " + body("number") +
         " WHEN event_id % 6 = 1 THEN " + body("string") +
         " WHEN event_id % 6 = 2 THEN " + body("suffix") +
         " WHEN event_id % 6 = 3 THEN " + body("missing") +
@@ -143,6 +156,14 @@ def judge_reply_sql() -> str:
     )
 
 
+# What the generator records beside the text: a failed call has no tokens and no time.
+OUTPUT_NUMBERS = [
+    ("temperature", "CAST(event_id % 7 AS DOUBLE) / 10"),
+    ("input_tokens", "CASE WHEN event_id % 97 <> 0 THEN 100 + user_id END"),
+    ("elapsed_time", "CASE WHEN event_id % 97 <> 0 THEN value END"),
+]
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -155,24 +176,25 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan.
     """
     base = events(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in RUN_BASE])
-    return C.enrich_from_config(base).selectExpr(*[f"{e} AS {n}" for n, e in RUN_FINAL])
+    return failed_row_defaults(C.enrich_from_config(base).selectExpr(*[f"{e} AS {n}" for n, e in RUN_FINAL]))
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_seq, scene_id, scheme_key, success, output_content) -- the
     generator's text.  The scan is spread over the cores first when the input
     is a single small split (see ``operators.balance``)."""
-    return spread_for_cpu(events(spark, sf_dir).select("event_id", "user_id", "event_type", "props")).selectExpr(
+    return spread_files(events(spark, sf_dir).select("event_id", "user_id", "event_type", "props", "value")).selectExpr(
         "event_id AS run_seq",
         dict(RUN_BASE)["scene_id"] + " AS scene_id",
         dict(RUN_BASE)["scheme_key"] + " AS scheme_key",
         "event_id % 97 <> 0 AS success",
+        *[f"{e} AS {n}" for n, e in OUTPUT_NUMBERS],
         output_sql() + " AS output_content")
 
 
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_seq, reply) for every successful run -- the judge model's text."""
-    return (spread_for_cpu(events(spark, sf_dir).select("event_id"))
+    return (spread_files(events(spark, sf_dir).select("event_id"))
             .where("event_id % 97 <> 0")
             .selectExpr("event_id AS run_seq",
                         *[f"{e} AS {n}" for n, e in RUN_BASE if n.startswith("a")],
@@ -189,12 +211,31 @@ def orthogonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     (temperature 0.0-1.2), orthogonal model names, group from the event id."""
     base_exprs = [(n, ORTHOGONAL_PARAM_SET if n == "param_set" else e) for n, e in RUN_BASE]
     base = events(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in base_exprs])
-    return C.enrich_from_config(base, orthogonal=True).selectExpr(*[f"{e} AS {n}" for n, e in RUN_FINAL])
+    return failed_row_defaults(C.enrich_from_config(base, orthogonal=True).selectExpr(*[f"{e} AS {n}" for n, e in RUN_FINAL]), orthogonal=True)
 
 
-# Prompt parts per scheme for the judge-prompt query: scheme3 carries a system
-# text, the user text names the scene and its registers.
+# Prompt parts for the prompt queries: scheme3 carries a system text, the user
+# text names the scene and its registers.
 PROMPT_SYSTEM_SQL = "CASE WHEN scheme_key = 'scheme3' THEN 'You are a senior test engineer.' ELSE '' END"
+PROMPT_REGISTERS = {
+    "sceneA": ["0x0000", "0x0002", "0x000E", "0x0010", "0x55AA"],
+    "sceneB": ["0x0100", "0x0104", "0x0108"],
+    "sceneC": ["0x0200", "0x0206", "0xEB90"],
+}
+# One judge template per scene, and the schemes' prompt parts as a configuration table.
+JUDGE_TEMPLATES = {
+    scene: f"Rubric of {name} ({{{{strict}}}}).\n" + JG.DEFAULT_JUDGE_TEMPLATE + f"\nScene {scene}."
+    for scene, name in S.SCENES
+}
+SCHEME_PROMPTS = [
+    [scene, scheme, "You are a senior test engineer.\u3000" if scheme == "scheme3" else (None if scheme == "scheme1" else ""),
+     f"  Items for {scene} by {name}. " if (scene, scheme) != ("sceneC", "scheme2") else None]
+    for scene, _ in S.SCENES for scheme, name in S.SCHEMES if (scene, scheme) != ("sceneB", "scheme1")
+]
+
+
+def prompt_registers_sql() -> str:
+    return "CASE scene_id " + " ".join(f"WHEN '{k}' THEN '{', '.join(v)}'" for k, v in PROMPT_REGISTERS.items()) + " END"
 
 
 # Model outputs built from whole ``documents`` texts: every line of a document
@@ -224,5 +265,5 @@ def document_output_sql(dialect: str = "spark") -> str:
 
 def document_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_seq = doc_id, output_content) built from whole document texts."""
-    docs = spread_for_cpu(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spread_files(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.selectExpr("doc_id AS run_seq", document_output_sql() + " AS output_content")

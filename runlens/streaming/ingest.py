@@ -28,7 +28,7 @@ def raw_output_stream(spark: SparkSession, raw_dir: str, max_files_per_trigger:
            .option("maxFilesPerTrigger", max_files_per_trigger).json(raw_dir)
            .select("*", F.col("_metadata.file_name").alias("_file_name"),
                    F.col("_metadata.file_modification_time").alias("_mtime")))
-    runs = (conform(raw).withColumn("run_seq", F.unix_micros("_mtime"))
+    runs = (conform(raw).withColumn("run_seq", F.coalesce("run_seq", F.unix_micros("_mtime")))
             .withColumnRenamed("_file_name", "file_name").drop("_mtime"))
     # json_valid is recomputed from the text; the document's own flag is dropped
     checked = check_outputs(runs.drop("json_valid")

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from conftest import SF_SMALL, core
 
 FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
              "CartesianProduct", "BroadcastNestedLoopJoin"]
@@ -15,7 +15,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", core(E.queries()))
 def test_no_python_udf_no_cross_join(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     for node in FORBIDDEN:
