@@ -108,31 +108,31 @@ def _banded(a: Column, b: Column, threshold: int) -> Column:
     return _let(taken, lambda t: F.aggregate(F.sequence(F.lit(1), t["n"]), start, lambda s, j: step(t, s, j), lambda s: s["score"]) <= k)
 
 
-def keys(line: Column, threshold: int, least: int) -> tuple[Column, Column]:
+def keys(line: Column, n: Column, threshold: int, least: int) -> tuple[Column, Column]:
     """(hashes a line files, further hashes it only probes), both array<bigint>.
 
+    ``n`` is a column with the line's length: measured once, not in every key.
+
     A line files its segments; these are also what it probes among lines of its
     own length at the segments' own places.  The places probed for a line
     ``shift`` characters shorter are those that leave enough edits for what lies
     before and for what lies after them.
     """
-    parts, n = threshold + 1, F.length(line)
+    parts = threshold + 1
 
-    def hashed(place):  # shift, number of the segment (from 0), by
-        length = n - place["shift"]
+    def hashed(shift, i, by):
+        length = n - shift
         size, short = F.floor(length / parts).cast("int"), F.lit(parts) - F.pmod(length, F.lit(parts))  # the first segments are the shorter ones
-        start = place["i"] * size + F.greatest(place["i"] - short, F.lit(0)) + place["by"]
-        width = size + F.when(place["i"] >= short, 1).otherwise(0)
-        fits = (length >= least) & (start >= 0) & (start + width <= n)
-        return F.when(fits, F.xxhash64(length, place["i"], F.substring(line, start + 1, width)))
-
-    def all_of(places):
-        found = F.transform(F.array(*[F.struct(F.lit(s).alias("shift"), F.lit(i).alias("i"), F.lit(by).alias("by")) for s, i, by in places]), hashed)
-        return F.array_compact(found)
-
-    probed = [(shift, i, by) for shift in range(threshold + 1) for i in range(parts)
+        start = F.lit(i) * size + F.greatest(F.lit(i) - short, F.lit(0)) + by
+        width = size + F.when(F.lit(i) >= short, 1).otherwise(0)
+        key = F.xxhash64(length, F.lit(i), F.substring(line, start + 1, width))
+        if (shift, by) == (0, 0):
+            return key
+        return F.when((length >= least) & (start >= 0) & (start + width <= n), key)
+
+    probed = [hashed(shift, i, by) for shift in range(threshold + 1) for i in range(parts)
               for by in range(max(-i, shift - (threshold - i)), min(i, shift + (threshold - i)) + 1) if (shift, by) != (0, 0)]
-    return all_of([(0, i, 0) for i in range(parts)]), all_of(probed) if probed else F.array().cast("array<bigint>")
+    return F.array(*[hashed(0, i, 0) for i in range(parts)]), F.array_compact(F.array(*probed)) if probed else F.array().cast("array<bigint>")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -148,8 +148,9 @@ def digest(line: Column) -> Column:
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line that occurs again, exactly or nearly: line (digest), keep (whether it stays), first (the document where), size of its class."""
     lines = lines_of(docs, id_col, text_col).where(F.length("line") >= max(least, threshold + 1))
-    filed, probed = keys(F.col("line"), threshold, least)
     distinct = lines.groupBy("line").agg(F.min("d1").alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = distinct.withColumn("chars", F.length("line"))
+    filed, probed = keys(F.col("line"), F.col("chars"), threshold, least)
     distinct = materialise(distinct.select(digest(F.col("line")).alias("id"), "first", "n", filed.alias("filed"), probed.alias("probed")), "lines")
 
     key = F.explode(F.concat(F.transform("filed", lambda h: F.struct(h.alias("h"), F.lit(True).alias("own"))), F.transform("probed", lambda h: F.struct(h.alias("h"), F.lit(False).alias("own")))))

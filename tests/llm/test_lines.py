@@ -94,8 +94,8 @@ def test_banded_distance(pairs, threshold):
 @pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_near_lines_share_a_key(pairs, threshold):
     _, df = pairs
-    f, p = linededup.keys(F.col("a"), threshold, threshold + 1)
-    g, q = linededup.keys(F.col("b"), threshold, threshold + 1)
+    f, p = linededup.keys(F.col("a"), F.length("a"), threshold, threshold + 1)
+    g, q = linededup.keys(F.col("b"), F.length("b"), threshold, threshold + 1)
     near = df.where((F.levenshtein("a", "b") <= threshold) & (F.length("a") > threshold) & (F.length("b") > threshold))
     met = F.arrays_overlap(f, F.concat(g, q)) | F.arrays_overlap(g, F.concat(f, p))
     assert near.count() > 500 and near.where(~met).count() == 0
