@@ -30,7 +30,8 @@ from runlens.operators.reports import (  # noqa: F401,E402
     with_composite, with_repeat_idx,
 )
 from runlens.plans.design import (  # noqa: F401,E402
-    configurations, exploratory_designs, orthogonal_designs, plan, plan_size,
+    configurations, designs_from_config, exploratory_designs, orthogonal_designs, plan, plan_size,
+    weights_from_config,
 )
 from runlens.plans.resume import (  # noqa: F401,E402
     canonical_key_from_file_name, completed_keys, exploratory_key, orthogonal_key, pending, progress,

@@ -26,6 +26,11 @@ from runlens import schemas as S
 MAX_FILTER_CONFIGURATIONS = 64
 
 
+_PARAM = {p: (t, tp) for p, t, tp in S.PARAM_SETS}
+_PARAM_ORTH = {p: (t, tp) for p, t, tp in S.PARAM_SETS_ORTHOGONAL}
+_MODEL_NAME_ORTH = {k: n for k, n, _, _ in S.MODELS_ORTHOGONAL}
+
+
 @dataclass
 class Factor:
     name: str
@@ -34,30 +39,34 @@ class Factor:
 
 @dataclass
 class Design:
-    """One design: named factors (outermost first), fixed columns, key rule."""
+    """One design: named factors (outermost first) or a list of explicit
+    combinations, fixed columns, key rule, and the configuration's tables."""
     name: str
-    factors: list[Factor]
+    factors: list[Factor] = field(default_factory=list)
     fixed: dict = field(default_factory=dict)
     repeats: int = S.REPEAT_TIMES
     enabled: bool = True
     key: str = "exploratory"          # or "orthogonal"
     counter: str = "global"           # "global": one counter across designs; "design": restarts
+    combinations: list[dict] = field(default_factory=list)   # column -> value, instead of factors
+    params: dict = field(default_factory=lambda: _PARAM)     # parameter set -> (temperature, top_p)
+    model_names: dict = field(default_factory=lambda: _MODEL_NAME_ORTH)
+    top_p: float = 1.0                # of designs that name a temperature
 
     @property
     def size(self) -> int:
         n = self.repeats
         for f in self.factors:
             n *= len(f.values)
-        return n
+        return n * (len(self.combinations) or 1)
 
 
 def _pick(values: list, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
-_PARAM = {p: (t, tp) for p, t, tp in S.PARAM_SETS}
-_TEMP_TO_T = {t: p for p, t, _ in S.PARAM_SETS_ORTHOGONAL}
-_MODEL_NAME_ORTH = {k: n for k, n, _, _ in S.MODELS_ORTHOGONAL}
+def _map(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
 def grid(spark: SparkSession, d: Design, offset: int = 0) -> DataFrame:
@@ -65,6 +74,10 @@ def grid(spark: SparkSession, d: Design, offset: int = 0) -> DataFrame:
     idx = F.col("id")
     radix = d.repeats
     cols = {"repeat_idx": (idx % d.repeats + 1).cast("int")}
+    if d.combinations:
+        at = F.floor(idx / radix) % len(d.combinations)
+        cols |= {k: _pick([c[k] for c in d.combinations], at) for k in d.combinations[0]}
+        radix *= len(d.combinations)
     for f in reversed(d.factors):
         cols[f.name] = _pick(f.values, F.floor(idx / radix) % len(f.values))
         radix *= len(f.values)
@@ -73,23 +86,19 @@ def grid(spark: SparkSession, d: Design, offset: int = 0) -> DataFrame:
     df = spark.range(d.size).select(
         F.lit(d.name).alias("design"), *[c.alias(n) for n, c in cols.items()],
         (idx + offset + 1).alias("position"))
-    # parameter columns: exploratory designs name a parameter set, orthogonal
-    # ones a temperature
+    # exploratory designs name a parameter set, orthogonal ones a temperature;
+    # the other is NULL where the configuration has no match
     if "param_set" in df.columns:
-        ps = [p for p, _, _ in S.PARAM_SETS]
-        temp = _pick([_PARAM[p][0] for p in ps], F.array_position(F.array(*[F.lit(p) for p in ps]), F.col("param_set")) - 1)
-        topp = _pick([_PARAM[p][1] for p in ps], F.array_position(F.array(*[F.lit(p) for p in ps]), F.col("param_set")) - 1)
-        df = df.withColumn("temperature", temp.cast("double")).withColumn("top_p", topp.cast("double"))
+        df = (df.withColumn("temperature", _map({p: float(t) for p, (t, _) in d.params.items()})[F.col("param_set")])
+              .withColumn("top_p", _map({p: float(tp) for p, (_, tp) in d.params.items()})[F.col("param_set")]))
     else:
-        ts = list(_TEMP_TO_T)
-        pos = F.array_position(F.array(*[F.lit(float(t)) for t in ts]), F.col("temperature").cast("double")) - 1
-        df = (df.withColumn("temperature", F.col("temperature").cast("double"))
-              .withColumn("param_set", _pick([_TEMP_TO_T[t] for t in ts], pos))
-              .withColumn("top_p", F.lit(1.0)))
-    return df.withColumn("run_key", run_key(d.key)).select(*S.PLAN.fieldNames())
+        df = df.withColumn("temperature", F.col("temperature").cast("double"))
+        sets = _map({float(t): p for p, (t, _) in d.params.items()})
+        df = df.withColumn("param_set", sets[F.col("temperature")]).withColumn("top_p", F.lit(float(d.top_p)))
+    return df.withColumn("run_key", run_key(d.key, d.model_names)).select(*S.PLAN.fieldNames())
 
 
-def run_key(kind: str) -> Column:
+def run_key(kind: str, model_names: dict | None = None) -> Column:
     """K1: the canonical run key of a plan row.
 
     exploratory: ``<design>_<scene>_<scheme>_<model>_<param_set>_<repeat-1>``;
@@ -98,9 +107,9 @@ def run_key(kind: str) -> Column:
     if kind == "exploratory":
         return joined_key("design", "scene_id", "scheme_key", "model_key", "param_set",
                           (F.col("repeat_idx") - 1).cast("string"))
-    names = F.create_map(*[x for k, n in _MODEL_NAME_ORTH.items() for x in (F.lit(k), F.lit(n))])
+    names = _map(model_names or _MODEL_NAME_ORTH)
     return joined_key("design", "scene_id", "scheme_key", F.concat(F.lit("T"), F.col("temperature").cast("string")),
-                      names[F.col("model_key")], F.col("repeat_idx").cast("string"))
+                      F.coalesce(names[F.col("model_key")], F.col("model_key")), F.col("repeat_idx").cast("string"))
 
 
 def joined_key(*parts) -> Column:
@@ -111,36 +120,82 @@ def joined_key(*parts) -> Column:
 
 # ---------------------------------------------------------------- designs
 
+def _params(cfg: dict) -> dict:
+    return {k: (float(v["temperature"]), float(v.get("top_p", 1.0))) for k, v in (cfg.get("parameter_sets") or {}).items()}
+
+
+def designs_from_config(cfg: dict) -> list[Design]:
+    """The designs of a configuration (the parsed YAML of either
+    experiment): models, scenes, schemes, parameter sets, temperatures,
+    combinations, repeats or sample sizes, and ``enabled`` per design."""
+    exp = cfg["experiment"]
+    params = _params(cfg)
+    names = {k: v.get("name") or k for k, v in (cfg.get("models") or {}).items()}
+    out = []
+    if main := exp.get("main_experiment"):
+        out.append(Design(
+            "main", [Factor("model_key", main["models"]), Factor("scene_id", main["scenes"]), Factor("scheme_key", main["schemes"])],
+            # the experiment runs its main design with P1 whatever the configuration says
+            fixed={"param_set": "P1"}, repeats=exp["repeat_times"], enabled=main.get("enabled", True), params=params))
+    if sens := exp.get("sensitivity_experiment"):
+        out.append(Design(
+            "sens", [Factor("model_key", sens["models"]), Factor("scheme_key", sens["schemes"]), Factor("param_set", sens["param_sets"])],
+            fixed={"scene_id": sens["scene"]}, repeats=exp["repeat_times"], enabled=sens.get("enabled", True), params=params))
+    for name, key in (("group1", "group1_temperature"), ("group2", "group2_scheme"), ("group3", "group3_model"), ("group4", "group4_interaction")):
+        if not (g := exp.get(key)):
+            continue
+        fixed = {"scene_id": exp.get("fixed_scene", S.ORTHOGONAL_SCENE)}
+        factors, combinations = [], []
+        if "combinations" in g:
+            combinations = [{"model_key": c["model"], "scheme_key": c["scheme"], "temperature": float(c["temp"])} for c in g["combinations"]]
+        else:
+            factors.append(Factor("model_key", g["models"]))
+            if "temperatures" in g:
+                factors.append(Factor("temperature", [float(t) for t in g["temperatures"]]))
+                fixed["scheme_key"] = g["scheme"]
+            else:
+                factors.append(Factor("scheme_key", g["schemes"]))
+                fixed["temperature"] = float(g["temperature"])
+        out.append(Design(name, factors, fixed=fixed, repeats=g.get("sample_size", exp.get("repeat_times")), enabled=g.get("enabled", True),
+                          key="orthogonal", counter="design", combinations=combinations, params=params, model_names=names,
+                          top_p=exp.get("fixed_top_p", 1.0)))
+    return out
+
+
+def weights_from_config(cfg: dict) -> dict[str, float]:
+    """Composite weights by our dimension names, for A9-A12 (missing: the default)."""
+    own = {d["name"]: d.get("weight") for d in cfg.get("evaluation_dimensions") or []}
+    return {c: S.DIM_WEIGHTS[c] if own.get(k) is None else float(own[k]) for c, k, _ in S.DIMENSIONS}
+
+
+def default_config(orthogonal: bool = False) -> dict:
+    """The configuration in ``schemas``, in the shape of the YAML files."""
+    models = S.MODELS_ORTHOGONAL if orthogonal else S.MODELS
+    sets = S.PARAM_SETS_ORTHOGONAL if orthogonal else S.PARAM_SETS
+    cfg = {"models": {k: {"name": n} for k, n, _, _ in models}, "parameter_sets": {p: {"temperature": t, "top_p": tp} for p, t, tp in sets}}
+    if orthogonal:
+        n = S.ORTHOGONAL_REPEATS
+        cfg["experiment"] = {
+            "repeat_times": n, "fixed_scene": S.ORTHOGONAL_SCENE, "fixed_top_p": 1.0,
+            "group1_temperature": {**S.GROUP1, "sample_size": n}, "group2_scheme": {**S.GROUP2, "sample_size": n},
+            "group3_model": {**S.GROUP3, "sample_size": n},
+            "group4_interaction": {"combinations": [{"model": m, "scheme": s, "temp": t} for m, s, t in S.GROUP4], "sample_size": n}}
+    else:
+        cfg["experiment"] = {"repeat_times": S.REPEAT_TIMES, "main_experiment": S.MAIN_DESIGN, "sensitivity_experiment": S.SENSITIVITY_DESIGN}
+    return cfg
+
+
 def exploratory_designs(main_enabled: bool = True, sens_enabled: bool = True) -> list[Design]:
-    m, s = S.MAIN_DESIGN, S.SENSITIVITY_DESIGN
-    return [
-        Design("main", [Factor("model_key", m["models"]), Factor("scene_id", m["scenes"]),
-                        Factor("scheme_key", m["schemes"])],
-               fixed={"param_set": m["param_set"]}, enabled=main_enabled),
-        Design("sens", [Factor("model_key", s["models"]), Factor("scheme_key", s["schemes"]),
-                        Factor("param_set", s["param_sets"])],
-               fixed={"scene_id": s["scene"]}, enabled=sens_enabled),
-    ]
+    main, sens = designs_from_config(default_config())
+    main.enabled, sens.enabled = main_enabled, sens_enabled
+    return [main, sens]
 
 
 def orthogonal_designs(enabled: dict | None = None) -> list[Design]:
-    en = {"group1": True, "group2": True, "group3": True, "group4": True, **(enabled or {})}
-    n, scene = S.ORTHOGONAL_REPEATS, S.ORTHOGONAL_SCENE
-    g1, g2, g3 = S.GROUP1, S.GROUP2, S.GROUP3
-    return [
-        Design("group1", [Factor("model_key", g1["models"]), Factor("temperature", g1["temperatures"])],
-               fixed={"scene_id": scene, "scheme_key": g1["scheme"]}, repeats=n,
-               enabled=en["group1"], key="orthogonal", counter="design"),
-        Design("group2", [Factor("model_key", g2["models"]), Factor("scheme_key", g2["schemes"])],
-               fixed={"scene_id": scene, "temperature": g2["temperature"]}, repeats=n,
-               enabled=en["group2"], key="orthogonal", counter="design"),
-        Design("group3", [Factor("model_key", g3["models"]), Factor("scheme_key", g3["schemes"])],
-               fixed={"scene_id": scene, "temperature": g3["temperature"]}, repeats=n,
-               enabled=en["group3"], key="orthogonal", counter="design"),
-        Design("group4", [Factor("combo", list(range(len(S.GROUP4))))],
-               fixed={"scene_id": scene}, repeats=n, enabled=en["group4"], key="orthogonal",
-               counter="design"),
-    ]
+    designs = designs_from_config(default_config(orthogonal=True))
+    for d in designs:
+        d.enabled = (enabled or {}).get(d.name, True)
+    return designs
 
 
 def plan(spark: SparkSession, designs: list[Design]) -> DataFrame:
@@ -153,11 +208,7 @@ def plan(spark: SparkSession, designs: list[Design]) -> DataFrame:
             continue
         if d.counter != "global":
             offset = 0
-        if any(f.name == "combo" for f in d.factors):
-            g = _combo_grid(spark, d, offset)
-        else:
-            g = grid(spark, d, offset)
-        parts.append(g)
+        parts.append(grid(spark, d, offset))
         offset = offset + d.size if d.counter == "global" else 0
     if not parts:
         return spark.createDataFrame([], S.PLAN)
@@ -167,27 +218,6 @@ def plan(spark: SparkSession, designs: list[Design]) -> DataFrame:
     return out
 
 
-def _combo_grid(spark: SparkSession, d: Design, offset: int) -> DataFrame:
-    combos = S.GROUP4
-    expanded = Design(d.name, [Factor("__combo", list(range(len(combos))))], fixed=d.fixed,
-                      repeats=d.repeats, enabled=d.enabled, key=d.key, counter=d.counter)
-    idx = F.col("id")
-    c = F.floor(idx / d.repeats)
-    df = spark.range(expanded.size).select(
-        F.lit(d.name).alias("design"),
-        F.lit(d.fixed["scene_id"]).alias("scene_id"),
-        _pick([m for m, _, _ in combos], c).alias("model_key"),
-        _pick([s for _, s, _ in combos], c).alias("scheme_key"),
-        _pick([float(t) for _, _, t in combos], c).cast("double").alias("temperature"),
-        (idx % d.repeats + 1).cast("int").alias("repeat_idx"),
-        (idx + offset + 1).alias("position"))
-    ts = list(_TEMP_TO_T)
-    pos = F.array_position(F.array(*[F.lit(float(t)) for t in ts]), F.col("temperature")) - 1
-    df = (df.withColumn("param_set", _pick([_TEMP_TO_T[t] for t in ts], pos))
-          .withColumn("top_p", F.lit(1.0)))
-    return df.withColumn("run_key", run_key(d.key)).select(*S.PLAN.fieldNames())
-
-
 def planned_counts(designs: list[Design], include_disabled: bool = True) -> list[tuple[str, int, bool]]:
     """Planned runs per design, from the configuration alone (driver side).
 
@@ -208,14 +238,11 @@ def plan_size(designs: list[Design]) -> int:
 def configurations(d: Design) -> list[dict]:
     """Distinct configurations (model_key, scheme_key, temperature) of one
     design, enumerated on the driver from its factors (no data involved)."""
-    if any(f.name == "combo" for f in d.factors):
-        rows = [{"model_key": m, "scheme_key": s, "temperature": float(t)} for m, s, t in S.GROUP4]
-    else:
-        rows = [dict(d.fixed)]
-        for f in d.factors:
-            rows = [{**r, f.name: v} for r in rows for v in f.values]
-        rows = [{k: (float(v) if k == "temperature" else v) for k, v in r.items()
-                 if k in ("model_key", "scheme_key", "temperature")} for r in rows]
+    rows = [{**d.fixed, **c} for c in d.combinations or [{}]]
+    for f in d.factors:
+        rows = [{**r, f.name: v} for r in rows for v in f.values]
+    rows = [{k: (float(v) if k == "temperature" else v) for k, v in r.items()
+             if k in ("model_key", "scheme_key", "temperature")} for r in rows]
     out, seen = [], set()
     for r in rows:
         key = tuple(sorted(r.items()))

@@ -181,3 +181,41 @@ def test_more_configurations_than_a_filter_takes(spark):
     runs = spark.range(300).select(F.concat(F.lit("m"), "id").alias("model_key"), F.lit(0.5).alias("temperature"))
     configs = [{"group_id": "g", "model_key": f"m{i}", "temperature": 0.5} for i in range(0, 300, 2)]
     assert restrict(runs, configs).count() == 150
+
+
+def test_designs_of_another_configuration(spark):
+    cfg = {
+        "models": {"m1": {"name": "Org/M-1"}, "m2": {"name": "M2"}, "m3": {}},
+        "parameter_sets": {"T0": {"temperature": 0.0}, "Tx": {"temperature": 0.5, "top_p": 0.9}},
+        "experiment": {
+            "repeat_times": 2, "fixed_scene": "sceneB", "fixed_top_p": 0.8,
+            "main_experiment": {"enabled": True, "models": ["m1", "m3"], "scenes": ["s1"], "schemes": ["a", "b", "c"]},
+            "sensitivity_experiment": {"enabled": False, "models": ["m1"], "scene": "s1", "schemes": ["a"], "param_sets": ["T0", "Tx"]},
+            "group1_temperature": {"models": ["m1", "m2", "m3"], "scheme": "a", "temperatures": [0.5, 0.7], "sample_size": 3},
+            "group4_interaction": {"combinations": [{"model": "m3", "scheme": "b", "temp": 0.5}, {"model": "m1", "scheme": "c", "temp": 0}]},
+        },
+        "evaluation_dimensions": [{"name": "条目对应率", "weight": 0.4}, {"name": "无幻觉率"}],
+    }
+    designs = {d.name: d for d in D.designs_from_config(cfg)}
+    assert {n: (d.size, d.enabled) for n, d in designs.items()} == {"main": (12, True), "sens": (4, False), "group1": (18, True), "group4": (4, True)}
+    rows = D.plan(spark, list(designs.values())).orderBy("design", "position").collect()
+    want, n = [], 0
+    for m in ["m1", "m2", "m3"]:
+        for t in [0.5, 0.7]:
+            for r in range(3):
+                n += 1
+                want.append(("group1", "sceneB", "a", m, {0.5: "Tx"}.get(t), t, 0.8, r + 1, n, f"group1_sceneB_a_T{t}_{cfg['models'][m].get('name', m)}_{r + 1}"))
+    n = 0
+    for m, s, t in [("m3", "b", 0.5), ("m1", "c", 0.0)]:
+        for r in range(2):
+            n += 1
+            want.append(("group4", "sceneB", s, m, {0.5: "Tx", 0.0: "T0"}[t], t, 0.8, r + 1, n, f"group4_sceneB_{s}_T{t}_{cfg['models'][m].get('name', m)}_{r + 1}"))
+    n = 0
+    for m in ["m1", "m3"]:
+        for s in ["a", "b", "c"]:
+            for r in range(2):
+                n += 1
+                want.append(("main", "s1", s, m, "P1", None, None, r + 1, n, f"main_s1_{s}_{m}_P1_{r}"))
+    assert [tuple(r) for r in rows] == want
+    assert D.weights_from_config(cfg)["entry_correspondence"] == 0.4 and D.weights_from_config(cfg)["no_hallucination"] == 0.15
+    assert len(D.configurations(designs["group4"])) == 2
