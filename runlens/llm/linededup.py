@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import components, materialise
 
 THRESHOLD, LEAST = 1, 24
+SIEVE_BITS = 23
 _LAST = (1 << 63) - 1
 
 
@@ -145,6 +146,19 @@ def digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
+def sieve(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``wanted``, before a join shuffles them.
+
+    A bit map of hashes: it has at most 2^(SIEVE_BITS - 6) words whatever the
+    data, so it can be broadcast.  It lets every wanted row pass.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
+    bits = wanted.select(place.alias("p")).select(F.expr("p div 64 AS word"), F.expr("shiftleft(1L, cast(p % 64 AS int)) AS bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("mask"))
+    held = rows.withColumn("p", place).withColumn("word", F.expr("p div 64")).join(F.broadcast(words), "word")
+    return held.where("mask & shiftleft(1L, cast(p % 64 AS int)) <> 0").select(*rows.columns)
+
+
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line that occurs again, exactly or nearly: line (digest), keep (whether it stays), first (the document where), size of its class."""
     lines = lines_of(docs, id_col, text_col).where(F.length("line") >= max(least, threshold + 1))
@@ -164,7 +178,8 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = lines.select(digest(F.col("line")).alias("id"), "line").join(wanted, "id", "left_semi").distinct()
+    wanted = materialise(wanted, "wanted")
+    texts = sieve(lines.select(digest(F.col("line")).alias("id"), "line"), wanted, "id").join(wanted, "id", "left_semi").distinct()
     texts = materialise(texts, "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     both = both.where(may_be_near(F.col("line_a"), F.col("line_b"), threshold))
@@ -182,7 +197,7 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id
     as copies of the line that stays and as near copies of it."""
     classes = materialise(line_classes(docs, threshold, least, id_col, text_col), "classes")
     lines = lines_of(docs, id_col, text_col).where(F.length("line") >= max(least, threshold + 1))
-    met = lines.select("d1", "d2", "pos", digest(F.col("line")).alias("line")).join(classes, "line")
+    met = sieve(lines.select("d1", "d2", "pos", digest(F.col("line")).alias("line")), classes, "line").join(classes, "line")
     own = met.groupBy("d1", "d2", "line").agg(F.collect_set("pos").alias("at"), F.first("keep").alias("keep"), F.first("first").alias("first"))
     stays = F.col("keep") & (F.col("first") == F.col("d1"))
     gone = F.when(stays, F.array_except("at", F.array(F.array_min("at")))).otherwise(F.col("at"))
