@@ -9,6 +9,7 @@ arithmetic here, independently of the Spark column code.
 from __future__ import annotations
 
 from runlens import schemas as S
+from runlens.functions import jsoncheck as JC
 from runlens.sources import testdata as TD
 
 DIMS = S.DIM_COLS
@@ -191,16 +192,30 @@ def outputs_cte(source: str | None = None) -> str:
     )
 
 
+def said(message: str, **parts: str) -> str:
+    """SQL text of a fixed message with its places filled by SQL expressions."""
+    import string
+
+    out = []
+    for literal, name, _, _ in string.Formatter().parse(message):
+        if literal:
+            out.append(lit(literal))
+        if name:
+            out.append(parts[name])
+    return f"concat({', '.join(out)})"
+
+
 def checks_cte() -> str:
-    q = '"'
+    not_object = said(JC.ISSUE_NOT_OBJECT, i="i")
+    shown = lambda a: f"array_to_string(list_slice({a}, 1, {JC.ISSUES_SHOWN}), {lit(JC.ISSUE_SEPARATOR)})"
     miss = ", ".join(
-        f"CASE WHEN NOT json_exists(x, '$.{f}') THEN concat('测试项', i, '缺少字段{q}{f}{q}') END"
+        f"CASE WHEN NOT json_exists(x, '$.{f}') THEN {said(JC.ISSUE_MISSING_FIELD, i='i', f=lit(f))} END"
         for f in ["name", "methods", "requirements", "criteria"])
     types = ", ".join(
         ["CASE WHEN json_exists(x, '$.name') AND json_type(x, '$.name') <> 'VARCHAR' "
-         "THEN concat('测试项', i, '的name不是字符串') END"] +
+         f"THEN {said(JC.ISSUE_NAME_NOT_STRING, i='i')} END"] +
         [f"CASE WHEN json_exists(x, '$.{f}') AND json_type(x, '$.{f}') <> 'ARRAY' "
-         f"THEN concat('测试项', i, '的{f}不是数组') END" for f in ["methods", "requirements", "criteria"]])
+         f"THEN {said(JC.ISSUE_NOT_ARRAY, i='i', f=lit(f))} END" for f in ["methods", "requirements", "criteria"]])
     allf = " AND ".join(f"json_exists(x, '$.{f}')" for f in ["name", "methods", "requirements", "criteria"])
     return (
         "c1x AS (SELECT *, coalesce(json_type(j) = 'OBJECT' AND json_exists(j, '$.test_items'), false) AS has_ti, "
@@ -217,8 +232,8 @@ def checks_cte() -> str:
         "CASE WHEN run_arr THEN len(list_filter(items, lambda x: json_type(x) = 'OBJECT' AND " + allf + ")) "
         "ELSE 0 END AS correct_items, "
         "CASE WHEN run_arr THEN flatten(list_transform(items, lambda x, i: CASE WHEN json_type(x) <> 'OBJECT' "
-        "THEN [concat('测试项', i, '不是对象类型')] ELSE list_filter([" + miss + "], lambda s: s IS NOT NULL) END)) "
-        "WHEN run_other THEN list_transform(range(1, least(n_other, 3) + 1), lambda i: concat('测试项', i, '不是对象类型')) "
+        f"THEN [{not_object}] ELSE list_filter([" + miss + "], lambda s: s IS NOT NULL) END)) "
+        "WHEN run_other THEN list_transform(range(1, least(n_other, 3) + 1), lambda i: " + not_object + ") "
         "END AS f_issues, "
         "CASE WHEN run_arr THEN flatten(list_transform(items, lambda x, i: CASE WHEN json_type(x) <> 'OBJECT' "
         "THEN []::VARCHAR[] ELSE list_filter([" + types + "], lambda s: s IS NOT NULL) END)) "
@@ -227,17 +242,17 @@ def checks_cte() -> str:
         "coalesce(has_ti AND ti_type = 'ARRAY' AND json_array_length(j, '$.test_items') > 0, false) AS structure_valid, "
         "checks_run AND len(f_issues) = 0 AS field_names_valid, "
         "checks_run AND len(t_issues) = 0 AS data_types_valid, n_items, correct_items, "
-        "CASE WHEN json_valid THEN 'JSON解析成功' ELSE 'JSON解析失败，无法继续检查' END AS json_valid_detail, "
-        "CASE WHEN NOT json_valid THEN '结构不完整' "
+        f"CASE WHEN json_valid THEN {said(JC.MSG_JSON_OK)} ELSE {said(JC.MSG_JSON_FAILED)} END AS json_valid_detail, "
+        f"CASE WHEN NOT json_valid THEN {said(JC.MSG_STRUCTURE_DEFAULT)} "
         "WHEN has_ti AND ti_type = 'ARRAY' AND json_array_length(j, '$.test_items') > 0 "
-        "THEN concat('结构完整，包含test_items数组，共', json_array_length(j, '$.test_items'), '个测试项') "
-        "WHEN has_ti THEN 'test_items不是有效数组或为空' "
-        "WHEN root_list THEN concat('输出为数组而非包含test_items字段的对象，共', json_array_length(j), '个测试项') "
-        "ELSE '未找到test_items数组或有效测试项' END AS structure_detail, "
-        "CASE WHEN checks_run AND len(f_issues) = 0 THEN concat('所有', n_items, '个测试项的字段命名完全符合要求') "
-        "WHEN checks_run THEN concat(correct_items, '/', n_items, '个测试项字段正确，问题：', "
-        "array_to_string(list_slice(f_issues, 1, 3), '; ')) ELSE '字段命名不符合要求' END AS field_names_detail, "
-        "CASE WHEN checks_run AND len(t_issues) = 0 THEN '所有测试项的数据类型正确' "
-        "WHEN checks_run THEN concat('数据类型问题：', array_to_string(list_slice(t_issues, 1, 3), '; ')) "
-        "ELSE '数据类型不正确' END AS data_types_detail FROM c4x)\n"
+        f"THEN {said(JC.MSG_STRUCTURE_OK, n='json_array_length(j, $$$.test_items$$)')} "
+        f"WHEN has_ti THEN {said(JC.MSG_STRUCTURE_NOT_ARRAY)} "
+        f"WHEN root_list THEN {said(JC.MSG_STRUCTURE_BARE_ARRAY, n='json_array_length(j)')} "
+        f"ELSE {said(JC.MSG_STRUCTURE_MISSING)} END AS structure_detail, "
+        f"CASE WHEN checks_run AND len(f_issues) = 0 THEN {said(JC.MSG_FIELDS_OK, n='n_items')} "
+        f"WHEN checks_run THEN {said(JC.MSG_FIELDS_BAD, correct='correct_items', n='n_items', issues=shown('f_issues'))} "
+        f"ELSE {said(JC.MSG_FIELDS_DEFAULT)} END AS field_names_detail, "
+        f"CASE WHEN checks_run AND len(t_issues) = 0 THEN {said(JC.MSG_TYPES_OK)} "
+        f"WHEN checks_run THEN {said(JC.MSG_TYPES_BAD, issues=shown('t_issues'))} "
+        f"ELSE {said(JC.MSG_TYPES_DEFAULT)} END AS data_types_detail FROM c4x)\n"
     )
