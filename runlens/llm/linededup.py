@@ -179,7 +179,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialise(wanted, "wanted")
-    texts = sieve(lines.select(digest(F.col("line")).alias("id"), "line"), wanted, "id").join(wanted, "id", "left_semi").distinct()
+    texts = sieve(lines.select(digest(F.col("line")).alias("id"), "line"), wanted, "id").join(wanted, "id").distinct()  # a semi join would be moved before the sieve
     texts = materialise(texts, "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     both = both.where(may_be_near(F.col("line_a"), F.col("line_b"), threshold))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -40,10 +41,9 @@ def test_whole_conversations_and_spans(turns):
         own = sorted(((t is None, t or 0, i) for i, (c, t, _, _) in enumerate(rows) if c == r["conv_id"]))
         said = "".join(r["formatted"][s["start"]:s["start"] + s["chars"]] for s in r["loss"])
         if r["conv_id"] == 1:
-            back = said.replace("<\\", "<") if False else said
             parts = [x or "" for _, _, role, x in rows[: len(TEXTS)] if role == "assistant"]
-            escaped = [__import__("re").sub(r"<(\\*)\|", lambda m: "<\\" + m[1] + "|", p) for p in parts]
-            assert back == "".join(escaped)
+            escaped = [re.sub(r"<(\\*)\|", lambda m: "<\\" + m[1] + "|", p) for p in parts]
+            assert said == "".join(escaped)
         assert r["formatted"].count(chat.START) == len(own)
 
 
