@@ -215,8 +215,10 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_co
     rows = packed.join(gone, ["d1", "d2"], "left")
     text = F.col("row")[text_col]
     lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
-    kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    # the lines are bound once: named inside the inner function they would be split anew for each line
+    rest = _let(lines, lambda all_lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("drop")), lambda i: F.get(all_lines, i)), "\n"))
+    kept = F.when(F.col("drop").isNull(), text).otherwise(rest)
     return rows.select("row", kept.alias("kept"), F.coalesce(F.size(lines), F.lit(0)).alias("lines"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("exact", "nearly")])
 
 
