@@ -25,7 +25,6 @@ from runlens.functions import judge as JG  # noqa: E402
 from runlens.operators import assemble as AS  # noqa: E402
 from runlens.functions import text as TX  # noqa: E402
 from runlens.plans import design as D  # noqa: E402
-from runlens.sources import config as C  # noqa: E402
 from runlens.plans import resume as RS  # noqa: E402
 from runlens.session import configure  # noqa: E402
 from runlens.sources import testdata as TD  # noqa: E402
