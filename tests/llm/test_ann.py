@@ -68,3 +68,31 @@ def test_fewer_candidates_and_none(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.5])], SHAPE)
     assert found(ann.nearest(two, lambda c: c % 20 == 0, probes=4)) == {0: [(1, 1, 1.0)]}
     assert ann.nearest(two.where("false"), lambda c: c % 20 == 0).count() == 0
+
+
+def recall(spark, monkeypatch, vectors, k=20, **settings):
+    """Share of the exact neighbours that are found, and the fewest rows of a query."""
+    for name, value in settings.items():
+        monkeypatch.setattr(ann, name, value, raising=False)
+    x = vectors.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], SHAPE).repartition(3)
+    got = found(ann.nearest(df, lambda c: c % 20 == 0, k=k))
+    hits, x = 0, x.astype(float)
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:k].tolist()) & {n[1] for n in got[q]})
+    return hits / (k * len(range(0, len(x), 20))), min(len(got.get(q, [])) for q in range(0, len(x), 20))
+
+
+@pytest.mark.parametrize("lengths", ["outlier", "three", "lognormal"])
+def test_unequal_lengths(spark, monkeypatch, lengths):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "lognormal":
+        x *= rng.lognormal(size=(len(x), 1))
+    else:
+        x[7] *= {"outlier": 100, "three": 3}[lengths]
+    share, least = recall(spark, monkeypatch, x, WHOLE=300)
+    assert share >= 0.9 and least == 20
