@@ -96,3 +96,21 @@ def test_unequal_lengths(spark, monkeypatch, lengths):
         x[7] *= {"outlier": 100, "three": 3}[lengths]
     share, least = recall(spark, monkeypatch, x, WHOLE=300)
     assert share >= 0.9 and least == 20
+
+
+@pytest.mark.parametrize(("n", "dim", "k", "whole"), [(3000, 384, 20, 300), (15, 64, 20, 2048), (15, 64, 20, 1)])
+def test_recall_in_any_dimension(spark, monkeypatch, n, dim, k, whole):
+    x = np.random.default_rng(6).normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    share, least = recall(spark, monkeypatch, x, min(k, n - 1), WHOLE=whole)
+    assert share >= (0.9 if n > 100 else 1.0) and least == min(k, n - 1)
+
+
+def test_choice_of_probes():
+    """The target is met whatever the sizes, at least cost; bands that would cost as much are seen whole."""
+    found = [(0, r % 5) for r in range(80)] + [(9, 100 + r) for r in range(20)]
+    for n in (10**5, 10**9):
+        plan = ann.choose_probes({0: n, 9: n}, found, 128, 8)
+        assert plan[0] == 5 and 9 not in plan
+    assert ann.choose_probes({0: 10**6, 5: 10**6}, [(0, 0)] * 95 + [(5, 3)] * 5, 128, 8) == {0: 1, 5: 1}
+    assert ann.choose_probes({0: 10**6}, [(0, 0)], 4, 8) == {}
