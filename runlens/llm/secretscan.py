@@ -1,7 +1,10 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are long tokens of secret-like characters: the token itself, or what
-follows a name and ``=`` or ``:``.  Their features are the length, the character
+Candidates are found anywhere in a text.  What a name is assigned by ``=`` or ``:`` is
+one from ``GIVEN`` characters up, whatever they are: it ends at white space, at a quote,
+or where a separator begins the next assignment.  Elsewhere every run of secret-like
+characters is one from ``LEAST`` up.  A token between white space has any number of
+them, told apart by ``at``.  Their features are the length, the character
 transitions (mean log probability of the letter pairs under the corpus' own
 words, changes between character kinds, variety), the share of the characters in
 dictionary words (words of the corpus found in enough places), path marks, and
@@ -32,12 +35,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-LEAST = 16  # characters of a candidate
+LEAST = 12  # characters of a candidate without a name
+GIVEN = 6  # characters of a value assigned to a name
 SAMPLE = 20_000  # labelled findings of each label that the forest is fitted on
 KNOWN = 20  # places in which a dictionary word stands
 TREES, DEPTH, SEED = 40, 8, 11
 _SPACE = r"[\x20\x09-\x0D]+"
-_VALUE = rf"(?:^|[=:\"'`(<\[{{])([A-Za-z0-9+/_~.@%=-]{{{LEAST},}})"
+_RUN = rf"[A-Za-z0-9+/_~.@%=-]{{{LEAST},}}+"
+_WORD, _QUOTE, _OTHER = r"[A-Za-z_][A-Za-z0-9_.-]{0,63}+", r"\\?[\"'`]?", r"[^\s\"'`]"
+_ASSIGNED = rf"(?<![A-Za-z0-9_.-])[.-]*+({_WORD}){_QUOTE}[=:]++>?{_QUOTE}(?!//)({_OTHER}{{{GIVEN},}}+)"
+#: A separator in front of an assignment.
+_NEXT = rf"([&,;|?#{{}}\[(\\])(?={_QUOTE}[.-]*+{_WORD}{_QUOTE}[=:])"
 #: Key formats that providers publish, and names that credentials are assigned to.
 FORMATS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^sk-[A-Za-z0-9_-]{20,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{35}$|^glpat-[A-Za-z0-9_-]{20}$|^eyJ[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\.[A-Za-z0-9_=.+/-]*$"
 NAMES = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
@@ -46,23 +54,35 @@ NUMBERS = ["length", "digits", "uppers", "lowers", "symbols", "variety", "hexlik
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, pos (of the token), value, name (assigned to, or null), before, after (neighbouring words, lower case)."""
+    """doc_id, pos (of the token), at (among the token's candidates), value, name (assigned to, or null), before, after (neighbouring words, lower case)."""
     tokens = F.split(F.trim(F.col("text")), _SPACE)
-    long = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (F.length(F.get("t", i)) >= LEAST) & F.get("t", i).rlike(_VALUE))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= LEAST).select("doc_id", tokens.alias("t"))
     word = lambda i: F.coalesce(F.get("t", i), F.lit(""))
-    found = rows.select("doc_id", F.explode(F.transform(long, lambda i: F.struct(
+
+    def may_hold(i):
+        token, n = word(i), F.length(word(i))
+        return (n >= GIVEN) & (F.substring(word(i - 1), -1, 1).isin("=", ":", ">") | ((n >= LEAST) & token.rlike(_RUN)) | (token.rlike("[=:]") & token.rlike(_ASSIGNED)))
+
+    held = F.filter(F.sequence(F.lit(0), F.size("t") - 1), may_hold)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= GIVEN).select("doc_id", tokens.alias("t"))
+    found = rows.select("doc_id", F.explode(F.transform(held, lambda i: F.struct(
         i.alias("pos"), word(i).alias("token"), word(i - 1).alias("b1"), word(i - 2).alias("b2"), word(i + 1).alias("after")))).alias("c"))
-    found = found.select("doc_id", "c.*")
-    inside = F.regexp_extract("token", r"^[\"'`(<\[{]?([A-Za-z_][A-Za-z0-9_.-]*)[=:]", 1)
-    apart = F.when(F.col("b1").isin("=", ":", ":=", "=>"), F.col("b2")).when(F.col("b1").rlike(r"[A-Za-z][=:]$"), F.regexp_replace("b1", "[=:]+$", ""))
-    name = F.coalesce(F.nullif(inside, F.lit("")), apart)
-    value = F.regexp_replace(F.regexp_extract("token", _VALUE, 1), r"[.=%-]+$", "")
-    value = F.when(inside != "", F.regexp_replace(value, r"^[A-Za-z_][A-Za-z0-9_.-]*=+", "")).otherwise(value)
+    found = found.select("doc_id", "c.*", F.regexp_replace("c.token", _NEXT, "$1 ").alias("parted"))
+    found = found.withColumns({"names": F.regexp_extract_all("parted", F.lit(_ASSIGNED), F.lit(1)), "values": F.regexp_extract_all("parted", F.lit(_ASSIGNED), F.lit(2))})
+    own = lambda name, value: F.struct(name.cast("string").alias("name"), value.alias("value"))
+    ended = lambda v: F.regexp_replace(v, r"[.=%,;:)\]}>&|\\-]+$", "")
+    # assigned inside the token, or to the token by the ones before it
+    inside = F.transform("values", lambda v, i: own(F.get("names", i), ended(v)))
+    ahead = F.nullif(F.regexp_extract("b1", rf"({_WORD}){_QUOTE}[=:]+>?$", 1), F.lit(""))
+    name = F.when(F.col("b1").isin("=", ":", ":=", "=>"), F.col("b2")).otherwise(ahead)
+    apart = own(name, ended(F.regexp_extract("token", rf"^[\"'`(<\[{{\\]*({_OTHER}{{{GIVEN},}}+)", 1)))
+    given = F.when(F.size("values") > 0, inside).when(name.isNotNull(), F.array(apart)).otherwise(inside)
+    found = found.withColumn("given", F.filter(given, lambda c: F.length(c["value"]) >= GIVEN))
+    runs = F.transform(F.regexp_extract_all("token", F.lit(_RUN), F.lit(0)), lambda v: F.regexp_replace(F.regexp_replace(v, r"[.=%-]+$", ""), rf"^[.-]*{_WORD}=+", ""))
+    runs = F.filter(runs, lambda v: (F.length(v) >= LEAST) & ~F.array_contains(F.col("given.value"), v))
+    found = found.select("*", F.posexplode(F.concat("given", F.transform(runs, lambda v: own(F.lit(None), v)))).alias("at", "one"))
     plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "")
     before = F.when(F.col("b1").rlike(r"^[=:]+>?$"), F.col("b2")).otherwise(F.col("b1"))
-    out = found.select("doc_id", "pos", value.alias("value"), plain(name).alias("name"), plain(before).alias("before"), plain(F.col("after")).alias("after"))
-    return out.where(F.length("value") >= LEAST)
+    return found.select("doc_id", "pos", "at", F.col("one.value").alias("value"), plain(F.col("one.name")).alias("name"), plain(before).alias("before"), plain(F.col("after")).alias("after"))
 
 
 def words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -132,7 +152,7 @@ def fit(rows: DataFrame):
 
 
 def scan(docs: DataFrame, learn: Column | None = None, label=label_findings, threshold: float = 0.5) -> DataFrame:
-    """doc_id, pos, value, label, score, secret per candidate.
+    """doc_id, pos, at, value, label, score, secret per candidate.
 
     ``learn``: a condition on doc_id, of the documents that may be learned from (all);
     ``label``: candidates -> their label column.
@@ -151,5 +171,5 @@ def scan(docs: DataFrame, learn: Column | None = None, label=label_findings, thr
     else:
         frame = VectorAssembler(inputCols=NUMBERS, outputCol="features").transform(rows)
         scored = model.transform(frame).select("fid", vector_to_array("probability")[1].alias("score"))
-    out = found.select("doc_id", "pos", "value", "label", "fid").join(scored, "fid")
-    return out.select("doc_id", "pos", "value", "label", "score", (F.col("score") >= threshold).alias("secret"))
+    out = found.select("doc_id", "pos", "at", "value", "label", "fid").join(scored, "fid")
+    return out.select("doc_id", "pos", "at", "value", "label", "score", (F.col("score") >= threshold).alias("secret"))
