@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, iblt, langid, linededup, mixing, secretscan, simhash, warc
+from . import ann, bpe, centroids, chat, iblt, langid, linededup, mixing, ngramjoin, secretscan, simhash, variants, warc
 from .common import small_batches
 
 #: Folder of the public vocabulary files; a parameter of the encoding queries.
@@ -111,6 +111,71 @@ def sql_op10() -> str:
             f"length({loss}) AS loss_chars, sha256({loss}) AS loss_sha256, CAST(sum({len(chat.START + chat.END) + 2} + {role_chars} + {esc('text')}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id")
 
 
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = centroids.cluster(table(spark, sf, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", centroids.centroid_digest("centroid").alias("centroid_sha256"))
+
+
+def sql_op11(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    places = f"range(1, {dims + 1})"
+    near = f"list_sum(list_transform({places}, lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings "
+        f"WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM v ORDER BY c LIMIT {k})",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT r, min({{'d': CAST({near} AS BIGINT), 'c': c.c}}) AS m FROM v, c{t} c GROUP BY r)")
+        if t < rounds:
+            parts.append(
+                f"c{t + 1} AS MATERIALIZED (SELECT c.c, coalesce(s.q, c.q) AS q FROM c{t} c LEFT JOIN (SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM "
+                f"(SELECT a.m.c AS c, p.i, sum(v.q[p.i]) AS s, count(*) AS n FROM a{t} a JOIN v USING (r), (SELECT unnest({places}) AS i) p GROUP BY 1, 2) GROUP BY c) s ON s.c = c.c)")
+    return (f"WITH {', '.join(parts)} SELECT vec_id, CAST(a.m.c AS INTEGER) AS cluster, a.m.d AS distance, CAST(sum(a.m.d) OVER (PARTITION BY a.m.c) AS BIGINT) AS cluster_inertia, "
+            f"CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.c = a.m.c")
+
+
+def op12_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ngramjoin.similar_documents(table(spark, sf, "documents"), shingle=3, num=9, den=10)
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+UPPER = "".join(map(chr, range(65, 91)))
+
+
+def sql_op12() -> str:
+    return (f"WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents), "
+            "s AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] "
+            "ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d), "
+            "n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r), "
+            "e AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY 1, 2) p "
+            "JOIN n na ON na.r = p.a JOIN n nb ON nb.r = p.b WHERE 100 * i >= 90 * (na.n + nb.n - i)), "
+            "c AS (SELECT r, r AS o FROM d UNION SELECT c.r, e.b FROM c JOIN e ON e.a = c.o) "
+            "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (r) JOIN (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.o GROUP BY c.r) m USING (r)")
+
+
+def op13_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variants(table(spark, sf, "documents"), every=199, least=6, count=5, ratio=5)
+
+
+def sql_op13() -> str:
+    # the checksum of the words' bytes, from a table made by its rule; letters beyond ASCII have two bytes
+    table = ("(SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v "
+             "FROM (SELECT unnest(range(256)) AS i)))")
+    data = "flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) AS BIGINT) - 64] END))"
+    return (f"WITH RECURSIVE o AS (SELECT doc_id, unnest(regexp_extract_all(text, '[{variants.LETTERS}]+')) AS run FROM documents), "
+            f"p AS MATERIALIZED (SELECT doc_id, translate(run, '{UPPER}', '{UPPER.lower()}') AS run, count(*) AS n FROM o WHERE length(run) >= 6 GROUP BY 1, 2), "
+            f"h AS MATERIALIZED (SELECT run, n, xor(list_reduce({data}, lambda a, b: xor(crc.t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) AS h FROM p, {table} crc), "
+            "w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h), "
+            "v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5), "
+            "x AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)), "
+            "e AS MATERIALIZED (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word "
+            "UNION SELECT x.word, v.word FROM x JOIN v ON v.word = x.rest UNION SELECT v.word, x.word FROM x JOIN v ON v.word = x.rest), "
+            "f AS MATERIALIZED (SELECT e.a AS word, count(*) AS n_near, min({'less': -v.n, 'word': v.word}) AS best FROM e JOIN v ON v.word = e.b GROUP BY e.a), "
+            "r AS MATERIALIZED (SELECT v.word, v.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN -f.best.less >= 5 * v.n THEN f.best.word END AS form, CASE WHEN -f.best.less >= 5 * v.n THEN -f.best.less END AS form_n FROM v LEFT JOIN f USING (word)), "
+            "g AS (SELECT word, word AS root, 0 AS step FROM v UNION ALL SELECT g.word, r.form, step + 1 FROM g JOIN r ON r.word = g.root WHERE r.form IS NOT NULL) "
+            "SELECT r.word, r.form, t.root, r.n, r.n_near, r.form_n FROM r JOIN (SELECT word, arg_max(root, step) AS root FROM g GROUP BY word) t USING (word)")
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_language": (op2_language, None),
@@ -122,4 +187,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_chat": (op10_chat, sql_op10),
+    "op11_centroids": (op11_centroids, sql_op11),
+    "op12_ngram_join": (op12_ngram_join, sql_op12),
+    "op13_variants": (op13_variants, sql_op13),
 }
