@@ -23,7 +23,8 @@ compared: sizes, then parity bitmaps (their distance never exceeds the number
 of differing shingles), then the sets themselves, exactly.  Sets that are already
 connected by links are not compared again.  Groups beyond ``BLOCK`` shingles are cut
 into blocks: first each block alone, then one set of each class that this found,
-and only sets that are still apart after that meet in pairs of blocks.
+and only sets that are still apart after that meet in pairs of blocks.  Before texts
+are shuffled to their groups, a bit map of fixed size keeps most others back.
 
 Equal sets are one node: a 64-bit digest, whose clashes are looked for (and
 raise an error); shingles are 64-bit hashes.
@@ -45,10 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialise, small_batches
+from .linededup import sieve
 
 HOT_KEYS, LEAST_HOT = 1 << 17, 64  # keys sent to the tasks at most; number of documents that makes a key frequent at least
-BLOCK, BLOCK_SETS = 1 << 20, 2048  # shingles and sets compared in one go
-WORD_HASHES, NODES_SEEN, HELD = 200_000, 200_000, 1 << 20  # bounds of what a task remembers
+BLOCK, BLOCK_SETS = 1 << 21, 8192  # shingles and sets compared in one go
+NODES_SEEN, HELD = 200_000, 1 << 20  # bounds of what a task remembers
 BITS = 512  # of a parity bitmap
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = "key bigint, ord int, node bigint"
@@ -60,29 +62,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    """Hashes of words, remembered up to a bound."""
+def _random(n: int, seed: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD + np.uint64(seed))
 
-    def __missing__(self, word: bytes) -> int:
+
+LONG = 64  # bytes of a word that the tables hash
+_GAP = np.zeros(256, bool)
+_GAP[[32, *range(9, 14)]] = True
+_BYTE, _PLACE = _random(256, 1), _random(LONG, 2) | np.uint64(1)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, all words at once: a sum over bytes and places."""
+    letters = np.frombuffer(text.lower(), np.uint8)  # of bytes: A-Z only
+    gap = np.ones(letters.size + 2, bool)
+    gap[1:-1] = _GAP[letters]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
+    if not starts.size:
+        return np.empty(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    value = _BYTE[letters[~gap[1:-1]]] * _PLACE[np.minimum(place, LONG - 1)]
+    h = mix(np.add.reduceat(value, first) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > LONG):
         import xxhash
 
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < WORD_HASHES:
-            self[word] = h
-        return h
+        h[i] = xxhash.xxh64_intdigest(letters[starts[i] : starts[i] + lengths[i]].tobytes())
+    return h
 
 
-def shingle_set(text: bytes | None, size: int, words: dict | None = None) -> np.ndarray:
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a UTF-8 text; fewer words than ``size`` are one shingle."""
-    split = (text or b"").lower().split()  # of bytes: A-Z, and ASCII white space
-    if not split:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map((_Words() if words is None else words).__getitem__, split), np.uint64, len(split))
+    h = word_hashes(text or b"")
+    if not h.size:
+        return h
     span = min(size, h.size)
     out = np.full(h.size - span + 1, span, np.uint64)
     for i in range(span):
-        out = mix(out * _ODD + h[i : h.size - span + 1 + i])
-    return np.unique(out)
+        out = out * _ODD + h[i : h.size - span + 1 + i]
+    out = np.sort(mix(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 class Bands:
@@ -131,14 +151,13 @@ class Bands:
         return self._points.setdefault((size, band), int((s + size - 2 * common).max()) + 1 if s.size else 0)
 
 
-def cut(x: np.ndarray, band: int, segments: int):
-    """Of a set in a band: segment of each shingle, mixed shingles, sums of the subsets and salts of the segments."""
-    at = (((mix(x ^ _ODD) >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
-    mixed = mix(x)
+def cut(mixed: np.ndarray, band: int, segments: int):
+    """Of a set's mixed shingles in a band: the segment of each, the sums of the subsets and the salts of the segments."""
+    at = (((mixed >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
     sums = np.zeros(segments, np.uint64)
     np.add.at(sums, at, mixed)
     salts = mix((np.uint64(band) << np.uint64(32)) + np.arange(segments, dtype=np.uint64) + _ODD)
-    return at, mixed, sums, salts
+    return at, sums, salts
 
 
 def whole_keys(sums: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -157,12 +176,12 @@ def signatures(x: np.ndarray, bands: Bands, hot: np.ndarray, hot_counts: np.ndar
         keys.append(k)
         kinds.append(np.full(k.size, kind, np.int32))
 
-    own = bands.of(x.size)
+    own, mixed = bands.of(x.size), mix(x)
     for band in (own, own - 1):
         if band < 0:
             continue
         m = bands.segments(band)
-        at, mixed, sums, salts = cut(x, band, m)
+        at, sums, salts = cut(mixed, band, m)
         whole = whole_keys(sums, salts)
         wide = bands.widened(m)
         inside = at < wide
@@ -197,15 +216,16 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def spanning_links(sets: list[np.ndarray], bands: Bands, label: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect whatever is linked among sets of different label (and, with ``side``, of different sides)."""
+def classes(sets: list[np.ndarray], bands: Bands, label: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """The labels after all links between sets of different label (and, with
+    ``side``, of different sides) have joined theirs; a class takes its least."""
     n = len(sets)
     size = np.array([x.size for x in sets])
     bits = bitmaps(sets)
     # the set nearest to the majority first: in a group of copies it is linked to most
     majority = np.packbits((np.unpackbits(bits.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) * 2 > n).astype(np.uint8)).view(np.uint64)
     order = np.argsort(np.bitwise_count(bits ^ majority).sum(axis=1), kind="stable")
-    links, label = [], label.copy()
+    label = label.copy()
     for k in range(1, n):
         x, before = order[k], order[:k]
         apart = label[before] != label[x]
@@ -222,10 +242,10 @@ def spanning_links(sets: list[np.ndarray], bands: Bands, label: np.ndarray, side
         while y.size:
             other, y = y[0], y[1:]
             if np.intersect1d(sets[x], sets[other], assume_unique=True).size >= bands.common(size[x], size[other]):
-                links.append((int(x), int(other)))
-                label[label == label[other]] = label[x]
+                joined = label[x], label[other]
+                label[(label == joined[0]) | (label == joined[1])] = min(joined)
                 y = y[label[y] != label[x]]
-    return links
+    return label
 
 
 def prints(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
@@ -234,13 +254,12 @@ def prints(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
     def rows(batches):
         import xxhash
 
-        words = _Words()
         for batch in batches:
-            sets = [shingle_set(t, shingle, words) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
             keys = []
             for x in sets:
                 own = bands.of(x.size)
-                keys.append(whole_keys(*cut(x, own, bands.segments(own))[2:]).view(np.int64) if own >= 0 else np.empty(0, np.int64))
+                keys.append(whole_keys(*cut(mix(x), own, bands.segments(own))[1:]).view(np.int64) if own >= 0 else np.empty(0, np.int64))
             digest = [(xxhash.xxh3_64_intdigest(b), xxhash.xxh64_intdigest(b)) if b else None for b in map(np.ndarray.tobytes, sets)]
             node, sure = ([None if d is None else d[i] - (d[i] >> 63 << 64) for d in digest] for i in (0, 1))
             offsets = np.concatenate(([0], np.cumsum([k.size for k in keys])))
@@ -271,11 +290,11 @@ def keyed(docs: DataFrame, shingle: int, bands: Bands, hot) -> DataFrame:
     def rows(batches):
         import xxhash
 
-        words, seen = _Words(), set()
+        seen = set()
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                x = shingle_set(text, shingle, words)
+                x = shingle_set(text, shingle)
                 if not x.size:
                     continue
                 node = xxhash.xxh3_64_intdigest(x.tobytes())
@@ -330,16 +349,14 @@ def _edges_of_sorted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _links_of_blocks(shingle: int, bands: Bands):
-    def links(frames):
-        words, key, held = _Words(), None, {}
+def _classes_of_blocks(shingle: int, bands: Bands):
+    def joined(frames):
+        key, held = None, {}
 
         def solve():
-            nodes = np.array(list(held))
             label, side = (np.array([v[i] for v in held.values()]) for i in (1, 2))
-            found = spanning_links([v[0] for v in held.values()], bands, label, side if (side != side[0]).any() else None)
-            pairs = nodes[np.array(found, dtype=np.int64).reshape(-1, 2)]
-            return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype=np.int64)
+            after = classes([v[0] for v in held.values()], bands, label, side if (side != side[0]).any() else None)
+            return pd.DataFrame({"a": label, "b": after})[label != after].drop_duplicates()
 
         for frame in frames:
             for root, i, j, side, node, label, text in zip(*(frame[c] for c in ("root", "i", "j", "side", "node", "label", "text"))):
@@ -348,17 +365,19 @@ def _links_of_blocks(shingle: int, bands: Bands):
                         yield solve()
                     key, held = (root, i, j), {}
                 if node not in held:
-                    held[node] = (shingle_set(text, shingle, words), label, side)
+                    held[node] = (shingle_set(text, shingle), label, side)
         if len(held) > 1:
             yield solve()
 
-    return links
+    return joined
 
 
-def verified(docs: DataFrame, members: DataFrame, shingle: int, bands: Bands, pairs: bool = False) -> DataFrame:
-    """Links (a, b) among ``members`` (root, node, label, n, id, text_key) of equal root and different label.
+def joined_labels(docs: DataFrame, members: DataFrame, shingle: int, bands: Bands, pairs: bool = False) -> DataFrame:
+    """Labels (a) and the least label of their class (b), where links join ``members``
+    (root, node, label, n, id, text_key) of equal root.
 
-    Each block alone, or (``pairs``) every two blocks of a group.
+    Each block alone: a member is in one block, so b is final for it.  Or every two
+    blocks of a group (``pairs``): a label may come several times.
     """
     sums = members.groupBy("root").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c"))
     blocks = sums.select("root", F.greatest(F.ceil(F.col("s") / BLOCK), F.ceil(F.col("c") / BLOCK_SETS)).cast("int").alias("blocks"))
@@ -370,30 +389,39 @@ def verified(docs: DataFrame, members: DataFrame, shingle: int, bands: Bands, pa
     else:
         i = j = own
     placed = placed.select("root", i.alias("i"), j.alias("j"), (own == i).cast("int").alias("side"), "node", "label", F.col("id").alias("m_id"), F.col("text_key").alias("m_key"))
-    texts = docs.join(placed, (docs["text_key"] == F.col("m_key")) & docs["id"].eqNullSafe(F.col("m_id")))
+    placed = materialise(placed, "placed")
+    met = sieve(docs, placed.select(F.col("m_key").alias("text_key")), "text_key")
+    texts = met.join(placed, (met["text_key"] == F.col("m_key")) & met["id"].eqNullSafe(F.col("m_id")))
     dealt = texts.select("root", "i", "j", "side", "node", "label", F.col("text").cast("binary").alias("text"))
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(_links_of_blocks(shingle, bands), "a bigint, b bigint")
+    return materialise(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(_classes_of_blocks(shingle, bands), "a bigint, b bigint"), "joined")
+
+
+def relabelled(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``members`` with the labels that ``joined`` (a, b) gives."""
+    rows = members.join(joined, members["label"] == joined["a"], "left").withColumn("label", F.coalesce("b", "label"))
+    return rows.drop("a", "b")
 
 
-def links_of(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, bands: Bands) -> DataFrame:
-    """Spanning links between the nodes (node, n, id, text_key) of each candidate group (node, root)."""
+def labels_of(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, bands: Bands) -> DataFrame:
+    """node and label (the same for all nodes of a class) of the nodes (node, n, id, text_key) of the candidate groups (node, root)."""
     members = materialise(nodes.join(groups, "node").select("root", "node", F.col("node").alias("label"), "n", "id", "text_key"), "members")
-    links = materialise(verified(docs, members, shingle, bands), "links")
-    large = members.groupBy("root").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c")).where((F.col("s") > BLOCK) | (F.col("c") > BLOCK_SETS))
-    large = materialise(members.join(large.select("root"), "root", "left_semi"), "large")
-    if large.isEmpty():
-        return links
+    members = materialise(relabelled(members, joined_labels(docs, members, shingle, bands)), "labelled")
 
-    def labelled() -> DataFrame:  # members of large groups that are still in several classes
-        classes = components(links).select("node", F.col("root").alias("class"))
-        rows = large.drop("label").join(classes, "node", "left").withColumn("label", F.coalesce("class", "node")).drop("class")
-        several = rows.groupBy("root").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q")
-        return materialise(rows.join(several.select("root"), "root", "left_semi"), "labelled")
+    def apart(rows: DataFrame) -> DataFrame:  # of groups of several blocks that are still several classes
+        sums = rows.groupBy("root").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c"), F.min("label").alias("p"), F.max("label").alias("q"))
+        wide = sums.where(((F.col("s") > BLOCK) | (F.col("c") > BLOCK_SETS)) & (F.col("p") != F.col("q")))
+        return materialise(rows.join(wide.select("root"), "root", "left_semi"), "apart")
 
-    one = labelled().groupBy("root", "label").agg(F.min(F.struct("node", "n", "id", "text_key")).alias("m")).select("root", "label", "m.*")
-    links = materialise(links.unionByName(verified(docs, one, shingle, bands)), "links")
-    rest = labelled()
-    return links if rest.isEmpty() else links.unionByName(verified(docs, rest, shingle, bands, pairs=True))
+    rest = apart(members)
+    if rest.isEmpty():
+        return members.select("node", "label")
+    one = rest.groupBy("root", "label").agg(F.min(F.struct("node", "n", "id", "text_key")).alias("m")).select("root", "label", "m.*")
+    members = materialise(relabelled(members, joined_labels(docs, one, shingle, bands)), "labelled")
+    rest = apart(members)
+    if rest.isEmpty():
+        return members.select("node", "label")
+    met = components(joined_labels(docs, rest, shingle, bands, pairs=True))
+    return relabelled(members, met.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "label")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -413,10 +441,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = materialise(nodes.select("node", "n", "first.id", "first.text_key", "clash"), "nodes")
     if not nodes.where("clash").isEmpty():
         raise RuntimeError("two sets of shingles have one digest")
-    edges = keyed(rows, shingle, bands, hot).repartition("key").sortWithinPartitions("key", "ord").mapInArrow(_edges_of_sorted, "a bigint, b bigint")
+    # sorted by node too: the keys of a group of copies then share their hub, and few rounds find the groups
+    edges = keyed(rows, shingle, bands, hot).repartition("key").sortWithinPartitions("key", "ord", "node").mapInArrow(_edges_of_sorted, "a bigint, b bigint")
     groups = components(materialise(edges, "candidates"))
-    found = components(links_of(rows, nodes, groups, shingle, bands))
-    placed = nodes.join(found.withColumnRenamed("node", "member"), nodes["node"] == F.col("member"), "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    found = labels_of(rows, nodes, groups, shingle, bands).withColumnRenamed("node", "member")
+    placed = nodes.join(found, nodes["node"] == F.col("member"), "left").select("node", "id", F.coalesce("label", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     label = placed.join(least, "root").select(F.col("node").alias("of"), "component_id")
     out = own.join(label, own["node"] == label["of"], "left")
