@@ -19,8 +19,9 @@ character; following these back from the end of the word gives its tokens.
 
 Decoding emits the label of each arc.
 
-The library and this Python may know Unicode of different years; texts with a
-character that this Python does not know are split by the library.
+The library and this Python may know Unicode of different years.  The characters
+that the two compose, order, lower-case or split differently (``unlike``) are found
+once by trying all; texts that hold one are split into words by the library.
 
 Defined results: null text is empty; an empty text has no tokens and decodes
 to the empty text; very long texts are read whole.  Other columns are ignored.
@@ -29,15 +30,18 @@ to the empty text; very long texts are read whole.  Other columns are ignored.
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Words kept with their tokens by each Python worker (twice over), and states of its transition table.
-CACHED_WORDS, TABLE_STATES = 150_000, 150_000
+#: Bytes of words kept with their tokens by each Python worker (twice over), and states of its transition table.
+CACHED_BYTES, TABLE_STATES = 24 << 20, 100_000
+ENTRY_BYTES = 220  # of a kept word beside its text and tokens
 #: Symbols are bytes; the last byte of a word has its own.  Two keys of a state are no symbols.
 WORD_END, LABEL, OPEN = 256, 512, 513
 _NEVER = 1 << 60
@@ -152,7 +156,12 @@ class Automaton:
         state, ends = self.start, []
         for s in symbols:
             to = state.get(s)
-            state = self._step(state, s) if to is None else to
+            if to is None:
+                to = self._step(state, s)
+                if len(self.known) > 2 * TABLE_STATES:  # within a very long word: go on from a copy of the state reached
+                    self._reset()
+                    to = self.known[to[OPEN]] = {OPEN: to[OPEN], LABEL: to[LABEL]}
+            state = to
             ends.append(state[LABEL])
         tokens, i = [], len(symbols)
         while i:
@@ -162,13 +171,56 @@ class Automaton:
         return tokens[::-1]
 
 
-def has_unknown(text: str) -> bool:
-    """Whether a text has a character that this Python's Unicode tables do not know yet."""
-    try:
-        text.encode("latin-1")
-        return False
-    except UnicodeEncodeError:
-        return any(unicodedata.category(c) == "Cn" for c in set(text))
+def compose(text: str) -> str:
+    """NFC and lower case, letter by letter (no final sigma)."""
+    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+
+def word_pattern(spec: dict) -> str:
+    """The file's pattern of words; its engine counts Unicode's White_Space as \\s."""
+    return spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}")
+
+
+def unlike(source: str) -> str:
+    """The code points that the library may treat otherwise than this Python, as the inside of a character class.
+
+    Those that this Python does not know count as such.  Marks are tried before
+    and after a mark of the lowest and one of a high class, composed characters
+    by their parts, and every character between a letter and a digit.
+    """
+    import regex
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_str(source)
+    gap, white = "\x00", regex.compile(r"\p{White_Space}+")
+    codes = [c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    known = [c for c in map(chr, codes) if unicodedata.category(c) not in ("Cn", "Co")]
+    tries = [(c, f"a{c}1") for c in known]
+    for c in known:
+        if unicodedata.combining(c):
+            tries += [(c, t) for t in (f"a{c}\u0334", f"a\u0334{c}", f"a{c}\u0301", f"a\u0301{c}")]
+        parts = unicodedata.decomposition(c)
+        if parts and not parts.startswith("<"):
+            text = "".join(chr(int(p, 16)) for p in parts.split())
+            tries.append((text[-1], text))
+    theirs = library.normalizer.normalize_str(gap.join(t for _, t in tries)).split(gap)
+    odd = {c for (c, t), n in zip(tries, theirs) if white.sub(" ", compose(t)) != n}
+    # which are letters, digits or neither: the borders of the words, block by block
+    find = regex.compile(word_pattern(json.loads(source))).findall
+    split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(json.loads(source)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
+
+    def differ(block):
+        text = gap.join(block)
+        return find(text) != [w for w, _ in split.pre_tokenize_str(text)]
+
+    for at in range(0, len(known), 4096):
+        block = theirs[at : min(at + 4096, len(known))]
+        if differ(block):
+            odd |= {c for c, n in zip(known[at:], block) if differ([n])}
+    numbers = sorted({ord(c) for c in odd} | {c for c in codes if unicodedata.category(chr(c)) == "Cn"})
+    starts = [c for i, c in enumerate(numbers) if i == 0 or numbers[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(numbers) if i + 1 == len(numbers) or numbers[i + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
 
 
 class Tokenizer:
@@ -179,7 +231,7 @@ class Tokenizer:
     and split into words by the file's pattern; white space goes.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, odd: str | None = None):
         import regex
 
         spec = json.loads(source)
@@ -191,29 +243,29 @@ class Tokenizer:
         self.control = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.find_control = regex.compile("(" + "|".join(map(regex.escape, sorted(self.control, key=len, reverse=True))) + ")") if self.control else None
         self.source = source
-        # the file's engine counts Unicode's White_Space as \s
-        pattern = split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}")
-        self.find_words = regex.compile(pattern).findall
+        self.find_words = regex.compile(word_pattern(spec)).findall
+        self.has_odd = re.compile(f"[{unlike(source) if odd is None else odd}]").search
         self.automaton = Automaton(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        self.label = {str(i): t for t, i in (model["vocab"] | self.control).items()}
+        self.decode = Decoder(spec).decode
         self.words: dict[str, str] = {}
         self.older: dict[str, str] = {}
+        self.held = 0  # bytes of words
 
     def _text(self, text: str) -> list[str]:
         """The ids of each word of a text without control tokens."""
         if text.isascii():
             words = self.find_words(text.lower())
-        elif has_unknown(text):
+        elif self.has_odd(text):
             words = self._words_of_library(text)
-        else:  # lower-cased letter by letter: no final sigma
-            words = self.find_words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        else:
+            words = self.find_words(compose(text))
         ids = list(map(self.words.get, words))
         if None in ids:
             ids = [self._word(w) if i is None else i for w, i in zip(words, ids)]
         return ids
 
     def _words_of_library(self, text: str) -> list[str]:
-        """The words as the library splits them: which of the newest characters are letters depends on its Unicode tables."""
+        """The words as the library composes and splits them by its own Unicode tables."""
         if not hasattr(self, "library"):
             import tokenizers
 
@@ -225,9 +277,10 @@ class Tokenizer:
     def _word(self, word: str) -> str:
         ids = self.words.get(word) or self.older.get(word) or " ".join(map(str, self.automaton.word(word)))
         if len(word) <= 64:
-            if len(self.words) >= CACHED_WORDS:  # words not met since the last change go
-                self.words, self.older = {}, self.words
+            if self.held >= CACHED_BYTES:  # words not met since the last change go
+                self.words, self.older, self.held = {}, self.words, 0
             self.words[word] = ids
+            self.held += len(word) + len(ids) + ENTRY_BYTES
         return ids
 
     def encode(self, text: str | None) -> str:
@@ -243,25 +296,39 @@ class Tokenizer:
                 parts.extend(self._text(part))
         return " ".join(parts)
 
+
+class Decoder:
+    """The labels of a vocabulary file's tokens: all that decoding needs."""
+
+    def __init__(self, spec: dict):
+        control = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.label = {str(i): t for t, i in (spec["model"]["vocab"] | control).items()}
+
     def decode(self, ids: str) -> str:
         """The labels of the ids, joined by one space (the file names no decoder)."""
         return " ".join(map(self.label.__getitem__, ids.split(" "))) if ids else ""
 
 
-def _loaded(shared) -> Tokenizer:
-    """The tokenizer of a broadcast file, compiled once in each Python worker."""
+def _loaded(shared, part: str = "tokenizer"):
+    """The tokenizer (or only the decoder) of a broadcast file, compiled once in each Python worker."""
     held = shared.value
-    if "tokenizer" not in held:
-        held["tokenizer"] = Tokenizer(held["source"])
+    if part not in held:
+        held[part] = Decoder(json.loads(held["source"])) if part == "decoder" else Tokenizer(held["source"], held["odd"])
         gc.collect()
         gc.freeze()  # the compiled tables stay: don't walk them again
-    return held["tokenizer"]
+    return held[part]
+
+
+_ODD: dict[str, str] = {}
 
 
 def share(spark: SparkSession, path: str):
     """Broadcast a vocabulary file (a megabyte or two, whatever the data)."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast({"source": f.read()})
+        source = f.read()
+    if source not in _ODD:  # some seconds: once a session
+        _ODD[source] = unlike(source)
+    return spark.sparkContext.broadcast({"source": source, "odd": _ODD[source]})
 
 
 def encode(text: Column, shared) -> Column:
@@ -280,11 +347,25 @@ def decode(ids: Column, shared) -> Column:
 
     @F.pandas_udf("string")
     def bpe_decode(batch: pd.Series) -> pd.Series:
-        return pd.Series([_loaded(shared).decode(i or "") for i in batch], dtype=object)
+        return pd.Series([_loaded(shared, "decoder").decode(i or "") for i in batch], dtype=object)
 
     return bpe_decode(ids)
 
 
+def digests(text: Column, shared) -> Column:
+    """struct(n_tokens bigint, ids_sha256 string, decoded_sha256 string) of a text, in one worker."""
+
+    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def bpe_digests(batch: pd.Series) -> pd.DataFrame:
+        own, rows = _loaded(shared), []
+        for text in batch:
+            ids = own.encode(text)
+            rows.append((ids.count(" ") + 1 if ids else 0, *(hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in (ids, own.decode(ids)))))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return bpe_digests(text)
+
+
 def id_array(ids: Column) -> Column:
     """Ids as array<int>."""
     return F.when(F.length(ids) > 0, F.split(ids, " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))

@@ -29,9 +29,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per document."""
     small_batches(docs.sparkSession)
     shared = bpe.share(docs.sparkSession, vocabulary)
-    rows = docs.select("doc_id", bpe.encode(F.col("text"), shared).alias("e"))
-    rows = rows.select("doc_id", "e.n_tokens", "e.ids", bpe.decode(F.col("e.ids"), shared).alias("decoded"))
-    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return docs.select("doc_id", bpe.digests(F.col("text"), shared).alias("e")).select("doc_id", "e.*")
 
 
 def op2_language(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -24,6 +26,26 @@ def test_same_ids_and_text_as_the_library(text):
     assert OWN.decode(OWN.encode(text)) == REFERENCE.decode(ids, skip_special_tokens=False)
 
 
+MARKS = [chr(c) for c in range(0x300, 0x110000) if unicodedata.combining(chr(c))]
+
+
+def test_marks_of_all_years():
+    """Marks that the library's tables do not have yet, in every order."""
+    rng = random.Random(5)
+    for text in ["a\u033d\u1df9", "a\u0301\u08d2", "\u0e49\u1ac7\u1ac8x"] + [
+            "".join(rng.choice(MARKS) if rng.random() < 0.6 else rng.choice("aeo1 \u00e9\u0f71") for _ in range(rng.randint(1, 8))) for _ in range(20000)]:
+        assert OWN.encode(text) == " ".join(map(str, plain(text)))
+
+
+def test_one_very_long_word(monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE_STATES", 20)
+    own = bpe.Tokenizer(open(entry.VOCABULARY, encoding="utf-8").read())
+    rng = random.Random(6)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5000))
+    assert own.encode(word) == " ".join(map(str, plain(word)))
+    assert len(own.automaton.known) <= 2 * bpe.TABLE_STATES + 2
+
+
 def merged(word, merges):
     """Merging by rank, pair by pair."""
     parts = list(word)
@@ -67,7 +89,7 @@ def test_two_merges_of_one_token_are_refused():
 
 def test_bounded_tables_and_caches(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_STATES", 50)
-    monkeypatch.setattr(bpe, "CACHED_WORDS", 5)
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 5 * bpe.ENTRY_BYTES)
     own = bpe.Tokenizer(open(entry.VOCABULARY, encoding="utf-8").read())
     text = "the quick brown fox jumps over lazy dogs and the quick onatstering brown fox again " * 3
     assert own.encode(text) == " ".join(map(str, plain(text)))
