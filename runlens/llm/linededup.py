@@ -12,6 +12,14 @@ bit-parallel edit distance: a machine word holds the differences along the
 Equal lines are one line throughout.  Keys are hashes; rows that share no key
 with another line are dropped before anything is paired.
 
+A key that more than ``PAIRED`` rows share is not joined with itself.  At one edit,
+the lines that hold such a key are filed anew under finer keys: the line without
+its i-th character, for each i, once with its place and length (lines that
+differ in that character) and once against whole lines (lines with one character
+less).  All that share such a key are within one edit, so one link from the first of
+them to each other is enough, and a key holds no more lines than there are letters
+to replace or insert.  With larger thresholds all keys are joined.
+
 Near lines form classes (chains count).  Of each class the line that occurs
 first (smallest document id, then smallest digest) stays, once, in the first document that
 has it; all other occurrences go.
@@ -32,6 +40,7 @@ from .common import components, materialise
 
 THRESHOLD, LEAST = 1, 24
 SIEVE_BITS = 23
+PAIRED = 16
 _LAST = (1 << 63) - 1
 
 
@@ -146,6 +155,28 @@ def digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
+def finer_pairs(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link all distinct ``lines`` (id, line) at one edit."""
+    n = F.length("line")
+    places = F.sequence(F.lit(1), n)
+
+    def without(i: Column) -> Column:
+        return F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))
+
+    def keyed(kind: int, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    apart = F.transform(places, lambda i: keyed(1, F.xxhash64(n, i, without(i))))
+    shorter = F.transform(F.array_distinct(F.transform(places, without)), lambda t: keyed(2, F.xxhash64(t)))
+    whole = F.array(keyed(0, F.xxhash64("line")))
+    # a whole line and lines with one character more share a key, kind 0 first
+    rows = lines.select("id", F.explode(F.concat(whole, apart, shorter)).alias("k")).select("id", "k.*", (F.col("k.kind") == 1).alias("replaced"))
+    first = F.first("id").over(Window.partitionBy("replaced", "key").orderBy("kind", "id"))
+    kind = F.first("kind").over(Window.partitionBy("replaced", "key").orderBy("kind", "id"))
+    met = rows.select("id", first.alias("hub"), kind.alias("hub_kind")).where("id <> hub and hub_kind < 2")
+    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
 def sieve(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """``rows`` without most of those whose ``column`` is not in ``wanted``, before a join shuffles them.
 
@@ -170,12 +201,18 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST
     key = F.explode(F.concat(F.transform("filed", lambda h: F.struct(h.alias("h"), F.lit(True).alias("own"))), F.transform("probed", lambda h: F.struct(h.alias("h"), F.lit(False).alias("own")))))
     hashes = distinct.select(key.alias("k"), "id").select("k.h", "k.own", "id")
     every = Window.partitionBy("h")
-    met = hashes.withColumns({"rows": F.count(F.lit(1)).over(every), "filed": F.max("own").over(every)}).where("rows > 1 and filed").select("h", "own", "id")
+    met = hashes.withColumns({"rows": F.count(F.lit(1)).over(every), "filed": F.max("own").over(every)}).where("rows > 1 and filed").select("h", "own", "id", "rows")
     met = materialise(met, "met")
-    left, right = met.where("own").select("h", F.col("id").alias("a")), met.select("h", F.col("id").alias("b"), "own")
+    many = F.col("rows") > PAIRED if threshold == 1 else F.lit(False)
+    left, right = met.where(~many & F.col("own")).select("h", F.col("id").alias("a")), met.where(~many).select("h", F.col("id").alias("b"), "own")
     # two lines that both filed the key meet once
     pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))))
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if threshold == 1:
+        crowded = materialise(met.where(many).select("id").distinct(), "crowded")
+        held = sieve(lines.select(digest(F.col("line")).alias("id"), "line"), crowded, "id").join(crowded, "id").distinct()
+        pairs = pairs.unionByName(finer_pairs(held))
+    pairs = materialise(pairs.distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialise(wanted, "wanted")

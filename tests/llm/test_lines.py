@@ -111,6 +111,42 @@ def test_documents(spark, threshold, least):
     assert got(linededup.dedup(df, threshold, least)) == plain(rows, threshold, least)
 
 
+@pytest.mark.parametrize("paired", [1, 3, 16])
+def test_many_lines_with_one_key(spark, monkeypatch, paired):
+    """Keys that many lines share are replaced by finer ones; no link is lost."""
+    monkeypatch.setattr(linededup, "PAIRED", paired)
+    rng = random.Random(paired)
+    base = ["".join(rng.choice("abc ") for _ in range(40)) for _ in range(3)] + ["a" * 30]
+    texts = [edited(rng, b, n) for b in base for n in [0, 1, 1, 1, 2, 2, 3] * 6]
+    texts += [base[0][:20] + "".join(rng.choice("xyz") for _ in range(20)) for _ in range(40)]
+    rng.shuffle(texts)
+    rows = [(i, "\n".join(texts[i::20])) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert got(linededup.dedup(df, 1, 20)) == plain(rows, 1, 20)
+
+
+def test_finer_pairs(spark):
+    rng = random.Random(1)
+    lines = sorted({edited(rng, "abcabbéa😀aab", rng.randint(0, 3)) for _ in range(300)})
+    df = spark.createDataFrame([(t.encode(), t) for t in lines], "id binary, line string")
+    group = {t: t for t in lines}
+
+    def join(a, b):
+        old = group[b]
+        for t, g in group.items():
+            if g == old:
+                group[t] = group[a]
+
+    for r in linededup.finer_pairs(df).collect():
+        a, b = bytes(r["a"]).decode(), bytes(r["b"]).decode()
+        assert distance(a, b) == 1
+        join(a, b)
+    found = dict(group)
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            assert distance(a, b) > 1 or found[a] == found[b]
+
+
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert got(linededup.dedup(odd_docs)) == plain([r[:2] for r in odd_rows], linededup.THRESHOLD, linededup.LEAST)
     assert linededup.dedup(no_docs).count() == 0
