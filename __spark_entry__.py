@@ -21,12 +21,15 @@ from pyspark.sql import functions as F  # noqa: E402
 from runlens.operators import ranking as RK  # noqa: E402
 from runlens.operators import reports as R  # noqa: E402
 from runlens.functions import jsoncheck as JC  # noqa: E402
+from runlens.functions import jsontext as JT  # noqa: E402
 from runlens.functions import judge as JG  # noqa: E402
 from runlens.operators import assemble as AS  # noqa: E402
 from runlens.functions import text as TX  # noqa: E402
 from runlens.plans import design as D  # noqa: E402
 from runlens.plans import resume as RS  # noqa: E402
-from runlens.session import configure  # noqa: E402
+from runlens.session import configure, new_shared_path  # noqa: E402
+from runlens.sinks import files as W  # noqa: E402
+from runlens.sources import files as SRC  # noqa: E402
 from runlens.sources import testdata as TD  # noqa: E402
 import oracle_sql_parts as O  # noqa: E402
 
@@ -342,6 +345,19 @@ def sql_n2():
             f"SELECT run_seq, {', '.join(RUN_KEYS)}, repeat_idx FROM runs_r")
 
 
+SPARSE = "(event_id * 2654435761) % 1099511627776"  # one-to-one, far apart and out of order
+
+
+def q_n2_sparse(spark, sf):
+    """N2 where order numbers are sparse and chunks small: borders by quantiles of each key."""
+    runs = TD.events(spark, sf).selectExpr(f"{SPARSE} AS seq", "event_type", "event_id")
+    return RK.seq_rank(runs, ["event_type"], "seq", "nth", chunk=256).select("event_id", "event_type", "nth")
+
+
+def sql_n2_sparse():
+    return f"SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY {SPARSE}) AS INTEGER) AS nth FROM events"
+
+
 def q_f1(spark, sf):
     return R.detail(R.with_repeat_idx(_runs(spark, sf), RUN_KEYS))
 
@@ -501,19 +517,19 @@ def sql_p9():
             "coalesce(successful, 0) AS successful FROM cfg LEFT JOIN st USING (model_key, scheme_key, temperature)")
 
 
-def _file_names(r):
-    """Raw-output file names of successful runs, as the experiment writes them."""
+def _file_name():
+    """Raw-output file name of a run, as the experiment writes it (failed runs have none)."""
     part = ["group_id", "scene_id", "scheme", F.concat(F.lit("T"), F.col("temperature").cast("string")),
             RS.orthogonal_model_part(F.col("model")), F.col("repeat_idx").cast("string")]
-    return r.where("success").select(F.concat(D.joined_key(*part), F.lit(".json")).alias("file_name"))
+    return F.when(F.col("success"), F.concat(D.joined_key(*part), F.lit(".json")))
 
 
 def q_k3(spark, sf):
     """K2-K4: completed keys from raw-output file names (successes) united
     with keys from the results rows (all rows): one key per run."""
     r = R.with_repeat_idx(_oruns(spark, sf), ORTH_KEYS)
-    from_files = _file_names(r).select(RS.canonical_key_from_file_name(F.col("file_name")).alias("run_key"))
-    return RS.union_keys(from_files, r.select(RS.orthogonal_key().alias("run_key")))
+    keys = F.array(RS.canonical_key_from_file_name(_file_name()), RS.orthogonal_key())
+    return RS.union_keys(r.select(F.explode(keys).alias("run_key")).where("run_key is not null"))
 
 
 def sql_k3():
@@ -523,11 +539,94 @@ def sql_k3():
 
 
 def q_j2_files(spark, sf):
-    """J2 + S3 + K4: resume from raw-output file names alone."""
+    """J2 + K4: resume from raw-output file names alone."""
     r = R.with_repeat_idx(_oruns(spark, sf), ORTH_KEYS)
-    done = _file_names(r).select(RS.canonical_key_from_file_name(F.col("file_name")).alias("run_key"))
-    return RS.pending(_orth_plan(spark), done)
+    return RS.pending(_orth_plan(spark), RS.completed_keys(r, RS.canonical_key_from_file_name(_file_name())))
+
+
+def q_s3(spark, sf):
+    """S3 + K4 + J2: resume from a folder of raw outputs that holds the plan's
+    finished runs, a folder a run.  Only its listing is read."""
+    r = R.with_repeat_idx(_oruns(spark, sf), ORTH_KEYS)
+    plan = _orth_plan(spark)
+    done = r.select(_file_name().alias("file_name"), RS.orthogonal_key().alias("run_key"), "success", "elapsed_time").where("success")
+    path = new_shared_path(spark, "raw")
+    done.join(plan.select("run_key"), "run_key", "left_semi").repartition(32, "file_name").write.partitionBy("file_name").json(path)
+    names = SRC.list_raw_output_names(spark, path)
+    return RS.pending(plan, names.select(RS.canonical_key_from_file_name(F.col("file_name")).alias("run_key")).where("run_key is not null"))
+
 
+def q_s5(spark, sf):
+    """S5 + J1: resume from progress files."""
+    done = _explo_completed(spark, sf)
+    path = new_shared_path(spark, "progress")
+    files = done.groupBy(F.pmod(F.xxhash64("run_key"), F.lit(64)).alias("part")).agg(F.collect_list("run_key").alias("completed"))
+    files.select(F.to_json(F.struct("completed")).alias("value")).write.text(path)
+    return RS.pending(_explo_plan(spark), SRC.read_progress(spark, path))
+
+
+# ------------------------------------------------------------ files and folders
+CSV_COLUMNS = ["run_seq", "scene_id", "success", "temperature", "input_tokens", "elapsed_time", "output_content"]
+
+
+def q_s1(spark, sf):
+    """S1 + W2: runs with their outputs' text (quotes, line breaks) as CSV and back."""
+    path = new_shared_path(spark, "scores")
+    W.export_csv(TD.outputs(spark, sf).select(*CSV_COLUMNS), path)
+    back = SRC.read_runs_csv(spark, path)
+    return back.select(*CSV_COLUMNS[:-1], F.length("output_content").cast("bigint").alias("output_chars"), F.md5("output_content").alias("output_md5"))
+
+
+def sql_s1():
+    # an empty field is a missing one
+    return ("WITH " + O.outputs_cte() + f"SELECT {', '.join(CSV_COLUMNS[:-1])}, length(nullif(output_content, '')) AS output_chars, md5(nullif(output_content, '')) AS output_md5 FROM outs")
+
+
+def q_s4(spark, sf):
+    """S4's order of arrival: every run's place among all, by (time, number)."""
+    configure(spark)
+    return RK.global_rank(_runs(spark, sf).select("elapsed_time", "run_seq"), ["elapsed_time", "run_seq"], "place").select("run_seq", "place")
+
+
+def sql_s4():
+    return O.runs_cte() + "SELECT run_seq, row_number() OVER (ORDER BY elapsed_time, run_seq) - 1 AS place FROM runs"
+
+
+def q_w1(spark, sf):
+    """W1 + N3: raw documents written in three parts that overlap in names, read back."""
+    runs = _raw_writes(spark, sf).withColumns({"repeat_idx": (F.col("run_seq") % 5 + 1).cast("int"), "output_content": F.col("error"), "json_valid": F.lit(None).cast("boolean")})
+    path = new_shared_path(spark, "raw")
+    W.merge_raw_outputs(runs.where("run_seq % 3 = 1"), path, F.col("file_key"))
+    W.merge_raw_outputs(runs.where("run_seq % 3 = 0"), path, F.col("file_key"))
+    W.merge_raw_outputs(runs.where("run_seq % 3 = 2"), path, F.col("file_key"))
+    back = spark.read.schema(W.RAW_DOCUMENTS).json(path)
+    return back.select("file_key", "run_seq", "success", "elapsed_time", *[F.col(k).alias(c) for c, k, _ in S.DIMENSIONS])
+
+
+def q_w7(spark, sf):
+    """All six report tables from one aggregation, one below the other."""
+    tables = R.report_tables(_runs(spark, sf), materialise=W.materialise)
+    out = None
+    for name, table in tables.items():
+        rows = table.withColumn("report", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def sql_w7():
+    parts = {"consistency_report": sql_a2, "summary_statistics": sql_a3, "main_results": sql_a4,
+             "main_summary": sql_a5, "param_sensitivity": sql_a6, "overall_statistics": sql_a7}
+    return " UNION ALL BY NAME ".join(f"SELECT '{name}' AS report, * FROM ({sql()})" for name, sql in parts.items())
+
+
+def q_f8(spark, sf):
+    """F7 + F8: the orthogonal experiment's run rows, failed ones as it records them."""
+    return _oruns(spark, sf).select("run_seq", "group_id", "scheme", "model", "temperature", "top_p", "success", "error", "input_tokens", "output_tokens", "elapsed_time", *DIMS)
+
+
+def sql_f8():
+    cols = ["run_seq", "group_id", "scheme", "model", "temperature", "top_p", "success", "error", "input_tokens", "output_tokens", "elapsed_time", *DIMS]
+    return O.runs_cte(orthogonal=True) + f"SELECT {', '.join(cols)} FROM runs"
 
 
 # ------------------------------------------------------ model-output checks
@@ -546,9 +645,19 @@ def q_t6(spark, sf):
 
 
 def sql_t6():
-    return ("WITH " + O.outputs_cte() +
-            "SELECT run_seq, CASE WHEN json_valid THEN span ELSE output_content END AS normalized, json_valid "
-            "FROM parsed")
+    return "WITH " + O.outputs_cte() + f"SELECT run_seq, {O.normalized()} AS normalized, json_valid FROM parsed"
+
+
+def q_t5(spark, sf):
+    """T4 + T5 over whole documents as JSON texts in odd spelling."""
+    configure(spark)
+    d = JC.document_of(TD.odd_json(spark, sf), "json", "doc", "json_valid").withColumn("text", F.when(F.col("json_valid"), JT.canonical_text("json")))
+    return d.select("doc_id", "json_valid", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def sql_t5():
+    return (f"WITH t AS (SELECT doc_id, {TD.even_json_sql()} AS text FROM documents) "
+            "SELECT doc_id, true AS json_valid, length(text) AS n_chars, md5(text) AS text_md5 FROM t")
 
 
 def q_t7(spark, sf):
@@ -678,7 +787,7 @@ def q_t17(spark, sf):
 def sql_t17():
     import string as _s
     vals = {"input_prompt": _prompt_sql(),
-            "output_content": "CASE WHEN json_valid THEN span ELSE output_content END"}
+            "output_content": O.normalized()}
     for k in JG.TEMPLATE_FIELDS[2:]:
         vals[k] = (f"CASE WHEN {k} THEN 'True' WHEN NOT {k} THEN 'False' ELSE 'None' END"
                    if k.endswith("_valid") else k)
@@ -800,6 +909,15 @@ _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "t17_judge_prompt": (q_t17, sql_t17),
     "t7_format_check_documents": (q_t7_documents, sql_t7_documents),
     "t16_chat_messages": (q_t16, sql_t16),
+    "t5_canonical_text": (q_t5, sql_t5),
+    "n2_sparse_order": (q_n2_sparse, sql_n2_sparse),
+    "s1_csv_runs": (q_s1, sql_s1),
+    "s3_resume_from_folder": (q_s3, sql_j2),
+    "s4_global_order": (q_s4, sql_s4),
+    "s5_resume_from_progress": (q_s5, sql_j1),
+    "w1_merged_documents": (q_w1, sql_n3),
+    "w7_report_tables": (q_w7, sql_w7),
+    "f8_orthogonal_rows": (q_f8, sql_f8),
 }
 
 # the training-data operators and their pipeline: parts of their own that may be left out
@@ -807,7 +925,8 @@ try:
     import corpus_pipeline  # noqa: E402
     from runlens.llm import entry as LLM  # noqa: E402
 except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "runlens.llm"):
+    # their own modules, or a library that only they need
+    if missing.name.startswith("runlens") and missing.name != "runlens.llm":
         raise
 else:
     _QUERIES |= LLM.QUERIES | {"pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL and (lambda: corpus_pipeline.ORACLE_SQL))}

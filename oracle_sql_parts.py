@@ -256,3 +256,10 @@ def checks_cte() -> str:
         f"WHEN checks_run THEN {said(JC.MSG_TYPES_BAD, issues=shown('t_issues'))} "
         f"ELSE {said(JC.MSG_TYPES_DEFAULT)} END AS data_types_detail FROM c4x)\n"
     )
+
+
+def normalized(j: str = "j", text: str = "output_content") -> str:
+    """The canonical text of a valid document: the engine's own indented print, at two spaces a level."""
+    lines = f"string_split(json_pretty({j}), chr(10))"
+    two = f"array_to_string(list_transform({lines}, lambda l: repeat(' ', (length(l) - length(ltrim(l))) // 2) || ltrim(l)), chr(10))"
+    return f"CASE WHEN json_valid THEN {two} ELSE {text} END"

@@ -13,6 +13,7 @@ from runlens.functions.jsoncheck import (  # noqa: F401,E402
     canonical_json, check_outputs, entry_counts_equal, format_points, normalize_columns,
     document_of, unknown_addresses,
 )
+from runlens.functions.jsontext import canonical_text  # noqa: F401,E402
 from runlens.functions.judge import (  # noqa: F401,E402
     judge_prompt, judge_prompts, parse_judge_replies, render_template,
 )
@@ -21,7 +22,7 @@ from runlens.functions.text import (  # noqa: F401,E402
     chat_messages, hex_addresses, json_span, prompt_text, strip_code_fence, trim_unicode,
 )
 from runlens.operators.assemble import assemble_runs, failed_row_defaults, with_prompts  # noqa: F401,E402
-from runlens.operators.ranking import last_by_key, seq_rank  # noqa: F401,E402
+from runlens.operators.ranking import global_rank, last_by_key, seq_rank  # noqa: F401,E402
 from runlens.operators.reports import (  # noqa: F401,E402
     best_configuration, best_vs_baseline, composite_by_config, consistency_report, consistency_scores,
     detail, factor_effect, first_appearance, group_statistics, interaction_table, main_results,
@@ -38,8 +39,8 @@ from runlens.plans.resume import (  # noqa: F401,E402
     skipped, union_keys, with_design, with_keys_from_names,
 )
 from runlens.sinks.files import (  # noqa: F401,E402
-    export_csv, write_bucketed, write_raw_outputs, write_reports, write_runs,
+    export_csv, merge_raw_outputs, write_bucketed, write_raw_outputs, write_reports, write_runs,
 )
 from runlens.sources.files import (  # noqa: F401,E402
-    list_raw_output_names, read_progress, read_raw_outputs, read_runs, read_runs_csv,
+    file_order, list_raw_output_names, read_progress, read_raw_outputs, read_runs, read_runs_csv,
 )

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.jsontext import canonical_text, nulls_for_not_numbers
 from runlens.functions.text import json_span, strip_code_fence, trim_unicode
 
 # ---------------------------------------------------------------------------
@@ -200,18 +201,23 @@ def format_check_columns(df: DataFrame, parsed: str = "parsed", prefix: str = ""
     return out
 
 
+# No model output holds this; a text that does gets a mark of its own.
+END_MARK = "end of the document"
+
+
 def document_of(df: DataFrame, span: str, doc: str, valid: str) -> DataFrame:
     """``df`` with ``doc`` (VARIANT, NULL unless valid) and ``valid``: whether the
-    text column ``span`` is one strict JSON document.
+    text column ``span`` is one JSON document as Python's parser takes it.
 
     One parse: the text is put into an array before a mark that it does not
-    contain (its own MD5).  If the array's second element is the mark and
-    there is no third, the first is the whole text.
+    contain.  If the array's second element is the mark and there is no third,
+    the first is the whole text.  ``NaN`` and infinities, which a VARIANT cannot
+    hold, are read as null.
     """
     t = F.col(span)
-    s1 = df.select("*", F.md5(t).alias("__mark"))
+    s1 = df.select("*", F.when(F.contains(t, F.lit(END_MARK)), F.md5(t)).otherwise(F.lit(END_MARK)).alias("__mark"))
     s2 = s1.select("*", F.when((t != "") & ~F.contains(t, F.col("__mark")),
-                               F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), "__mark", F.lit('"]')))).alias("__doc"))
+                               F.try_parse_json(F.concat(F.lit("["), nulls_for_not_numbers(f"`{span}`"), F.lit(',"'), "__mark", F.lit('"]')))).alias("__doc"))
     marked = F.try_variant_get("__doc", "$[1]", "string") == F.col("__mark")
     whole = marked & F.try_variant_get("__doc", "$[2]", "variant").isNull()
     s3 = s2.select("*", F.coalesce(whole, F.lit(False)).alias(valid))
@@ -220,15 +226,16 @@ def document_of(df: DataFrame, span: str, doc: str, valid: str) -> DataFrame:
 
 def normalize_columns(df: DataFrame, text: str = "output_content") -> DataFrame:
     """T1-T6 as staged projections: adds ``normalized``, ``parsed`` (VARIANT)
-    and ``json_valid``.  Each stage reads the previous stage's columns, so
-    trimming, fence, span and parse are each written and computed once."""
+    and ``json_valid``.  ``normalized`` is the canonical text of a valid document
+    (T5) and the text as it is otherwise.  Each stage reads the previous stage's
+    columns, so trimming, fence, span and parse are each written and computed once."""
     t = F.col(text)
     s1 = df.select("*", trim_unicode(t).alias("__c1"))
     s2 = s1.select("*", strip_code_fence(F.col("__c1")).alias("__c2"))
     s3 = s2.select("*", trim_unicode(F.col("__c2")).alias("__c3"))
     s4 = s3.select("*", json_span(F.col("__c3")).alias("__span"))
     s5 = document_of(s4, "__span", "parsed", "json_valid")
-    return s5.select(*df.columns, F.when(F.col("json_valid"), F.col("__span")).otherwise(t).alias("normalized"), "parsed", "json_valid")
+    return s5.select(*df.columns, F.when(F.col("json_valid"), canonical_text("__span")).otherwise(t).alias("normalized"), "parsed", "json_valid")
 
 
 def check_outputs(df: DataFrame, text: str = "output_content") -> DataFrame:
@@ -264,9 +271,6 @@ def unknown_addresses(output_addrs, prompt_addrs) -> Column:
 
 
 def canonical_json(parsed) -> Column:
-    """T5: a canonical text of the parsed document (compact, keys sorted).
-
-    Not byte-identical to an indented dump with original key order; the
-    normalised output keeps the span as written for that reason.
-    """
+    """The parsed document as compact text with sorted keys (a key for
+    comparing documents; ``jsontext.canonical_text`` is T5)."""
     return F.to_json(_c(parsed))

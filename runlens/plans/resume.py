@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.jsontext import let
 from runlens.operators.ranking import seq_rank
 from runlens.plans.design import joined_key
 
@@ -71,12 +72,15 @@ def canonical_key_from_file_name(file_name: Column, schemes=None, models=None) -
 
     schemes = SCHEMES if schemes is None else schemes
     models = [m[1] for m in MODELS_ORTHOGONAL] if models is None else models
-    shape = r"^([^_]+)_([^_]+)_(.+)_(T[0-9.]+)_(.+)_([0-9]+)$"
-    key = file_name_key(file_name)
-    part = [F.regexp_extract(key, shape, i) for i in range(1, 7)]
-    scheme = F.coalesce(lookup(part[2], {n: k for k, n in schemes}), part[2])
-    model = F.coalesce(lookup(part[4], {n.replace("/", "_"): n for n in models}), part[4])
-    return F.when(key.rlike(shape), joined_key(part[0], part[1], scheme, part[3], model, part[5]))
+    # one pass of one pattern marks the borders of the parts
+    parts = F.split(F.regexp_replace(file_name, r"^([^_]+)_([^_]+)_(.+)_(T[0-9.]+)_(.+)_([0-9]+)\.json$", "\x01".join(f"${i}" for i in range(1, 7))), "\x01")
+
+    def key(part: Column) -> Column:
+        scheme = F.coalesce(lookup(part[2], {n: k for k, n in schemes}), part[2])
+        model = F.coalesce(lookup(part[4], {n.replace("/", "_"): n for n in models}), part[4])
+        return F.when(F.size(part) == 6, joined_key(part[0], part[1], scheme, part[3], model, part[5]))
+
+    return let(parts, key)
 
 
 def normalise_file_part(c: Column) -> Column:

@@ -6,6 +6,9 @@ here are for tests, the bench and the command-line entry points.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Settings every session we create gets.  AQE re-plans joins and coalesces
@@ -20,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the call site of every column function is not recorded: large expressions are built several times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -46,13 +51,28 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    The deployment must set it (a folder that driver and executors share).
+    The deployment must set it.  Only a session of a single local process
+    without the setting (tests) gets a temporary folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="runlens-shared-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder, set as the session's folder for checkpoints."""
+    d = shared_dir(spark)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def new_shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/runlens-{uuid.uuid4().hex}/{name}"

@@ -9,6 +9,7 @@ table, not from the sources.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,32 +33,66 @@ def write_runs(runs: DataFrame, path: str, mode: str = "append", partition_by: s
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """W2-W6 exports: CSV with header; text with line breaks is quoted."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """W2-W6 exports: CSV with header; text with line breaks is quoted, and
+    white space around a text is kept."""
+    w = df.write.mode(mode).option("header", True).option("escape", '"')
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def raw_file_key(runs: DataFrame) -> F.Column:
-    """Exploratory raw-output file name (without ``.json``)."""
-    return normalise_file_part(F.concat_ws("_", "scene_id", "scheme", "param_set", "model",
-                                           F.col("repeat_idx").cast("string")))
+    """Exploratory raw-output file name (without ``.json``).  A missing
+    part is printed into the name, so such runs keep a name of their own."""
+    parts = ["scene_id", "scheme", "param_set", "model", F.col("repeat_idx").cast("string")]
+    return normalise_file_part(F.concat_ws("_", *[F.coalesce(p, F.lit(str(None))) for p in parts]))
 
 
-def write_raw_outputs(runs: DataFrame, path: str, key: F.Column | None = None, mode: str = "overwrite") -> None:
-    """Per-run JSON documents under the experiment's field names.
+RAW_DOCUMENTS = "file_key string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in S.RAW_RECORD.fields if f.name != S.SCORE_NOTE_KEY)
 
-    Files with equal names overwrite each other in the experiment; here the
-    last write per name is kept explicitly (N3) and documents are written
-    partitioned by scene instead of one file per run.
-    """
+
+def raw_documents(runs: DataFrame, key: F.Column | None = None) -> DataFrame:
+    """Runs under the experiment's field names, with ``file_key``; of equal names the last write."""
     k = key if key is not None else raw_file_key(runs)
     latest = last_by_key(runs.withColumn("file_key", k), ["file_key"], "run_seq")
-    out = latest.select(
+    return latest.select(
         "file_key", "run_seq", F.col("group_id").alias("group"),
         (F.col("design") if "design" in latest.columns else F.lit(None).cast("string")).alias("design"), "scene_id", "scene_name", "scheme", "model",
-        "param_set", "temperature", "top_p", "repeat_idx", "input_tokens", "output_tokens", "elapsed_time",
+        "param_set", "temperature", "top_p", F.col("repeat_idx").cast("int").alias("repeat_idx"), "input_tokens", "output_tokens", "elapsed_time",
         "output_content", "json_valid", "success", "error",
         *[F.col(c).alias(k2) for c, k2, _ in S.DIMENSIONS])
-    out.write.mode(mode).partitionBy("scene_id").json(path)
+
+
+def write_raw_outputs(runs: DataFrame, path: str, key: F.Column | None = None, mode: str = "overwrite") -> None:
+    """Per-run JSON documents under the experiment's field names.
+
+    Files with equal names overwrite each other in the experiment; here the
+    last write per name is kept explicitly (N3) and documents are written
+    partitioned by scene instead of one file per run.
+    """
+    raw_documents(runs, key).write.mode(mode).partitionBy("scene_id").json(path)
+
+
+def merge_raw_outputs(runs: DataFrame, path: str, key: F.Column | None = None) -> None:
+    """W1 across writes: ``runs`` into documents written before, last write first.
+
+    Only the scenes that ``runs`` touches are read and replaced (partitions are
+    swapped when the job commits); the others' files stay as they are.  The
+    merged documents are checkpointed before the files they came from go.
+    """
+    spark = runs.sparkSession
+    new = materialise(raw_documents(runs, key))
+    scenes = [r[0] for r in new.select("scene_id").distinct().collect()]  # a dimension of the experiment
+    try:
+        stored = spark.read.schema(RAW_DOCUMENTS).json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = new.limit(0)
+    touched = F.col("scene_id").isin([s for s in scenes if s is not None])
+    if None in scenes:
+        touched = touched | F.col("scene_id").isNull()
+    both = stored.where(touched).select(*new.columns).unionByName(new)
+    merged = materialise(last_by_key(both, ["file_key"], "run_seq").select(*new.columns))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene_id").json(path)
 
 
 def materialise(df: DataFrame) -> DataFrame:

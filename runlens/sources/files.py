@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens import schemas as S
+from runlens.operators.ranking import global_rank
+from runlens.sources.ordered import csv_records, json_strings
 
 # reference column name -> our column name
 RENAMES = {"group": "group_id", S.SCORE_NOTE_KEY: "score_note",
@@ -46,39 +48,57 @@ def conform(df: DataFrame, schema: T.StructType = S.RUNS) -> DataFrame:
     return df.select(*cols, *extra)
 
 
-def read_runs_csv(spark: SparkSession, path: str, with_file_order: bool = True) -> DataFrame:
-    """A score CSV (``all_scores.csv`` / ``results.csv``) as runs.
+#: Columns that a score CSV may have.
+MAX_CSV_COLUMNS = 128
 
-    ``multiLine`` keeps quoted line breaks inside one record (a file is then
-    one task: prefer parquet for large tables).  Exports of this library
-    carry ``run_seq``.  For other files, ``with_file_order`` orders rows by
-    (modification time, file name, row in the file) and numbers them.
-    """
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').option("encoding", "UTF-8").csv(path))
-    df = conform(raw)
-    if with_file_order and "run_seq" not in raw.columns:
-        df = _numbered(spark, raw, df)
-    return df
 
+def _fields(text: str) -> Column:
+    """The fields of a CSV record as an array (NULL beyond the last)."""
+    names = [f"c{i}" for i in range(MAX_CSV_COLUMNS + 1)]
+    row = f"from_csv({text}, '{', '.join(f'{n} string' for n in names)}', map('escape', '\"'))"
+    return F.expr(f"get(transform(array({row}), r -> array({', '.join(f'r.{n}' for n in names)})), 0)")
 
-def _numbered(spark: SparkSession, raw: DataFrame, df: DataFrame) -> DataFrame:
-    """``df`` (rows of the scan ``raw``) with ``run_seq``: the files' order by
-    (modification time, name) in the upper digits, the row's place in its file
-    in the lower ones.
 
-    A multi-line CSV file is read by one task from its start, so the running
-    id of a task counts the file's rows in order; its least value in the
-    file is taken off.  Only one row per file takes part in the ranking.
+def read_runs_csv(spark: SparkSession, path: str, with_file_order: bool = True) -> DataFrame:
+    """A score CSV (``all_scores.csv`` / ``results.csv``) as runs.
+
+    Fields may hold line breaks, and still a file is read by as many tasks as
+    its size asks for (``sources.ordered``).  Columns are found by each file's
+    own header, so files with other columns or another order of them may lie in
+    one folder.  Exports of this library carry ``run_seq``.  For other files,
+    ``with_file_order`` orders rows by (modification time, file name, row in
+    the file) and numbers them: the file's place in the upper digits, the row's
+    in the lower ones.
+    """
+    records = csv_records(spark, path)
+    names = _fields("text")
+    names = F.when(F.get(names, F.lit(MAX_CSV_COLUMNS)).isNull(), names).otherwise(
+        F.raise_error(F.lit(f"a score CSV has at most {MAX_CSV_COLUMNS} columns")).cast("array<string>"))
+    # one row a file; only these are ranked
+    heads = records.where("row = 0").select("f", names.alias("names"), F.row_number().over(Window.orderBy("t", "f")).alias("nth"))
+    rows = records.where("row > 0").select("f", "row", _fields("text").alias("values")).join(heads, "f")
+
+    def field(*spellings: str) -> Column:
+        return F.coalesce(*[F.get("values", (F.array_position("names", F.lit(s)) - 1).cast("int")) for s in spellings])
+
+    spelt = {f.name: [f.name] + [k for k, v in RENAMES.items() if v == f.name] for f in S.RUNS.fields}
+    rows = rows.select(*[field(*spelt[c]).alias(c) for c in spelt],
+                       ((F.col("nth") - 1) * F.lit(1 << 33) + F.col("row") - 1).cast("bigint").alias("_nth"))
+    df = conform(rows)
+    return df.withColumn("run_seq", F.coalesce("run_seq", "_nth") if with_file_order else F.col("run_seq")).drop("_nth")
+
+
+def file_order(spark: SparkSession, path: str) -> DataFrame:
+    """f (path) and place of each file: the second of its modification time in the
+    upper digits, its place within that second by (time, path) in the lower ones.
+
+    Only the listing is read.  The files are ranked by ranges, so any number of
+    them may bear one time.
     """
-    at = raw.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("t"), F.monotonically_increasing_id().alias("i"))
-    files = at.groupBy("f").agg(F.max("t").alias("t"), F.min("i").alias("first"))
-    ranked = files.select("f", "first", F.row_number().over(Window.orderBy("t", "f")).alias("nth"))
-    keep = [c for c in df.columns if c != "run_seq"]
-    rows = conform(raw.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i")))
-    joined = rows.join(ranked, F.col("_f") == F.col("f"))
-    seq = (F.col("nth") - 1) * F.lit(1 << 33) + F.col("_i") - F.col("first")
-    return joined.withColumn("run_seq", seq.cast("bigint")).select("run_seq", *keep)
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("f"), F.col("modificationTime").alias("t"))
+    ranked = global_rank(files, ["t", "f"], "nth").withColumn("second", F.floor(F.unix_micros("t") / 1_000_000).cast("bigint"))
+    first = ranked.groupBy("second").agg(F.min("nth").alias("first"))
+    return ranked.join(first, "second").select("f", (F.col("second") * F.lit(1 << 32) + F.col("nth") - F.col("first")).alias("place"))
 
 
 def read_raw_outputs(spark: SparkSession, path: str, one_document_per_file: bool = True) -> DataFrame:
@@ -86,36 +106,38 @@ def read_raw_outputs(spark: SparkSession, path: str, one_document_per_file: bool
     the experiment writes them, or JSON Lines as ``write_raw_outputs`` does.
 
     ``run_seq`` is the recorded one where the documents carry it.  Else, for
-    one document per file, it orders files by (modification time, name);
-    JSON Lines must carry it.  ``file_name`` is kept for key derivation.
+    one document per file, it is the file's place in ``file_order``; JSON Lines
+    must carry it.  ``file_name`` is kept for key derivation.
     """
     raw = (spark.read.schema(S.RAW_RECORD).option("multiLine", one_document_per_file).json(path)
-           .select("*", F.col("_metadata.file_name").alias("file_name"),
-                   F.col("_metadata.file_modification_time").alias("_mtime")))
+           .select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("_f")))
     df = conform(raw.withColumnRenamed("file_name", "_file_name"))
     if one_document_per_file:
-        # the second of the modification time, then the place within that second
-        second = F.floor(F.unix_micros("_mtime") / 1_000_000).cast("bigint")
-        place = F.row_number().over(Window.partitionBy("_second").orderBy("_mtime", "_file_name")) - 1
-        numbered = df.withColumn("_second", second).withColumn("_nth", F.col("_second") * F.lit(1 << 32) + place)
-        df = numbered.withColumn("run_seq", F.coalesce("run_seq", "_nth")).drop("_second", "_nth")
+        # names alone are ranked, the documents only meet their place
+        df = df.join(file_order(spark, path).withColumnRenamed("f", "_f"), "_f").withColumn("run_seq", F.coalesce("run_seq", "place")).drop("place")
     else:
         df = df.withColumn("run_seq", F.coalesce("run_seq", F.raise_error(F.lit("JSON Lines documents need run_seq"))))
-    return df.withColumnRenamed("_file_name", "file_name").drop("_mtime")
+    return df.withColumnRenamed("_file_name", "file_name").drop("_f")
 
 
 def list_raw_output_names(spark: SparkSession, path: str) -> DataFrame:
     """S3: names of the raw-output files (content is not read: the binary
-    source only loads it when the column is selected)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
-             .select("path"))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    source only loads it when the column is selected).
+
+    A name is the first part of the path under ``path`` that ends in ``.json``: a file's own
+    name, or the folder's where a run has a folder (``file_name=<name>.json``).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).select("path")
+    return files.select(F.regexp_extract("path", r"([^/=]+\.json)(/.*)?$", 1).alias("file_name"))
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """A progress file ``{"completed": [key, ...]}`` -> one key per row."""
-    doc = spark.read.schema("completed array<string>").option("multiLine", True).json(path)
-    return doc.select(F.explode("completed").alias("run_key"))
+    """A progress file ``{"completed": [key, ...]}`` -> one key per row.
+
+    The file is one JSON text; its array is never built, and a large file is
+    read by many tasks (``sources.ordered``).
+    """
+    return json_strings(spark, path).select(F.col("text").alias("run_key"))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

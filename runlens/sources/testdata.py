@@ -267,3 +267,40 @@ def document_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_seq = doc_id, output_content) built from whole document texts."""
     docs = spread_files(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.selectExpr("doc_id AS run_seq", document_output_sql() + " AS output_content")
+
+
+# JSON texts in odd spelling, one per document: the whole text as a string with
+# its escapes, keys and characters escaped without need, a repeated key, numbers
+# that print otherwise than they are written, empty containers.
+_BACKSLASH = "chr(92)"
+
+
+def _escaped_sql() -> str:
+    other = [c for c in range(1, 32) if c not in (9, 10, 13)]
+    text = f"translate(text, concat({', '.join(f'chr({c})' for c in other)}), '{' ' * len(other)}')"
+    for code, letter in [("chr(92)", _BACKSLASH), ("'\"'", "'\"'"), ("chr(10)", "'n'"), ("chr(9)", "'t'"), ("chr(13)", "'r'")]:
+        text = f"replace({text}, {code}, concat({_BACKSLASH}, {letter}))"
+    return text
+
+
+def odd_json_sql() -> str:
+    u = lambda code: f"{_BACKSLASH}, 'u{code}'"
+    return (f"concat('{{ \"id\":', CAST(doc_id AS STRING), ',\"text\" :\"', {_escaped_sql()}, '\",\"', {u('0061')}, {_BACKSLASH}, '/b\":[ ', "
+            f"CAST(n_chars AS STRING), '.50 ,-0,', CAST(doc_id AS STRING), 'e3, 1E-7,NaN ,[],{{ }} ,\"', {u('d83d')}, {u('DE00')}, {u('00e9')}, {u('001F')}, '\"],\"lang\":', "
+            "CASE WHEN lang IS NULL THEN 'null' ELSE concat('\"', lang, '\"') END, ',\"id\":', CAST(doc_id + 1 AS STRING), '}')")
+
+
+def even_json_sql() -> str:
+    """What the texts of ``odd_json_sql`` are in canonical form."""
+    line = lambda depth, text: f"chr(10), '{'  ' * depth}{text}'"
+    thousands = "CASE WHEN doc_id = 0 THEN '0.0' ELSE concat(CAST(doc_id AS STRING), '000.0') END"
+    return (f"concat('{{', {line(1, chr(34) + 'id' + chr(34) + ': ')}, CAST(doc_id + 1 AS STRING), ',', {line(1, chr(34) + 'text' + chr(34) + ': ' + chr(34))}, {_escaped_sql()}, '\",', "
+            f"{line(1, chr(34) + 'a/b' + chr(34) + ': [')}, {line(2, '')}, CAST(n_chars AS STRING), '.5,', {line(2, '0,')}, {line(2, '')}, {thousands}, ',', "
+            f"{line(2, '1e-07,')}, {line(2, 'NaN,')}, {line(2, '[],')}, {line(2, '{},')}, {line(2, chr(34) + chr(0x1F600) + chr(0xE9))}, {_BACKSLASH}, 'u001f\"', {line(1, '],')}, "
+            f"{line(1, chr(34) + 'lang' + chr(34) + ': ')}, CASE WHEN lang IS NULL THEN 'null' ELSE concat('\"', lang, '\"') END, chr(10), '}}')")
+
+
+def odd_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, json) built from whole documents."""
+    docs = spread_files(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "n_chars"))
+    return docs.selectExpr("doc_id", odd_json_sql() + " AS json")

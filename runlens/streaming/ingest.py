@@ -27,9 +27,13 @@ def raw_output_stream(spark: SparkSession, raw_dir: str, max_files_per_trigger:
     raw = (spark.readStream.schema(S.RAW_RECORD).option("multiLine", True)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(raw_dir)
            .select("*", F.col("_metadata.file_name").alias("_file_name"),
+                   F.col("_metadata.file_path").alias("_path"),
                    F.col("_metadata.file_modification_time").alias("_mtime")))
-    runs = (conform(raw).withColumn("run_seq", F.coalesce("run_seq", F.unix_micros("_mtime")))
-            .withColumnRenamed("_file_name", "file_name").drop("_mtime"))
+    # a stream cannot rank the files of one second: their paths' hashes tell them apart
+    second = F.floor(F.unix_micros("_mtime") / 1_000_000).cast("bigint")
+    seq = F.shiftleft(second, 32).bitwiseOR(F.xxhash64("_path").bitwiseAND(F.lit((1 << 32) - 1)))
+    runs = (conform(raw).withColumn("run_seq", F.coalesce("run_seq", seq))
+            .withColumnRenamed("_file_name", "file_name").drop("_mtime", "_path"))
     # json_valid is recomputed from the text; the document's own flag is dropped
     checked = check_outputs(runs.drop("json_valid")
                             .withColumn("__text", F.coalesce("output_content", F.lit(""))), "__text")

@@ -94,8 +94,8 @@ def test_detail_defaults(checked):
     assert r.structure_detail == "未找到test_items数组或有效测试项"
 
 
-def test_normalized_is_span(checked):
-    assert checked[3].normalized == C1
+def test_normalized_is_canonical_text(checked):
+    assert checked[3].normalized == json.dumps(json.loads(C1), indent=2, ensure_ascii=False)
     assert checked[19].normalized == "no json at all"
 
 

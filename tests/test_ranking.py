@@ -46,3 +46,19 @@ def test_null_keys_keep_their_rows(spark):
     for i, k, v in rows:
         seen[k, v] = want[i] = seen.get((k, v), 0) + 1
     assert got == want
+
+
+def test_seq_rank_sparse_and_bursty_values(spark):
+    """Microsecond-like values with bursts and a hot key: few chunks, each of bounded size."""
+    from runlens.operators.ranking import BORDERS, key_borders, place_of, seq_rank
+
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.col("id") * 10**12).otherwise(10**17 + F.col("id")).alias("seq"),
+                                  F.when(F.col("id") % 10 == 0, F.lit(None).cast("string")).otherwise("hot").alias("k"))
+    got = {r.seq: r.r for r in seq_rank(df, ["k"], "seq", "r", chunk=50).collect()}
+    want, seen = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r.seq):
+        seen[r.k] = want[r.seq] = seen.get(r.k, 0) + 1
+    assert got == want
+    borders = {r.k: r.borders for r in key_borders(df.where("k is not null"), "k", "seq", 50).collect()}
+    sizes = df.where("k = 'hot'").select(place_of(F.col("seq"), F.array(*[F.lit(b) for b in borders["hot"]])).alias("c")).groupBy("c").count().collect()
+    assert len(sizes) <= BORDERS + 1 and max(r["count"] for r in sizes) <= 12
