@@ -619,6 +619,35 @@ def sql_w7():
     return " UNION ALL BY NAME ".join(f"SELECT '{name}' AS report, * FROM ({sql()})" for name, sql in parts.items())
 
 
+def q_w7_orthogonal(spark, sf):
+    """W6 + W7: the orthogonal experiment's report tables from one aggregation."""
+    tables = R.orthogonal_report_tables(_oruns(spark, sf), D.orthogonal_designs(), materialise=W.materialise)
+    out = None
+    for name, table in tables.items():
+        rows = table.withColumn("report", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def sql_w7_orthogonal():
+    parts = {"group_statistics": sql_a8, "composite_by_config": sql_a10, "temperature_effect": sql_a12_temperature, "scheme_effect": sql_a12_scheme,
+             "model_effect": sql_a12_model, "interaction": sql_a12_interaction}
+    return " UNION ALL BY NAME ".join(f"SELECT '{name}' AS report, * FROM ({sql()})" for name, sql in parts.items())
+
+
+def q_w8(spark, sf):
+    """W8 + F3: every scene's detail sheet written apart, one scene's sheet read back (the others' files are not opened)."""
+    path = new_shared_path(spark, "sheets")
+    sheets = R.detail(R.with_repeat_idx(_runs(spark, sf), RUN_KEYS)).withColumn("scene_sheet", R.sheet_name("scene_name"))
+    sheets.write.partitionBy("scene_sheet").parquet(path)
+    name = S.SCENES[0][1]
+    return spark.read.parquet(path).where(F.col("scene_sheet") == R.sheet_name(F.lit(name))).drop("scene_sheet")
+
+
+def sql_w8():
+    return f"SELECT * FROM ({sql_f1()}) WHERE scene_name = {O.lit(S.SCENES[0][1])}"
+
+
 def q_f8(spark, sf):
     """F7 + F8: the orthogonal experiment's run rows, failed ones as it records them."""
     return _oruns(spark, sf).select("run_seq", "group_id", "scheme", "model", "temperature", "top_p", "success", "error", "input_tokens", "output_tokens", "elapsed_time", *DIMS)
@@ -917,6 +946,8 @@ _QUERIES: dict[str, tuple[Callable, Callable | None]] = {
     "s5_resume_from_progress": (q_s5, sql_j1),
     "w1_merged_documents": (q_w1, sql_n3),
     "w7_report_tables": (q_w7, sql_w7),
+    "w7_orthogonal_tables": (q_w7_orthogonal, sql_w7_orthogonal),
+    "w8_one_scene_sheet": (q_w8, sql_w8),
     "f8_orthogonal_rows": (q_f8, sql_f8),
 }
 

@@ -70,8 +70,8 @@ def with_prompts(runs: DataFrame, scheme_prompts: DataFrame) -> DataFrame:
     scene and scheme), the prompt text as sent and the message list.
 
     ``scheme_prompts(scene_id, scheme_key, system, user, ...)`` is a
-    configuration table (one row per scene and scheme); it is broadcast after
-    its size is checked.
+    configuration table (one row per scene and scheme); Spark broadcasts it
+    below its size threshold.
     """
     from runlens.functions.text import chat_messages, prompt_text
     from runlens.sources.config import join_dimension

@@ -1,5 +1,7 @@
 """Model-output checks on literal cases with hand-derived expected flags."""
 
+import json
+
 import pytest
 
 from runlens.functions.jsoncheck import check_outputs, entry_counts_equal, format_points
