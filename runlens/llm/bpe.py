@@ -40,7 +40,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of words kept with their tokens by each Python worker (twice over), and states of its transition table.
-CACHED_BYTES, TABLE_STATES = 24 << 20, 100_000
+CACHED_BYTES, TABLE_STATES = 48 << 20, 150_000
 ENTRY_BYTES = 220  # of a kept word beside its text and tokens
 #: Symbols are bytes; the last byte of a word has its own.  Two keys of a state are no symbols.
 WORD_END, LABEL, OPEN = 256, 512, 513
@@ -223,6 +223,22 @@ def unlike(source: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
 
 
+def _searches(odd: str):
+    """Searches of a text for characters of the class ``odd``: an exact one, and a fast one that also stops at others.
+
+    A class of characters of the basic plane alone is a table look-up a
+    character, any other a walk over its ranges: the fast search looks for what is
+    not among the plain characters of that plane.
+    """
+    held = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\U([0-9a-f]{8})-\\U([0-9a-f]{8})", odd)]
+    plain, at = "", 0
+    for a, b in [*held, (0x10000, 0x10000)]:
+        if at < min(a, 0x10000):
+            plain += f"\\U{at:08x}-\\U{min(a, 0x10000) - 1:08x}"
+        at = b + 1
+    return re.compile(f"[{odd}]").search, re.compile(f"[^{plain}]").search
+
+
 class Tokenizer:
     """Splits, encodes and decodes whole texts for one vocabulary file (its JSON text).
 
@@ -244,7 +260,7 @@ class Tokenizer:
         self.find_control = regex.compile("(" + "|".join(map(regex.escape, sorted(self.control, key=len, reverse=True))) + ")") if self.control else None
         self.source = source
         self.find_words = regex.compile(word_pattern(spec)).findall
-        self.has_odd = re.compile(f"[{unlike(source) if odd is None else odd}]").search
+        self.find_odd, self.may_be_odd = _searches(unlike(source) if odd is None else odd)
         self.automaton = Automaton(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.decode = Decoder(spec).decode
         self.words: dict[str, str] = {}
@@ -255,7 +271,7 @@ class Tokenizer:
         """The ids of each word of a text without control tokens."""
         if text.isascii():
             words = self.find_words(text.lower())
-        elif self.has_odd(text):
+        elif self.may_be_odd(text) and self.find_odd(text):
             words = self._words_of_library(text)
         else:
             words = self.find_words(compose(text))
