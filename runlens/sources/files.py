@@ -74,15 +74,19 @@ def read_runs_csv(spark: SparkSession, path: str, with_file_order: bool = True)
     names = _fields("text")
     names = F.when(F.get(names, F.lit(MAX_CSV_COLUMNS)).isNull(), names).otherwise(
         F.raise_error(F.lit(f"a score CSV has at most {MAX_CSV_COLUMNS} columns")).cast("array<string>"))
-    # one row a file; only these are ranked
-    heads = records.where("row = 0").select("f", names.alias("names"), F.row_number().over(Window.orderBy("t", "f")).alias("nth"))
-    rows = records.where("row > 0").select("f", "row", _fields("text").alias("values")).join(heads, "f")
-
-    def field(*spellings: str) -> Column:
-        return F.coalesce(*[F.get("values", (F.array_position("names", F.lit(s)) - 1).cast("int")) for s in spellings])
-
     spelt = {f.name: [f.name] + [k for k, v in RENAMES.items() if v == f.name] for f in S.RUNS.fields}
-    rows = rows.select(*[field(*spelt[c]).alias(c) for c in spelt],
+    spellings = [s for names in spelt.values() for s in names]
+    # one row a file; only these are ranked.  Where each spelling stands is looked up once a file
+    heads = csv_records(spark, path, headers_only=True).select("f", "t", names.alias("names"))
+    heads = heads.select("f", F.array(*[(F.array_position("names", F.lit(s)) - 1).cast("int") for s in spellings]).alias("at"),
+                         F.row_number().over(Window.orderBy("t", "f")).alias("nth"))
+    # the rows stay with the task that reads them
+    rows = records.where("row > 0").select("f", "row", _fields("text").alias("values")).join(F.broadcast(heads), "f")
+
+    def field(name: str) -> Column:
+        return F.coalesce(*[F.get("values", F.get("at", F.lit(spellings.index(s)))) for s in spelt[name]])
+
+    rows = rows.select(*[field(c).alias(c) for c in spelt],
                        ((F.col("nth") - 1) * F.lit(1 << 33) + F.col("row") - 1).cast("bigint").alias("_nth"))
     df = conform(rows)
     return df.withColumn("run_seq", F.coalesce("run_seq", "_nth") if with_file_order else F.col("run_seq")).drop("_nth")

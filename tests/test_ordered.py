@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import tempfile
 
 import pandas as pd
@@ -127,6 +128,42 @@ def test_several_documents_in_a_file(spark, ranges):
     assert sorted(r.text for r in json_strings(spark, d).collect()) == sorted(f"k{i}.{j}" for i in range(20) for j in range(i))
 
 
+@pytest.mark.parametrize("read", [csv_records, json_strings])
+def test_pieces_stay_where_they_are_read(spark, read):
+    """No piece of a file is shuffled or sorted: a task's memory doesn't grow with a range."""
+    d = _dir()
+    write_csv(f"{d}/x.csv", [["a\nb", "c"]], ["a", "b"])
+    formatted = read(spark, d)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = re.findall(r"^\(\d+\) (\w+).*\n(?:Left keys.*\n|Right keys.*\n|Output.*\n)*Input \[\d+\]: (.*)$", formatted, re.M)
+    moved = [(node, columns) for node, columns in nodes if node in ("Exchange", "Sort", "Window", "SortMergeJoin")]
+    assert moved and not [x for x in moved if re.search(r"\b(piece|value)#", x[1])]
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7])
+def test_texts_over_several_batches(spark, rows):
+    """Records and strings that span batches, with ranges within and beyond them."""
+    rng = random.Random(rows)
+    d, p = _dir(), _dir()
+    values = [[field(rng), field(rng)] for _ in range(60)]
+    write_csv(f"{d}/x.csv", values, ["a", "b"])
+    keys = [field(rng) for _ in range(60)]
+    with open(f"{p}/progress.json", "w", encoding="utf-8") as f:
+        json.dump({"completed": keys, "other": {"a": "b"}}, f, indent=1)
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": None}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for size in (90, 1 << 27):
+            for k, v in names.items():
+                spark.conf.set(k, v or str(size))
+            got = [tuple(r.r) for r in csv_records(spark, d).where("row > 0").orderBy("row").select(F.from_csv("text", "a string, b string", {"escape": '"'}).alias("r")).collect()]
+            whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{d}/x.csv")
+            assert len(got) == 60 and got == [tuple(r) for r in whole.collect()]
+            assert sorted(r.run_key for r in SRC.read_progress(spark, p).collect()) == sorted(keys)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_files_of_one_second(spark):
     """Any number of files may bear one time; run_seq follows (time, path)."""
     d = _dir()
