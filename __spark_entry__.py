@@ -680,7 +680,7 @@ def sql_t6():
 def q_t5(spark, sf):
     """T4 + T5 over whole documents as JSON texts in odd spelling."""
     configure(spark)
-    d = JC.document_of(TD.odd_json(spark, sf), "json", "doc", "json_valid").withColumn("text", F.when(F.col("json_valid"), JT.canonical_text("json")))
+    d = JC.document_of(TD.odd_json(spark, sf), "json", "doc", "json_valid").withColumn("text", F.when(F.col("json_valid"), JT.canonical_text("json", "doc")))
     return d.select("doc_id", "json_valid", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 

@@ -235,7 +235,7 @@ def normalize_columns(df: DataFrame, text: str = "output_content") -> DataFrame:
     s3 = s2.select("*", trim_unicode(F.col("__c2")).alias("__c3"))
     s4 = s3.select("*", json_span(F.col("__c3")).alias("__span"))
     s5 = document_of(s4, "__span", "parsed", "json_valid")
-    return s5.select(*df.columns, F.when(F.col("json_valid"), canonical_text("__span")).otherwise(t).alias("normalized"), "parsed", "json_valid")
+    return s5.select(*df.columns, F.when(F.col("json_valid"), canonical_text("__span", "parsed")).otherwise(t).alias("normalized"), "parsed", "json_valid")
 
 
 def check_outputs(df: DataFrame, text: str = "output_content") -> DataFrame:

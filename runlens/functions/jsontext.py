@@ -2,10 +2,11 @@
 
 A VARIANT forgets the order of keys and the spelling of numbers, so the text
 that ``json.dumps(json.loads(s), indent=2, ensure_ascii=False)`` gives is made
-from the document's own tokens: one regex takes them, one fold over them finds
-the container of each, and a projection prints every token with what stands
-before and after it.  Everything is built-in functions, written as SQL text: the
-expression has hundreds of nodes, which SQL makes in one call.
+from the document's own text: scalars are spelt anew where they need it, regexes take
+the white space and cut the lines, and one fold over the lines indents them.  Only a
+document with a repeated key goes by its tokens and the container of each.
+Everything is built-in functions, written as SQL text: the expression has
+hundreds of nodes, which SQL makes in one call.
 
 - Keys keep their order; of equal keys in one object the last value takes the
   first one's place.
@@ -35,6 +36,9 @@ STRING_PIECE = r"(?s)\\u[dD][89abAB]..\\u[dD][c-fC-F]..|\\u....|\\.|[^\\]++"
 NOT_NUMBERS = "('NaN', 'Infinity', '-Infinity')"
 SHORT_ESCAPES = {8: r"\b", 9: r"\t", 10: r"\n", 12: r"\f", 13: r"\r", 34: r'\"', 92: r"\\"}
 RUN = 128  # tokens in a run
+# what fills a line of the canonical text, in a text without white space but for one space after a key
+LINE = rf'(?:(?:{STRING}: )?+(?:\[\]|\{{\}}|[{{\[]|{STRING}|[^{{}}\[\]:,"]++)|[}}\]]),?'
+LINES = 64  # lines in a run
 OPENS, CLOSES = "IN ('{', '[')", "IN ('}', ']')"
 
 
@@ -48,14 +52,18 @@ def _let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def _nulls_for_not_numbers(text: str) -> str:
+    swapped = f"transform(regexp_extract_all({text}, r'{PIECE}', 0), p -> CASE WHEN p IN {NOT_NUMBERS} THEN ' null ' ELSE p END)"
+    return f"CASE WHEN contains({text}, 'NaN') OR contains({text}, 'Infinity') THEN array_join({swapped}, '') ELSE {text} END"
+
+
 def nulls_for_not_numbers(text: str) -> Column:
     """The text of a column with ``NaN`` and infinities outside strings as ``null``.
 
     Python's parser takes these, a VARIANT has no such numbers; the spaces keep
     the null from joining its neighbours into something valid.
     """
-    swapped = f"transform(regexp_extract_all({text}, r'{PIECE}', 0), p -> CASE WHEN p IN {NOT_NUMBERS} THEN ' null ' ELSE p END)"
-    return F.expr(f"CASE WHEN contains({text}, 'NaN') OR contains({text}, 'Infinity') THEN array_join({swapped}, '') ELSE {text} END")
+    return F.expr(_nulls_for_not_numbers(text))
 
 
 def tokens(text: str) -> str:
@@ -154,19 +162,53 @@ def repeated_keys(toks: str, at: str) -> str:
     return _let("ks", f"filter({_keys(toks, at)}, k -> k IS NOT NULL)", "size(ks) - size(array_distinct(ks))")
 
 
-def printed(toks: str, at: str) -> str:
-    """The document's text with two spaces of indentation a level."""
-    line = f"concat('\\n', repeat('  ', get({at}, i).d))"
-    piece = (f"CASE WHEN t {OPENS} THEN CASE WHEN get({toks}, i + 1) {CLOSES} THEN t ELSE concat(t, {line}) END "
-             f"WHEN t {CLOSES} THEN CASE WHEN get({toks}, i - 1) {OPENS} THEN t ELSE concat({line}, t) END "
-             f"WHEN t = ',' THEN concat(t, {line}) WHEN t = ':' THEN ': ' ELSE {scalar_text('t')} END")
-    return f"array_join(transform({toks}, (t, i) -> {piece}), '')"
+def _n_keys(text: str) -> str:
+    """How many keys a document's text has: colons outside its strings."""
+    return _let("bare", f"regexp_replace({text}, r'{STRING}', '')", "length(bare) - length(translate(bare, ':', ''))")
+
+
+def _without_repeats(text: str) -> str:
+    """The text as it is, or where keys repeat its tokens with the last value of each in the first one's place."""
+    merged = f"array_join(aggregate(sequence(1, number), tk, (acc, step) -> {_merged('acc')}), '')"
+    return _let("tk", tokens(text), _let("number", _let("at", places("tk"), repeated_keys("tk", "at")), f"CASE WHEN number = 0 THEN {text} ELSE {merged} END"))
 
 
-def canonical_text(text: str) -> Column:
-    """T5: the canonical text of a column (by name) of valid documents (NULL stays NULL)."""
-    merged = f"aggregate(sequence(1, number), tk, (acc, step) -> {_merged('acc')})"
-    again = _let("m", merged, f"named_struct('tk', m, 'at', {places('m')})")
-    once = _let("number", repeated_keys("tk", "at"), f"CASE WHEN number = 0 THEN named_struct('tk', tk, 'at', at) ELSE {again} END")
-    whole = _let("tk", tokens(text), _let("at", places("tk"), _let("q", once, printed("q.tk", "q.at"))))
+def _with_scalars(text: str) -> str:
+    """The text with every string and number as Python spells it."""
+    spelt = f"array_join(transform({tokens(text)}, t -> CASE WHEN length(t) = 1 THEN t ELSE {scalar_text('t')} END), '')"
+    odd_number = f"rlike(regexp_replace({text}, r'{STRING}', ''), '[0-9][.eE]|-0')"
+    return rf"CASE WHEN contains({text}, r'\') OR {odd_number} THEN {spelt} ELSE {text} END"
+
+
+def printed(text: str) -> str:
+    """A document's text, its scalars as they are, with a line for each scalar and
+    bracket and two spaces of indentation a level.
+
+    Regexes take the white space and cut the lines; one fold over these counts the
+    brackets left open.  A fold copies what it has gathered at every step: lines are
+    taken in runs, each from the depth at which the runs before it end.
+    """
+    bare = rf"regexp_replace({text}, r'({STRING})|\s++', '$1')"
+    # every match begins where the last one ended, never inside a string
+    spaced = rf"regexp_replace({bare}, r'\G((?:[^\":]++|{STRING})*+):', '$1: ')"
+    closes, opens = "CASE WHEN left(l, 1) IN (']', '}') THEN 1 ELSE 0 END", "CASE WHEN right(l, 1) IN ('[', '{') THEN 1 ELSE 0 END"
+    starts = (f"aggregate(slice(runs, 1, size(runs) - 1), array(0), "
+              f"(s, run) -> array_append(s, aggregate(run, element_at(s, -1), (d, l) -> d + {opens} - {closes})))")
+    step = f"named_struct('d', a.d + {opens} - {closes}, 'out', concat(a.out, '\\n', repeat('  ', a.d - {closes}), l))"
+    text_of_run = f"aggregate(run, named_struct('d', get(starts, r), 'out', ''), (a, l) -> {step}, a -> a.out)"
+    runs = f"transform(sequence(0, cast(floor((size(ls) - 1) / {LINES}) AS int)), r -> slice(ls, r * {LINES} + 1, {LINES}))"
+    whole = _let("runs", runs, _let("starts", starts, f"array_join(transform(runs, (run, r) -> {text_of_run}), '')"))
+    return f"substring({_let('ls', f"regexp_extract_all({spaced}, r'{LINE}', 0)", whole)}, 2)"
+
+
+def canonical_text(text: str, document: str | None = None) -> Column:
+    """T5: the canonical text of a column (by name) of valid documents (NULL stays NULL).
+
+    ``document`` names the column of the parsed documents, where there is one.  A
+    VARIANT keeps one of equal keys: tokens are compared only where it has not as many
+    keys as the text, or cannot be made.
+    """
+    parsed = document or f"try_parse_json({_nulls_for_not_numbers(text)})"
+    once = f"CASE WHEN {_n_keys(text)} <=> {_let('js', f'to_json({parsed})', _n_keys('js'))} THEN {text} ELSE {_without_repeats(text)} END"
+    whole = _let("one", once, _let("spelt", _with_scalars("one"), printed("spelt")))
     return F.expr(f"CASE WHEN {text} IS NOT NULL THEN {whole} END")

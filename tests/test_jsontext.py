@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -108,3 +109,34 @@ def test_normalized_is_the_canonical_text(spark):
     assert got[0] == ('{\n  "b": [\n    1,\n    2\n  ],\n  "a": "é"\n}', True)
     assert got[1] == ("{}", True) and got[2] == ("no json", False)
     assert got[3][0] is None and got[4] == ("", False)
+
+
+def test_only_repeated_keys_are_looked_for_by_tokens(spark, monkeypatch):
+    """A document whose parsed form has all its keys is printed without folds over its tokens."""
+    from runlens.functions import jsontext
+
+    monkeypatch.setattr(jsontext, "repeated_keys", lambda toks, at: "cast(raise_error('tokens compared') AS int)")
+    docs = ['{"a:": {"b": [1, {"a:": "x:y,{"}], "c": ":"}, "d": [{"b": 1}, {"b": 2}]}', '[":", "a\\":b"]', "{}", "7", '{"n": NaN, "m": -0.50}']
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, s string")
+    got = {r.i: r.c for r in df.select("i", jsontext.canonical_text("s").alias("c")).collect()}
+    assert got == {i: json.dumps(json.loads(s), indent=2, ensure_ascii=False) for i, s in enumerate(docs)}
+    with pytest.raises(Exception, match="tokens compared"):
+        spark.createDataFrame([('{"a": 1, "\\u0061": 2}',)], "s string").select(jsontext.canonical_text("s")).collect()
+
+
+def test_lines_over_several_runs(spark):
+    """Depth goes on from run to run; punctuation inside strings cuts no line."""
+    deep = []
+    for i in range(150):
+        deep = [f"{i}:,[", deep, {"k]": [], "l}": {}}] if i % 2 else {"x:{": deep, 'q"': i, "e": [None, True]}
+    docs = [json.dumps(deep), json.dumps([deep, [["a, b: c"] * 70], deep], indent=1, ensure_ascii=False), json.dumps(list(range(64))), json.dumps(["s"] * 62),
+            '{"a": {"x": 1, "x": [' + "1, " * 200 + '2]}, "b": 3}', "[" * 90 + "]" * 90]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, s string")
+    got = {r.i: r.c for r in df.select("i", canonical_text("s").alias("c")).collect()}
+    assert got == {i: json.dumps(json.loads(s), indent=2, ensure_ascii=False) for i, s in enumerate(docs)}
+
+
+def test_keys_that_are_no_text(spark):
+    """Different halves of surrogate pairs are different keys."""
+    df = spark.createDataFrame([('{"\\ud800": 1, "\\uD801": 2}',)], "s string")
+    assert df.select(canonical_text("s")).first()[0] == '{\n  "\\ud800": 1,\n  "\\ud801": 2\n}'
