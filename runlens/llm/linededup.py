@@ -33,6 +33,9 @@ treated alike; a document that loses every line is left with an empty text
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,14 +56,22 @@ def _number(x: int) -> Column:
     return F.lit(x).cast("bigint")
 
 
-def may_be_near(a: Column, b: Column, threshold: int, pieces: int = 8) -> Column:
+def may_be_near(a: Column, b: Column, threshold: int, pieces: int = 8, m: Column | None = None, n: Column | None = None) -> Column:
     """False only for strings more than ``threshold`` edits apart: edits touch at most as many
-    of the pieces of ``a``; the others stand in ``b``, at most ``threshold`` places away."""
-    size = F.floor(F.length(a) / pieces).cast("int")
-    places = F.array(*[F.lit(by) for by in range(-threshold, threshold + 1)])
-    piece = lambda i: F.substring(a, i * size + 1, size)
-    stands = F.filter(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.exists(places, lambda by: (i * size + by >= 0) & (F.substring(b, i * size + by + 1, size) == piece(i))))
-    return (F.abs(F.length(a) - F.length(b)) <= threshold) & (F.size(stands) >= pieces - threshold)
+    of the pieces of ``a``; the others stand in ``b``, at most ``threshold`` places away.
+
+    ``m`` and ``n`` are the lengths, where columns have them.  The pieces are written
+    out one by one: a lambda is not compiled, and neither is what it is applied to.
+    """
+    m, n = F.length(a) if m is None else m, F.length(b) if n is None else n
+    size = F.floor(m / pieces).cast("int")
+    places = sorted(range(-threshold, threshold + 1), key=abs)
+
+    def stands(i):
+        piece = F.substring(a, i * size + 1, size)
+        return reduce(or_, [(i * size + by >= 0) & (F.substring(b, i * size + by + 1, size) == piece) for by in places])
+
+    return (F.abs(m - n) <= threshold) & (reduce(add, [F.when(stands(i), 1).otherwise(0) for i in range(pieces)]) >= pieces - threshold)
 
 
 def _shared_start(a: Column, b: Column) -> Column:
@@ -118,8 +129,8 @@ def _banded(a: Column, b: Column, threshold: int) -> Column:
     return _let(taken, lambda t: F.aggregate(F.sequence(F.lit(1), t["n"]), start, lambda s, j: step(t, s, j), lambda s: s["score"]) <= k)
 
 
-def keys(line: Column, n: Column, threshold: int, least: int) -> tuple[Column, Column]:
-    """(hashes a line files, further hashes it only probes), both array<bigint>.
+def key_columns(line: Column, n: Column, threshold: int, least: int) -> tuple[list[Column], list[Column]]:
+    """(hashes a line files, further hashes it only probes): bigint columns, those probed null where a line has none.
 
     ``n`` is a column with the line's length: measured once, not in every key.
 
@@ -142,17 +153,30 @@ def keys(line: Column, n: Column, threshold: int, least: int) -> tuple[Column, C
 
     probed = [hashed(shift, i, by) for shift in range(threshold + 1) for i in range(parts)
               for by in range(max(-i, shift - (threshold - i)), min(i, shift + (threshold - i)) + 1) if (shift, by) != (0, 0)]
-    return F.array(*[hashed(0, i, 0) for i in range(parts)]), F.array_compact(F.array(*probed)) if probed else F.array().cast("array<bigint>")
+    return [hashed(0, i, 0) for i in range(parts)], probed
+
+
+def keys(line: Column, n: Column, threshold: int, least: int) -> tuple[Column, Column]:
+    """``key_columns`` as two array<bigint>, without nulls."""
+    filed, probed = key_columns(line, n, threshold, least)
+    return F.array(*filed), F.array_compact(F.array(*probed)) if probed else F.array().cast("array<bigint>")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d1, d2, pos, line) per line; d1 and d2 name the document: its id (null: the largest) and its text's hash."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("d1"), F.xxhash64(text_col).alias("d2"), F.split(F.col(text_col), "\n").alias("lines"))
-    return rows.select("d1", "d2", F.posexplode("lines").alias("pos", "line"))
+    # not posexplode, for which texts would be split three times: to drop nulls, to drop empty arrays, and to explode
+    return rows.select("d1", "d2", F.posexplode_outer("lines").alias("pos", "line")).where("line is not null")
 
 
 def digest(line: Column) -> Column:
-    return F.unhex(F.md5(line))
+    """The line's name.  It cannot be null as far as Spark knows: joins on it would hash each line again, to drop nulls."""
+    return F.coalesce(F.unhex(F.md5(line)), F.lit(b""))
+
+
+def mark(line: Column) -> Column:
+    """A number that is worked out faster than the digest, for sieves."""
+    return F.xxhash64(line)
 
 
 def finer_pairs(lines: DataFrame) -> DataFrame:
@@ -183,23 +207,25 @@ def sieve(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     A bit map of hashes: it has at most 2^(SIEVE_BITS - 6) words whatever the
     data, so it can be broadcast.  It lets every wanted row pass.
     """
-    place = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
-    bits = wanted.select(place.alias("p")).select(F.expr("p div 64 AS word"), F.expr("shiftleft(1L, cast(p % 64 AS int)) AS bit"))
+    # neither word nor bit can be null, so no filter works them out a second time
+    place = F.xxhash64(column).bitwiseAND(_number((1 << SIEVE_BITS) - 1))
+    bits = wanted.select(place.alias("p")).select(F.expr("shiftrightunsigned(p, 6) AS word"), F.expr("shiftleft(1L, cast(p & 63 AS int)) AS bit"))
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("mask"))
-    held = rows.withColumn("p", place).withColumn("word", F.expr("p div 64")).join(F.broadcast(words), "word")
-    return held.where("mask & shiftleft(1L, cast(p % 64 AS int)) <> 0").select(*rows.columns)
+    held = rows.withColumn("p", place).withColumn("word", F.expr("shiftrightunsigned(p, 6)")).join(F.broadcast(words), "word")
+    return held.where("mask & shiftleft(1L, cast(p & 63 AS int)) <> 0").select(*rows.columns)
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line that occurs again, exactly or nearly: line (digest), keep (whether it stays), first (the document where), size of its class."""
+    """Every line that occurs again, exactly or nearly: line (digest), mark, keep (whether it stays), first (the document where), size of its class."""
     lines = lines_of(docs, id_col, text_col).where(F.length("line") >= max(least, threshold + 1))
-    distinct = lines.groupBy("line").agg(F.min("d1").alias("first"), F.count(F.lit(1)).alias("n"))
-    distinct = distinct.withColumn("chars", F.length("line"))
-    filed, probed = keys(F.col("line"), F.col("chars"), threshold, least)
-    distinct = materialise(distinct.select(digest(F.col("line")).alias("id"), "first", "n", filed.alias("filed"), probed.alias("probed")), "lines")
-
-    key = F.explode(F.concat(F.transform("filed", lambda h: F.struct(h.alias("h"), F.lit(True).alias("own"))), F.transform("probed", lambda h: F.struct(h.alias("h"), F.lit(False).alias("own")))))
-    hashes = distinct.select(key.alias("k"), "id").select("k.h", "k.own", "id")
+    filed, probed = key_columns(F.col("line"), F.col("chars"), threshold, least)
+    names = [f"h{i}" for i in range(len(filed) + len(probed))]
+    # lines move as their digests and keys; equal lines have equal keys
+    hashed = lines.withColumn("chars", F.length("line")).select("d1", digest(F.col("line")).alias("id"), mark(F.col("line")).alias("mark"), *[h.alias(c) for c, h in zip(names, filed + probed)])
+    distinct = hashed.groupBy("id").agg(F.min("d1").alias("first"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ["mark", *names]])
+    distinct = materialise(distinct, "lines")
+
+    hashes = distinct.select("id", F.posexplode_outer(F.array(*names)).alias("at", "h")).where("h is not null").select("h", (F.col("at") < len(filed)).alias("own"), "id")
     every = Window.partitionBy("h")
     met = hashes.withColumns({"rows": F.count(F.lit(1)).over(every), "filed": F.max("own").over(every)}).where("rows > 1 and filed").select("h", "own", "id", "rows")
     met = materialise(met, "met")
@@ -208,25 +234,25 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST
     # two lines that both filed the key meet once
     pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # every line that met another one, read once: for the finer keys and for the check
+    wanted = materialise(met.select("id").distinct(), "wanted")
+    texts = sieve(lines.select(digest(F.col("line")).alias("id"), "line"), wanted, "id").join(wanted, "id").distinct()  # a semi join would be moved before the sieve
+    texts = materialise(texts.withColumn("chars", F.length("line")), "texts")
     if threshold == 1:
-        crowded = materialise(met.where(many).select("id").distinct(), "crowded")
-        held = sieve(lines.select(digest(F.col("line")).alias("id"), "line"), crowded, "id").join(crowded, "id").distinct()
-        pairs = pairs.unionByName(finer_pairs(held))
+        crowded = met.where(many).select("id").distinct()
+        pairs = pairs.unionByName(finer_pairs(texts.select("id", "line").join(crowded, "id")))
     pairs = materialise(pairs.distinct(), "pairs")
 
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = materialise(wanted, "wanted")
-    texts = sieve(lines.select(digest(F.col("line")).alias("id"), "line"), wanted, "id").join(wanted, "id").distinct()  # a semi join would be moved before the sieve
-    texts = materialise(texts, "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    both = both.where(may_be_near(F.col("line_a"), F.col("line_b"), threshold))
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("chars").alias(f"chars_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where(may_be_near(F.col("line_a"), F.col("line_b"), threshold, m=F.col("chars_a"), n=F.col("chars_b")))
     links = materialise(both.where(near(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"), "links")
 
     roots = components(links)
-    placed = distinct.select("id", "first", "n").join(roots, F.col("id") == F.col("node"), "left").where("root is not null or n > 1")
+    placed = distinct.select("id", "mark", "first", "n").join(roots, F.col("id") == F.col("node"), "left").where("root is not null or n > 1")
     placed = placed.withColumn("root", F.coalesce("root", "id"))
     best = placed.groupBy("root").agg(F.min(F.struct("first", "id")).alias("best"), F.sum("n").alias("size"))
-    return placed.join(best, "root").select(F.col("id").alias("line"), (F.col("best.id") == F.col("id")).alias("keep"), F.col("best.first").alias("first"), F.col("root").alias("class"), "size")
+    return placed.join(best, "root").select(F.col("id").alias("line"), "mark", (F.col("best.id") == F.col("id")).alias("keep"), F.col("best.first").alias("first"), F.col("root").alias("class"), "size")
 
 
 def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +260,8 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id
     as copies of the line that stays and as near copies of it."""
     classes = materialise(line_classes(docs, threshold, least, id_col, text_col), "classes")
     lines = lines_of(docs, id_col, text_col).where(F.length("line") >= max(least, threshold + 1))
-    met = sieve(lines.select("d1", "d2", "pos", digest(F.col("line")).alias("line")), classes, "line").join(classes, "line")
+    held = sieve(lines.withColumn("mark", mark(F.col("line"))), classes, "mark")
+    met = held.select("d1", "d2", "pos", digest(F.col("line")).alias("line")).join(classes.drop("mark"), "line")
     own = met.groupBy("d1", "d2", "line").agg(F.collect_set("pos").alias("at"), F.first("keep").alias("keep"), F.first("first").alias("first"))
     stays = F.col("keep") & (F.col("first") == F.col("d1"))
     gone = F.when(stays, F.array_except("at", F.array(F.array_min("at")))).otherwise(F.col("at"))
@@ -256,7 +283,8 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, id_co
     rest = _let(lines, lambda all_lines: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("drop")), lambda i: F.get(all_lines, i)), "\n"))
     kept = F.when(F.col("drop").isNull(), text).otherwise(rest)
-    return rows.select("row", kept.alias("kept"), F.coalesce(F.size(lines), F.lit(0)).alias("lines"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("exact", "nearly")])
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1  # texts that lose nothing are not split
+    return rows.select("row", kept.alias("kept"), F.coalesce(n_lines, F.lit(0)).alias("lines"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("exact", "nearly")])
 
 
 def drop_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:

@@ -165,6 +165,33 @@ def test_stage(odd_docs, odd_rows, no_docs):
     assert linededup.drop_lines(no_docs).count() == 0
 
 
+def test_work_per_line(spark, odd_docs, monkeypatch):
+    """The documents are read three times before the result; each time a text is split once, a line
+    hashed once, and no whole line is shuffled but those that met another one."""
+    plans = {}
+
+    def recorded(df, name, *args, **options):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialise(df, name, *args, **options)
+
+    materialise = linededup.materialise
+    monkeypatch.setattr(linededup, "materialise", recorded)
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        linededup.dedup(odd_docs)
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    reads = {name: (plan.count("split("), plan.count("md5(")) for name, plan in plans.items() if "md5(" in plan}
+    assert reads == {"lines": (1, 1), "texts": (1, 1), "gone": (1, 1)}
+    assert "Aggregate [line" not in plans["lines"]
+
+
+def test_number_of_lines(odd_docs, odd_rows):
+    lines = {r["row"]["text"]: r["lines"] for r in linededup.dedup(odd_docs).collect()}
+    assert lines == {r[1]: 0 if r[1] is None else len(r[1].split("\n")) for r in odd_rows}
+
+
 def test_query(run, table):
     want = {d: (e, n, hashlib.sha256(k.encode()).hexdigest()) for d, k, e, n in plain([(r["doc_id"], r["text"]) for r in table("documents")], linededup.THRESHOLD, linededup.LEAST)}
     assert {r["doc_id"]: (r["exact_removed"], r["near_removed"], r["kept_sha256"]) for r in run("op5_lines")} == want
