@@ -13,8 +13,10 @@ Equal lines are one line throughout.  Keys are hashes; rows that share no key
 with another line are dropped before anything is paired.
 
 A key that more than ``PAIRED`` rows share is not joined with itself.  At one edit,
-the lines that hold such a key are filed anew under finer keys: the line without
-its i-th character, for each i, once with its place and length (lines that
+the lines that hold such a key are filed anew under longer keys: the line without
+one of ``BLOCKS`` even blocks, which lines one edit apart share for the block
+that the edit is in.  Where such a key is crowded too, its lines are filed under finer
+keys: the line without its i-th character, for each i in that block, once with its place and length (lines that
 differ in that character) and once against whole lines (lines with one character
 less).  All that share such a key are within one edit, so one link from the first of
 them to each other is enough, and a key holds no more lines than there are letters
@@ -43,7 +45,7 @@ from .common import components, materialise
 
 THRESHOLD, LEAST = 1, 24
 SIEVE_BITS = 23
-PAIRED = 16
+PAIRED, BLOCKS = 16, 16
 _LAST = (1 << 63) - 1
 
 
@@ -179,10 +181,69 @@ def mark(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def finer_pairs(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link all distinct ``lines`` (id, line) at one edit."""
+def _block(n: Column, j: Column | int) -> tuple[Column, Column]:
+    """Where block j of a line of n characters begins and ends (places from 0, the end excluded)."""
+    j = F.lit(j) if isinstance(j, int) else j
+    start, end = (F.floor(by * n / BLOCKS).cast("int") for by in (j, j + 1))
+    return start, end
+
+
+def block_columns(line: Column, n: Column) -> tuple[list[Column], list[Column]]:
+    """(hashes filed, hashes probed) of a line without each block.
+
+    A line probes lines one character shorter without their block and, in its place, one character more of its own.
+    """
+    def hashed(shift, j):
+        start, end = _block(n - shift, j)
+        return F.xxhash64(n - shift, F.lit(j), F.substring(line, F.lit(1), start), F.substring(line, end + shift + 1, n))
+
+    return [hashed(0, j) for j in range(BLOCKS)], [hashed(1, j) for j in range(BLOCKS)]
+
+
+def meetings(keyed: DataFrame, names: list[str], filed: int) -> DataFrame:
+    """(h, at, own, id, rows): the keys, in the columns ``names``, that lines of ``keyed`` share with others.
+
+    ``at`` is the key's column; the first ``filed`` are a line's own.  ``rows`` counts the key's holders.
+    """
+    hashes = keyed.select("id", F.posexplode_outer(F.array(*names)).alias("at", "h")).where("h is not null").select("h", "at", (F.col("at") < filed).alias("own"), "id")
+    every = Window.partitionBy("h")
+    return hashes.withColumns({"rows": F.count(F.lit(1)).over(every), "filed": F.max("own").over(every)}).where("rows > 1 and filed").drop("filed")
+
+
+def meeting_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a key at least one of them filed."""
+    left, right = met.where("own").select("h", F.col("id").alias("a")), met.select("h", F.col("id").alias("b"), "own")
+    # two lines that both filed the key meet once
+    pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def crowded_pairs(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link all distinct ``lines`` (id, line, chars) at one edit: those that share a
+    longer key, and where that is crowded, a finer one."""
+    filed, probed = block_columns(F.col("line"), F.col("chars"))
+    names = [f"b{j}" for j in range(2 * BLOCKS)]
+    # dealt by id: few lines can make many keys
+    met = materialise(meetings(lines.repartition("id").select("id", *[h.alias(c) for c, h in zip(names, filed + probed)]), names, BLOCKS), "blocks")
+    still = met.where(F.col("rows") > PAIRED).groupBy("id").agg(F.collect_set(F.when(F.col("own"), F.col("at"))).alias("own"), F.collect_set(F.when(~F.col("own"), F.col("at") - BLOCKS)).alias("longer"))
+
+    def places(n: Column, blocks: str, shift: int) -> Column:
+        def of(j):
+            start, end = _block(n, j)
+            return F.when(end + shift > start, F.sequence(start + 1, end + shift)).otherwise(F.array().cast("array<int>"))
+
+        return F.flatten(F.transform(blocks, of))
+
+    n = F.col("chars")
+    finer = lines.join(still, "id").select("id", "line", places(n, "own", 0).alias("replaced"), places(n - 1, "longer", 1).alias("deleted"))
+    return meeting_pairs(met.where(F.col("rows") <= PAIRED)).unionByName(finer_pairs(finer, F.col("replaced"), F.col("deleted")))
+
+
+def finer_pairs(lines: DataFrame, replaced: Column | None = None, deleted: Column | None = None) -> DataFrame:
+    """Pairs (a, b) that link all distinct ``lines`` (id, line) at one edit: a character replaced at one of the
+    places ``replaced``, or the character at one of the places ``deleted`` left out (from 1; unless given, all)."""
     n = F.length("line")
-    places = F.sequence(F.lit(1), n)
+    replaced, deleted = (F.sequence(F.lit(1), n) if at is None else at for at in (replaced, deleted))
 
     def without(i: Column) -> Column:
         return F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))
@@ -190,8 +251,8 @@ def finer_pairs(lines: DataFrame) -> DataFrame:
     def keyed(kind: int, key: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
-    apart = F.transform(places, lambda i: keyed(1, F.xxhash64(n, i, without(i))))
-    shorter = F.transform(F.array_distinct(F.transform(places, without)), lambda t: keyed(2, F.xxhash64(t)))
+    apart = F.transform(replaced, lambda i: keyed(1, F.xxhash64(n, i, without(i))))
+    shorter = F.transform(F.array_distinct(F.transform(deleted, without)), lambda t: keyed(2, F.xxhash64(t)))
     whole = F.array(keyed(0, F.xxhash64("line")))
     # a whole line and lines with one character more share a key, kind 0 first
     rows = lines.select("id", F.explode(F.concat(whole, apart, shorter)).alias("k")).select("id", "k.*", (F.col("k.kind") == 1).alias("replaced"))
@@ -225,22 +286,16 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST
     distinct = hashed.groupBy("id").agg(F.min("d1").alias("first"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ["mark", *names]])
     distinct = materialise(distinct, "lines")
 
-    hashes = distinct.select("id", F.posexplode_outer(F.array(*names)).alias("at", "h")).where("h is not null").select("h", (F.col("at") < len(filed)).alias("own"), "id")
-    every = Window.partitionBy("h")
-    met = hashes.withColumns({"rows": F.count(F.lit(1)).over(every), "filed": F.max("own").over(every)}).where("rows > 1 and filed").select("h", "own", "id", "rows")
-    met = materialise(met, "met")
+    met = materialise(meetings(distinct, names, len(filed)).drop("at"), "met")
     many = F.col("rows") > PAIRED if threshold == 1 else F.lit(False)
-    left, right = met.where(~many & F.col("own")).select("h", F.col("id").alias("a")), met.where(~many).select("h", F.col("id").alias("b"), "own")
-    # two lines that both filed the key meet once
-    pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = meeting_pairs(met.where(~many))
     # every line that met another one, read once: for the finer keys and for the check
     wanted = materialise(met.select("id").distinct(), "wanted")
     texts = sieve(lines.select(digest(F.col("line")).alias("id"), "line"), wanted, "id").join(wanted, "id").distinct()  # a semi join would be moved before the sieve
     texts = materialise(texts.withColumn("chars", F.length("line")), "texts")
     if threshold == 1:
         crowded = met.where(many).select("id").distinct()
-        pairs = pairs.unionByName(finer_pairs(texts.select("id", "line").join(crowded, "id")))
+        pairs = pairs.unionByName(crowded_pairs(texts.join(crowded, "id")))
     pairs = materialise(pairs.distinct(), "pairs")
 
     side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("chars").alias(f"chars_{x}"))

@@ -125,6 +125,26 @@ def test_many_lines_with_one_key(spark, monkeypatch, paired):
     assert got(linededup.dedup(df, 1, 20)) == plain(rows, 1, 20)
 
 
+def test_few_lines_get_finer_keys(spark, monkeypatch):
+    """Lines that share a crowded half and nothing else are told apart by longer keys, not by one key a character."""
+    finer, given = linededup.finer_pairs, []
+
+    def counted(lines, *places):
+        given.append(lines.count())
+        return finer(lines, *places)
+
+    monkeypatch.setattr(linededup, "finer_pairs", counted)
+    rng = random.Random(7)
+    half = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    texts = [half + "".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(60)]
+    texts += [texts[0][:-5] + "#" + texts[0][-4:], texts[1][:50] + texts[1][51:], texts[2][:60] + "#" + texts[2][60:]]
+    rows = [(i, "\n".join(texts[i::9])) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = plain(rows, 1, 20)
+    assert sum(n for *_, n in want) == 3
+    assert got(linededup.dedup(df, 1, 20)) == want and given == [0]
+
+
 def test_finer_pairs(spark):
     rng = random.Random(1)
     lines = sorted({edited(rng, "abcabbéa😀aab", rng.randint(0, 3)) for _ in range(300)})
